@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, media, sp_codec, token_counts
+from millrace.llm import exact_dedup, media, packing, sp_codec, token_counts
 from millrace.llm.common import documents
 
 
@@ -17,6 +17,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
+def how_to_pack() -> packing.Packing:
+    """The production parameters. The ranks are the same vocabulary as ``byte_bpe_50k.json``; the tests hold the two against each other."""
+    return packing.Packing(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=1, tokens=2048)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(documents(spark, sf_dir), how_to_pack())
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
@@ -25,7 +34,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op6_exact_dedup, op9_media_columns, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op6_exact_dedup, op7_packing, op9_media_columns, op10_token_counts)}
 
 ORACLES = {
     "op6_exact_dedup": """
