@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, media, packing, sp_codec, token_counts
+from millrace.llm import chat, exact_dedup, media, packing, sp_codec, token_counts
 from millrace.llm.common import documents
 
 
@@ -13,6 +14,15 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.codec_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(added)
+    turns = turns.withColumns({c: F.coalesce(c, F.lit("")) for c in ("role", "text")})
+    records = turns.select("conv_id", "turn", F.to_json(F.struct("turn", "role", "text")).alias("record"))
+    return chat.read_back(chat.formatted(chat.canonical_turns(records, "conv_id", "record", "turn")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -34,9 +44,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op6_exact_dedup, op7_packing, op9_media_columns, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op4_chat_formatting, op6_exact_dedup, op7_packing, op9_media_columns, op10_token_counts)}
+
+#: Occurrences of the control strings in ``t``; none of them is a prefix of another or overlaps itself.
+_CONTROLS = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
 
 ORACLES = {
+    "op4_chat_formatting": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sized AS (
+            SELECT *, length(r) + 1 + length(t) + (length(t) - length(replace(t, chr(92), ''))) + 2 * ({_CONTROLS}) + {len(chat.OPEN) + len(chat.CLOSE)} AS n FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+               CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
     "op6_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
