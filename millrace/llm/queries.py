@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, media, packing, sp_codec, token_counts
+from millrace.llm import chat, exact_dedup, langid, media, packing, sp_codec, token_counts, toxicity
 from millrace.llm.common import documents
 
 
@@ -23,6 +23,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(chat.canonical_turns(records, "conv_id", "record", "turn")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -36,6 +41,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(documents(spark, sf_dir), how_to_pack())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
@@ -44,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op4_chat_formatting, op6_exact_dedup, op7_packing, op9_media_columns, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op4_chat_formatting, op5_toxicity, op6_exact_dedup, op7_packing, op8_language_id, op9_media_columns, op10_token_counts)}
 
 #: Occurrences of the control strings in ``t``; none of them is a prefix of another or overlaps itself.
 _CONTROLS = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
