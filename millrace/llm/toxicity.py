@@ -73,12 +73,12 @@ def _associations(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "feature string, others double, toxics double").groupBy("feature").agg(F.sum("others").alias("others"), F.sum("toxics").alias("toxics"))
 
 
-def chosen_features(sample: DataFrame, totals: tuple[float, float], most: int, least_documents: float, lift: float) -> list[str]:
-    """The features most associated with toxic documents, by the G-test's leading term."""
+def chosen_features(sample: DataFrame, totals: tuple[float, float], most: int, least_documents: float, lift: float) -> dict[str, float]:
+    """The features most associated with toxic documents, by the G-test's leading term, and the log of their lift."""
     others, toxics = totals
     p, q = F.col("toxics") / toxics, (F.col("others") + 0.5) / (others + 1)
-    found = _associations(sample).filter((F.col("toxics") >= least_documents) & (p > lift * q)).withColumn("gain", F.col("toxics") * F.log(p / q))
-    return [r["feature"] for r in found.orderBy(F.desc("gain"), "feature").limit(most).collect()]
+    found = _associations(sample).filter((F.col("toxics") >= least_documents) & (p > lift * q)).withColumn("log_lift", F.log(p / q)).withColumn("gain", F.col("toxics") * F.col("log_lift"))
+    return {r["feature"]: r["log_lift"] for r in found.orderBy(F.desc("gain"), "feature").limit(most).collect()}
 
 
 def _bags(sample: DataFrame, features: list[str]) -> DataFrame:
@@ -99,13 +99,18 @@ def _bags(sample: DataFrame, features: list[str]) -> DataFrame:
     return sample.mapInArrow(run, "toxic int, weight double, n_empty long, bags array<array<int>>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int = 4096, least_documents: float = 4.0, lift: float = 4.0, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """Fit the sentence model on at most about ``most`` documents of each label."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int = 4096, least_documents: float = 4.0, lift: float = 4.0, steps: int = 400, rate: float = 0.1, pull: float = 3e-4) -> Model:
+    """Fit the sentence model on at most about ``most`` documents of each label.
+
+    Weights start at, and are pulled (by ``pull``) towards, the features' log lift shared among a word's
+    features: a word that always comes with a stronger one would else be left without a weight.
+    """
     sample = written(training_rows(docs, labels, most), "toxicity")
     totals = {r["toxic"]: r["w"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
     if not totals.get(0) or not totals.get(1):
         return Model({}, -np.inf)
-    names = chosen_features(sample, (totals[0], totals[1]), features, least_documents, lift)
+    prior = chosen_features(sample, (totals[0], totals[1]), features, least_documents, lift)
+    names = list(prior)
     table = _bags(sample, names).toArrow()
     label, weight, empty = (table.column(x).to_numpy().astype(float) for x in ("toxic", "weight", "n_empty"))
     docs_of, feature = [], []
@@ -117,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int =
             feature += bag
             n += 1
     docs_of, feature, sentence = np.array(docs_of, int), np.array(feature, int), np.array(sentence, int)
-    theta = np.append(np.full(len(names), 1.0), -6.0)
+    start = np.append(np.array([prior[x] for x in names]) / (1 + len(PREFIXES)), -6.0)
+    theta = start.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
@@ -127,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int =
         # of -y*log(1-exp(-s)) + (1-y)*s by s, then by each sentence's z
         slope = weight * np.where(label > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0)
         by_z = slope[docs_of] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, by_z[sentence], minlength=len(names)), by_z.sum() + (slope * empty).sum() / (1 + np.exp(-bias))) + decay * np.append(theta[:-1], 0)
+        grad = np.append(np.bincount(feature, by_z[sentence], minlength=len(names)), by_z.sum() + (slope * empty).sum() / (1 + np.exp(-bias))) + pull * np.append(theta[:-1] - start[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(dict(zip(names, theta[:-1].tolist(), strict=True)), float(theta[-1]))
