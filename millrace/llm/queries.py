@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, langid, media, near_dedup, packing, sp_codec, token_counts, toxicity
+from millrace.llm import chat, class_lm, exact_dedup, langid, media, near_dedup, packing, sp_codec, token_counts, toxicity
 from millrace.llm.common import documents
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(documents(spark, sf_dir))
+
+
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.codec_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op3_near_dedup, op4_chat_formatting, op5_toxicity, op6_exact_dedup, op7_packing, op8_language_id, op9_media_columns, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_sentencepiece_codec, op3_near_dedup, op4_chat_formatting, op5_toxicity, op6_exact_dedup, op7_packing, op8_language_id, op9_media_columns, op10_token_counts)}
 
 #: Occurrences of the control strings in ``t``; none of them is a prefix of another or overlaps itself.
 _CONTROLS = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
