@@ -142,7 +142,8 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
         out = out.reshape(-1, 2)
         return pa.table({"node": pa.array(out[:, 0], pa.int64()), "root": pa.array(out[:, 1], pa.int64()), "many": pa.array(np.full(len(out), table.column("many")[0].as_py()), pa.bool_())})
 
-    gathered = units.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "group", "i", "j", "many", "text")
+    # a merge join at every size: the texts always outgrow what may be broadcast, and so does the other side
+    gathered = units.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("rep", "group", "i", "j", "many", "text")
     links = written(gathered.groupBy("group", "i", "j").applyInArrow(verify, "node long, root long, many boolean"), "links")
     whole = links.filter("not many").select("node", "root")
     if not blocks.filter("k > 1").isEmpty():
