@@ -64,7 +64,7 @@ def is_company_page(url: Column, boards: tuple[str, ...] = BOARD_HOSTS) -> Colum
 
 def choose_canonical(urls: Column) -> Column:
     """The first link to a company's own page, or else the first."""
-    return F.coalesce(F.try_element_at(F.filter(urls, is_company_page), F.lit(1)), F.try_element_at(urls, F.lit(1)))
+    return F.coalesce(F.try_element_at(F.filter(urls, lambda u: is_company_page(u)), F.lit(1)), F.try_element_at(urls, F.lit(1)))
 
 
 def posting_key(url: Column) -> Column:
