@@ -156,13 +156,17 @@ def best_moves(own: np.ndarray, right: np.ndarray, left: np.ndarray, self_count:
         a, b = rows_sum.copy(), columns_sum.copy()
         a[g] -= r.sum()
         b[g] -= l.sum()
+        before, after = r.sum(), l.sum()
+        r, l = r.copy(), l.copy()
+        r[g] -= s  # the word beside itself moves with it: to the corner, below
+        l[g] -= s
         # with the word in class h, only row h, column h and their sums differ from base
         row = _xlogx(base[:free] + r[None, :]) - _xlogx(base[:free])
         column = _xlogx(base[:, :free] + l[:, None]) - _xlogx(base[:, :free])
         h = np.arange(free)
         corner = base[h, h]
         value = row.sum(axis=1) - row[h, h] + column.sum(axis=0) - column[h, h] + _xlogx(corner + r[:free] + l[:free] + s) - _xlogx(corner)
-        value -= _xlogx(a[:free] + r.sum()) - _xlogx(a[:free]) + _xlogx(b[:free] + l.sum()) - _xlogx(b[:free])
+        value -= _xlogx(a[:free] + before) - _xlogx(a[:free]) + _xlogx(b[:free] + after) - _xlogx(b[:free])
         best = int(value.argmax())
         if value[best] > value[g] + 1e-9:
             out[k], gains[k] = best, value[best] - value[g]
