@@ -17,6 +17,12 @@ def outcome_of(status: Column, refusals: tuple[int, ...] = REFUSALS) -> Column:
     return F.when(status.isin(*refusals), "refused").when(status == 200, "ok").otherwise("error")
 
 
+def status_kind(status: Column) -> Column:
+    """What a status means for a walk: clean, end (nothing there), throttled, transient (asked again), or failed; null (no response) is transient."""
+    # Statuses of job boards.
+    return F.when(status == 200, "clean").when(status == 400, "end").when(status.isin(429, 999), "throttled").when(status.isNull() | status.isin(500, 502, 503, 504), "transient").otherwise("failed")
+
+
 def refused(outcome: Column, status: Column, by_source: dict[str, tuple[int, ...]] | None = None, source: Column | None = None) -> Column:
     """Refused by its outcome, or by a status that its source (or any) refuses with."""
     out = status.isin(*REFUSALS)

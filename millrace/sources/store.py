@@ -49,6 +49,21 @@ def refresh_upsert(state: DataFrame, seen: DataFrame, keys: list[str]) -> DataFr
     return both.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"))
 
 
+def patched(map_col: Column, patch: Column | None = None, drop: list[str] | None = None) -> Column:
+    """A map with the entries of ``patch`` (which win) and without the keys of ``drop``; null maps count as empty."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    base, news = F.coalesce(map_col, empty), F.coalesce(patch, empty) if patch is not None else empty
+    kept = F.map_filter(base, lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(news), k), F.lit(False)))
+    gone = F.array(*map(F.lit, drop or [])).cast("array<string>")
+    return F.map_filter(F.map_concat(kept, news), lambda k, _: ~F.array_contains(gone, k))
+
+
+def turn_clocks(state: DataFrame, picks: DataFrame) -> DataFrame:
+    """Per tier: when its turn last was and how many picks it had, after new picks. state: tier, turn_at, picks_done; picks: tier, at."""
+    news = picks.groupBy("tier").agg(F.max("at").alias("turn_at"), F.count("*").alias("picks_done"))
+    return state.select("tier", "turn_at", "picks_done").unionByName(news).groupBy("tier").agg(F.max("turn_at").alias("turn_at"), F.sum("picks_done").alias("picks_done"))
+
+
 def sync_catalog(table: DataFrame, spec: DataFrame, keys: list[str]) -> DataFrame:
     """keys, action (added, updated, deactivated, kept) and interval of a catalogue after a new specification.
 
