@@ -250,7 +250,7 @@ def exchange(pairs: DataFrame, m: int, classes: int, rounds: int) -> tuple[np.nd
     return best[1][:m], best[2]
 
 
-def fit(texts: DataFrame, n_texts: int, counts: DataFrame, head: int = 150_000, clustered: int = 2048, classes: int = 64, rounds: int = 6, prior: float = 20.0) -> Model:
+def fit(texts: DataFrame, n_texts: int, counts: DataFrame, head: int = 150_000, clustered: int = 8192, classes: int = 64, rounds: int = 6, prior: float = 20.0) -> Model:
     """Fit on ``texts``. Bounds: ``head`` words go to the tasks, ``clustered`` of them fall into ``classes`` classes."""
     v = vocabulary_of(counts, n_texts, head)
     m = min(clustered, len(v.words))
