@@ -16,4 +16,4 @@ def bounded(df: DataFrame, by: str, most: int, key: Column) -> DataFrame:
     for value, n in counts.items():
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
     place = (F.xxhash64(F.lit("sample"), key) / F.lit(2.0**64)) + F.lit(0.5)
-    return df.withColumn("_share", share).filter((F.col("_share") >= 1) | (place < F.col("_share"))).withColumn("weight", F.lit(1.0) / F.col("_share")).drop("_share")
+    return df.withColumn("_share", share).filter((F.col("_share") >= 1) | (place < F.col("_share"))).withColumn("weight", F.try_divide(F.lit(1.0), F.col("_share"))).drop("_share")
