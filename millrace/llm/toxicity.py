@@ -1,12 +1,13 @@
 """Toxicity as multiple-instance learning: a document is toxic if one of its sentences is.
 
 A sentence has a logistic score over its words and their first letters; a document's score is the noisy-or
-of its sentences, 1 minus the product of (1 - p). Only documents carry labels; the gradient goes through
+of its sentences, 1 minus the product of (1 - p); a sentence with no word of known weight has p = 0, so a
+text's length alone never makes it toxic. Only documents carry labels; the gradient goes through
 the noisy-or, so it is the model that finds which sentences offend. Features are chosen by their
 association with the label and the model is fitted on a bounded sample of labelled documents
 (``most`` of each label, weighted to stand for all); scoring takes every whole text.
 
-Defined cases: a null or empty text scores as one empty sentence; with no toxic or no other example all
+Defined cases: a null or empty text is one empty sentence and scores 0; with no toxic or no other example all
 scores are 0; a null identifier falls in the fold of the empty text; labels that repeat for a document
 count as their largest; rows that repeat give repeated rows; further columns are ignored.
 """
@@ -82,21 +83,20 @@ def chosen_features(sample: DataFrame, totals: tuple[float, float], most: int, l
 
 
 def _bags(sample: DataFrame, features: list[str]) -> DataFrame:
-    """Per document: its label and weight, sentences with none of the features, and the features of each other sentence."""
+    """Per document: its label and weight, and the features of each sentence that has some."""
     places = {f: k for k, f in enumerate(features)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(lambda w: [places[f] for f in word_features(w) if f in places])
         for batch in batches:
-            empty, held = [], []
+            held = []
             for text in batch.column("text").to_pylist():
                 bags = [[f for w in s.split() for f in memory[w]] for s in _SPLIT.split(text.decode("utf-8", "replace").lower())]
                 held.append([b for b in bags if b])
-                empty.append(len(bags) - len(held[-1]))
             memory.trim()
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array(empty, pa.int64()), pa.array(held, pa.list_(pa.list_(pa.int32())))], names=["toxic", "weight", "n_empty", "bags"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array(held, pa.list_(pa.list_(pa.int32())))], names=["toxic", "weight", "bags"])
 
-    return sample.mapInArrow(run, "toxic int, weight double, n_empty long, bags array<array<int>>")
+    return sample.mapInArrow(run, "toxic int, weight double, bags array<array<int>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int = 4096, least_documents: float = 4.0, lift: float = 4.0, steps: int = 400, rate: float = 0.1, pull: float = 3e-4) -> Model:
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int =
     prior = chosen_features(sample, (totals[0], totals[1]), features, least_documents, lift)
     names = list(prior)
     table = _bags(sample, names).toArrow()
-    label, weight, empty = (table.column(x).to_numpy().astype(float) for x in ("toxic", "weight", "n_empty"))
+    label, weight = (table.column(x).to_numpy().astype(float) for x in ("toxic", "weight"))
     docs_of, feature = [], []
     sentence, n = [], 0
     for d, bags in enumerate(table.column("bags").to_pylist()):
@@ -129,11 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int =
     for t in range(1, steps + 1):
         bias = theta[-1]
         z = bias + np.bincount(sentence, theta[feature], minlength=n)
-        s = np.bincount(docs_of, np.logaddexp(0, z), minlength=len(label)) + empty * np.logaddexp(0, bias)
+        s = np.bincount(docs_of, np.logaddexp(0, z), minlength=len(label))
         # of -y*log(1-exp(-s)) + (1-y)*s by s, then by each sentence's z
         slope = weight * np.where(label > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0)
         by_z = slope[docs_of] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, by_z[sentence], minlength=len(names)), by_z.sum() + (slope * empty).sum() / (1 + np.exp(-bias))) + pull * np.append(theta[:-1] - start[:-1], 0)
+        grad = np.append(np.bincount(feature, by_z[sentence], minlength=len(names)), by_z.sum()) + pull * np.append(theta[:-1] - start[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(dict(zip(names, theta[:-1].tolist(), strict=True)), float(theta[-1]))
@@ -144,9 +144,9 @@ def score_text(text: str, weight_of: Memory, bias: float, threshold: float) -> t
     sums = [sum(map(weight_of.__getitem__, s.split())) for s in _SPLIT.split(text.lower())]
     if bias == -np.inf:
         return 0.0, len(sums), []
-    z = np.array(sums) + bias
+    z = np.array([x for x in sums if x]) + bias
     found = []
-    if z.max() >= np.log(threshold / (1 - threshold)):
+    if len(z) and z.max() >= np.log(threshold / (1 - threshold)):
         for span in _SENTENCE.finditer(text):
             p = 1 / (1 + np.exp(-(bias + sum(map(weight_of.__getitem__, span[0].lower().split())))))
             if p >= threshold:
