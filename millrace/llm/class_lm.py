@@ -1,12 +1,14 @@
 """Brown class-based n-grams: words fall into classes by exchange clustering, and a text's probability is
 the product of class transitions and word emissions.
 
-Word counts cover the whole training text and stay a table. The most frequent words, up to a fixed number,
-go to the tasks; of the texts to score only the other words are joined with the table. Bigrams of the
-clustered words (a fixed number too) are counted by task and summed by a shuffle; each round of exchange is
-a job over them that moves half of the words to the class that raises the likelihood of the class bigrams
-most, against the counts of the round before. Words that are not clustered share one class, whose emissions
-are add-one smoothed and leave room for unseen words; the end of a text is a class of its own.
+Word counts cover the whole training text and stay a table. Bigrams of the most frequent words (a fixed
+number) are counted by task and summed by a shuffle; each round of exchange is a job over them that moves
+half of the words to the class that raises the likelihood of the class bigrams most, against the counts of
+the round before, until rounds gain next to nothing. All other words of the training text then go, each by
+the classes found beside it, to the class that raises the likelihood most, in one pass; they stay a table,
+of which only a fixed number of words goes to the tasks and the others are joined. Class bigrams are counted
+again with every word in its class. Words seen once give half of their occurrence to the class of unseen
+words, which are one word; the end of a text is a class of its own.
 
 Defined cases: a null or empty text is its end token only; a null identifier falls in the fold of the empty
 text; without training texts every word has probability 1 in its class; rows that repeat count and score
@@ -18,7 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +47,17 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Model:
-    """Logarithms to base 10. Word k < len(classes) has class ``classes[k]``; then come the shared class and the end's."""
+    """Logarithms to base 10. Word k < len(classes) has class ``classes[k]``; then come the shared class and the end's.
+
+    The shared class holds all other words, with add-one emissions and a place for unseen words. ``table`` has the class bigrams.
+    """
 
     vocabulary: Vocabulary
     classes: np.ndarray
     transitions: np.ndarray
     emissions: np.ndarray
     shared_total: float
+    table: np.ndarray
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -173,8 +179,11 @@ def best_moves(own: np.ndarray, right: np.ndarray, left: np.ndarray, self_count:
     return out, gains
 
 
-def exchange(pairs: DataFrame, m: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the ``m`` clustered words and the class bigram counts (rows: before; then the shared class and the end)."""
+def exchange(pairs: DataFrame, m: int, classes: int, rounds: int, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the ``m`` clustered words and the class bigram counts (rows: before; then the shared class and the end).
+
+    At least ``rounds`` half-rounds; then on while two of them gain more than ``tolerance`` of the whole gain.
+    """
     width = classes + 2
     every = np.concatenate([np.arange(m) % classes, [classes, classes + 1]]).astype(np.int64)
 
@@ -196,8 +205,13 @@ def exchange(pairs: DataFrame, m: int, classes: int, rounds: int) -> tuple[np.nd
         return float(_xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum())
 
     table = table_of(every)
-    best = (value(table), every, table)
-    for t in range(rounds):
+    start = value(table)
+    best = (start, every, table)
+    reached = [start]
+    still = 0
+    for t in count():
+        if t >= max(rounds, 2) and reached[-1] - reached[-3] <= tolerance * (reached[-1] - start):
+            break
         now, counts = every, table.astype(float)
 
         def decide(batches: Iterator[pa.RecordBatch], now=now, counts=counts, t=t) -> Iterator[pa.RecordBatch]:
@@ -239,19 +253,23 @@ def exchange(pairs: DataFrame, m: int, classes: int, rounds: int) -> tuple[np.nd
         per_word = stats.groupBy("w").agg(F.collect_list(F.struct("side", "c", "n")).alias("sides"))  # two entries per class at most
         moves = per_word.mapInArrow(decide, "w int, to int, gain double").filter("gain > 0").toArrow()
         if not moves.num_rows:
-            if t % 2:
+            still += 1
+            if still == 2:
                 break
+            reached.append(best[0])
             continue
+        still = 0
         every = every.copy()
         every[moves.column("w").to_numpy()] = moves.column("to").to_numpy()
         table = table_of(every)
         if value(table) > best[0]:
             best = (value(table), every, table)
+        reached.append(best[0])
     return best[1][:m], best[2]
 
 
 def fit(texts: DataFrame, n_texts: int, counts: DataFrame, head: int = 150_000, clustered: int = 8192, classes: int = 64, rounds: int = 6, prior: float = 20.0) -> Model:
-    """Fit on ``texts``. Bounds: ``head`` words go to the tasks, ``clustered`` of them fall into ``classes`` classes."""
+    """Fit on ``texts``. Bounds: ``head`` words go to the tasks, ``clustered`` of them fall into ``classes`` classes by exchange."""
     v = vocabulary_of(counts, n_texts, head)
     m = min(clustered, len(v.words))
     if m:
@@ -265,67 +283,238 @@ def fit(texts: DataFrame, n_texts: int, counts: DataFrame, head: int = 150_000,
     size = np.bincount(own, v.counts[:m], minlength=classes + 2) if m else np.zeros(classes + 2)
     emissions = np.log10(v.counts[:m]) - np.log10(size[own]) if m else np.empty(0)
     shared_tokens, shared_types = v.tokens - v.texts - int(v.counts[:m].sum()), v.types - (v.texts > 0) - m
-    return Model(v, own, np.log10(transitions), emissions, float(np.log10(shared_tokens + shared_types + 1)))
-
+    return Model(v, own, np.log10(transitions), emissions, float(np.log10(shared_tokens + shared_types + 1)), table)
 
-_PARTIAL = "part int, row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<binary>"
 
+def best_classes(sides: np.ndarray, same: np.ndarray, table: np.ndarray, free: int) -> np.ndarray:
+    """For each word of the shared class (number ``free``) the other class that gives the highest likelihood.
 
-def partial_scores(df: DataFrame, model: Model) -> DataFrame:
-    """Per text the sums over its frequent words, and the other words, whose counts the tasks don't have."""
-    v, m, classes = model.vocabulary, len(model.classes), len(model.transitions) - 2
+    ``sides[w, 0, c]`` and ``sides[w, 1, c]`` count the words of class c after and before w, ``same`` itself after
+    itself. As in :func:`best_moves`, but only cells that the word touches are looked at.
+    """
+    n, h = len(sides), np.arange(free)
+    out = np.empty(n, np.int64)
+    rows_sum, columns_sum, diagonal = table.sum(axis=1)[:free], table.sum(axis=0)[:free], table[h, h]
+    for k in range(0, n, 150):
+        part, s = sides[k : k + 150], same[k : k + 150, None]
+        moved = part.copy()
+        moved[:, :, free] -= s  # the word beside itself moves with it
+        total = part.sum(axis=2)
+        value = _xlogx(diagonal + moved[:, 0, :free] + moved[:, 1, :free] + s) - _xlogx(diagonal)
+        value -= _xlogx(rows_sum + total[:, :1]) - _xlogx(rows_sum) + _xlogx(columns_sum + total[:, 1:]) - _xlogx(columns_sum)
+        w, side, c = np.nonzero(moved)
+        if len(w):
+            base = np.where(side[:, None] == 0, table[:free, c].T, table[c, :free])
+            shared = c == free
+            base[shared] -= part[w[shared], 1 - side[shared], :free]  # without the word
+            gain = _xlogx(base + moved[w, side, c][:, None]) - _xlogx(base)
+            own = np.flatnonzero(c < free)
+            gain[own, c[own]] = 0  # in the diagonal
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            value[w[first]] += np.add.reduceat(gain, first)
+        out[k : k + 150] = value.argmax(axis=1)
+    return out
+
+
+def placed(texts: DataFrame, model: Model) -> DataFrame:
+    """(id, word, class, n) of all words of ``texts`` without a class: the place in the vocabulary, or -1 and the word."""
+    v, m, table = model.vocabulary, len(model.classes), model.table.astype(float)
+    head, classes = len(v.words), len(table) - 2
+    width, end = classes + 2, classes + 1
+    cells = 2 * width + 1  # after, before, itself after itself
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row = TaskContext.get().partitionId(), 0
         place = {w: k for k, w in enumerate(v.words)}.get
-        head = len(v.words)
-        plus_one = np.append(np.log10(v.counts + 1.0), 0.0)
         class_of = np.full(head + 1, classes)
         class_of[:m] = model.classes
-        emit = np.append(np.log10(v.counts + 1.0), 0.0) - model.shared_total
-        emit[:m] = model.emissions
-        whole = np.log10(v.tokens + v.types + 1.0)
-        end = classes + 1
-        end_base = np.log10(v.texts + 1.0)
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
+        local: dict[bytes, int] = {}
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting: list[np.ndarray] = []
+        held = 0
+
+        def merge() -> None:
+            nonlocal codes, counts, held
+            every = np.concatenate([codes, *waiting])
+            weight = np.concatenate([counts, np.ones(len(every) - len(codes), np.int64)])
+            codes, at = np.unique(every, return_inverse=True)
+            counts = np.bincount(at, weight, minlength=len(codes)).astype(np.int64)
+            waiting.clear()
+            held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal codes, counts
+            merge()
+            words = list(local)
+            for k in range(0, len(codes), 50_000):
+                ids, cell = np.divmod(codes[k : k + 50_000], cells)
+                names = [words[x - head] if x >= head else b"" for x in ids.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(ids < head, ids, -1).astype(np.int32)), pa.array(names, pa.binary()), pa.array(cell.astype(np.int32)), pa.array(counts[k : k + 50_000])], names=["id", "word", "cell", "n"])
+            codes, counts = codes[:0], counts[:0]
+            local.clear()
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                ids = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                for k in np.flatnonzero(ids < 0).tolist():
+                    ids[k] = local.setdefault(words[k], head + len(local))
+                at = np.flatnonzero(ids >= m)
+                if not len(at):
+                    continue
+                around = np.concatenate([[end], class_of[np.minimum(ids, head)], [end]])
+                first = ids[at] * cells
+                twice = first[np.append(ids, -1)[at + 1] == ids[at]]
+                waiting += [first + around[at + 2], first + width + around[at], twice + 2 * width]
+                held += 2 * len(at)
+                if held > HELD:
+                    merge()
+                    if len(codes) > HELD:
+                        yield from out()
+                if len(local) > HELD // 2:
+                    yield from out()
+        yield from out()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                found = part.column("cells")
+                flat = found.flatten()
+                every = np.zeros((part.num_rows, cells))
+                every[np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy()), flat.field("cell").to_numpy()] = flat.field("n").to_numpy()
+                sides = every[:, : 2 * width].reshape(-1, 2, width)
+                to = best_classes(sides, every[:, -1], table, classes)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("word"), pa.array(to.astype(np.int32)), pa.array(sides[:, 0].sum(axis=1).astype(np.int64))], names=["id", "word", "class", "n"])
+
+    # tasks have summed already, and a word has two cells per class at most
+    counted = texts.mapInArrow(run, "id int, word binary, cell int, n long").repartition("id", "word").groupBy("id", "word", "cell").agg(F.sum("n").alias("n"))
+    return counted.groupBy("id", "word").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).mapInArrow(decide, "id int, word binary, class int, n long")
+
+
+_ENCODED = "part int, row long, doc_id long, n_tokens long, n_known long, base double, weight double, labels binary, holes binary, rest array<binary>"
+_LABELLED = "doc_id long, n_tokens long, n_known long, base double, weight double, labels binary"
+
+
+def _weight(n: np.ndarray) -> np.ndarray:
+    """Logarithm of the share of its class a word has: its count, or half of its only occurrence."""
+    return np.log10(np.where(n == 1, 0.5, n))
+
+
+def labelled(df: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """Texts as labels: a word's class, further on by the number of classes if it was seen once; and sums over the words.
+
+    ``words`` as from :func:`placed`. The distinct words of a text that the tasks don't have are joined with it.
+    """
+    v, m, classes = model.vocabulary, len(model.classes), len(model.table) - 2
+    head, width = len(v.words), classes + 2
+    kind = np.min_scalar_type(2 * width)
+    here = words.filter("id >= 0").select("id", "class").toArrow()  # ``head`` at most
+    class_of = np.full(head + 1, classes)
+    class_of[:m] = model.classes
+    class_of[here.column("id").to_numpy()] = here.column("class").to_numpy()
+    class_of[:head][v.counts == 1] += width
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row = TaskContext.get().partitionId(), 0
+        place = {w: k for k, w in enumerate(v.words)}.get
+        plus_one, weight = np.append(np.log10(v.counts + 1.0), 0.0), np.append(_weight(v.counts), 0.0)
+        whole, end_base = np.log10(v.tokens + v.types + 1.0), np.log10(v.texts + 1.0)
+        types = [pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 2, *[pa.binary()] * 2, pa.list_(pa.binary())]
         for batch in batches:
             out = []
             for doc_id, text in rows(batch):
                 words = words_of(text)
                 ids = np.fromiter(map(place, words, repeat(head)), np.int64, len(words))
-                c = class_of[ids]
-                score = model.transitions[np.append(end, c), np.append(c, end)].sum() + emit[ids].sum()
+                rest: dict[bytes, int] = {}
+                holes = [rest.setdefault(words[k], len(rest)) for k in np.flatnonzero(ids == head).tolist()]
                 base = plus_one[ids].sum() + end_base - (len(words) + 1) * whole
-                unknown = np.flatnonzero(ids == head)
-                out.append((part, row, doc_id, len(words) + 1, len(words) - len(unknown) + (v.texts > 0), float(base), float(score), [words[k] for k in unknown]))
+                known = len(words) - len(holes) + (v.texts > 0)
+                out.append((part, row, doc_id, len(words) + 1, known, float(base), float(weight[ids].sum()), class_of[ids].astype(kind).tobytes(), np.array(holes, np.int32).tobytes(), list(rest)))
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=[x.split()[0] for x in _PARTIAL.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=[x.split()[0] for x in _ENCODED.split(", ")])
 
-    return df.mapInArrow(run, _PARTIAL)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, base, weight, labels = (batch.column(x).to_pylist() for x in ("n_known", "base", "weight", "labels"))
+            holes, found = batch.column("holes").to_pylist(), batch.column("found").to_pylist()
+            for k, words in enumerate(found):
+                if words:
+                    at = np.frombuffer(holes[k], np.int32)
+                    n, to = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, classes)
+                    for x in words:
+                        n[x["k"]], to[x["k"]] = x["n"], x["class"] + width * (x["n"] == 1)
+                    n, to, line = n[at], to[at], np.frombuffer(labels[k], kind).copy()
+                    line[line == classes] = to
+                    labels[k] = line.tobytes()
+                    n = n[n > 0]
+                    known[k] += len(n)
+                    base[k] += float(np.log10(n + 1.0).sum())
+                    weight[k] += float(_weight(n).sum())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(weight, pa.float64()), pa.array(labels, pa.binary())], names=[x.split()[0] for x in _LABELLED.split(", ")])
+
+    partial = written(df.mapInArrow(encode, _ENCODED), "encoded")
+    rest = partial.select("part", "row", F.posexplode("rest").alias("k", "word"))
+    found = rest.join(words.filter("id < 0").drop("id"), "word").groupBy("part", "row").agg(F.array_sort(F.collect_list(F.struct("k", "class", "n"))).alias("found"))
+    return partial.drop("rest").join(found, ["part", "row"], "left").mapInArrow(fill, _LABELLED)
+
+
+def label_bigrams(texts: DataFrame, classes: int) -> np.ndarray:
+    """Class bigrams of labelled texts: the mean of words seen once in their classes and in the class of unseen words."""
+    width, end = classes + 2, classes + 1
+    kind, each = np.min_scalar_type(2 * width), 2 * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(each * each, np.int64)
+        for batch in batches:
+            for line in batch.column("labels").to_pylist():
+                c = np.concatenate([[end], np.frombuffer(line, kind), [end]]).astype(np.int64)
+                np.add.at(total, c[:-1] * each + c[1:], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    found = texts.select("labels").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    a, b = np.divmod(found.column("cell").to_numpy(), each)
+    n, out = found.column("n").to_numpy(), np.zeros((width, width))
+    for of in (np.arange(each) % width, np.where(np.arange(each) < width, np.arange(each), classes)):
+        np.add.at(out, (of[a], of[b]), n / 2)
+    return out
 
 
-def class_scores(docs: DataFrame, modulus: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+def class_scores(docs: DataFrame, modulus: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", prior: float = 20.0, **how: object) -> DataFrame:
     """Fit on the documents outside the held-out fold and score all: counts, the add-one unigram base, the model's score and perplexity."""
     every = slim(docs, id_col, text_col)
-    training = every.filter(id_fold("doc_id", modulus) != fold)
-    counts = written(word_counts(training), "words")
-    model = fit(training, training.count(), counts, **how)
-    v = model.vocabulary
-
-    partial = written(partial_scores(every, model), "scores")
-    rest = partial.select("part", "row", F.explode("rest").alias("word")).groupBy("part", "row", "word").count()
-    of_rest = rest.join(counts, "word").groupBy("part", "row").agg(F.sum("count").alias("known"), F.sum(F.col("count") * F.log10(F.col("n") + 1)).alias("logs"))
-    found = partial.drop("rest").join(of_rest, ["part", "row"], "left")
-
-    logs = F.coalesce("logs", F.lit(0.0))
-    score = F.col("score") + logs
-    return found.select(
-        "doc_id",
-        (id_fold("doc_id", modulus) == fold).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+    held_out = id_fold("doc_id", modulus) == fold
+    training = every.filter(~held_out)
+    model = fit(training, training.count(), written(word_counts(training), "words"), prior=prior, **how)
+    v, classes = model.vocabulary, len(model.table) - 2
+    texts = written(labelled(every, model, written(placed(training, model), "placed")), "labels")
+
+    table = label_bigrams(texts.filter(~held_out), classes)
+    size = table.sum(axis=0)
+    unigram = (size + 0.5) / (size + 0.5).sum()
+    size[classes:] = 1  # the unseen word and the end are alone in their classes
+    steps = np.log10((table + prior * unigram) / (table.sum(axis=1, keepdims=True) + prior)) - np.log10(np.maximum(size, 0.5))
+    width, kind = classes + 2, np.min_scalar_type(2 * classes + 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for weight, line in zip(batch.column("weight").to_pylist(), batch.column("labels").to_pylist(), strict=True):
+                c = np.concatenate([[width - 1], np.frombuffer(line, kind) % width, [width - 1]]).astype(np.int64)
+                scores.append(weight + float(steps[c[:-1], c[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    return (
+        texts.select("doc_id", "n_tokens", "n_known", "base", "weight", "labels")
+        .mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double")
+        .select(
+            "doc_id",
+            held_out.alias("held_out"),
+            "n_tokens",
+            "n_known",
+            F.lit(v.tokens).cast("long").alias("train_tokens"),
+            F.col("base").alias("base_score"),
+            "score",
+            F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        )
     )

@@ -88,6 +88,52 @@ def test_best_moves_agree_with_brute_force():
         assert options[to[w]] == pytest.approx(max(options)) and gain[w] == pytest.approx(max(options) - value(own), abs=1e-6)
 
 
+def test_best_classes_agree_with_brute_force():
+    rng = np.random.default_rng(1)
+    m, c = 9, 3
+    pairs = rng.integers(0, 6, (m, m))
+    own = np.append(np.arange(6) % c, [c, c, c])  # three words in the shared class
+    ends = np.eye(c + 1)[own]
+    sides = np.stack([pairs @ ends, pairs.T @ ends], axis=1).astype(float)
+
+    def table(classes):
+        t = np.zeros((c + 1, c + 1))
+        np.add.at(t, (classes[:, None], classes[None, :]), pairs)
+        return t
+
+    def value(t):
+        x = class_lm._xlogx
+        return x(t).sum() - x(t.sum(1)).sum() - x(t.sum(0)).sum()
+
+    got = class_lm.best_classes(sides[6:], np.diag(pairs)[6:].astype(float), table(own), c)
+    for w, to in zip(range(6, m), got, strict=True):
+        options = []
+        for h in range(c):
+            other = own.copy()
+            other[w] = h
+            options.append(value(table(other)))
+        assert options[to] == pytest.approx(max(options))
+
+
+def test_words_beyond_the_clustered_get_their_class(spark):
+    texts = [(i, t.lower()) for i, t in enumerate(sentences(600))] + [(700, "the wolf eats a dog sees the wolf hears"), (701, "a lynx hears")]
+    df = slim(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    m = class_lm.fit(df, len(texts), written(class_lm.word_counts(df), "words"), head=10, clustered=8, classes=3, rounds=12)
+    words = class_lm.placed(df, m).collect()
+    kind = {**dict(zip((w.decode() for w in m.vocabulary.words), m.classes.tolist(), strict=False)), **{(m.vocabulary.words[r.id] if r.id >= 0 else bytes(r.word)).decode(): r["class"] for r in words}}
+    counts = Counter(w for _, t in texts for w in t.split())
+    assert set(kind) == set(counts)
+    assert all(r.n == counts[(m.vocabulary.words[r.id] if r.id >= 0 else bytes(r.word)).decode()] for r in words)
+    assert kind["wolf"] == kind["lynx"] == kind["dog"] and kind["dog"] != kind["eats"]
+
+
+def test_exchange_goes_on_until_it_gains_nothing(spark):
+    df = slim(spark.createDataFrame(list(enumerate(sentences(600))), "doc_id long, text string"))
+    pairs = written(class_lm.bigrams(df, tuple(w.encode() for w in ("the", "a", "this", "dog", "cat", "bird", "fish", "eats", "sees", "hears"))), "pairs")
+    few, many = (class_lm.exchange(pairs, 10, 3, rounds)[0] for rounds in (1, 12))
+    assert len(set(zip(few.tolist(), many.tolist(), strict=True))) == 3
+
+
 def test_class_scores_without_training(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert class_lm.class_scores(df).count() == 0
