@@ -70,3 +70,14 @@ def message_sizes(df: DataFrame, key: str, order: str, text: str, limit: int = 4
 def golden_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Lines that one side has more often than the other, with the side: a comparison of multisets."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def line_diff(left: DataFrame, right: DataFrame, text: str = "text") -> DataFrame:
+    """(line, side, n): whole lines of all texts that one side has n times more often; a null text is one empty line.
+
+    Lines are counted before they are joined, so a frequent line is one row on each side.
+    """
+    lines = lambda df, n: df.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).groupBy("line").agg(F.count("*").alias(n))
+    surplus = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
+    found = lines(left, "a").join(lines(right, "b"), "line", "full").withColumn("n", surplus).filter("n <> 0")
+    return found.select("line", F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), F.abs("n").alias("n"))

@@ -110,10 +110,15 @@ def message_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts' first words only, as its SQL has it; :func:`golden_line_diff` compares all lines."""
     first = lambda name: table(spark, sf_dir, name).select(F.split_part("text", F.lit(" "), F.lit(1)).alias("line"))
     return messages.golden_diff(first("documents"), first("benchmark")).groupBy("line", "side").agg(F.count("*").alias("n"))
 
 
+def golden_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.line_diff(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def feed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     item = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("public_slug"), F.concat(F.lit("https://x.example.com/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 7 != 0, F.concat("p_name", F.lit(" &amp; <b>more</b>"))).alias("title"), F.col("p_brand").alias("company"), F.when(F.col("p_partkey") % 5 == 0, "2024-01-01").alias("closed_at"), F.array(F.lit("IT")).alias("countries"), F.lit("2024-02-03T04:05:06Z").alias("posted_at"), F.struct(F.when(F.col("p_partkey") % 11 == 0, "evergreen").otherwise("real").alias("class")).alias("reality")))
@@ -132,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         title_norm, company_norm, posting_keys, url_hosts, note_slugs, title_prefilter, title_class, language_gate, work_mode_rules, page_descriptions, page_cards, application_channels,
-        not_seen_before, label_backfill, agreement_rate, due_batches, message_packing, golden_diff, feed_cards, walk_stops,
+        not_seen_before, label_backfill, agreement_rate, due_batches, message_packing, golden_diff, golden_line_diff, feed_cards, walk_stops,
     )
 }
 
@@ -170,6 +175,10 @@ ORACLES = {
     "golden_diff": """
         WITH d AS (SELECT split_part(text, ' ', 1) AS line, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT split_part(text, ' ', 1) AS line, count(*) AS n FROM benchmark GROUP BY 1)
         SELECT line, CASE WHEN coalesce(d.n, 0) > coalesce(b.n, 0) THEN 'left' ELSE 'right' END AS side, abs(coalesce(d.n, 0) - coalesce(b.n, 0)) AS n FROM d FULL JOIN b USING (line) WHERE coalesce(d.n, 0) <> coalesce(b.n, 0)""",
+    "golden_line_diff": """
+        WITH d AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), b AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM benchmark),
+        l AS (SELECT line, sum(k) AS k FROM (SELECT line, 1 AS k FROM d UNION ALL SELECT line, -1 FROM b) GROUP BY 1)
+        SELECT line, CASE WHEN k > 0 THEN 'left' ELSE 'right' END AS side, CAST(abs(k) AS BIGINT) AS n FROM l WHERE k <> 0""",
     "feed_cards": """
         SELECT p_partkey, p_name || ' & more' AS title, p_brand AS company, 'IT' AS country_code, TIMESTAMP '2024-02-03 04:05:06' AS posted_at FROM part
         WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0""",

@@ -214,3 +214,9 @@ def test_digest_budget(spark):
     df = spark.createDataFrame([Row(section=s, score=k, id=s * 100 + k) for s in (1, 2) for k in range(30)])
     out = messages.digest_sections(df, "section", [F.desc("score")], 20, 25, "section").collect()
     assert len(out) == 40 and sum(r.shown for r in out) == 25
+
+
+def test_line_diff_sees_every_line(spark):
+    left = spark.createDataFrame([("same start\nb",), ("x\nx",), (None,)], "text string")
+    right = spark.createDataFrame([("same start\nc",), ("x",)], "text string")
+    assert {tuple(r) for r in messages.line_diff(left, right).collect()} == {("b", "left", 1), ("c", "right", 1), ("x", "left", 1), ("", "left", 1)}
