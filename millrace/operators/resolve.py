@@ -55,23 +55,22 @@ def merge_groups(rows: DataFrame, group: str, key: Column, least: list[str], mos
     return found.withColumns({c: F.col(c)["v"] for c in adopt})
 
 
-def resolve(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30, most_rounds: int = 20) -> DataFrame:
+def resolve(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
     """(id, root): rounds of merging mutually unique twins until there is none.
 
     A merge changes which sources an entity has and when it was first seen, so later rounds may find twins or
-    ambiguities that the first didn't; what is ambiguous stays apart. Each round is written, which cuts lineage.
+    ambiguities that the first didn't; what is ambiguous stays apart. Each round is written, which cuts lineage, and takes one root away at least.
     """
     spark = entities.sparkSession
     roots = entities.select("id", F.col("id").alias("root"))
-    for _ in range(most_rounds):
+    while True:
         now = entities.join(roots, "id").groupBy("root").agg(F.min(seen).alias(seen), *(F.min_by(k, F.col("id")).alias(k) for k in keys)).withColumnRenamed("root", "id")
         owned = sightings.join(roots, "id").select(F.col("root").alias("id"), "source").distinct()
         pairs = shared_table(mutual_twins(twin_candidates(now, owned, keys, seen, days)), spark)
         if pairs.isEmpty():
-            break
+            return roots
         moved = pairs.select(F.col("twin").alias("root"), F.col("id").alias("to"))
         roots = shared_table(roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")), spark)
-    return roots
 
 
 def rekey(children: DataFrame, roots: DataFrame, column: str = "id") -> DataFrame:

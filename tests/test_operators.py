@@ -220,3 +220,16 @@ def test_line_diff_sees_every_line(spark):
     left = spark.createDataFrame([("same start\nb",), ("x\nx",), (None,)], "text string")
     right = spark.createDataFrame([("same start\nc",), ("x",)], "text string")
     assert {tuple(r) for r in messages.line_diff(left, right).collect()} == {("b", "left", 1), ("c", "right", 1), ("x", "left", 1), ("", "left", 1)}
+
+
+def test_resolve_goes_on_for_more_than_twenty_rounds(spark, monkeypatch):
+    def one_pair(now):  # of the two smallest roots
+        first = sorted(r.id for r in now.select("id").collect())[:2]
+        return spark.createDataFrame([tuple(first)] if len(first) == 2 else [], "id long, twin long")
+
+    monkeypatch.setattr(resolve, "twin_candidates", lambda now, *_: now)
+    monkeypatch.setattr(resolve, "mutual_twins", one_pair)
+    monkeypatch.setattr(resolve, "shared_table", lambda df, s: s.createDataFrame(df.collect(), df.schema))
+    entities = spark.range(24).withColumns({"company": F.lit("a"), "first_seen": F.lit("2024-01-01").cast("timestamp")})
+    sightings = entities.select("id", F.col("id").alias("source"))
+    assert {r.root for r in resolve.resolve(entities, sightings, ["company"]).collect()} == {0}
