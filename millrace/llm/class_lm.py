@@ -32,6 +32,8 @@ from millrace.llm.common import id_fold, rows, slim, written
 
 #: Distinct words or bigrams a task holds before it hands on their counts.
 HELD = 1_500_000
+#: Bytes of the longest word that goes to the tasks by its place; longer ones are joined by their bytes.
+LONG = 256
 
 
 @dataclass(frozen=True)
@@ -88,26 +90,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(counts: DataFrame, texts: int, head: int) -> Vocabulary:
-    """Totals, and all words at or above the count that leaves at most ``head`` of them."""
+    """Totals, and the ``head`` most frequent words; of equally frequent ones the first in byte order. Longer words than ``LONG`` are never among them."""
     step = F.floor(F.log2("n") * 64).cast("int")  # bounded, and equal counts fall together
-    sizes = sorted(((r["step"], r["w"], r["t"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("w"), F.sum("n").alias("t")).collect()), reverse=True)
+    found = counts.groupBy(step.alias("step")).agg(F.count("*").alias("w"), F.sum("n").alias("t"), F.count_if(F.octet_length("word") <= LONG).alias("short")).collect()
     floor, n = 1 << 30, 0
-    for at, words, _ in sizes:
-        if n + words > head:
+    for row in sorted(found, key=lambda r: -r["step"]):  # the first steps that hold so many
+        if n >= head:
             break
-        floor, n = at, n + words
-    top = counts.filter(step >= floor).toArrow() if n else None
-    found = sorted(zip(top.column("n").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1])) if n else []
-    return Vocabulary(tuple(w for _, w in found), np.array([c for c, _ in found], np.int64), sum(x[2] for x in sizes) + texts, sum(x[1] for x in sizes) + (texts > 0), texts)
+        floor, n = row["step"], n + row["short"]
+    top = counts.filter((step >= floor) & (F.octet_length("word") <= LONG)).orderBy(F.desc("n"), "word").limit(head).toArrow()
+    return Vocabulary(tuple(top.column("word").to_pylist()), top.column("n").to_numpy(), sum(r["t"] for r in found) + texts, sum(r["w"] for r in found) + (texts > 0), texts)
 
 
 def bigrams(texts: DataFrame, clustered: tuple[bytes, ...]) -> DataFrame:
     """(a, b, n) over clustered words, the shared place of all others, and the end, which also stands before a text."""
     m = len(clustered)
     shared, end, width = m, m + 1, m + 2
+    sent = texts.sparkSession.sparkContext.broadcast(clustered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: k for k, w in enumerate(clustered)}.get
+        place = {w: k for k, w in enumerate(sent.value)}.get
         codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         waiting: list[np.ndarray] = []
         held = 0
@@ -345,10 +347,14 @@ def placed(texts: DataFrame, model: Model) -> DataFrame:
             nonlocal codes, counts
             merge()
             words = list(local)
-            for k in range(0, len(codes), 50_000):
-                ids, cell = np.divmod(codes[k : k + 50_000], cells)
-                names = [words[x - head] if x >= head else b"" for x in ids.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(ids < head, ids, -1).astype(np.int32)), pa.array(names, pa.binary()), pa.array(cell.astype(np.int32)), pa.array(counts[k : k + 50_000])], names=["id", "word", "cell", "n"])
+            ids, cell = np.divmod(codes, cells)
+            begins = np.append(np.flatnonzero(np.diff(ids, prepend=-1)), len(ids))  # of each word's cells
+            for k in range(0, len(begins) - 1, 20_000):
+                at = begins[k : k + 20_001]
+                own, part = ids[at[:-1]], slice(at[0], at[-1])
+                names = [words[x - head] if x >= head else b"" for x in own.tolist()]
+                packed = [_packed(x[part], at - at[0]) for x in (cell.astype(np.int16), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(own < head, own, -1).astype(np.int32)), pa.array(names, pa.binary()), *packed], names=["id", "word", "cells", "counts"])
             codes, counts = codes[:0], counts[:0]
             local.clear()
 
@@ -413,12 +419,14 @@ def labelled(df: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     class_of[:m] = model.classes
     class_of[here.column("id").to_numpy()] = here.column("class").to_numpy()
     class_of[:head][v.counts == 1] += width
+    sent = df.sparkSession.sparkContext.broadcast((v.words, v.counts, class_of))
+    whole, end_base, with_end = np.log10(v.tokens + v.types + 1.0), np.log10(v.texts + 1.0), v.texts > 0
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
-        place = {w: k for k, w in enumerate(v.words)}.get
-        plus_one, weight = np.append(np.log10(v.counts + 1.0), 0.0), np.append(_weight(v.counts), 0.0)
-        whole, end_base = np.log10(v.tokens + v.types + 1.0), np.log10(v.texts + 1.0)
+        words_sent, counts, class_of = sent.value
+        place = {w: k for k, w in enumerate(words_sent)}.get
+        plus_one, weight = np.append(np.log10(counts + 1.0), 0.0), np.append(_weight(counts), 0.0)
         types = [pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 2, *[pa.binary()] * 2, pa.list_(pa.binary())]
         for batch in batches:
             out = []

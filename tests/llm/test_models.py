@@ -127,6 +127,71 @@ def test_words_beyond_the_clustered_get_their_class(spark):
     assert kind["wolf"] == kind["lynx"] == kind["dog"] and kind["dog"] != kind["eats"]
 
 
+def test_words_of_equal_count_are_not_left_out_together(spark):
+    texts = [(i, f"w{i:02d} end") for i in range(60)]
+    df = slim(spark.createDataFrame(texts, "doc_id long, text string"))
+    counts = written(class_lm.word_counts(df), "words")
+    for head in (1, 30, 60, 61, 100):
+        v = class_lm.vocabulary_of(counts, 60, head)
+        assert v.words == (b"end", *(f"w{i:02d}".encode() for i in range(60)))[:head]
+        assert (v.tokens, v.types, v.counts.tolist()) == (180, 62, ([60] + [1] * 60)[:head])
+    m = class_lm.fit(df, 60, counts, head=40, clustered=20, classes=4)
+    assert len(m.classes) == 20 and class_lm.placed(df, m).count() == 61 - 20
+
+
+def scored_plainly(rows, kind, classes, prior):
+    """The model's score of each text from each word's class, one word and one sum at a time."""
+    tokens = {i: (t or "").lower().split() for i, t in rows}
+    training = [i for i, _ in rows if fold(i, 7) != 2]
+    counts = Counter(w for i in training for w in tokens[i])
+    unseen, end = classes, classes + 1
+    sides = lambda w: [end] if w is None else [unseen] if w not in counts else [kind[w], unseen] if counts[w] == 1 else [kind[w]]
+    table = np.zeros((classes + 2, classes + 2))
+    for i in training:
+        line = [None, *tokens[i], None]
+        for a, b in zip(line, line[1:], strict=False):
+            # a word seen once is itself in one half and the unseen word in the other, the same half for its neighbours
+            for half in (0, 1):
+                table[sides(a)[half % len(sides(a))], sides(b)[half % len(sides(b))]] += 0.5
+    size = table.sum(axis=0)
+    unigram = (size + 0.5) / (size + 0.5).sum()
+    out = {}
+    for i, _ in rows:
+        at, score = end, 0.0
+        for w in [*tokens[i], None]:
+            to = sides(w)[0]
+            score += math.log10((table[at, to] + prior * unigram[to]) / (table[at].sum() + prior))
+            if w in counts:
+                score += math.log10((0.5 if counts[w] == 1 else counts[w]) / size[to])
+            at = to
+        out[i] = score
+    return out
+
+
+def test_scores_agree_with_plain_sums(spark):
+    random.seed(11)
+    rows = [(i, t + random.choice(["", " once%d" % i, " rare%d" % (i // 2)])) for i, t in enumerate(sentences(250))] + [(900, None), (901, "new words the dog"), (902, "dog\ndog dog")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    how = {"head": 12, "clustered": 8, "classes": 4, "rounds": 6}
+    got = {r.doc_id: r for r in class_lm.class_scores(df, **how).collect()}
+    training = slim(df.filter(df.doc_id.isin([i for i, _ in rows if fold(i, 7) != 2])))
+    m = class_lm.fit(training, training.count(), written(class_lm.word_counts(training), "words"), **how)
+    kind = dict(zip((w.decode() for w in m.vocabulary.words), m.classes.tolist(), strict=False))
+    kind |= {(m.vocabulary.words[r.id] if r.id >= 0 else bytes(r.word)).decode(): r["class"] for r in class_lm.placed(training, m).collect()}
+    want = scored_plainly(rows, kind, 4, 20.0)
+    for i, r in got.items():
+        assert r.score == pytest.approx(want[i], abs=1e-6), i
+        assert r.perplexity == pytest.approx(10 ** (-want[i] / r.n_tokens))
+
+
+def test_repeated_rows_count_and_score_each(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b"), (None, "c c"), (None, "c c")]
+    got = class_lm.class_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = sum(len(t.split()) + 1 for i, t in rows if fold(i, 7) != 2)
+    assert len(got) == 5 and {r.train_tokens for r in got} == {n}
+    assert len({(r.doc_id, r.score) for r in got}) == 3
+
+
 def test_exchange_goes_on_until_it_gains_nothing(spark):
     df = slim(spark.createDataFrame(list(enumerate(sentences(600))), "doc_id long, text string"))
     pairs = written(class_lm.bigrams(df, tuple(w.encode() for w in ("the", "a", "this", "dog", "cat", "bird", "fish", "eats", "sees", "hears"))), "pairs")
