@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or on a single machine (tests) one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -39,6 +41,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` written, and broadcast if it has at most ``most`` rows (of a few numbers each); beyond that it is joined by shuffles."""
+    out = written(df, "small")
+    return F.broadcast(out) if out.limit(most + 1).count() <= most else out
+
+
+#: The column of :func:`numbered`.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a number for each row, so that decisions can be taken for rows whose identifiers repeat or are null."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def chosen_rows(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose texts ``keep`` says yes to; null texts are empty. ``keep()`` makes a task's function."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = keep()
+        for batch in batches:
+            texts = [b"" if x is None else x.encode() if isinstance(x, str) else x for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(decide(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -48,6 +78,30 @@ def slim(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
+class Memory(dict):
+    """Results by key (a word or chunk), for one worker; a missing one is computed, and listed in ``new``."""
+
+    #: Entries and bytes of keys held before it starts anew. The results are of the order of their keys.
+    ENTRIES, BYTES = 500_000, 64 << 20
+
+    def __init__(self, compute: Callable) -> None:
+        super().__init__()
+        self.compute, self.new, self.held = compute, [], 0
+
+    def __missing__(self, key: str):
+        found = self[key] = self.compute(key)
+        self.new.append(key)
+        self.held += len(key)
+        return found
+
+    def trim(self) -> None:
+        """To be called between texts: what a text has brought is held until then."""
+        self.new.clear()
+        if len(self) > self.ENTRIES or self.held > self.BYTES:
+            self.clear()
+            self.held = 0
+
+
 def id_fold(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the identifier written in decimal, modulo ``modulus``; a null identifier counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 
+#: Parts that the neighbours of one node are dealt into, so that a node with very many meets none of its tasks alone.
+PARTS = 64
+
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): each pair with the smallest ``v`` of its ``u``, which comes once for each part of the neighbours."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    each = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = each.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))  # PARTS at most
+    return dealt.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"]).select("u", "v", "m")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the smallest of the node and its neighbours."""
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    found = _with_least(edges.union(edges.select("v", "u"))).filter("v > u")
+    return found.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked with the smallest."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least).distinct()
+    found = _with_least(edges)
+    return found.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:

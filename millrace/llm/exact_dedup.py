@@ -9,6 +9,8 @@ execution can split where one group is hot.
 Defined cases: a null text equals the empty text; a null identifier never owns a group that has another
 identifier, and owns alone (as null) otherwise; rows that repeat an identifier and its text count as
 copies of one another and share their ``kept``; further columns are ignored; an empty table gives no rows.
+A text of any length is inserted whole; a few of the longest have to fit in a task's memory, the rest spills
+to a file of the task, which is lost and made again with it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import rows, slim, slices
+from millrace.llm.common import ROW, numbered, rows, slim, slices
 from millrace.llm.patricia import PatriciaTrie
 
 _PART = "n_bytes long, content_hash long, text binary, owner long, copies long"
@@ -67,6 +69,9 @@ def owners(df: DataFrame, keep: str = "min", trie_bytes: int = 96 << 20) -> Data
         for text, owner, copies in trie.groups():
             for name, value in zip(schema.names, (len(text), hashlib.sha256(text).hexdigest(), owner, copies), strict=True):
                 out[name].append(value)
+            if len(out["keep_id"]) == 10_000:
+                yield from slices(out, schema, 10_000)
+                out = {n: [] for n in schema.names}
         yield from slices(out, schema, 10_000)
 
     parts = df.mapInArrow(merged, _PART)
@@ -93,6 +98,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that own their group, with all columns of ``docs``."""
-    kept = exact_groups(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
+    """One row of ``docs`` for each text, with all columns: the owner's, and of several such rows the first as they were written."""
+    each = numbered(docs)
+    found = keys(slim(each, ROW)).withColumnRenamed("doc_id", ROW)
+    owned = found.join(each.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).join(owners(slim(each), keep), ["n_bytes", "text_sha256"])
+    first = owned.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("n_bytes", "text_sha256").agg(F.min(ROW).alias(ROW))
+    return each.join(first.select(ROW), ROW, "left_semi").select(docs.columns)

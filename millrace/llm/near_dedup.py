@@ -3,16 +3,20 @@
 Documents with one set of shingles become a class first, whatever its size. The classes' sketches are cut
 into bands; classes that share a band are joined by star edges to the smallest, never by all pairs, and
 the star edges' components hold every pair that banding proposes. The texts of a component then meet in
-bounded blocks, where links are found on the full sets by a search that compares a document only with
-those that nothing has reached yet; blocks of one component meet pairwise. What is emitted is a spanning
-forest, so a group of n near copies gives n - 1 edges.
+bounded blocks, where links are found on the words of the full sets by a search that compares a document
+only with those that nothing has reached yet. A component of one block is settled by that. In a larger one
+the blocks' own components meet by their smallest members next; what is linked by then is dealt into blocks
+of its own, and two blocks are only compared where they hold texts that aren't linked yet. So a large group
+of near copies costs one pass over its texts, not one for each pair of blocks.
 
-With the default 30 bands of 5 coordinates a pair of similarity 0.85 is missed with probability 2e-8, one
-of 0.8 with 1e-5. Shingles are 64-bit hashes of their words; everything after banding is exact on them.
+With the default 64 bands of 8 coordinates a pair of similarity 0.85 is missed with probability 2e-9, one
+of 0.8 with 8e-6, and one of 0.5 is proposed with 0.22. Equal sets are told by 128-bit digests of words and
+shingles, links by comparing words.
 
 Defined cases: texts without words (null and empty ones too) have an empty set and are linked with
 nothing; a null identifier is linked with nothing and keeps component null; rows that share an identifier
-count as linked; further columns are ignored; an empty table gives no rows.
+count as linked; further columns are ignored; an empty table gives no rows. A word or text of any length is
+taken whole; it has to fit in a task's memory, and nothing of it but digests is kept between batches.
 """
 
 from __future__ import annotations
@@ -22,38 +26,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import rows, slim, written
+from millrace.llm.common import ROW, numbered, rows, slim, small, written
 from millrace.llm.components import connected_components
-from millrace.llm.shingles import band_keys, shingle_sets, sketch
+from millrace.llm.shingles import Digests, band_keys, exact_sets, shingle_hashes, sketch
 
 SKETCHES = "doc_id long, n_shingles long, high long, low long, bands array<long>"
-#: Bytes of text whose words are hashed at once.
-CHUNK_BYTES = 1 << 20
-
-
-def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
-    part, held = [], 0
-    for text in texts:
-        part.append(text)
-        held += len(text)
-        if held >= CHUNK_BYTES:
-            yield from shingle_sets(part, words)
-            part, held = [], 0
-    yield from shingle_sets(part, words)
+LINKS = "node long, root long, many boolean"
 
 
 def sketches(df: DataFrame, words: int, bands: int, rows_per_band: int) -> DataFrame:
     """Per document: the size of its set, the set's 128-bit digest and the keys of its bands (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = Digests()
         for batch in batches:
             out = []
-            for found in _sets([x for _, x in rows(batch)], words):
-                digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
-                out.append((len(found), *digest.tolist(), band_keys(sketch(found, bands * rows_per_band), bands) if len(found) else []))
+            for one, other in shingle_hashes([x for _, x in rows(batch)], words, digests):
+                digest = np.frombuffer(hashlib.blake2b(one.tobytes() + other.tobytes(), digest_size=16).digest(), np.int64)
+                out.append((max(len(one), len(other)), *digest.tolist(), band_keys(sketch(one, bands * rows_per_band), bands) if len(one) else []))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], names=[x.split()[0] for x in SKETCHES.split(", ")])
 
@@ -104,16 +97,75 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 30, rows_per_band: int = 5, block_shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(words: int, percent: int):
+    """A function of the rows (rep, label, many, text) that meet in one task: links between them, where the labels differ."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        # of one identifier with several texts each counts
+        ids, labels = (np.asarray(table.column(x)) for x in ("rep", "label"))
+        order = np.argsort(ids, kind="stable")
+        raw = table.column("text").to_pylist()
+        sets = exact_sets([raw[k] for k in order], words)
+        held = [k for k, x in enumerate(sets) if len(x)]
+        out = np.empty((0, 2), np.int64)
+        if held:
+            root = linked([sets[k] for k in held], percent)
+            at, of = ids[order][held], labels[order][held]
+            new = (of != of[root]) & (at != at[root])
+            out = np.stack([at, at[root]], axis=1)[new]
+        return pa.table({"node": pa.array(out[:, 0], pa.int64()), "root": pa.array(out[:, 1], pa.int64()), "many": pa.array(np.full(len(out), table.column("many")[0].as_py()), pa.bool_())})
+
+    return verify
+
+
+def _dealt(df: DataFrame, key: str | Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key), parts).cast("int")
+
+
+def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> DataFrame:
+    """(node, root) of the groups that fill several blocks: ``large`` has group, rep, n and text, ``first`` the links within first blocks."""
+    links = first
+    for both in (False, True):
+        found = connected_components(links, "node", "root").withColumnRenamed("root", "label")
+        members = large.select("group", "rep", "n").distinct().join(found, F.col("rep") == F.col("node"), "left").select("group", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        members = written(members, "labels")
+        if not both:  # the smallest of each component by now
+            meet = members.filter("rep = label")
+            totals = small(meet.groupBy("group").agg(F.ceil(F.sum("n") / block).alias("k")))
+            units = meet.join(totals, "group").select("rep", "group", _dealt(meet, "rep", F.col("k")).alias("i"), F.lit(0).alias("j"), "label")
+        else:
+            by_label = written(members.groupBy("group", "label").agg(F.sum("n").alias("n")), "components")
+            open_groups = by_label.groupBy("group").agg(F.count("*").alias("c"), F.ceil(F.sum(F.when(F.col("n") < block, F.col("n"))) / block).alias("mixed")).filter("c > 1")
+            own = by_label.filter(F.col("n") >= block).withColumn("k", F.ceil(F.col("n") / block))
+            before = Window.partitionBy("group").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+            own = own.select("group", "label", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("from"))  # a row for each full block at most
+            wide = own.groupBy("group").agg(F.sum("k").alias("own"))
+            totals = small(open_groups.join(wide, "group", "left").select("group", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("mixed", F.lit(0)).alias("mixed")))
+            placed = members.join(totals, "group").join(small(own), ["group", "label"], "left")
+            # blocks of one component are not compared with one another
+            last = F.col("own") + F.col("mixed") - 1
+            upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+            mine = F.when(F.col("k").isNull(), F.col("own") + _dealt(members, "rep", F.greatest("mixed", F.lit(1)))).otherwise(F.col("from") + _dealt(members, "rep", F.col("k")))
+            others = F.when(F.col("k").isNull(), upto(F.lit(0).cast("long"), last)).otherwise(F.concat(upto(F.lit(0).cast("long"), F.col("from") - 1), upto(F.col("from") + F.col("k"), last)))
+            met = placed.select("rep", "group", "label", mine.cast("long").alias("mine"), F.explode(others).alias("other"))
+            units = met.select("rep", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "label")
+        gathered = units.join(large.select("rep", "text", F.lit(True).alias("many")), "rep")
+        more = gathered.groupBy("group", "i", "j").applyInArrow(verify, LINKS).select("node", "root")
+        links = written(links.union(more), "links")
+    return connected_components(links, "node", "root")
+
+
+def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 1_000_000, first_shingles: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of both together. A block that
-    is verified in one task holds about ``block_shingles`` shingles, or two such.
+    is verified in one task holds about ``first_shingles`` shingles at first, and where blocks of a large group
+    are compared about ``block_shingles``, or two such.
     """
     texts = slim(docs, id_col, text_col)
     every = written(sketches(texts, words, bands, rows_per_band), "sketches")
-    known = every.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = written(known.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    some = every.filter("n_shingles > 0")
+    classes = written(some.filter("doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("key", "lead")
@@ -122,39 +174,27 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
 
     members = proposed.select(F.col("root").alias("group"), F.col("node").alias("rep")).union(proposed.select("root", "root").distinct())
     members = written(members.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "members")
-    blocks = members.groupBy("group").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("k"))
-    dealt = members.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    units = dealt.select("rep", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("k") > 1).alias("many"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        # of one identifier with several texts each counts
-        ids = np.asarray(table.column("rep"))
-        order = np.argsort(ids, kind="stable")
-        raw = table.column("text").to_pylist()
-        sets = list(_sets([raw[k] for k in order], words))
-        held = [k for k, x in enumerate(sets) if len(x)]
-        out = np.arange(0)
-        if held:
-            root = linked([sets[k] for k in held], percent)
-            at = ids[order][held]
-            out = np.stack([at, at[root]], axis=1)[at != at[root]]
-        out = out.reshape(-1, 2)
-        return pa.table({"node": pa.array(out[:, 0], pa.int64()), "root": pa.array(out[:, 1], pa.int64()), "many": pa.array(np.full(len(out), table.column("many")[0].as_py()), pa.bool_())})
-
+    totals = members.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    large = small(totals.filter((F.col("n") > first_shingles) & (F.col("c") > 1)).select("group", F.ceil(F.col("n") / first_shingles).alias("k")))
+    dealt = members.join(large, "group", "left").select("group", "rep", "n", F.col("k").isNotNull().alias("many"), _dealt(members, "rep", F.coalesce("k", F.lit(1))).alias("i"))
     # a merge join at every size: the texts always outgrow what may be broadcast, and so does the other side
-    gathered = units.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("rep", "group", "i", "j", "many", "text")
-    links = written(gathered.groupBy("group", "i", "j").applyInArrow(verify, "node long, root long, many boolean"), "links")
+    gathered = written(dealt.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "n", "many", "i", "text").distinct(), "gathered")
+
+    verify = _verified(words, percent)
+    links = written(gathered.select("group", "i", "rep", F.col("rep").alias("label"), "many", "text").groupBy("group", "i").applyInArrow(verify, LINKS), "links")
     whole = links.filter("not many").select("node", "root")
-    if not blocks.filter("k > 1").isEmpty():
-        whole = whole.union(connected_components(links.filter("many"), "node", "root"))
+    if not gathered.filter("many").isEmpty():
+        whole = whole.union(_large_links(gathered.filter("many"), links.filter("many").select("node", "root"), verify, block_shingles))
     roots = classes.join(whole.groupBy("node").agg(F.min("root").alias("root")), F.col("rep") == F.col("node"), "left").select("high", "low", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    found = every.join(roots, ["high", "low", "n_shingles"], "left")
+    # texts without words are one set, but no group: they stay out of the join
+    found = some.join(roots, ["high", "low", "n_shingles"], "left").select("doc_id", "n_shingles", "root").union(every.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root")))
     found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, **how: object) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all columns of ``docs``."""
-    kept = near_groups(docs, **how).filter("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
+    """One row of ``docs`` for each group of near copies, with all columns: that of the smallest identifier (null is the largest), and of several such rows the first as they were written. Rows without words stay."""
+    each = numbered(docs)
+    found = near_groups(each, id_col=ROW, **how).select(F.col("doc_id").alias(ROW), "component_id")
+    first = found.join(each.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    return each.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)

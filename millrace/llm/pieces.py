@@ -2,7 +2,7 @@
 
 Two neighbouring characters that no piece holds side by side can't end up in one piece, so a text may be
 cut between them and its chunks handled apart, with the same result. Chunks repeat a lot, so a Python
-worker remembers the results of the latest ones, up to a fixed number.
+worker remembers the results of the latest ones, up to a fixed number and size (:class:`~millrace.llm.common.Memory`).
 """
 
 from __future__ import annotations
@@ -13,26 +13,6 @@ from collections.abc import Callable
 import sentencepiece
 
 SPACE = "▁"
-#: Chunks that a worker remembers before it starts anew.
-MEMORY = 500_000
-
-
-class Memory(dict):
-    """Results by chunk; a missing one is computed, and listed in ``new``."""
-
-    def __init__(self, compute: Callable) -> None:
-        super().__init__()
-        self.compute, self.new = compute, []
-
-    def __missing__(self, chunk: str):
-        found = self[chunk] = self.compute(chunk)
-        self.new.append(chunk)
-        return found
-
-    def trim(self) -> None:
-        self.new.clear()
-        if len(self) > MEMORY:
-            self.clear()
 
 
 class Vocabulary:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import small
+
 
 def bounded(df: DataFrame, by: str, most: int, key: Column) -> DataFrame:
     """About ``most`` rows of each value of ``by``, or all where there are fewer, chosen by a hash of ``key``.
 
-    Column ``weight`` is how many rows of its value a chosen row stands for. ``by`` must have few values (labels).
+    Column ``weight`` is how many rows of its value a chosen row stands for. Rows without a value are left out.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
+    shares = small(df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("_share")))
     place = (F.xxhash64(F.lit("sample"), key) / F.lit(2.0**64)) + F.lit(0.5)
-    return df.withColumn("_share", share).filter((F.col("_share") >= 1) | (place < F.col("_share"))).withColumn("weight", F.try_divide(F.lit(1.0), F.col("_share"))).drop("_share")
+    found = df.join(shares, F.col(by) == F.col("_by"))
+    return found.filter((F.col("_share") >= 1) | (place < F.col("_share"))).withColumn("weight", 1 / F.col("_share")).drop("_share", "_by")

@@ -1,73 +1,125 @@
-"""Word shingles as 64-bit hashes, and their fast similarity sketches, computed for many texts at once."""
+"""Word shingles of many texts at once: as 128-bit hashes of their words' digests, or exactly, and fast similarity sketches."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+_STEP = 0x9E3779B97F4A7C15
+#: Bytes of text that are taken apart at once, and of words whose digests a worker remembers.
+CHUNK_BYTES, MEMORY_BYTES = 1 << 20, 64 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on every input bit (splitmix64's finaliser)."""
-    x = x + U(_BASE)
+    x = x + U(_STEP)
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
-#: White space between words: 0x20 and 0x09 to 0x0D.
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-#: A random word per byte, equal for A-Z and a-z.
-_VALUE = mix(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(U))
+class Numbers(dict):
+    """Words by the order in which they were first met, from 1 on; 0 is no word."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** k and its inverse, modulo 2**64, for k < n."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    one = np.ones(1, U)
-    return np.concatenate([one, np.cumprod(np.full(n - 1, _BASE, U))]), np.concatenate([one, np.cumprod(np.full(n - 1, inverse, U))])
 
+class Digests:
+    """Keyed 128-bit digests of words, remembered up to a number of bytes; two columns of 64 bits."""
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of every text (A-Z lower-cased), end to end, and where each text's words begin (n+1)."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    n = len(data)
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    start, end = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(21, int(n).bit_length()))
-    total = np.concatenate([np.zeros(1, U), np.cumsum(_VALUE[data] * up[:n])])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
-    begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
-    return hashes, np.searchsorted(start, begins)
+    def __init__(self) -> None:
+        self.clear()
 
+    def clear(self) -> None:
+        self.numbers, self.known, self.held = Numbers(), 1, 0
+        self.values = np.zeros((1 << 14, 2), U)
 
-def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingles of each text; with fewer words all of them are one shingle, without words none."""
+    def update(self) -> np.ndarray:
+        """The digests of all numbered words, by number."""
+        new = list(self.numbers)[self.known - 1 :] if len(self.numbers) >= self.known else []
+        if new:
+            end = self.known + len(new)
+            while end > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            raw = b"".join(hashlib.blake2b(w, digest_size=16, key=b"shingles").digest() for w in new)
+            self.values[self.known : end] = np.frombuffer(raw, U).reshape(-1, 2)
+            self.known, self.held = end, self.held + sum(map(len, new)) + 100 * len(new)
+        return self.values
+
+
+def _numbered(texts: list[bytes], numbers: Numbers, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers, text after text, and where each text begins (n+1).
+
+    A-Z is lower-cased and words end at 0x20 and 0x09 to 0x0D: what bytes.lower and bytes.split do. A text with
+    fewer than ``words`` words, but some, is filled up with 0, so that all of it is one shingle.
+    """
+    number, parts, begins = numbers.__getitem__, [], [0]
+    for text in texts:
+        found = text.lower().split()
+        own = np.zeros(max(len(found), words if found else 0), np.int64)
+        own[: len(found)] = np.fromiter(map(number, found), np.int64, len(found))
+        parts.append(own)
+        begins.append(begins[-1] + len(own))
+    return np.concatenate(parts), np.array(begins)
+
+
+def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= CHUNK_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def shingle_hashes(texts: list[bytes], words: int = 5, digests: Digests | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text two sorted arrays of its distinct shingles' 64-bit hashes, which are independent of one another.
+
+    A hash is a mixed sum of the words' digests with a factor for each place; the digests aren't linear in the bytes.
+    """
+    digests = digests or Digests()
+    factors = mix(np.arange(2 * words, dtype=U).reshape(2, words)) | U(1)
+    for part in _chunks(texts):
+        numbers, begins = _numbered(part, digests.numbers, words)
+        values = digests.update()
+        n = max(len(numbers) - words + 1, 0)
+        lanes = []
+        for lane in (0, 1):
+            of, total = values[:, lane][numbers], np.zeros(n, U)
+            for k in range(words):
+                total += of[k : k + n] * factors[lane, k]
+            lanes.append(mix(total))
+        for a, b in zip(begins[:-1], begins[1:], strict=True):
+            own = slice(a, max(b - words + 1, a))
+            yield np.unique(lanes[0][own]), np.unique(lanes[1][own])
+        if digests.held > MEMORY_BYTES:
+            digests.clear()
+
+
+def exact_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
+    """The distinct shingles of each text as numbers that are equal for equal words only: nothing is hashed."""
     if not texts:
         return []
-    hashes, begins = word_hashes(texts)
-    factors = mix(np.arange(1, words + 1, dtype=U)) | U(1)
-    n = max(len(hashes) - words + 1, 0)
-    every = np.zeros(n, U)
-    for k in range(words):
-        every += hashes[k : k + n] * factors[k]
-    every = mix(every)
-    out = []
-    for a, b in zip(begins[:-1], begins[1:], strict=True):
-        if b - a >= words:
-            out.append(np.unique(every[a : b - words + 1]))
-        elif b > a:
-            out.append(mix(np.array([(hashes[a:b] * factors[: b - a]).sum() + U(b - a)], U)))
-        else:
-            out.append(np.empty(0, U))
-    return out
+    known = Numbers()
+    numbers, begins = _numbered(texts, known, words)
+    n, size = max(len(numbers) - words + 1, 0), len(known) + 1
+    code, span = numbers[:n].copy(), size
+    for k in range(1, words):
+        if span > (1 << 62) // size:
+            code = np.unique(code, return_inverse=True)[1]
+            span = int(code.max(initial=0)) + 1
+        code = code * size + numbers[k : k + n]
+        span *= size
+    return [np.unique(code[a : max(b - words + 1, a)]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -102,4 +154,4 @@ def band_keys(coordinates: np.ndarray, bands: int) -> np.ndarray:
     """One key per band of coordinates, different between bands, as signed words."""
     rows = mix(coordinates).reshape(bands, -1)
     factors = mix(np.arange(1, rows.shape[1] + 1, dtype=U)) | U(1)
-    return mix((rows * factors).sum(axis=1) + np.arange(bands, dtype=U) * U(_BASE)).astype(np.int64)
+    return mix((rows * factors).sum(axis=1) + np.arange(bands, dtype=U) * U(_STEP)).astype(np.int64)

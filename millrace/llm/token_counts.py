@@ -21,8 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import rows, slim
-from millrace.llm.pieces import SPACE, Memory, Vocabulary
+from millrace.llm.common import Memory, rows, slim
+from millrace.llm.pieces import SPACE, Vocabulary
 
 COUNTS = "doc_id long, n_tokens long, n_words long, score double"
 UNKNOWN_PENALTY = 10.0

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_of, id_fold, rows, slim, written
-from millrace.llm.pieces import Memory
+from millrace.llm.common import Memory, fold_of, id_fold, rows, slim, written
 from millrace.llm.sampling import bounded
 
 _SPLIT = re.compile(r"[.!?\n]+")

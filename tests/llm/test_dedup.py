@@ -10,7 +10,7 @@ import pytest
 from millrace.llm import exact_dedup, near_dedup
 from millrace.llm.components import connected_components
 from millrace.llm.patricia import PatriciaTrie
-from millrace.llm.shingles import shingle_sets, sketch
+from millrace.llm.shingles import exact_sets, shingle_hashes, sketch
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -112,13 +112,34 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == want
 
 
-def test_shingles_and_sketch():
+def test_shingles_are_those_of_the_words():
     texts = [(t or "").encode() for _, t in messy()]
-    got, want = shingle_sets(texts), list(brute_sets(list(enumerate(t.decode() for t in texts))).values())
-    assert [len(x) for x in got] == [len(x) for x in want]
-    for a in range(0, len(texts), 7):
-        for b in range(a):
-            assert len(np.intersect1d(got[a], got[b])) == len(want[a] & want[b])
+    want = list(brute_sets(list(enumerate(t.decode() for t in texts))).values())
+    hashed, exact = [x for x, _ in shingle_hashes(texts)], exact_sets(texts)
+    for got in (hashed, exact):
+        assert [len(x) for x in got] == [len(x) for x in want]
+        for a in range(0, len(texts), 7):
+            for b in range(a):
+                assert len(np.intersect1d(got[a], got[b])) == len(want[a] & want[b])
+    assert [len(x) for x in exact_sets([b"a b c", b"a b c d e f g", b""], words=3)] == [1, 5, 0] and exact_sets([]) == []
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_alike_to_polynomials_modulo_a_power_of_two(spark):
+    one, other = thue_morse(11)
+    texts = [" ".join([one] * 5 + [other] * 5), " ".join([one] * 10), " ".join([other] * 10)]
+    assert [len(x) for x in exact_sets([t.encode() for t in texts])] == [6, 1, 1]
+    got = near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=50).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(0, 6, 0), (1, 1, 1), (2, 1, 2)]
+
+
+def test_sketches_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 2000):
         agree = []
@@ -135,7 +156,7 @@ def test_shingles_and_sketch():
 def test_near_groups(spark, percent, block):
     rows = messy(220, percent)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, rep int, key string").repartition(4)
-    got = {r.doc_id: r for r in near_dedup.near_groups(df, percent=percent, block_shingles=block, rows_per_band=5 if percent > 70 else 2, bands=30 if percent > 70 else 60).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_groups(df, percent=percent, block_shingles=4 * block, first_shingles=block, rows_per_band=5 if percent > 70 else 2, bands=30 if percent > 70 else 60).collect()}
     sets = brute_sets(rows)
     want = brute_components(sets, percent)
     assert len(got) == len(rows)
@@ -156,10 +177,36 @@ def test_a_chain_of_edits_is_one_component(spark):
     for k in range(40):  # each step changes one word; the ends have little in common
         rows.append((k, " ".join(words)))
         words[(k * 5) % 200] = f"n{k}"
-    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=90, block_shingles=900)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=90, first_shingles=900, block_shingles=2000)
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_groups_of_several_blocks_keep_every_link(spark):
+    """Texts that are candidates of one another, a part of them linked in long chains, over many small blocks."""
+    random.seed(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for chain in range(6):
+        words = base[:90] + [f"c{chain}-{k}" for k in range(60)]
+        for k in range(25):
+            rows.append((len(rows) * 37 % 1009, " ".join(words)))
+            words[90 + (k * 7) % 60] = f"n{chain}-{k}"
+    sets = brute_sets(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(sets, 88)
+    for first, block in ((300, 700), (1000, 100_000)):
+        got = near_dedup.near_groups(df, percent=88, bands=60, rows_per_band=2, first_shingles=first, block_shingles=block).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) >= 6
+
+
+def test_one_word_of_many_megabytes(spark):
+    rows = [(1, "x" * 3_000_000), (2, "X" * 3_000_000), (3, "y" * 3_000_000), (4, "a b c d e f " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dedup.near_groups(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 6, 4, True)]
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_near_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
