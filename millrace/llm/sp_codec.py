@@ -2,8 +2,11 @@
 
 Encoding keeps an agenda of adjacent symbol pairs: the pair whose piece scores highest is merged first,
 the leftmost of equals before the others, and a symbol that is no piece at the end falls back to its
-bytes. Within every Arrow batch the chunks not met before are checked against the sentencepiece library,
-which also decodes them; a row says whether all its chunks agreed. Texts are processed whole.
+bytes. Within every Arrow batch the chunks not met before are checked against the sentencepiece library.
+That chunks can be handled apart follows from the vocabulary (no piece holds the two characters beside a
+cut) and is tested, not checked for each row. A text with a chunk that the library encodes otherwise gets
+the library's identifiers of the whole text, and ``agreed`` is false. Every row's identifiers go through the
+library's ``decode`` as a whole. Texts are processed whole.
 
 Defined cases: a null or empty text has the end identifier only and decodes to the empty text; spaces and
 literal ``▁`` are one symbol, as in the library; a null identifier stays null; repeated rows give repeated
@@ -16,12 +19,13 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import rows, slim
-from millrace.llm.pieces import SPACE, Memory, Vocabulary
+from millrace.llm.common import Memory, rows, slim
+from millrace.llm.pieces import SPACE, Vocabulary
 
 ENCODED = "doc_id long, ids array<int>, agreed boolean"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agreed boolean"
@@ -59,48 +63,40 @@ class Codec:
         self.cut = v.chunker(list(v.ids), "*")
         self.end = v.library.eos_id()
         self.known = Memory(self._ids)
-        #: Of the chunks in memory: those the library encodes otherwise, and those that decode to another text.
+        #: Of the chunks in memory those that the library encodes otherwise.
         self.differ: set[str] = set()
-        self.altered: dict[str, str] = {}
 
-    def _ids(self, chunk: str) -> str:
+    def _ids(self, chunk: str) -> tuple[list[int], str]:
+        """A chunk's identifiers, also joined by one space."""
         v, out = self.vocabulary, []
         for symbol in merge_by_agenda(chunk, self.order):
             found = v.ids.get(symbol)
             out += [found] if found is not None else [v.byte_ids[b] for b in symbol.encode()] if v.byte_ids else [v.library.unk_id()]
-        return " ".join(map(str, out))
+        return out, " ".join(map(str, out))
 
     def check(self) -> None:
         """Hold the chunks that are new against the library. A line break before each keeps the added first space apart."""
         lib, new = self.vocabulary.library, self.known.new
-        asked = ["\n" + x.replace(SPACE, " ") for x in new]
         lead = len(lib.encode("\n"))
-        lists = lib.encode(asked, num_threads=1)
-        for chunk, text, ids, back in zip(new, asked, lists, lib.decode(lists, num_threads=1) if lists else [], strict=True):
-            if " ".join(map(str, ids[lead:])) != self.known[chunk]:
+        for chunk, ids in zip(new, lib.encode(["\n" + x.replace(SPACE, " ") for x in new], num_threads=1), strict=True):
+            if ids[lead:] != self.known[chunk][0]:
                 self.differ.add(chunk)
-            elif back != text:
-                self.altered[chunk] = back[1:]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str, bool]]:
-        """Per text: the decimal identifiers joined by one space, the decoded text, and whether the library agreed."""
-        cut, known = self.cut, self.known.__getitem__
-        plain = [x.replace(" ", SPACE) for x in texts]
-        chunks = [cut(SPACE + x) if x else [] for x in plain]
-        ids = [" ".join(map(known, x)) for x in chunks]
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str, bool]]:
+        """Per text: the identifiers with the end's, the same joined by one space, and whether the library agreed."""
+        cut, known, end = self.cut, self.known.__getitem__, self.end
+        chunks = [cut(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
+        found = [list(map(known, x)) for x in chunks]
         self.check()
-        for text, parts, found in zip(plain, chunks, ids, strict=True):
-            agreed = not self.differ or self.differ.isdisjoint(parts)
-            back = text.replace(SPACE, " ")
-            if not agreed:
-                back = self.vocabulary.library.decode([int(x) for x in found.split()])
-            elif self.altered and not self.altered.keys().isdisjoint(parts):
-                back = "".join(self.altered.get(x) or x.replace(SPACE, " ") for x in parts)[1:]
-            yield f"{found} {self.end}" if found else str(self.end), back, agreed
+        for text, parts, own in zip(texts, chunks, found, strict=True):
+            if not self.differ or self.differ.isdisjoint(parts):
+                yield [*chain.from_iterable([x for x, _ in own]), end], " ".join([*[x for _, x in own], str(end)]), True
+            else:
+                ids = [*self.vocabulary.library.encode(text), end]
+                yield ids, " ".join(map(str, ids)), False
         self.known.trim()
         if not self.known:
             self.differ.clear()
-            self.altered.clear()
 
 
 @lru_cache(maxsize=2)
@@ -121,8 +117,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
             found = list(codec(model_path).encode(texts))
-            lists = [[int(x) for x in y.split()] for y, _, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array([x for _, _, x in found])], names=["doc_id", "ids", "agreed"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for x, _, _ in found], pa.list_(pa.int32())), pa.array([x for _, _, x in found])], names=["doc_id", "ids", "agreed"])
 
     return slim(df, id_col, text_col).mapInArrow(run, ENCODED)
 
@@ -144,11 +139,11 @@ def codec_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        decode = codec(model_path).vocabulary.library.decode
         for ids, texts in _texts(batches):
-            found = list(codec(model_path).encode(texts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([x.count(" ") + 1 for x, _, _ in found], pa.int64()), pa.array([sha(x) for x, _, _ in found]), pa.array([sha(x) for _, x, _ in found]), pa.array([x for _, _, x in found])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agreed"],
-            )
+            found = [(len(x), sha(joined), sha(decode(x)), agreed) for x, joined, agreed in codec(model_path).encode(texts)]
+            columns = zip(*found, strict=True) if found else [()] * 4
+            types = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agreed"])
 
     return slim(df, id_col, text_col).mapInArrow(run, DIGESTS)
