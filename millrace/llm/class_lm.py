@@ -24,11 +24,12 @@ from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_fold, rows, slim, written
+from millrace.llm.common import flat, id_fold, rows, slim, written
 
 #: Distinct words or bigrams a task holds before it hands on their counts.
 HELD = 1_500_000
@@ -318,17 +319,23 @@ def best_classes(sides: np.ndarray, same: np.ndarray, table: np.ndarray, free: i
     return out
 
 
+def _packed(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Binary strings that hold ``values`` from each of ``begins`` to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer((begins * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def placed(texts: DataFrame, model: Model) -> DataFrame:
     """(id, word, class, n) of all words of ``texts`` without a class: the place in the vocabulary, or -1 and the word."""
-    v, m, table = model.vocabulary, len(model.classes), model.table.astype(float)
-    head, classes = len(v.words), len(table) - 2
+    own, table = model.classes, model.table.astype(float)
+    m, head, classes = len(own), len(model.vocabulary.words), len(table) - 2
     width, end = classes + 2, classes + 1
     cells = 2 * width + 1  # after, before, itself after itself
+    sent = texts.sparkSession.sparkContext.broadcast(model.vocabulary.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: k for k, w in enumerate(v.words)}.get
+        place = {w: k for k, w in enumerate(sent.value)}.get
         class_of = np.full(head + 1, classes)
-        class_of[:m] = model.classes
+        class_of[:m] = own
         local: dict[bytes, int] = {}
         codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         waiting: list[np.ndarray] = []
@@ -381,20 +388,38 @@ def placed(texts: DataFrame, model: Model) -> DataFrame:
         yield from out()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                found = part.column("cells")
-                flat = found.flatten()
-                every = np.zeros((part.num_rows, cells))
-                every[np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy()), flat.field("cell").to_numpy()] = flat.field("n").to_numpy()
-                sides = every[:, : 2 * width].reshape(-1, 2, width)
-                to = best_classes(sides, every[:, -1], table, classes)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("word"), pa.array(to.astype(np.int32)), pa.array(sides[:, 0].sum(axis=1).astype(np.int64))], names=["id", "word", "class", "n"])
+        """The rows of a word, one of each task, stand together and are added up as they come."""
+        held: tuple[pa.Array, pa.Array, np.ndarray] | None = None
 
-    # tasks have summed already, and a word has two cells per class at most
-    counted = texts.mapInArrow(run, "id int, word binary, cell int, n long").repartition("id", "word").groupBy("id", "word", "cell").agg(F.sum("n").alias("n"))
-    return counted.groupBy("id", "word").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).mapInArrow(decide, "id int, word binary, class int, n long")
+        def chosen(ids: pa.Array, words: pa.Array, every: np.ndarray) -> pa.RecordBatch:
+            sides = every[:, : 2 * width].reshape(-1, 2, width)
+            to = best_classes(sides, every[:, -1], table, classes)
+            return pa.RecordBatch.from_arrays([ids, words, pa.array(to.astype(np.int32)), pa.array(sides[:, 0].sum(axis=1).astype(np.int64))], names=["id", "word", "class", "n"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 5000):
+                part = batch.slice(k, 5000)
+                ids, words = part.column("id"), part.column("word")
+                same = np.asarray(pc.and_(pc.equal(ids[1:], ids[:-1]), pc.equal(words[1:], words[:-1])).to_numpy(zero_copy_only=False), bool)
+                group = np.append(0, np.cumsum(~same))
+                raw, at = flat(part.column("cells"))
+                cell, count = np.frombuffer(raw.tobytes(), np.int16), np.frombuffer(flat(part.column("counts"))[0].tobytes(), np.int64)
+                n = int(group[-1]) + 1
+                every = np.bincount(np.repeat(group, np.diff(at) // 2) * cells + cell, count, minlength=n * cells).reshape(n, cells)
+                first = pa.array(np.append(0, np.flatnonzero(~same) + 1))
+                ids, words = ids.take(first), words.take(first)
+                if held and (held[0][0], held[1][0]) == (ids[0], words[0]):
+                    every[0] += held[2][0]
+                elif held:
+                    yield chosen(*held)
+                held = ids[-1:], words[-1:], every[-1:].copy()
+                if n > 1:
+                    yield chosen(ids[:-1], words[:-1], every[:-1])
+        if held:
+            yield chosen(*held)
+
+    counted = texts.mapInArrow(run, "id int, word binary, cells binary, counts binary").repartition("id", "word").sortWithinPartitions("id", "word")
+    return counted.mapInArrow(decide, "id int, word binary, class int, n long")
 
 
 _ENCODED = "part int, row long, doc_id long, n_tokens long, n_known long, base double, weight double, labels binary, holes binary, rest array<binary>"
@@ -436,7 +461,7 @@ def labelled(df: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 rest: dict[bytes, int] = {}
                 holes = [rest.setdefault(words[k], len(rest)) for k in np.flatnonzero(ids == head).tolist()]
                 base = plus_one[ids].sum() + end_base - (len(words) + 1) * whole
-                known = len(words) - len(holes) + (v.texts > 0)
+                known = len(words) - len(holes) + with_end
                 out.append((part, row, doc_id, len(words) + 1, known, float(base), float(weight[ids].sum()), class_of[ids].astype(kind).tobytes(), np.array(holes, np.int32).tobytes(), list(rest)))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=[x.split()[0] for x in _ENCODED.split(", ")])
@@ -444,25 +469,26 @@ def labelled(df: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known, base, weight, labels = (batch.column(x).to_pylist() for x in ("n_known", "base", "weight", "labels"))
-            holes, found = batch.column("holes").to_pylist(), batch.column("found").to_pylist()
-            for k, words in enumerate(found):
-                if words:
-                    at = np.frombuffer(holes[k], np.int32)
-                    n, to = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, classes)
-                    for x in words:
-                        n[x["k"]], to[x["k"]] = x["n"], x["class"] + width * (x["n"] == 1)
-                    n, to, line = n[at], to[at], np.frombuffer(labels[k], kind).copy()
-                    line[line == classes] = to
-                    labels[k] = line.tobytes()
-                    n = n[n > 0]
-                    known[k] += len(n)
-                    base[k] += float(np.log10(n + 1.0).sum())
-                    weight[k] += float(_weight(n).sum())
+            holes, found = batch.column("holes").to_pylist(), batch.column("found")
+            sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            ends, every = np.cumsum(sizes), found.flatten()
+            place, of, count = (every.field(x).to_numpy() for x in ("k", "class", "n"))
+            for k in np.flatnonzero(sizes).tolist():
+                own, at = slice(ends[k] - sizes[k], ends[k]), np.frombuffer(holes[k], np.int32)
+                n, to = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, classes)
+                n[place[own]], to[place[own]] = count[own], of[own] + width * (count[own] == 1)
+                n, to, line = n[at], to[at], np.frombuffer(labels[k], kind).copy()
+                line[line == classes] = to
+                labels[k] = line.tobytes()
+                n = n[n > 0]
+                known[k] += len(n)
+                base[k] += float(np.log10(n + 1.0).sum())
+                weight[k] += float(_weight(n).sum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(weight, pa.float64()), pa.array(labels, pa.binary())], names=[x.split()[0] for x in _LABELLED.split(", ")])
 
     partial = written(df.mapInArrow(encode, _ENCODED), "encoded")
     rest = partial.select("part", "row", F.posexplode("rest").alias("k", "word"))
-    found = rest.join(words.filter("id < 0").drop("id"), "word").groupBy("part", "row").agg(F.array_sort(F.collect_list(F.struct("k", "class", "n"))).alias("found"))
+    found = rest.join(words.filter("id < 0").drop("id"), "word").groupBy("part", "row").agg(F.collect_list(F.struct("k", "class", "n")).alias("found"))
     return partial.drop("rest").join(found, ["part", "row"], "left").mapInArrow(fill, _LABELLED)
 
 
