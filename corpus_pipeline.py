@@ -1,8 +1,14 @@
 """A training corpus from raw documents, in five stages that are each written and read again.
 
 Toxic documents go, then those without a language, then exact copies, then near copies; what is left is
-packed into sequences. Each stage works on all that its predecessor kept. Stages but the last return the
-columns of ``documents``.
+packed into sequences. Each stage works on all that its predecessor kept, and decides for each row: rows that
+share an identifier, or have none, stand or go by their own texts. Stages but the last return the columns of
+``documents``.
+
+Defined cases: a null or empty text has no language and goes in the second stage; of texts that are equal but for
+A-Z the largest identifier's row stays (a null one is the smallest, of several the first row), of near copies the
+smallest identifier's (a null one is the largest); further columns, whatever their names, pass through; an empty
+table gives no sequences.
 """
 
 from __future__ import annotations
@@ -10,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, langid, near_dedup, packing, toxicity
 from millrace.llm.common import written
@@ -20,20 +25,12 @@ from millrace.llm.queries import how_to_pack
 LEAST_SHARE = 0.3
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier has a row in ``verdicts`` (doc_id); null identifiers are one identifier."""
-    kept = verdicts.select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, toxicity.toxicity(docs, model).filter("predicted = 0"))
+    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs))
-    return _keep(docs, found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)))
+    return langid.with_language(docs, langid.fit(docs), LEAST_SHARE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,15 +6,16 @@ whose proportions expectation-maximisation estimates. Languages enter the set on
 proportion, as long as the likelihood gains more than a penalty in the number of words; the prediction is
 the largest proportion of the chosen set, the score its proportion when no language is left out.
 
-The n-gram tables are fitted on a bounded sample (about ``most`` documents of each language); prediction
-takes every whole text. Defined cases: ``und`` with score 0 if the text is null or has no letter, or if no
-language was learned; of equal languages the alphabetically first; a null identifier falls in the fold of
-the empty text; rows that repeat give repeated rows; further columns are ignored.
+The n-gram tables are fitted on a bounded sample (about ``most`` documents of each of the ``most_languages``
+most frequent languages); prediction takes every whole text. Defined cases: ``und`` with score 0 if the text is
+null or has no letter, or if no language was learned; of equal languages the alphabetically first; a null
+identifier falls in the fold of the empty text; rows that repeat give repeated rows; further columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_of, id_fold, rows, slim
+from millrace.llm.common import chosen_rows, fold_of, id_fold, slim
 from millrace.llm.sampling import bounded
 
 UNKNOWN = "und"
@@ -73,9 +74,11 @@ def letters_of(word: str) -> str:
     return word if any(map(str.isalpha, word)) else ""
 
 
-def fit(docs: DataFrame, most: int = 3000, modulus: int = 4, fold: int = 2, smoothing: float = 0.5) -> Model:
+def fit(docs: DataFrame, most: int = 3000, most_languages: int = 100, modulus: int = 4, fold: int = 2, smoothing: float = 0.5) -> Model:
     """Count n-grams over about ``most`` documents of each language outside the held-out fold."""
     known = docs.filter(F.col("lang").isNotNull() & (id_fold("doc_id", modulus) != fold)).select("doc_id", "text", "lang")
+    frequent = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    known = known.filter(F.col("lang").isin(frequent))
     sample = bounded(known, "lang", most, F.col("doc_id")).select("lang", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,51 +184,68 @@ def infer(logs: np.ndarray, begins: np.ndarray, penalty: float) -> tuple[np.ndar
     return chosen, everything
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 2.0, modulus: int = 4, fold: int = 2) -> DataFrame:
-    """Predict every whole text's language: doc_id, held_out, lang_pred, score and the chosen languages' shares."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = Likelihoods(model)
-        known = np.array(model.languages)
-
-        def predict(found: list[np.ndarray]) -> tuple[list, list, list]:
-            """``found``: the rows in ``likely`` of each document's words."""
-            found = [x[likely.informs[x]] for x in found]
-            held = [k for k, x in enumerate(found) if len(x)]
-            pred, score, shares = [UNKNOWN] * len(found), [0.0] * len(found), [[] for _ in found]
-            if held and len(known):
-                logs = likely.values[np.concatenate([found[k] for k in held])].astype(np.float64)
-                logs -= logs.max(axis=1, keepdims=True)
-                begins = np.concatenate([[0], np.cumsum([len(found[k]) for k in held])])
-                chosen, everything = infer(logs, begins, penalty)
-                top = chosen.argmax(axis=1)
-                for row, k in enumerate(held):
-                    pred[k], score[k] = model.languages[top[row]], float(min(1.0, everything[row, top[row]]))
-                    shares[k] = [{"lang": model.languages[j], "share": float(chosen[row, j])} for j in np.argsort(-chosen[row], kind="stable") if chosen[row, j] > 0]
-            return pred, score, shares
-
-        for batch in batches:
-            held, out, waiting, n = [], ([], [], []), [], 0
-
-            def flush(out=out) -> None:
-                nonlocal n
+def predictor(model: Model, penalty: float = 2.0) -> Callable[[list[bytes]], tuple[list[str], list[float], list[list[dict]]]]:
+    """For one task: a function from texts to their languages, scores and chosen languages' shares."""
+    likely = Likelihoods(model)
+
+    def predict(found: list[np.ndarray]) -> tuple[list, list, list]:
+        """``found``: the rows in ``likely`` of each document's words."""
+        found = [x[likely.informs[x]] for x in found]
+        held = [k for k, x in enumerate(found) if len(x)]
+        pred, score, shares = [UNKNOWN] * len(found), [0.0] * len(found), [[] for _ in found]
+        if held and model.languages:
+            logs = likely.values[np.concatenate([found[k] for k in held])].astype(np.float64)
+            logs -= logs.max(axis=1, keepdims=True)
+            begins = np.concatenate([[0], np.cumsum([len(found[k]) for k in held])])
+            chosen, everything = infer(logs, begins, penalty)
+            top = chosen.argmax(axis=1)
+            for row, k in enumerate(held):
+                pred[k], score[k] = model.languages[top[row]], float(min(1.0, everything[row, top[row]]))
+                shares[k] = [{"lang": model.languages[j], "share": float(chosen[row, j])} for j in np.argsort(-chosen[row], kind="stable") if chosen[row, j] > 0]
+        return pred, score, shares
+
+    def every(texts: list[bytes]) -> tuple[list[str], list[float], list[list[dict]]]:
+        out, waiting, n = ([], [], []), [], 0
+        for k, text in enumerate(texts):
+            waiting.append(likely.of(words_of(text.decode("utf-8", "replace"))))
+            n += len(waiting[-1])
+            if n >= CHUNK or k == len(texts) - 1:
                 for column, values in zip(out, predict(waiting), strict=True):
                     column += values
-                waiting.clear()
-                n = 0
+                waiting, n = [], 0
                 if len(likely.places) > MEMORY:
                     likely.clear()
+        return out
+
+    return every
+
+
+def identify(docs: DataFrame, model: Model, penalty: float = 2.0, modulus: int = 4, fold: int = 2) -> DataFrame:
+    """Predict every whole text's language: doc_id, held_out, lang_pred, score and the chosen languages' shares."""
 
-            for doc_id, text in rows(batch):
-                held.append(fold_of(doc_id, modulus) == fold)
-                waiting.append(likely.of(words_of(text.decode("utf-8", "replace"))))
-                n += len(waiting[-1])
-                if n >= CHUNK:
-                    flush()
-            flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = predictor(model, penalty)
+        for batch in batches:
+            pred, score, shares = of(batch.column("text").to_pylist())
+            held = [fold_of(x, modulus) == fold for x in batch.column("doc_id").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))],
+                [batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))],
                 names=["doc_id", "held_out", "lang_pred", "score", "languages"],
             )
 
     return slim(docs).mapInArrow(run, PREDICTIONS)
+
+
+def with_language(docs: DataFrame, model: Model, least_share: float, penalty: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, with all columns, that have a language with at least ``least_share`` of the words; each row by its own text."""
+
+    def keep() -> Callable[[list[bytes]], list[bool]]:
+        of = predictor(model, penalty)
+
+        def decide(texts: list[bytes]) -> list[bool]:
+            pred, score, _ = of(texts)
+            return [p != UNKNOWN and s >= least_share for p, s in zip(pred, score, strict=True)]
+
+        return decide
+
+    return chosen_rows(docs, keep)

@@ -4,26 +4,28 @@ A sentence has a logistic score over its words and their first letters; a docume
 of its sentences, 1 minus the product of (1 - p); a sentence with no word of known weight has p = 0, so a
 text's length alone never makes it toxic. Only documents carry labels; the gradient goes through
 the noisy-or, so it is the model that finds which sentences offend. Features are chosen by their
-association with the label and the model is fitted on a bounded sample of labelled documents
-(``most`` of each label, weighted to stand for all); scoring takes every whole text.
+association with the label and the model is fitted on a bounded sample of labelled documents (``most``
+of each label and ``most_bytes`` of their texts, weighted to stand for all); scoring takes every whole text.
 
-Defined cases: a null or empty text is one empty sentence and scores 0; with no toxic or no other example all
-scores are 0; a null identifier falls in the fold of the empty text; labels that repeat for a document
-count as their largest; rows that repeat give repeated rows; further columns are ignored.
+A sentence is what lies between two of ``.!?`` and line breaks and isn't blank. Defined cases: a null, empty or
+blank text has no sentence and scores 0; with no toxic or no other example all scores are 0; a null identifier
+falls in the fold of the empty text; labels that repeat for a document count as their largest, and any label over
+0 is toxic; rows that repeat give repeated rows; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memory, fold_of, id_fold, rows, slim, written
+from millrace.llm.common import Memory, chosen_rows, fold_of, id_fold, slim, written
 from millrace.llm.sampling import bounded
 
 _SPLIT = re.compile(r"[.!?\n]+")
@@ -44,16 +46,29 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def word_weight(self, word: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in word_features(word))
+    def word_weight(self, word: str) -> float | None:
+        """The sum of the word's known features; None if there is none."""
+        found = [self.weights[f] for f in word_features(word) if f in self.weights]
+        return sum(found) if found else None
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int, modulus: int = 4, fold: int = 2) -> DataFrame:
-    """doc_id, text, toxic and weight of the bounded sample outside the held-out fold."""
-    known = labels.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, modulus: int = 4, fold: int = 2) -> DataFrame:
+    """doc_id, text, toxic and weight of the bounded sample outside the held-out fold.
+
+    About ``most`` documents of each label, and of these, in a hashed order, those that fit into ``most_bytes``;
+    a document with more than a sixteenth of that is never among them.
+    """
+    known = labels.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded(known.filter(id_fold("doc_id", modulus) != fold), "toxic", most, F.col("doc_id"))
     # at most about 2 * most rows, whatever the size of the tables
-    return slim(docs).join(F.broadcast(chosen), "doc_id")
+    found = written(slim(docs).join(F.broadcast(chosen), "doc_id"), "labelled")
+    sizes = found.groupBy("doc_id", "toxic", "weight").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("bytes"), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = sizes.filter(F.col("n_bytes") <= most_bytes // 16).withColumn("upto", F.sum("n_bytes").over(order)).filter(F.col("upto") <= most_bytes)
+    all_of, kept_of = sizes.groupBy("toxic").agg(F.sum("weight").alias("all")), fits.groupBy("toxic").agg(F.sum("weight").alias("kept"))
+    scale = all_of.join(F.broadcast(kept_of), "toxic").select("toxic", (F.col("all") / F.col("kept")).alias("scale"))  # two rows
+    kept = fits.select("doc_id", "toxic").join(F.broadcast(scale), "toxic").select("doc_id", "scale")
+    return found.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "toxic", (F.col("weight") * F.col("scale")).alias("weight"))
 
 
 def _associations(sample: DataFrame) -> DataFrame:
@@ -98,13 +113,13 @@ def _bags(sample: DataFrame, features: list[str]) -> DataFrame:
     return sample.mapInArrow(run, "toxic int, weight double, bags array<array<int>>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int = 4096, least_documents: float = 4.0, lift: float = 4.0, steps: int = 400, rate: float = 0.1, pull: float = 3e-4) -> Model:
-    """Fit the sentence model on at most about ``most`` documents of each label.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_bytes: int = 128 << 20, features: int = 4096, least_documents: float = 4.0, lift: float = 4.0, steps: int = 400, rate: float = 0.1, pull: float = 3e-4) -> Model:
+    """Fit the sentence model on at most about ``most`` documents, and ``most_bytes``, of each label.
 
     Weights start at, and are pulled (by ``pull``) towards, the features' log lift shared among a word's
     features: a word that always comes with a stronger one would else be left without a weight.
     """
-    sample = written(training_rows(docs, labels, most), "toxicity")
+    sample = written(training_rows(docs, labels, most, most_bytes), "toxicity")
     totals = {r["toxic"]: r["w"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
     if not totals.get(0) or not totals.get(1):
         return Model({}, -np.inf)
@@ -112,15 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int =
     names = list(prior)
     table = _bags(sample, names).toArrow()
     label, weight = (table.column(x).to_numpy().astype(float) for x in ("toxic", "weight"))
-    docs_of, feature = [], []
-    sentence, n = [], 0
-    for d, bags in enumerate(table.column("bags").to_pylist()):
-        for bag in bags:
-            docs_of.append(d)
-            sentence += [n] * len(bag)
-            feature += bag
-            n += 1
-    docs_of, feature, sentence = np.array(docs_of, int), np.array(feature, int), np.array(sentence, int)
+    per_doc = table.column("bags").combine_chunks()
+    per_sentence = per_doc.flatten()
+    feature = per_sentence.flatten().to_numpy().astype(int)
+    n = len(per_sentence)
+    docs_of = np.repeat(np.arange(len(label)), pc.list_value_length(per_doc).to_numpy().astype(int))
+    sentence = np.repeat(np.arange(n), pc.list_value_length(per_sentence).to_numpy().astype(int))
     start = np.append(np.array([prior[x] for x in names]) / (1 + len(PREFIXES)), -6.0)
     theta = start.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -140,35 +152,56 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int =
 
 def score_text(text: str, weight_of: Memory, bias: float, threshold: float) -> tuple[float, int, list[dict]]:
     """Noisy-or score, sentences, and the spans (in code points) of the sentences that reach the threshold."""
-    sums = [sum(map(weight_of.__getitem__, s.split())) for s in _SPLIT.split(text.lower())]
+    words = [x for s in _SPLIT.split(text.lower()) if (x := s.split())]
     if bias == -np.inf:
-        return 0.0, len(sums), []
-    z = np.array([x for x in sums if x]) + bias
-    found = []
-    if len(z) and z.max() >= np.log(threshold / (1 - threshold)):
+        return 0.0, len(words), []
+    known = [w for s in words if (w := [x for x in map(weight_of.__getitem__, s) if x is not None])]
+    z = np.array([sum(x) for x in known]) + bias
+    found, least = [], np.log(threshold / (1 - threshold))
+    if len(z) and z.max() >= least:
         for span in _SENTENCE.finditer(text):
-            p = 1 / (1 + np.exp(-(bias + sum(map(weight_of.__getitem__, span[0].lower().split())))))
-            if p >= threshold:
-                found.append({"start": span.start(), "end": span.end(), "score": float(p)})
-    return float(-np.expm1(-np.logaddexp(0, z).sum())), len(sums), found
+            w = [x for x in map(weight_of.__getitem__, span[0].lower().split()) if x is not None]
+            if w and bias + sum(w) >= least:
+                found.append({"start": span.start(), "end": span.end(), "score": float(1 / (1 + np.exp(-bias - sum(w))))})
+    return float(-np.expm1(-np.logaddexp(0, z).sum())), len(words), found
+
+
+def scorer(model: Model, threshold: float) -> Callable[[list[bytes]], list[tuple[float, int, list[dict]]]]:
+    """For one task: a function from texts to what :func:`score_text` says of each."""
+    memory = Memory(model.word_weight)
+
+    def score(texts: list[bytes]) -> list[tuple[float, int, list[dict]]]:
+        out = []
+        for text in texts:
+            out.append(score_text(text.decode("utf-8", "replace"), memory, model.bias, threshold))
+            memory.trim()
+        return out
+
+    return score
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, modulus: int = 4, fold: int = 2) -> DataFrame:
     """Score every whole text: doc_id, held_out, score, predicted, n_sentences and the offending sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(model.word_weight)
+        of = scorer(model, threshold)
         for batch in batches:
-            found, held = [], []
-            for doc_id, text in rows(batch):
-                found.append(score_text(text.decode("utf-8", "replace"), memory, model.bias, threshold))
-                held.append(fold_of(doc_id, modulus) == fold)
-                if len(memory.new) > 50_000:
-                    memory.trim()
-            score, n, spans = zip(*found, strict=True) if found else ((), (), ())
+            ids = batch.column("doc_id")
+            score, n, spans = zip(*found, strict=True) if (found := of(batch.column("text").to_pylist())) else ((), (), ())
+            held = [fold_of(x, modulus) == fold for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(score, pa.float64()), pa.array([int(x >= threshold) for x in score], pa.int32()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))],
+                [ids, pa.array(held, pa.bool_()), pa.array(score, pa.float64()), pa.array([int(x >= threshold) for x in score], pa.int32()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))],
                 names=["doc_id", "held_out", "score", "predicted", "n_sentences", "offending"],
             )
 
     return slim(docs).mapInArrow(run, SCORES)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score below ``threshold``; each row by its own text, whatever its identifier."""
+
+    def keep() -> Callable[[list[bytes]], list[bool]]:
+        of = scorer(model, threshold)
+        return lambda texts: [x < threshold for x, _, _ in of(texts)]
+
+    return chosen_rows(docs, keep)

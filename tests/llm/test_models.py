@@ -242,6 +242,58 @@ def test_toxicity_learns_from_documents_and_finds_sentences(spark):
     assert next(r for r in got if r.doc_id == 903).predicted == 0
 
 
+def noisy_or_plainly(text, model, threshold):
+    """Score, number of sentences and the sentences that reach the threshold, from the weights alone."""
+    parts, now = [], ""
+    for c in text or "":
+        if c in ".!?\n":
+            parts.append(now)
+            now = ""
+        else:
+            now += c
+    miss, n, found = 1.0, 0, []
+    for sentence in [*parts, now]:
+        n += bool(sentence.split())
+        known = [model.weights[f] for w in sentence.lower().split() for f in toxicity.word_features(w) if f in model.weights]
+        if known:
+            p = 1 / (1 + math.exp(-model.bias - sum(known)))
+            miss *= 1 - p
+            if p >= threshold:
+                found.append(sentence)
+    return 1 - miss, n, found
+
+
+def test_noisy_or_agrees_with_plain_products(spark):
+    docs, labels = toxic_docs()
+    odd = [(900, None), (901, ""), (902, "?!.\n"), (903, "swine. " * 3), (904, "swine\nvermin! house?Swine. "), (905, "«swine» house"), (905, "«swine» house")]
+    df = spark.createDataFrame([*docs, *odd], "doc_id long, text string").repartition(3)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), least_documents=2)
+    got = toxicity.toxicity(df, model).collect()
+    text = dict([*docs, *odd])
+    for r in got:
+        score, n, found = noisy_or_plainly(text[r.doc_id], model, 0.3)
+        assert r.score == pytest.approx(score, abs=1e-9) and r.n_sentences == n
+        assert [text[r.doc_id][x.start : x.end] for x in r.offending] == found
+    assert next(r for r in got if r.doc_id == 903).n_sentences == 3 and len(got) == len(docs) + len(odd)
+
+
+def test_known_words_that_cancel_out_are_evidence():
+    model = toxicity.Model({"up$": 2.0, "down$": -2.0}, -1.0)
+    score, n, _ = toxicity.scorer(model, 0.3)([b"up down. else"])[0]
+    assert score == pytest.approx(1 / (1 + math.e)) and n == 2
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * (20_000 if i % 10 == 0 else 40)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, 100_000, 16_000).collect()
+    for label in (0, 1):
+        own = [r for r in got if r.toxic == label]
+        assert 0 < sum(len(r.text) for r in own) <= 16_000 and all(fold(r.doc_id, 4) != 2 for r in own)
+        assert sum(r.weight for r in own) == pytest.approx(sum(i % 2 == label and fold(i, 4) != 2 for i in range(400)))
+    assert len(toxicity.training_rows(docs, labels, 100_000, 1 << 30).collect()) == sum(fold(i, 4) != 2 for i in range(400))
+
+
 def test_toxicity_without_examples(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -257,6 +309,83 @@ def test_held_out_language(spark):
     assert got.filter("score < 0 or score > 1").count() == 0
 
 
+def language_plainly(text, model, penalty):
+    """The chosen languages' shares and the score, one word and one step at a time."""
+    logs = []
+    for word in (text or "").lower().split():
+        word = word.strip(langid._EDGE)
+        if any(c.isalpha() for c in word):
+            raw, total = f" {word} ".encode(), np.zeros(len(model.languages))
+            for n, table in zip(langid.GRAMS, model.tables, strict=True):
+                for k in range(len(raw) - n + 1):
+                    key = (int.from_bytes(raw[k : k + n], "big") + n) * 0x9E3779B97F4A7C15 % 2**64 >> 48
+                    total += table[key].astype(float)
+            logs.append(total / len(langid.GRAMS))
+    if not logs:
+        return {}, 0.0, "und"
+    p = np.exp([x - x.max() for x in logs])
+
+    def mixture(among):
+        share = np.array([1 / len(among) if k in among else 0.0 for k in range(len(model.languages))])
+        for _ in range(12):
+            r = p * share
+            share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share, float(np.log((p * share).sum(axis=1)).sum())
+
+    every, _ = mixture(set(range(len(model.languages))))
+    order = sorted(range(len(model.languages)), key=lambda k: -every[k])
+    first = int(np.log(p).sum(axis=0).argmax())
+    chosen, best = np.eye(len(model.languages))[first], float(np.log(p).sum(axis=0)[first])
+    for size in range(2, len(order) + 1):
+        share, value = mixture(set(order[:size]))
+        if value - best <= penalty * math.log(max(len(logs), 2)):
+            break
+        chosen, best = share, value
+    return {model.languages[k]: x for k, x in enumerate(chosen) if x > 0}, float(every[chosen.argmax()]), model.languages[int(chosen.argmax())]
+
+
+def test_mixtures_agree_with_plain_steps(spark):
+    tongues = {"en": "the house and the river were under the green tree", "de": "der hund und die katze sind unter dem tisch", "fr": "la maison et le fleuve sont sous les arbres verts"}
+    random.seed(8)
+    some = lambda lang, n: " ".join(random.choices(tongues[lang].split(), k=n))
+    rows = [(i, some(lang, 12), lang) for i in range(90) for lang in [list(tongues)[i % 3]]]
+    rows += [(200 + i, some("en", random.randint(0, 20)) + " " + some("de", random.randint(0, 20)) + " " + some("fr", random.randint(0, 6)) + " 12 «Haus» x", None) for i in range(60)]
+    rows += [(300, None, "en"), (301, "7 ! 8", None), (302, "same", None), (302, "same", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    text = {i: t for i, t, _ in rows}
+    got = langid.identify(df, model).collect()
+    several = 0
+    for r in got:
+        shares, score, lang = language_plainly(text[r.doc_id], model, 2.0)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+        assert {x.lang: x.share for x in r.languages} == pytest.approx(shares, abs=1e-4)
+        several += len(shares) > 1
+    assert several > 10 and len(got) == len(rows)
+
+
+def test_tables_are_the_counts_of_the_training_rows(spark):
+    rows = [(i, "ab ab, cd" if i % 2 else "xy", "b" if i % 2 else "a") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = [r for r in rows if fold(r[0], 4) != 2]
+    n_a, n_b = sum(r[2] == "a" for r in own), sum(r[2] == "b" for r in own)
+    # bigrams of " xy ": 3; of " ab " twice and " cd ": 9
+    for lang, total, most in ((0, 3 * n_a, n_a), (1, 9 * n_b, 2 * n_b)):
+        share = np.exp(model.tables[0][:, lang].astype(float))
+        assert share.sum() == pytest.approx(1, abs=1e-3)
+        assert share.max() == pytest.approx((most + 0.5) / (total + 0.5 * langid.BUCKETS), rel=1e-3)
+
+
+def test_of_equal_languages_the_first_by_name(spark):
+    rows = [(i, "same words here", "zz" if i % 2 else "aa") for i in range(40)]
+    rows = [r for r in rows if fold(r[0], 4) != 2]
+    n = min(sum(r[2] == x for r in rows) for x in ("aa", "zz"))
+    even = [r for x in ("aa", "zz") for r in [y for y in rows if y[2] == x][:n]]
+    df = spark.createDataFrame(even, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(df, langid.fit(df)).collect()} == {"aa"}
+    assert langid.fit(df, most_languages=1).languages == ("aa",)
+
+
 def test_language_cases(spark):
     en, de = "the house and the river were under the green tree ", "der hund und die katze sind unter dem tisch "
     rows = [(i, random.choice([en, en.upper()]) if i % 2 else de, "en" if i % 2 else "de") for i in range(80)]

@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from millrace.llm import packing, sp_codec, token_counts
-from millrace.llm.cutting_stock import plan
+from millrace.llm.cutting_stock import plan, solve
 from millrace.llm.queries import how_to_pack
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,6 +61,60 @@ def test_counts_equal_the_unigram_model(spark):
         assert got[i].n_tokens == len(ref.encode(t or "", add_special_tokens=False).ids), t
 
 
+def counted_plainly(text, v):
+    """The best score of all segmentations and its pieces, by every start of every end; ties go to the earliest start."""
+    if not text:
+        return 0, 0, 0.0
+    text = text.replace(" ", "▁")
+    text = text if text[0] == "▁" else "▁" + text
+    score = {p: v.scores[i] for i, p in enumerate(v.pieces)}
+    unknown, total, tokens = min(v.scores) - 10, 0.0, 0
+    for word in ["▁" + w for w in text[1:].split("▁")]:
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            options = [(best[a][0] + score[word[a:end]], best[a][1] + 1) for a in range(end) if word[a:end] in score]
+            if word[end - 1] not in score:
+                options.append((best[end - 1][0] + unknown, best[end - 1][1] + len(word[end - 1].encode())))
+            top = max(x for x, _ in options)
+            best.append(next(x for x in options if x[0] == top))
+        total, tokens = total + best[-1][0], tokens + best[-1][1]
+    return tokens, text.count("▁"), total
+
+
+def test_counts_agree_with_all_segmentations(spark):
+    v = token_counts.Vocabulary(MODEL)
+    rows = [(None, "null id"), (1, "twice"), (1, "twice"), *((k + 2, t) for k, t in enumerate(texts(150)) if len(t or "") < 500)]
+    df = spark.createDataFrame([(i, t, 0, 0.5) for i, t in rows], "doc_id long, text string, n_tokens int, score double").repartition(2)
+    got = sorted((tuple(r) for r in token_counts.token_counts(df, MODEL).collect()), key=str)
+    assert got == sorted([(i, *counted_plainly(t, v)) for i, t in rows], key=str)
+    assert token_counts.token_counts(df.limit(0), MODEL).columns == ["doc_id", "n_tokens", "n_words", "score"] and token_counts.token_counts(df.limit(0), MODEL).count() == 0
+
+
+def test_memory_is_bounded_in_entries_and_bytes():
+    from millrace.llm.common import Memory
+
+    held = Memory(len)
+    held.ENTRIES, held.BYTES = 10, 100
+    assert [held["x" * 30] for _ in range(3)] == [30] * 3 and held.new == ["x" * 30] and held.held == 30
+    held.trim()
+    assert len(held) == 1 and not held.new
+    assert held["y" * 80] == 80
+    held.trim()
+    assert not held and held.held == 0
+    assert [held[str(k)] for k in range(11)] and len(held) == 11
+    held.trim()
+    assert not held
+
+
+def test_a_disagreeing_chunk_gives_the_library_s_identifiers():
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = sp_codec.Codec(MODEL)
+    codec._ids = lambda chunk: ([5], "5")  # an encoder that is wrong
+    codec.known.compute = codec._ids
+    texts = ["the river. the house", ""]
+    assert list(codec.encode(texts)) == [([*lib.encode(t), lib.eos_id()], " ".join(map(str, [*lib.encode(t), lib.eos_id()])), not t) for t in texts]
+
+
 def test_ranks_equal_the_json_vocabulary():
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     lib.encode_special_tokens = True
@@ -92,6 +146,11 @@ def test_plan_places_every_item_once(kind):
         assert at == origin
     if len(length) > 1000:
         assert length.sum() / 2048 / n > 0.985
+    # against the linear program: no plan needs fewer sequences than its bound, this one few more than its value
+    patterns, _ = solve(counts, 256, 8)
+    value = sum(times for _, times in patterns)
+    assert all(sum(a * (k + 1) for k, a in enumerate(p)) <= 256 for p, _ in patterns)
+    assert size.sum() / 256 <= value * (1 + 1e-6) and value * (1 - 5e-3) - 1 <= n <= value * 1.01 + len(patterns)
 
 
 def test_pieces(spark):
