@@ -81,12 +81,10 @@ def slim(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 class Memory(dict):
     """Results by key (a word or chunk), for one worker; a missing one is computed, and listed in ``new``."""
 
-    #: Entries and bytes of keys held before it starts anew. The results are of the order of their keys.
-    ENTRIES, BYTES = 500_000, 64 << 20
-
-    def __init__(self, compute: Callable) -> None:
+    def __init__(self, compute: Callable, entries: int = 250_000, size: int = 16 << 20) -> None:
+        """It starts anew beyond ``entries`` or ``size`` bytes of keys; the results are of the order of their keys."""
         super().__init__()
-        self.compute, self.new, self.held = compute, [], 0
+        self.compute, self.entries, self.size, self.new, self.held = compute, entries, size, [], 0
 
     def __missing__(self, key: str):
         found = self[key] = self.compute(key)
@@ -97,7 +95,7 @@ class Memory(dict):
     def trim(self) -> None:
         """To be called between texts: what a text has brought is held until then."""
         self.new.clear()
-        if len(self) > self.ENTRIES or self.held > self.BYTES:
+        if len(self) > self.entries or self.held > self.size:
             self.clear()
             self.held = 0
 

@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Bytes per n-gram, and buckets of the table of each.
 GRAMS, BUCKETS = (2, 4), 1 << 16
 #: Words whose likelihoods a worker remembers, and words taken through expectation-maximisation at once.
-MEMORY, CHUNK = 400_000, 200_000
+MEMORY, CHUNK = 150_000, 50_000
 PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
 _EDGE = "\"'`()[]{}<>,;:-_*#…«»“”‘’¡¿.!?0123456789"
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ROW, numbered, rows, slim, small, written
+from millrace.llm.common import ROW, numbered, slim, small, written
 from millrace.llm.components import connected_components
 from millrace.llm.shingles import Digests, band_keys, exact_sets, shingle_hashes, sketch
 
@@ -42,13 +42,19 @@ def sketches(df: DataFrame, words: int, bands: int, rows_per_band: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests()
-        for batch in batches:
-            out = []
-            for one, other in shingle_hashes([x for _, x in rows(batch)], words, digests):
-                digest = np.frombuffer(hashlib.blake2b(one.tobytes() + other.tobytes(), digest_size=16).digest(), np.int64)
-                out.append((max(len(one), len(other)), *digest.tolist(), band_keys(sketch(one, bands * rows_per_band), bands) if len(one) else []))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], names=[x.split()[0] for x in SKETCHES.split(", ")])
+        names = [x.split()[0] for x in SKETCHES.split(", ")]
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                sizes, sets, keys = [], [], []
+                for one, other in shingle_hashes(batch.column("text").to_pylist(), words, digests):
+                    sizes.append(max(len(one), len(other)))
+                    sets.append(hashlib.blake2b(one.tobytes() + other.tobytes(), digest_size=16).digest())
+                    keys.append(band_keys(sketch(one, bands * rows_per_band), bands) if len(one) else np.empty(0, np.int64))
+                halves = np.frombuffer(b"".join(sets), np.int64).reshape(-1, 2)
+                begins = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists], names=names)
 
     return df.mapInArrow(run, SKETCHES)
 

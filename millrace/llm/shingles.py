@@ -11,7 +11,7 @@ import numpy as np
 U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 #: Bytes of text that are taken apart at once, and of words whose digests a worker remembers.
-CHUNK_BYTES, MEMORY_BYTES = 1 << 20, 64 << 20
+CHUNK_BYTES, MEMORY_BYTES = 1 << 19, 24 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -62,7 +62,7 @@ class Codec:
         self.order = {p: places[v.scores[i]] for p, i in v.ids.items()}
         self.cut = v.chunker(list(v.ids), "*")
         self.end = v.library.eos_id()
-        self.known = Memory(self._ids)
+        self.known = Memory(self._ids, 500_000, 48 << 20)
         #: Of the chunks in memory those that the library encodes otherwise.
         self.differ: set[str] = set()
 

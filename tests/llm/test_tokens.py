@@ -93,8 +93,7 @@ def test_counts_agree_with_all_segmentations(spark):
 def test_memory_is_bounded_in_entries_and_bytes():
     from millrace.llm.common import Memory
 
-    held = Memory(len)
-    held.ENTRIES, held.BYTES = 10, 100
+    held = Memory(len, 10, 100)
     assert [held["x" * 30] for _ in range(3)] == [30] * 3 and held.new == ["x" * 30] and held.held == 30
     held.trim()
     assert len(held) == 1 and not held.new
