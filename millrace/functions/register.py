@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import geo, text
 from millrace.operators import rules
 from millrace.sources import pages
 
 
+class CardsOf:
+    """A table function: the cards of a result page, one row each."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        for card in pages.parse_cards(html or ""):
+            yield tuple(card[c] for c in ("job_id", "url", "title", "company", "location", "posted_at"))
+
+
 def register_all(spark: SparkSession, prefix: str = "mr_") -> list[str]:
-    """Register the Arrow-batched functions; returns their SQL names."""
-    found = {"fold": text.fold_udf, "clean_text": text.clean_text, "work_mode": rules.classify_udf(), "page_cards": pages.cards_udf(), "page_description": pages.description_udf()}
+    """Register the Arrow-batched functions and the table function; returns their SQL names."""
+    found = {"fold": text.fold_udf, "clean_text": text.clean_text, "work_mode": rules.work_mode, "countries": geo.countries_in, "page_cards": pages.cards_udf(), "page_description": pages.description_udf()}
     for name, function in found.items():
         spark.udf.register(prefix + name, function)
-    return [prefix + name for name in found]
+    spark.udtf.register(prefix + "cards", F.udtf(CardsOf, returnType="job_id string, url string, title string, company string, location string, posted_at string"))
+    return [prefix + name for name in (*found, "cards")]

@@ -20,10 +20,10 @@ _MARKED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓ
 _PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyySsZz"
 
 # Endings of company names that name a legal form, as they read after folding.
-LEGAL_FORMS = ("ab", "ag", "as", "bv", "co", "corp", "gmbh", "inc", "kg", "limited", "llc", "ltd", "nv", "oy", "plc", "sa", "sarl", "sas", "sl", "spa", "srl")
+LEGAL_FORMS = ("srl", "srls", "spa", "sapa", "snc", "sas", "scarl", "gmbh", "ag", "kg", "ug", "ohg", "ltd", "limited", "llc", "llp", "lp", "inc", "incorporated", "corp", "corporation", "co", "company", "plc", "sa", "sl", "slu", "nv", "bv", "ab", "oy", "oyj", "as", "asa", "aps", "sarl", "sro", "zoo", "kft", "pty", "ehf")
 
 # Hosts of boards and feeds, which are not a company's own pages.
-BOARD_HOSTS = ("boards.greenhouse.io", "glassdoor.com", "indeed.com", "jobs.lever.co", "linkedin.com", "monster.com", "workable.com", "xing.com", "ziprecruiter.com")
+BOARD_HOSTS = ("linkedin.com", "himalayas.app", "freehire.me", "whatjobs.com", "jobgether.com", "indeed.com", "glassdoor.com", "adzuna.com", "adzuna.co.uk", "reed.co.uk", "remoteok.com", "weworkremotely.com", "workingnomads.com", "jobicy.com", "remotive.com", "arbeitnow.com", "themuse.com", "ziprecruiter.com", "talent.com", "jooble.org", "careerjet.com", "jobrapido.com", "trovolavoro.it", "infojobs.net", "monster.com", "wellfound.com", "jobs.workable.com", "jobleads.com")
 
 
 @F.pandas_udf(StringType())
@@ -168,9 +168,67 @@ def policy_excerpt(words: str, budget: int):
     return run
 
 
+def language_passes(text: Column, language: Column, allowed: tuple[str, ...], least: int = 40) -> Column:
+    """Whether a text is in an allowed language; short texts and unknown languages pass."""
+    return F.coalesce((F.length(text) < least) | language.isNull() | language.isin(*allowed), F.lit(True))
+
+
+#: Small words that tell languages apart.
+SMALL_WORDS = {
+    "en": ("the", "and", "of", "to", "with", "for", "is", "that", "are", "you", "was", "this"),
+    "es": ("el", "los", "las", "y", "que", "con", "para", "una", "por", "del", "es", "está"),
+    "it": ("il", "gli", "che", "di", "e", "con", "per", "una", "della", "sono", "è", "nel"),
+    "de": ("der", "die", "das", "und", "ist", "mit", "für", "nicht", "ein", "auf", "den", "von"),
+    "fr": ("le", "les", "et", "des", "une", "que", "dans", "pour", "est", "sur", "avec", "du"),
+}
+
+
+def detected_language(text: Column, least: int = 40, words: int = 2) -> Column:
+    """The language with most small words; null for short texts, fewer than ``words`` of them, and ties."""
+    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-zäöüßàèéìòùáíóúñâêîôûç]+", " "), " ")
+    count = lambda small: F.size(F.filter(parts, lambda w: w.isin(*small)))
+    found = {lang: count(small) for lang, small in SMALL_WORDS.items()}
+    top = F.greatest(*found.values())
+    several = sum(((n == top).cast("int") for n in found.values()), F.lit(0)) > 1
+    named = F.coalesce(*(F.when(n == top, lang) for lang, n in found.items()))
+    return F.when((F.length(F.coalesce(text, F.lit(""))) >= least) & (top >= words) & ~several, named)
+
+
+def is_title_only(description: Column, title: Column, company: Column) -> Column:
+    """Whether a description is nothing but the title and company that stand in for a missing one."""
+    return F.coalesce(F.trim(description) == F.concat(title, F.lit(" at "), company), F.lit(False))
+
+
+def description_status(status: Column, description: Column, title_only: Column) -> Column:
+    """An old status as one of the store's: a stand-in, a blank text or an unknown status has failed."""
+    blank = F.trim(F.coalesce(description, F.lit(""))) == ""
+    return F.when(title_only | blank, "failed").when(status.isNull() | status.isin("ok", "partial"), "ok").otherwise("failed")
+
+
+def prompt_text(description: Column, found: Column, budget: Column) -> Column:
+    """A description cut to its budget; with an excerpt (``found``) at its end, within the same budget, if it doesn't fit."""
+    tail = F.concat(F.lit("\n...\n"), found)
+    room = F.greatest(budget - F.length(tail), F.lit(0))
+    cut = F.when(F.coalesce(found, F.lit("")) == "", F.substring(description, F.lit(1), budget)).otherwise(F.substring(F.concat(F.substring(description, F.lit(1), room), tail), F.lit(1), budget))
+    return F.when(F.length(description) <= budget, description).otherwise(cut)
+
+
+def age_text(seconds: Column) -> Column:
+    """``45m`` or ``2h05m``; null for an unknown age."""
+    minutes = F.floor(seconds / 60)
+    return F.when(minutes >= 60, F.format_string("%dh%02dm", F.floor(minutes / 60), minutes % 60)).when(minutes.isNotNull(), F.format_string("%dm", minutes))
+
+
+def duration_text(start: Column, end: Column) -> Column:
+    """The time between two moments as an age; ``?`` if one is unknown."""
+    return F.coalesce(age_text(F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(start.cast("timestamp"))), F.lit("?"))
+
+
 def short_model(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, "^.*/", ""), "-[0-9]{8}$", "")
+    """The last part of a model's name, without the mark of a free offer."""
+    return F.regexp_replace(F.regexp_replace(name, "^.*/", ""), ":free$", "")
 
 
 def tokens_text(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    """Thousands from 1,000 on (halves to even), the number below, ``-`` if unknown."""
+    return F.coalesce(F.when(n >= 1000, F.concat(F.bround(n / 1000).cast("long").cast("string"), F.lit("k"))).otherwise(n.cast("string")), F.lit("-"))

@@ -82,3 +82,30 @@ def next_interval(base: Column, current: Column, stop: Column, empties: Column,
 
 def clamp_cadence(interval: Column, low: int, high: int) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), interval))
+
+
+def pulled_in(due: Column, walked: Column, hours: Column, stop: Column, unfinished: tuple[str, ...] = ("rate_limited", "throttled_empty", "error", "stopped")) -> Column:
+    """A slice's time after its interval has been clamped: not later than an interval after its walk, unless that walk wasn't finished."""
+    reached = walked + F.make_dt_interval(hours=hours.cast("int"))
+    return F.when(F.coalesce(stop.isin(*unfinished), F.lit(False)) | walked.isNull(), due).otherwise(F.least(due, reached))
+
+
+def overdue(first_seen: Column, now: Column, hours: int) -> Column:
+    """Whether the first of some rows waits for more than ``hours``; unknown counts as no."""
+    return F.coalesce(micros(now) - micros(first_seen) > hours * 3_600_000_000, F.lit(False))
+
+
+def delivery_due(now: Column, zone: str, from_hour: int) -> Column:
+    """The local day to deliver for, or null before its hour."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), now)
+    return F.when(F.hour(local.cast("timestamp")) >= from_hour, F.to_date(local))
+
+
+def posted_window_days(last: Column, now: Column, first_days: int = 30) -> Column:
+    """Days that a pull looks back: ``first_days`` at first, then the whole days since the last pull and two, two at least."""
+    days = F.floor((micros(now) - micros(last)) / F.lit(86_400_000_000))
+    return F.when(last.isNull(), F.lit(first_days).cast("long")).otherwise(F.greatest(days + 2, F.lit(2).cast("long")))
+
+
+def started_before_today(started: Column, now: Column, zone: str) -> Column:
+    return local_day(started, zone) < local_day(now, zone)

@@ -6,13 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import share
+from millrace.operators.keys import joined
+
+
+def _step(value: Column) -> Column:
+    """A whole number that grows with ``value``: a few thousand of them for all doubles of a sign."""
+    return (F.signum(value) * F.floor(F.log2(1 + F.abs(value)) * 64)).cast("long")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Continuous percentiles by key, exactly, with no task that holds a key's values.
+
+    Values are counted by steps of their logarithm first. Only the steps in which a wanted rank falls are looked at
+    again, by counts of their distinct values. Nulls don't count.
+    """
+    own = df.filter(F.col(value).isNotNull()).withColumn("_step", _step(F.col(value)))
+    steps = own.groupBy(*keys, "_step").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_step")  # a bounded number of steps for each key
+    placed = steps.withColumns({"_before": F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_all") - 1)).alias("rank")) for name, p in shares.items()))
+    ranks = placed.withColumn("w", F.explode(wanted)).filter((F.ceil("w.rank") >= F.col("_before")) & (F.floor("w.rank") < F.col("_before") + F.col("_n")))
+    ranks = ranks.select(*keys, "_step", "w.name", "w.rank", "_before")
+    counted = own.groupBy(*keys, "_step", value).agg(F.count("*").alias("_many"))
+    inside = Window.partitionBy(*keys, "name", "_step").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = joined(counted, ranks, [*keys, "_step"]).withColumn("_end", F.col("_before") + F.sum("_many").over(inside))  # values at ranks _end - _many up to _end - 1
+    at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("_many")) & (rank < F.col("_end")), F.col(value).cast("double")))
+    both = found.groupBy(*keys, "name").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.max(F.col("rank") - F.floor("rank")).alias("f"))
+    each = both.withColumn("v", F.col("a") + F.col("f") * (F.col("b") - F.col("a")))
+    return each.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
 
 
 def latency_report(calls: DataFrame, keys: list[str], outcomes: list[str], latency: str = "latency") -> DataFrame:
     """Continuous p50 and p95 of the latency and one count per outcome."""
-    cents = F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95)))
-    found = calls.groupBy(*keys).agg(F.count("*").alias("calls"), cents.alias("c"), *(F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in outcomes))
-    return found.select(*keys, "calls", F.col("c")[0].alias("p50"), F.col("c")[1].alias("p95"), *(f"n_{o}" for o in outcomes))
+    counts = calls.groupBy(*keys).agg(F.count("*").alias("calls"), *(F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in outcomes))
+    found = percentiles(calls, keys, latency, {"p50": 0.5, "p95": 0.95})
+    return joined(counts, found, keys, "left").select(*keys, "calls", "p50", "p95", *(f"n_{o}" for o in outcomes))
+
+
+def attempts(runs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The values of each run's last attempt, and how many attempts there were. runs: keys, attempt."""
+    last = F.max_by(F.struct(*values), "attempt").alias("_last")
+    return runs.groupBy(*keys).agg(F.max("attempt").alias("attempts"), last).select(*keys, "attempts", *(F.col("_last")[v].alias(v) for v in values))
+
+
+def verdict_mix(calls: DataFrame, provider: str, counts: list[str]) -> DataFrame:
+    """Sums of verdict counts by provider; calls without one fall together."""
+    return calls.groupBy(F.coalesce(provider, F.lit("none")).alias(provider)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
+
+
+def answers_by_model(calls: DataFrame, key: str) -> DataFrame:
+    """Per stage: calls, calls without an answer, and the answers by model, the most frequent first, as ``model:n``."""
+    counts = calls.groupBy(key, "model").agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("model").isNotNull(), F.struct((-F.col("n")).alias("o"), "model"))))  # a row per model
+    text = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["model"], (-x["o"]).cast("string"))), " ")
+    return counts.groupBy(key).agg(F.sum("n").alias("calls"), F.coalesce(F.sum(F.when(F.col("model").isNull(), F.col("n"))), F.lit(0)).alias("unanswered"), text.alias("answers"))
 
 
 def stage_rows(calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,14 +75,30 @@ def fallback_share(calls: DataFrame, key: str, primary: Column, least: int = 5,
     return found.withColumn("fallback_share", share(F.col("other"), answered)).withColumn("warns", (answered >= least) & F.coalesce(F.col("fallback_share") > most, F.lit(False)))
 
 
-def limit_use(calls: DataFrame, keys: list[str], limit: float, tokens: str = "tokens", order: list[str] | None = None) -> DataFrame:
-    """Per key (a provider's UTC day): requests, tokens, share of the limit, and requests before it was reached."""
-    used = F.sum(tokens).over(Window.partitionBy(*keys).orderBy(*(order or ["at"])).rowsBetween(Window.unboundedPreceding, 0))
-    marked = calls.withColumn("used", used)
-    found = marked.groupBy(*keys).agg(F.count("*").alias("requests"), F.sum(tokens).alias("tokens"), F.count_if(F.col("used") <= limit).alias("within"))
+def limit_use(calls: DataFrame, keys: list[str], limit: float, tokens: str = "tokens", order: list[str] | None = None, at: str = "at") -> DataFrame:
+    """Per key (a provider's UTC day): requests, tokens, share of the limit, and requests before it was reached.
+
+    Tokens aren't negative. Hours are summed first, and only the hour in which the limit is reached is put in order.
+    """
+    order = order or [at]
+    hour = F.date_trunc("hour", F.col(at).cast("timestamp"))
+    hours = calls.withColumn("_hour", hour).groupBy(*keys, "_hour").agg(F.count("*").alias("n"), F.coalesce(F.sum(tokens), F.lit(0)).alias("s"))
+    ends = F.sum("s").over(Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, 0))  # a key's hours
+    placed = hours.withColumn("end", ends)
+    crossed = placed.filter((F.col("end") > limit) & (F.col("end") - F.col("s") <= limit)).select(*keys, "_hour", (F.col("end") - F.col("s")).alias("_start"))
+    used = F.col("_start") + F.sum(F.coalesce(tokens, F.lit(0))).over(Window.partitionBy(*keys, "_hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    last = joined(calls.withColumn("_hour", hour), crossed, [*keys, "_hour"]).withColumn("used", used).groupBy(*keys).agg(F.count_if(F.col("used") <= limit).alias("_part"))
+    found = placed.groupBy(*keys).agg(F.sum("n").alias("requests"), F.sum("s").alias("tokens"), F.coalesce(F.sum(F.when(F.col("end") <= limit, F.col("n"))), F.lit(0)).alias("_whole"))
+    found = joined(found, last, keys, "left").withColumn("within", F.col("_whole") + F.coalesce("_part", F.lit(0))).drop("_whole", "_part")
     return found.withColumn("limit_share", F.col("tokens") / F.lit(float(limit)))
 
 
+def may_call(use: DataFrame, stop_line: int, share: float | None = None, requests: str = "requests", stage_requests: str = "stage_requests") -> DataFrame:
+    """Whether a stage may call today: all requests under the stop line, and the stage's own under its share of it."""
+    own = F.lit(True) if share is None else F.col(stage_requests) < F.floor(F.lit(stop_line) * F.lit(share))
+    return use.withColumn("may_call", (F.col(requests) < stop_line) & own)
+
+
 def additive_upsert(state: DataFrame, news: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Totals by key of what was there and what came; one shuffle on the key."""
     return state.select(*keys, *values).unionByName(news.select(*keys, *values)).groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))

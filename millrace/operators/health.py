@@ -40,3 +40,8 @@ def ledger(issues: DataFrame, repeat_s: float) -> DataFrame:
 
     timed = issues.select("key", (micros("at") / 1e6).alias("t"), "event_id").repartition("key").sortWithinPartitions("key", "t", "event_id")
     return timed.mapInPandas(fold, "key string, event_id long, sent boolean")
+
+
+def cleared(issues: DataFrame, open_alerts: DataFrame) -> DataFrame:
+    """Alerts that were sent and whose issue is gone: each leaves one note of recovery, and its ledger row. issues: key; open_alerts: key, sent_at."""
+    return open_alerts.join(issues.select("key").distinct(), "key", "left_anti").select("key", "sent_at", F.lit("recovered").alias("note"))

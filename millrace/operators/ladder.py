@@ -40,6 +40,7 @@ class Policy:
     cooldown_cap: float = 86_400.0
     quiet_day_requests: int = 100
     least_demand: int = 250
+    ease_demand: int = 250
     climb_demand: int = 1000
     ease_every: float = 3600.0
     ceiling_24h: int = 5000
@@ -72,30 +73,47 @@ class Signals:
     age: float = 0.0
 
 
+@dataclass
+class Stint:
+    """Requests since a level was entered; the cooldown is remembered beyond that."""
+
+    requests: int = 0
+    refused: int = 0
+    clean: int = 0
+    seconds: float = 0.0
+    last_at: float | None = None
+    blocked_until: float = 0.0
+    cooldown: float | None = None
+
+    @property
+    def rate(self) -> float:
+        """Clean answers per hour."""
+        return self.clean * 3600 / self.seconds if self.seconds else 0.0
+
+
 @dataclass
 class State:
     level: int = 1
     active: bool = False
     day: int | None = None
+    #: The latest outcomes at this level, neutral ones too.
     trailing: list[str] = field(default_factory=list)
-    row: int = 0
-    stints: dict[str, list[float]] = field(default_factory=dict)
-    last_at: float | None = None
-    blocked_until: dict[str, float] = field(default_factory=dict)
-    cooldowns: dict[str, float] = field(default_factory=dict)
+    stints: dict[str, Stint] = field(default_factory=dict)
     hold_until: float = 0.0
     hours: dict[str, int] = field(default_factory=dict)
     requests_today: int = 0
     refusals_today: int = 0
-    fell_today: bool = False
-    fast_climb_day: int | None = None
-    braking: bool = False
+    trouble_today: bool = False
+    fast_climbs_today: int = 0
+    connection_blocks: list[float] = field(default_factory=list)
+    #: Of a brake: since when its episode lasts (null: no brake), and clean answers since the last block or refusal.
+    brake_since: float | None = None
     brake_clean: int = 0
-    blocks: list[float] = field(default_factory=list)
-    episode_from: float | None = None
-    episode_clean: int = 0
     paused_day: int | None = None
-    eased_at: float = -1e18
+    eased_at: float | None = None
+
+    def stint(self, level: int) -> Stint:
+        return self.stints.setdefault(str(level), Stint())
 
     def json(self) -> str:
         return json.dumps(asdict(self))
@@ -105,7 +123,9 @@ class State:
         """The state of a JSON text; anything that can't be read starts anew."""
         try:
             known = json.loads(text or "{}")
-            return cls(**{k: v for k, v in known.items() if k in cls.__dataclass_fields__})
+            out = cls(**{k: v for k, v in known.items() if k in cls.__dataclass_fields__})
+            out.stints = {k: Stint(**v) for k, v in out.stints.items()}
+            return out
         except (ValueError, TypeError, AttributeError):
             return cls()
 
@@ -122,143 +142,161 @@ def rolling(s: State, now: float) -> int:
     return sum(n for h, n in s.hours.items() if int(h) >= now // 3600 - 24)
 
 
-def _rate(stint: list[float] | None) -> float:
-    return stint[0] * 3600 / stint[2] if stint and stint[2] else 0.0
+def _enter(s: State, level: int) -> None:
+    """A level begins anew: nothing of its last stint counts but its cooldown."""
+    s.level, s.trailing = level, []
+    s.stints[str(level)] = Stint(cooldown=s.stint(level).cooldown)
+
 
+def _refused_share(s: State) -> float:
+    return s.trailing.count("refused") / len(s.trailing) if s.trailing else 0.0
 
-def _move(s: State, to: int) -> None:
-    s.level, s.trailing, s.row = to, [], 0
-    s.stints[str(to)] = [0, 0, 0.0]
+
+def _refused_in_a_row(s: State) -> int:
+    return next((k for k, x in enumerate(reversed(s.trailing)) if x != "refused"), len(s.trailing))
+
+
+def _brake(s: State, p: Policy, now: float, day: int) -> str:
+    """A block: to level 1 until enough clean answers come. One that goes on although few came pauses the day."""
+    clean = s.brake_clean if s.brake_since is not None else 0
+    if s.brake_since is None or clean >= p.episode_clean:
+        s.brake_since, s.trouble_today = now, True
+    if s.level > p.hold_level:
+        s.hold_until = now + p.hold
+    s.brake_clean = 0
+    _enter(s, 1)
+    if now - s.brake_since >= p.episode and clean < p.episode_clean:
+        s.paused_day = day
+        return "paused for the day"
+    return "brake"
 
 
 def _fall(s: State, p: Policy, now: float, levels: int) -> None:
-    at = str(s.level)
-    wait = s.cooldowns.get(at, p.cooldown)
-    s.blocked_until[at] = now + wait
-    s.cooldowns[at] = min(p.cooldown_cap, wait * 2)
+    own = s.stint(s.level)
+    wait = p.cooldown if own.cooldown is None else own.cooldown
+    own.blocked_until, own.cooldown = now + wait, min(p.cooldown_cap, wait * 2)
     to = max(1, s.level - levels)
     if s.level > p.hold_level:
         to, s.hold_until = min(to, p.hold_level), now + p.hold
-    s.fell_today = True
-    _move(s, to)
+    s.trouble_today = True
+    _enter(s, to)
 
 
-def blocker(s: State, p: Policy, sig: Signals, now: float) -> str | None:
+def blocker(s: State, p: Policy, sig: Signals, now: float, throughput: bool = True) -> str | None:
     """Why the next level can't be had yet; None if nothing stands against it."""
-    to, stint = s.level + 1, s.stints.get(str(s.level), [0, 0, 0.0])
+    to, stint = s.level + 1, s.stint(s.level)
     if not s.active or s.paused_day is not None:
         return "inactive"
-    if s.braking:
+    if s.brake_since is not None:
         return "braking"
     if s.level >= p.top:
         return "top"
     if to > p.hold_level:
         if rolling(s, now) >= p.ceiling_24h:
             return "ceiling"
-        if s.fast_climb_day == s.day:
+        if s.fast_climbs_today:
             return "one fast climb a day"
         if now < s.hold_until:
             return "hold"
-        if stint[0] < p.fast_climb_requests:
+        if stint.requests < p.fast_climb_requests:
             return "requests"
-        if p.speed(to) > p.fast_budget_speed and sig.model_requests >= p.fast_budget_share * p.model_stop:
+        if p.speed(to) > p.fast_budget_speed + 1e-9 and sig.model_requests >= round(p.fast_budget_share * p.model_stop):
             return "model budget"
-    if stint[0] < p.climb_requests:
+    if stint.requests < p.climb_requests:
         return "requests"
-    if now < s.blocked_until.get(str(to), 0.0):
+    if now < s.stint(to).blocked_until:
         return "cooldown"
     if sig.age > p.stale:
         return "stale signals"
-    if wilson(stint[1], stint[0]) >= p.wilson:
+    if wilson(stint.refused, stint.requests) >= p.wilson:
         return "refusals"
-    if s.row or s.trailing.count("refused") >= p.calm_share * max(1, len(s.trailing)):
+    if _refused_share(s) >= p.calm_share or "refused" in s.trailing[-p.fall_row :]:
         return "not calm"
     if sig.demand < p.climb_demand:
         return "demand"
     if sig.model_requests >= p.model_stop:
         return "model stop"
-    lower = s.stints.get(str(s.level - 1))
-    if lower and lower[0] >= p.climb_requests and _rate(stint) <= _rate(lower):
-        return "no faster"
+    if throughput and s.level > 1:
+        lower = s.stint(s.level - 1)
+        if lower.requests >= p.climb_requests and stint.rate <= lower.rate:
+            return "no faster"
     return None
 
 
-def step(s: State, now: float, day: int, outcome: str, p: Policy, sig: Signals) -> str:
+def _count(s: State, p: Policy, now: float, outcome: str) -> None:
+    s.trailing = [*s.trailing, outcome][-p.trailing :]
+    s.requests_today += 1
+    s.refusals_today += outcome == "refused"
+    hour = str(int(now // 3600))
+    s.hours = {h: n for h, n in s.hours.items() if int(h) >= now // 3600 - 24}
+    s.hours[hour] = s.hours.get(hour, 0) + 1
+    if s.brake_since is None:
+        stint = s.stint(s.level)
+        if stint.last_at is not None:
+            stint.seconds += min(p.gap_cap, max(0.0, now - stint.last_at))
+        stint.last_at = now
+        stint.requests += 1
+        stint.refused += outcome == "refused"
+        stint.clean += outcome == "clean"
+
+
+def step(s: State, now: float, day: int, outcome: str, p: Policy, sig: Signals, block: str | None = None, throughput: bool = True) -> str:
     """Fold one event into the state and say what it did.
 
-    ``outcome`` is clean, refused, neutral, or block:<kind>. The order of the checks is part of the contract.
+    ``outcome`` is clean or refused, and anything else is neutral; ``block`` the kind of a block signal that came with
+    it. The order of the checks is part of the contract.
     """
+    if outcome not in ("clean", "refused"):
+        outcome = "neutral"
     if not p.enabled:
-        s.__dict__.update(State().__dict__)
+        s.active, s.level, s.trailing, s.brake_since, s.paused_day = False, 1, [], None, None
         return "off"
     if s.paused_day is not None:
         if s.paused_day == day:
             return "paused"
-        s.paused_day, s.braking, s.episode_from = None, False, None
-        _move(s, 1)
-    s.active = True
+        s.paused_day = s.brake_since = None
+        _enter(s, 1)
+    if not s.active:
+        s.active, s.level, s.trailing = True, 1, []
     if s.day != day:
-        if s.day is not None and s.requests_today >= p.quiet_day_requests and not s.fell_today:
-            s.cooldowns = {k: max(p.cooldown, v / 2) for k, v in s.cooldowns.items()}
-        s.day, s.requests_today, s.refusals_today, s.fell_today = day, 0, 0, False
-    kind = outcome.partition(":")[2]
-    s.requests_today += 1
-    hour = str(int(now // 3600))
-    s.hours[hour] = s.hours.get(hour, 0) + 1
-    s.hours = {h: n for h, n in s.hours.items() if int(h) >= now // 3600 - 24}
-    if outcome in ("clean", "refused"):
-        s.trailing = [*s.trailing, outcome][-p.trailing :]
-        s.row = s.row + 1 if outcome == "refused" else 0
-    s.refusals_today += outcome == "refused"
-    if not s.braking:
-        stint = s.stints.setdefault(str(s.level), [0, 0, 0.0])
-        stint[0] += 1
-        stint[1] += outcome == "refused"
-        stint[2] += min(p.gap_cap, max(0.0, now - s.last_at)) if s.last_at is not None else 0.0
-    s.last_at = now
-    if kind:
-        if kind == "connection":
-            s.blocks = [t for t in [*s.blocks, now] if now - t <= p.connection_window]
-            if len(s.blocks) < p.connection_blocks:
-                return "block noted"
-        if s.episode_from is None:
-            s.episode_from = now
-        elif now - s.episode_from >= p.episode and s.episode_clean < p.episode_clean:
-            s.paused_day = day
-        s.episode_clean = 0
-        if s.level > p.hold_level:
-            s.hold_until = now + p.hold
-        s.braking, s.brake_clean, s.fell_today = True, 0, True
-        _move(s, 1)
-        return "paused for the day" if s.paused_day is not None else "brake"
-    if s.braking:
-        if outcome == "clean":
-            s.brake_clean += 1
-            s.episode_clean += 1
-        elif outcome == "refused":
-            s.brake_clean = 0
-        if s.brake_clean >= p.brake_clean and s.trailing.count("refused") < p.calm_share * len(s.trailing):
-            s.braking, s.episode_from, s.blocks = False, None, []
+        if s.day is not None and s.requests_today >= p.quiet_day_requests and not s.trouble_today:
+            for stint in s.stints.values():
+                if stint.cooldown is not None and stint.cooldown > p.cooldown:
+                    stint.cooldown = max(p.cooldown, stint.cooldown / 2)
+        s.day, s.requests_today, s.refusals_today, s.trouble_today, s.fast_climbs_today = day, 0, 0, False, 0
+    _count(s, p, now, outcome)
+    if block == "connection":
+        s.connection_blocks = [t for t in [*s.connection_blocks, now] if now - t <= p.connection_window]
+        if len(s.connection_blocks) >= p.connection_blocks:
+            return _brake(s, p, now, day)
+    elif block:
+        return _brake(s, p, now, day)
+    if s.brake_since is not None:
+        s.brake_clean = s.brake_clean + 1 if outcome == "clean" else 0 if outcome == "refused" else s.brake_clean
+        if s.brake_clean >= p.brake_clean and _refused_share(s) < p.calm_share:
+            s.brake_since = None
+            _enter(s, 1)
             return "brake released"
         return "braking"
     if s.level > 1:
-        n, hit = len(s.trailing), s.trailing.count("refused")
-        levels = 2 if s.row >= p.fall_row or n >= p.fall_samples and hit >= p.fall_two * n else 1 if n >= p.fall_samples and hit >= p.fall_one * n else 0
+        share = _refused_share(s) if len(s.trailing) >= p.fall_samples else 0.0
+        levels = 2 if _refused_in_a_row(s) >= p.fall_row or share >= p.fall_two else 1 if share >= p.fall_one else 0
         if levels:
             _fall(s, p, now, levels)
             return "fall"
-    fresh_low = sig.age <= p.stale and sig.demand < p.least_demand
-    if s.level > p.hold_level and (fresh_low or rolling(s, now) >= p.ceiling_24h):
-        _move(s, p.hold_level)
-        return "ease" if fresh_low else "ceiling"
-    if s.level > 1 and fresh_low and now - s.eased_at >= p.ease_every:
+    fresh = sig.age <= p.stale
+    if s.level > p.hold_level:
+        empty = fresh and sig.demand < p.least_demand
+        if empty or rolling(s, now) >= p.ceiling_24h:
+            _enter(s, p.hold_level)
+            return "ease" if empty else "ceiling"
+    if s.level > 1 and fresh and sig.demand < p.ease_demand and (s.eased_at is None or now - s.eased_at >= p.ease_every):
         s.eased_at = now
-        _move(s, s.level - 1)
+        _enter(s, s.level - 1)
         return "ease"
-    if outcome == "clean" and blocker(s, p, sig, now) is None:
-        if s.level + 1 > p.hold_level:
-            s.fast_climb_day = day
-        _move(s, s.level + 1)
+    if outcome == "clean" and blocker(s, p, sig, now, throughput) is None:
+        s.fast_climbs_today += s.level + 1 > p.hold_level
+        _enter(s, s.level + 1)
         return "climb"
     return "stay"
 
@@ -266,20 +304,24 @@ def step(s: State, now: float, day: int, outcome: str, p: Policy, sig: Signals)
 REPLAY = "host string, event_id long, level int, move string"
 
 
-def replay(events: DataFrame, policy: Policy, signals: Signals, level: int = 1) -> DataFrame:
-    """The level after each event (host, t in seconds, event_id, outcome), by host and in the order of time."""
+def replay(events: DataFrame, policy: Policy, signals: Signals, level: int = 1, throughput: bool = False) -> DataFrame:
+    """The level after each event by host and in the order of time, from ``level`` on.
+
+    events: host, t in seconds, day (a number, of the zone that days are counted in), event_id, outcome, block (the kind
+    of a block signal or null).
+    """
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, state = None, State()
+        host, state = object(), State()
         for part in parts:
             levels, moves = [], []
-            for h, t, outcome in zip(part["host"], part["t"], part["outcome"], strict=True):
+            for h, t, day, outcome, block in zip(part["host"], part["t"], part["day"], part["outcome"], part["block"], strict=True):
                 if h != host:
-                    host, state = h, State(level=level)
-                moves.append(step(state, t, int(t // 86_400), outcome, policy, signals))
+                    host, state = h, State(level=level, active=True)
+                moves.append(step(state, t, int(day), outcome, policy, signals, block, throughput))
                 levels.append(state.level)
             part["level"], part["move"] = levels, moves
             yield part[["host", "event_id", "level", "move"]]
 
-    ordered = events.select("host", "t", "event_id", "outcome").repartition("host").sortWithinPartitions("host", "t", "event_id")
+    ordered = events.select("host", "t", "day", "event_id", "outcome", "block").repartition("host").sortWithinPartitions("host", "t", "event_id")
     return ordered.mapInPandas(fold, REPLAY)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.geo import country_of, provisional_tier
 from millrace.functions.text import first_keyword
+from millrace.functions.timeutil import backoff
 
 Rules = list[tuple[str, Column]]
 
@@ -59,6 +60,19 @@ def cheap_checks(df: DataFrame, seen_hashes: DataFrame, keywords: list[str], lan
     return joined.withColumns({"stage": stage, "stage_reason": F.coalesce(reason, F.lit(""))}).drop("_known", "_word")
 
 
+def defer(df: DataFrame, hit: Column, attempts: Column, now: Column, base_s: float, cap_s: float) -> DataFrame:
+    """Rows that couldn't be done: one more attempt, and the next one after a wait that doubles with each; the stage stays."""
+    more = attempts + 1
+    later = now + F.make_dt_interval(secs=backoff(more, base_s, cap_s))
+    return df.withColumns({"attempts": F.when(hit, more).otherwise(attempts), "next_attempt_at": F.when(hit, later).otherwise(F.col("next_attempt_at"))})
+
+
+def cheap_selection(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The ``n`` oldest rows that a pass of cheap checks looks at: seen ones without a tier, or with a description that has come."""
+    described = F.coalesce(F.col("description").rlike(r"\S"), F.lit(False))
+    return df.filter((F.col("stage") == "seen") & (F.col("tier").isNull() | described)).orderBy(*order).limit(n)
+
+
 def transitions(log: DataFrame) -> DataFrame:
     """The stage of each row after a log of transitions (id, at, seq, stage, reason)."""
     return log.groupBy("id").agg(F.max(F.struct("at", "seq", "stage", "reason")).alias("t")).select("id", "t.stage", "t.reason", F.col("t.at").alias("stage_changed_at"))

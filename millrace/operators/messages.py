@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def digest_sections(df: DataFrame, section: str, order: list, cap: int, shared: int, place: str) -> DataFrame:
@@ -19,52 +20,68 @@ def digest_sections(df: DataFrame, section: str, order: list, cap: int, shared:
     return top.withColumn("shown", F.row_number().over(overall) <= shared)
 
 
+def _parts(block: str, limit: int) -> Iterator[tuple[int, int]]:
+    """Where the parts of a block begin and end: at most ``limit`` characters each, cut at line ends where there are some."""
+    at = 0
+    while len(block) - at > limit:
+        cut = block.rfind("\n", at + 1, at + limit + 1)
+        cut = cut if cut > 0 else at + limit
+        yield at, cut
+        at = cut + (block[cut] == "\n")
+    yield at, len(block)
+
+
 def split_oversized(block: str, limit: int) -> list[str]:
-    """A block in parts of at most ``limit`` characters, cut at line ends where there are some."""
-    out = []
-    while len(block) > limit:
-        cut = block.rfind("\n", 1, limit + 1)
-        cut = cut if cut > 0 else limit
-        out.append(block[:cut])
-        block = block[cut:].removeprefix("\n")
-    return [*out, block]
+    """A block in parts of at most ``limit`` characters."""
+    return [block[a:b] for a, b in _parts(block, limit)]
 
 
 def pack_blocks(blocks: list[str], limit: int) -> list[str]:
     """Messages of whole blocks in order, an empty line between, none longer than ``limit``."""
-    out: list[str] = []
+    out: list[list[str]] = []
+    size = 0
     for block in (part for b in blocks for part in split_oversized(b, limit)):
-        if out and len(out[-1]) + 2 + len(block) <= limit:
-            out[-1] += "\n\n" + block
+        if out and size + 2 + len(block) <= limit:
+            out[-1].append(block)
+            size += 2 + len(block)
         else:
-            out.append(block)
-    return out
+            out.append([block])
+            size = len(block)
+    return ["\n\n".join(x) for x in out]
 
 
 def message_sizes(df: DataFrame, key: str, order: str, text: str, limit: int = 4096) -> DataFrame:
-    """key, message, blocks and chars of the messages that a key's texts fill in order; only the open message is held."""
+    """key, message, blocks and chars of the messages that a key's texts fill in order.
+
+    Texts are cut where they are read, and only the parts' lengths move; of a key's sequence the open message is held.
+    """
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def lengths(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [b - a for a, b in _parts(t, limit)])
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, number, blocks, chars = None, 0, 0, 0
+        now, number, blocks, chars = object(), 0, 0, 0
         for part in parts:
             out = []
-            for k, block in zip(part["key"], part["text"], strict=True):
+            for k, sizes in zip(part["key"], part["sizes"], strict=True):
                 if k != now:
                     if blocks:
                         out.append((now, number, blocks, chars))
                     now, number, blocks, chars = k, 0, 0, 0
-                for piece in split_oversized(block, limit):
-                    if blocks and chars + 2 + len(piece) > limit:
+                for size in sizes:
+                    if blocks and chars + 2 + size > limit:
                         out.append((now, number, blocks, chars))
                         number, blocks, chars = number + 1, 0, 0
-                    chars += len(piece) + (2 if blocks else 0)
+                    chars += size + (2 if blocks else 0)
                     blocks += 1
             yield pd.DataFrame(out, columns=["key", "message", "blocks", "chars"])
         if blocks:
             yield pd.DataFrame([(now, number, blocks, chars)], columns=["key", "message", "blocks", "chars"])
 
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.repartition("key").sortWithinPartitions("key", "o", "text").select("key", "text").mapInPandas(fold, "key string, message long, blocks long, chars long")
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(order).alias("o"), F.xxhash64(content).alias("tie"), lengths(content).alias("sizes"))
+    return rows.repartition("key").sortWithinPartitions("key", "o", "tie").select("key", "sizes").mapInPandas(fold, "key string, message long, blocks long, chars long")
 
 
 def golden_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.keys import joined
+from millrace.sources.store import shared_table
+
 
 def value_rank(ranks: dict[tuple[int, int], int], tier: Column, cls: Column, other: int = 99) -> Column:
     """The global rank of (tier, class)."""
@@ -23,7 +31,7 @@ def value_pick(df: DataFrame, rank: Column, n: int = 1, seen: str = "first_seen"
 
 def head_tier(waiting: DataFrame, clocks: DataFrame) -> DataFrame:
     """The waiting tier with the oldest turn clock; one never served comes first, ties go to the lowest."""
-    tiers = waiting.select("tier").distinct().join(F.broadcast(clocks.select("tier", "turn_at")), "tier", "left")  # one row per tier
+    tiers = waiting.select("tier").distinct().join(clocks.groupBy("tier").agg(F.max("turn_at").alias("turn_at")), "tier", "left")
     return tiers.orderBy(F.asc_nulls_first("turn_at"), "tier").limit(1)
 
 
@@ -39,13 +47,41 @@ def class_of(tier: Column, title: Column, country_only: Column, strong: str, sen
     return F.when(good & ~wide, 1).when(good, 2).when(~wide, 3).otherwise(4)
 
 
-def due_batches(df: DataFrame, size: int, now: Column, patience_s: int, keys: list[str], order: list[str], changed: str = "stage_changed_at") -> DataFrame:
-    """Rows of full batches, and of the last one too once the longest waiting row has waited ``patience_s``: keys, batch and place.
+def fair_claim(slices: DataFrame, walks: DataFrame, now: Column, n: int = 1) -> DataFrame:
+    """The due slices whose turn it is: the tier served longest ago first (never served before all), then what is due longest, then the tier.
 
+    slices: slice, tier, due_at, active; walks: slice, walked_at. When a tier was served is the latest walk of its slices.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    late = F.min(changed).over(Window.partitionBy(*keys)) <= now - F.make_dt_interval(secs=F.lit(float(patience_s)))
-    counted = df.withColumns({"_n": F.row_number().over(w) - 1, "_all": F.count("*").over(Window.partitionBy(*keys)), "_late": late})
+    served = walks.join(slices.select("slice", "tier"), "slice").groupBy("tier").agg(F.max("walked_at").alias("served_at"))
+    due = slices.filter(F.col("active") & (F.col("due_at") <= now)).join(served, "tier", "left")
+    return due.orderBy(F.asc_nulls_first("served_at"), "due_at", "tier", "slice").limit(n)
+
+
+def backfill(df: DataFrame, missing: Column, value: Column, column: str, order: list[str], n: int) -> DataFrame:
+    """The ``n`` rows first by ``order`` that lack ``column``, with it; the limit is one pass's share of the work."""
+    return df.filter(missing).orderBy(*order).limit(n).withColumn(column, value)
+
+
+def numbered_in_order(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """Rows numbered from 0 within their keys by ``order``, however few the keys are.
+
+    Rows are dealt out by ranges of keys and order and written; each range numbers its own, and adds how many its
+    keys have in the ranges before, which is a row per range and key.
+    """
+    ranges = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    dealt = shared_table(ranges, df.sparkSession)
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "_range", before.alias("_before"))
+    own = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1)
+    return joined(own, starts, [*keys, "_range"]).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def due_batches(df: DataFrame, size: int, now: Column, patience_s: int, keys: list[str], order: list[str], changed: str = "stage_changed_at") -> DataFrame:
+    """Rows of full batches, and of the last one too once the longest waiting row has waited ``patience_s``: keys, batch and place."""
+    late = F.min(changed) <= now - F.make_dt_interval(secs=F.lit(float(patience_s)))
+    totals = df.groupBy(*keys).agg(F.count("*").alias("_all"), late.alias("_late"))
+    counted = joined(numbered_in_order(df, keys, order, "_n"), totals, keys)
     batched = counted.withColumns({"batch": F.floor(F.col("_n") / size).cast("long"), "place": (F.col("_n") % size).cast("long")})
     return batched.filter(F.col("_late") | ((F.col("batch") + 1) * size <= F.col("_all"))).drop("_n", "_all", "_late")
 
@@ -55,41 +91,113 @@ def zip_back(batches: DataFrame, answers: DataFrame, keys: list[str]) -> DataFra
     return batches.join(answers, [*keys, "batch", "place"], "left")
 
 
-def simulate(arrivals: DataFrame, one_in: int, floor_s: float, serve_every_s: float, ranks: dict[int, int]) -> DataFrame:
-    """Serve one queue per ``host``: (host, id, t, cls) -> (host, id, waited_s, kind), value picks with every n-th a floor pick.
+@dataclass(frozen=True)
+class QueueRules:
+    """How one queue is served. Times are seconds; ``ranks`` by (tier, class), what isn't in it comes last."""
+
+    one_in: int = 8
+    floor_s: float = 60 * 3600.0
+    serve_every_s: float = 3600.0
+    ranks: dict[tuple[int, int], int] = field(default_factory=dict)
+    #: Classes and tiers that the age-out rule covers, and how long they wait before it takes them.
+    aged_classes: tuple[int, ...] = ()
+    aged_tiers: tuple[int, ...] = ()
+    aged_s: float = 96 * 3600.0
+    #: Classes of which the head tier's oldest row goes before the value order.
+    urgent_classes: tuple[int, ...] = ()
+
+    def aged(self, tier: int, cls: int) -> bool:
+        return cls in self.aged_classes and tier in self.aged_tiers
+
+
+class Waiting:
+    """What waits, in the orders that picks ask for: heaps whose entries are dropped when they come up and are gone."""
+
+    def __init__(self, rules: QueueRules) -> None:
+        self.rules, self.rows, self.heaps, self.by_tier = rules, {}, {}, Counter()
+
+    def _push(self, order: tuple, key: tuple, row: int) -> None:
+        heapq.heappush(self.heaps.setdefault(order, []), (*key, row))
+
+    def add(self, row: int, t: float, i: int, tier: int, cls: int) -> None:
+        self.rows[row] = (t, i, tier, cls)
+        self.by_tier[tier] += 1
+        self._push(("value",), (self.rules.ranks.get((tier, cls), 99), t, i), row)
+        self._push(("aged",) if self.rules.aged(tier, cls) else ("floor",), (t, i), row)
+        if cls in self.rules.urgent_classes:
+            self._push(("urgent", tier), (t, i), row)
+
+    def first(self, *order) -> int | None:
+        heap = self.heaps.get(order, [])
+        while heap and heap[0][-1] not in self.rows:
+            heapq.heappop(heap)
+        return heap[0][-1] if heap else None
+
+    def take(self, row: int) -> tuple[float, int, int, int]:
+        self.by_tier[self.rows[row][2]] -= 1
+        return self.rows.pop(row)
+
+
+def simulate(arrivals: DataFrame, rules: QueueRules) -> DataFrame:
+    """Serve one queue per ``host``: (host, id, t, tier, cls) -> (host, id, waited_s, kind).
 
-    The queue of one host is folded in one pass over its arrivals in order of time.
+    The head is the waiting tier whose turn was longest ago (never before all, then the lowest). Every ``one_in``-th pick
+    of a head takes the oldest row that has waited ``floor_s`` and isn't covered by the age-out rule; else the head's
+    oldest urgent row goes, else the most valuable. A pick stamps its tier's turn, a floor pick of another tier the
+    head's too. Covered rows that wait too long leave as ``aged_out``. One host is folded in one pass over its
+    arrivals in order of time; what waits is held.
     """
 
-    def serve(host: str, rows: list[tuple[float, int, int]]) -> list[tuple]:
-        waiting: list[tuple[float, int, int]] = []
-        out, k, picks = [], 0, 0
-        clock = rows[0][0] if rows else 0.0
-        while k < len(rows) or waiting:
-            if not waiting and rows[k][0] > clock:
-                clock += serve_every_s * -(-(rows[k][0] - clock) // serve_every_s)
-            while k < len(rows) and rows[k][0] <= clock:
-                waiting.append(rows[k])
-                k += 1
-            oldest = min(waiting)
-            kind = "floor" if picks % one_in == 0 and clock - oldest[0] > floor_s else "value"
-            row = oldest if kind == "floor" else min(waiting, key=lambda x: (ranks.get(x[2], 99), x[0], x[1]))
-            waiting.remove(row)
-            out.append((host, row[1], clock - row[0], kind))
-            picks, clock = picks + 1, clock + serve_every_s
-        return out
+    def serve(clock: float, waiting: Waiting, turns: dict[int, float], picks: Counter) -> tuple[int, float, str] | None:
+        while (row := waiting.first("aged")) is not None and clock - waiting.rows[row][0] > rules.aged_s:
+            t, i, _, _ = waiting.take(row)
+            return i, clock - t, "aged_out"
+        tiers = [t for t, n in waiting.by_tier.items() if n]
+        if not tiers:
+            return None
+        head = min(tiers, key=lambda t: (turns.get(t, float("-inf")), t))
+        kind, row = "value", None
+        if picks[head] % rules.one_in == 0 and (oldest := waiting.first("floor")) is not None and clock - waiting.rows[oldest][0] > rules.floor_s:
+            kind, row = "floor", oldest
+        if row is None and (urgent := waiting.first("urgent", head)) is not None:
+            kind, row = "urgent", urgent
+        if row is None:
+            row = waiting.first("value")
+        t, i, tier, _ = waiting.take(row)
+        turns[tier] = clock
+        if kind == "floor":
+            turns[head] = clock
+        picks[head] += 1
+        return i, clock - t, kind
+
+    def queue(rows: Iterator[tuple[float, int, int, int]]) -> Iterator[tuple[int, float, str]]:
+        waiting, turns, picks, clock, every = Waiting(rules), {}, Counter(), None, rules.serve_every_s
+        for number, (t, i, tier, cls) in enumerate(rows):
+            clock = t if clock is None else clock
+            while waiting.rows and clock < t:
+                out = serve(clock, waiting, turns, picks)
+                if out is not None:
+                    yield out
+                if out is None or out[2] != "aged_out":
+                    clock += every
+            if not waiting.rows and clock < t:
+                clock += every * math.ceil((t - clock) / every)
+            waiting.add(number, t, i, tier, cls)
+        while waiting.rows:
+            out = serve(clock, waiting, turns, picks)
+            yield out
+            if out[2] != "aged_out":
+                clock += every
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["host", "id", "waited_s", "kind"]
-        host, rows = None, []
-        for part in parts:
-            for h, t, i, c in zip(part["host"], part["t"], part["id"], part["cls"], strict=True):
-                if h != host:
-                    if rows:
-                        yield pd.DataFrame(serve(host, rows), columns=names)
-                    host, rows = h, []
-                rows.append((t, i, c))
-        if rows:
-            yield pd.DataFrame(serve(host, rows), columns=names)
-
-    return arrivals.repartition("host").sortWithinPartitions("host", "t", "id").select("host", "t", "id", "cls").mapInPandas(fold, "host string, id long, waited_s double, kind string")
+        rows = ((h, t, i, tier, cls) for part in parts for h, t, i, tier, cls in zip(part["host"], part["t"], part["id"], part["tier"], part["cls"], strict=True))
+        out = []
+        for host, own in groupby(rows, key=lambda r: r[0]):
+            for i, waited, kind in queue(r[1:] for r in own):
+                out.append((host, i, waited, kind))
+                if len(out) == 20_000:
+                    yield pd.DataFrame(out, columns=["host", "id", "waited_s", "kind"])
+                    out = []
+        yield pd.DataFrame(out, columns=["host", "id", "waited_s", "kind"])
+
+    return arrivals.repartition("host").sortWithinPartitions("host", "t", "id").select("host", "t", "id", "tier", "cls").mapInPandas(fold, "host string, id long, waited_s double, kind string")

@@ -10,20 +10,48 @@ from millrace.sources.store import shared_table
 STAGES = ("expired", "filtered_out", "seen", "described", "scored", "delivered")
 
 
-def twin_candidates(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
+def _keyed(entities: DataFrame, keys: list[str], seen: str, width: int) -> DataFrame:
+    """id, keys, t (seconds) and block of the entities whose keys aren't empty."""
+    second = F.unix_timestamp(F.col(seen).cast("timestamp"))
+    return entities.filter(" AND ".join(f"({k} IS NOT NULL AND CAST({k} AS STRING) <> '')" for k in keys)).select("id", *keys, second.alias("t"), F.floor(second / width).alias("block"))
+
+
+def _beside(df: DataFrame) -> DataFrame:
+    return df.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+
+
+def twin_candidates(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30, of: DataFrame | None = None) -> DataFrame:
     """(id, twin) in both directions: equal non-empty keys, first seen within ``days``, no source in common.
 
     entities: id, keys and ``seen``; sightings: id, source. The join is on the keys and on the block of
-    ``days`` that a time falls in or next to, so one frequent key spreads over its blocks.
+    ``days`` that a time falls in or next to, so one frequent key spreads over its blocks. With ``of`` (id) only
+    the twins of these are looked for.
     """
     width = days * 86_400
-    second = F.unix_timestamp(F.col(seen).cast("timestamp"))
-    own = entities.filter(" AND ".join(f"({k} IS NOT NULL AND CAST({k} AS STRING) <> '')" for k in keys)).select("id", *keys, second.alias("t"), F.floor(second / width).alias("block"))
-    near = own.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).select(F.col("id").alias("twin"), *keys, F.col("t").alias("twin_t"), "block")
-    pairs = own.join(near, [*keys, "block"]).filter((F.col("id") != F.col("twin")) & (F.abs(F.col("t") - F.col("twin_t")) <= width)).select("id", "twin")
-    s = sightings.select("id", "source").distinct()
-    shared = pairs.join(s, "id").join(s.withColumnRenamed("id", "twin"), ["twin", "source"]).select("id", "twin").distinct()
-    return pairs.join(shared, ["id", "twin"], "left_anti")
+    own = _keyed(entities, keys, seen, width)
+    near = _beside(own.select(F.col("id").alias("twin"), *keys, F.col("t").alias("twin_t"), "block"))
+    asking = own if of is None else own.join(of.select("id"), "id", "left_semi")
+    pairs = asking.join(near, [*keys, "block"]).filter((F.col("id") != F.col("twin")) & (F.abs(F.col("t") - F.col("twin_t")) <= width)).select("id", "twin")
+    s = sightings.groupBy("id").agg(F.collect_set("source").alias("sources"))  # the sources of one entity
+    with_sources = pairs.join(s, "id", "left").join(s.select(F.col("id").alias("twin"), F.col("sources").alias("others")), "twin", "left")
+    return with_sources.filter(~F.coalesce(F.arrays_overlap("sources", "others"), F.lit(False))).select("id", "twin")
+
+
+def possibly_unique(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
+    """The entities (id) that may have exactly one twin, told from counts alone.
+
+    All that fall in an entity's own block are within ``days`` of it. Of those at most as many share a source with it
+    as there are entities with its sources in its block and the two beside. If more than one is left, it has several
+    twins for certain; with nobody in the three blocks it has none. A frequent key is settled by this without pairs.
+    """
+    own = _keyed(entities, keys, seen, days * 86_400)
+    in_block = own.groupBy(*keys, "block").agg(F.count("*").alias("here"))
+    around = _beside(own.select(*keys, "block")).groupBy(*keys, "block").agg(F.count("*").alias("around"))
+    owned = own.join(sightings.select("id", "source").distinct(), "id")
+    by_source = _beside(owned.select(*keys, "source", "block")).groupBy(*keys, "source", "block").agg(F.count("*").alias("n"))
+    sharing = owned.join(by_source, [*keys, "source", "block"]).groupBy("id").agg(F.sum(F.col("n") - 1).alias("sharing"))
+    counted = own.join(in_block, [*keys, "block"]).join(around, [*keys, "block"]).join(sharing, "id", "left")
+    return counted.filter((F.col("around") > 1) & (F.col("here") - 1 - F.coalesce("sharing", F.lit(0)) <= 1)).select("id")
 
 
 def unique_twins(pairs: DataFrame) -> DataFrame:
@@ -38,6 +66,11 @@ def mutual_twins(pairs: DataFrame) -> DataFrame:
     return u.join(back, ["id", "twin"]).filter("id < twin")
 
 
+def twins_of_unique(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
+    """The candidates of all entities that have exactly one, and of some others: what :func:`unique_twins` needs."""
+    return twin_candidates(entities, sightings, keys, seen, days, possibly_unique(entities, sightings, keys, seen, days))
+
+
 def survivor_key(stage: Column, first_seen: Column, described: Column, tie: Column, stages: tuple[str, ...] = STAGES) -> Column:
     """Sorts the row to keep first: furthest stage, first seen, with a description, smallest identifier."""
     rank = F.array_position(F.array(*map(F.lit, stages)), stage)
@@ -66,7 +99,7 @@ def resolve(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: st
     while True:
         now = entities.join(roots, "id").groupBy("root").agg(F.min(seen).alias(seen), *(F.min_by(k, F.col("id")).alias(k) for k in keys)).withColumnRenamed("root", "id")
         owned = sightings.join(roots, "id").select(F.col("root").alias("id"), "source").distinct()
-        pairs = shared_table(mutual_twins(twin_candidates(now, owned, keys, seen, days)), spark)
+        pairs = shared_table(mutual_twins(twins_of_unique(now, owned, keys, seen, days)), spark)
         if pairs.isEmpty():
             return roots
         moved = pairs.select(F.col("twin").alias("root"), F.col("id").alias("to"))

@@ -1,6 +1,7 @@
 """Registered queries over the star-schema tables, each with its SQL."""
 
-from millrace.plans import delivery_queries, event_queries, order_queries, text_queries
+from millrace.plans import delivery_queries, event_queries, order_queries, report_queries, text_queries
 
-QUERIES = {**event_queries.QUERIES, **order_queries.QUERIES, **text_queries.QUERIES, **delivery_queries.QUERIES}
-ORACLES = {**event_queries.ORACLES, **order_queries.ORACLES, **text_queries.ORACLES, **delivery_queries.ORACLES}
+_ALL = (event_queries, order_queries, text_queries, delivery_queries, report_queries)
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _ALL for name, sql in module.ORACLES.items()}

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import wilson_upper
 from millrace.functions.timeutil import at, local_day, micros, next_interval, open_seconds, window_seconds
-from millrace.operators import calls, health, requests, trend
+from millrace.operators import calls, health, ladder, requests, trend
 from millrace.plans.tables import CALL_LOG, REQUEST_LOG, call_log, request_log
 
 ZONE, FIRST, LAST, NOW = "Europe/Rome", "2024-01-01", "2024-01-31", "2024-01-20 12:00:00"
-LOCAL_DAY = f"CAST((at AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}' AS DATE)"
+LOCAL_DAY = f"CAST((seen_at AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}' AS DATE)"
 
 
 def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +150,12 @@ def day_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ladder_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.operators import ladder
-
+    """Days are local ones; a missing status counts as a connection error."""
     log = request_log(spark, sf_dir)
-    events = log.select(F.col("host").cast("string").alias("host"), (micros("at") / 1e6).alias("t"), "event_id", F.when(F.col("outcome") == "ok", "clean").when(F.col("outcome") == "refused", "refused").otherwise("neutral").alias("outcome"))
-    return ladder.replay(events, ladder.Policy(), ladder.Signals())
+    outcome = F.when(F.col("outcome") == "ok", "clean").when(F.col("outcome") == "refused", "refused").otherwise("neutral")
+    block = F.when(F.col("digit") == 3, "connection")
+    events = log.select(F.col("host").cast("string").alias("host"), (micros("at") / 1e6).alias("t"), F.unix_date(local_day("at", ZONE)).alias("day"), "event_id", outcome.alias("outcome"), block.alias("block"))
+    return ladder.replay(events, ladder.Policy(), ladder.Signals(), level=3)
 
 
 QUERIES = {
@@ -188,29 +187,29 @@ ORACLES = {
     "requests_by_kind_24h": f"""
         WITH {REQUEST_LOG}
         SELECT source, count(*) AS requests, count(*) FILTER (WHERE outcome = 'ok') AS ok, count(*) FILTER (WHERE outcome = 'refused') AS refused, count(*) FILTER (WHERE outcome = 'error') AS error
-        FROM log WHERE at > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND at <= TIMESTAMP '{NOW}' GROUP BY 1""",
+        FROM log WHERE seen_at > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND seen_at <= TIMESTAMP '{NOW}' GROUP BY 1""",
     "refusal_rate_per_day": f"""
         WITH {REQUEST_LOG}
         SELECT {LOCAL_DAY} AS day, count(*) AS requests, CAST(count(*) FILTER (WHERE outcome = 'refused') AS DOUBLE) / count(*) AS refused_share FROM log GROUP BY 1""",
     "longest_gap": f"""
-        WITH {REQUEST_LOG}, gaps AS (SELECT source, epoch_us(at) - lag(epoch_us(at)) OVER (PARTITION BY source ORDER BY at) AS g FROM log)
+        WITH {REQUEST_LOG}, gaps AS (SELECT source, epoch_us(seen_at) - lag(epoch_us(seen_at)) OVER (PARTITION BY source ORDER BY seen_at) AS g FROM log)
         SELECT source, max(g) AS gap_us FROM gaps GROUP BY 1""",
     "trailing20_refused_share": f"""
         WITH {REQUEST_LOG}, w AS (SELECT event_id, host, count(*) OVER x AS in_window, count(*) FILTER (WHERE outcome = 'refused') OVER x AS refused_in FROM log
-            WINDOW x AS (PARTITION BY host ORDER BY at, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+            WINDOW x AS (PARTITION BY host ORDER BY seen_at, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
         SELECT *, CAST(refused_in AS DOUBLE) / in_window AS refused_share FROM w""",
     "rolling24h_requests": f"""
         WITH {REQUEST_LOG}
-        SELECT event_id, host, count(*) OVER (PARTITION BY host ORDER BY epoch_us(at) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS rolling FROM log""",
+        SELECT event_id, host, count(*) OVER (PARTITION BY host ORDER BY epoch_us(seen_at) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS rolling FROM log""",
     "rolling24h_bucketed": f"""
-        WITH {REQUEST_LOG}, h AS (SELECT source, epoch_us(at) // 3600000000 AS hour, count(*) AS n FROM log GROUP BY 1, 2)
+        WITH {REQUEST_LOG}, h AS (SELECT source, epoch_us(seen_at) // 3600000000 AS hour, count(*) AS n FROM log GROUP BY 1, 2)
         SELECT source, hour, n, CAST(sum(n) OVER (PARTITION BY source ORDER BY hour RANGE BETWEEN 24 PRECEDING AND CURRENT ROW) AS BIGINT) AS rolling FROM h""",
     "refusal_streaks": f"""
-        WITH {REQUEST_LOG}, m AS (SELECT host, outcome, sum(CASE WHEN outcome = 'refused' THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) AS island FROM log),
+        WITH {REQUEST_LOG}, m AS (SELECT host, outcome, sum(CASE WHEN outcome = 'refused' THEN 0 ELSE 1 END) OVER (PARTITION BY host ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) AS island FROM log),
         r AS (SELECT host, island, count(*) AS n FROM m WHERE outcome = 'refused' GROUP BY 1, 2)
         SELECT host, max(n) AS longest, count(*) AS runs FROM r GROUP BY 1""",
     "rate_with_capped_gap": f"""
-        WITH {REQUEST_LOG}, g AS (SELECT host, least(epoch_us(at) - lag(epoch_us(at)) OVER (PARTITION BY host ORDER BY at), CASE WHEN lag(at) OVER (PARTITION BY host ORDER BY at) IS NULL THEN NULL ELSE 3600000000 END) AS gap FROM log),
+        WITH {REQUEST_LOG}, g AS (SELECT host, least(epoch_us(seen_at) - lag(epoch_us(seen_at)) OVER (PARTITION BY host ORDER BY seen_at), CASE WHEN lag(seen_at) OVER (PARTITION BY host ORDER BY seen_at) IS NULL THEN NULL ELSE 3600000000 END) AS gap FROM log),
         s AS (SELECT host, count(*) AS requests, CAST(coalesce(sum(gap), 0) AS BIGINT) AS busy_us FROM g GROUP BY 1)
         SELECT *, CASE WHEN busy_us <> 0 THEN requests * CAST(3.6e9 AS DOUBLE) / busy_us END AS per_hour FROM s""",
     "wilson_upper_by_kind": f"""
@@ -226,28 +225,33 @@ ORACLES = {
     "model_stage_rows": f"""
         WITH {CALL_LOG} SELECT stage, coalesce(model, 'no response') AS model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2""",
     "latest_event_per_user": f"""
-        WITH {REQUEST_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at DESC, event_id DESC) AS n FROM log)
-        SELECT host, at, event_id, source, outcome FROM r WHERE n = 1""",
+        WITH {REQUEST_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seen_at DESC, event_id DESC) AS n FROM log)
+        SELECT host, seen_at AS "at", event_id, source, outcome FROM r WHERE n = 1""",
     "silent_kinds": f"""
-        WITH {CALL_LOG}, recent AS (SELECT concat(stage, '/', host % 20) AS stage_host, at, outcome FROM calls WHERE at > TIMESTAMP '{NOW}' - INTERVAL 12 HOUR AND at <= TIMESTAMP '{NOW}'),
-        l AS (SELECT stage_host, max(at) FILTER (WHERE outcome = 'ok') AS answered FROM recent GROUP BY 1)
-        SELECT r.stage_host, min(r.at) AS since, max(r.at) AS last_call, count(*) AS calls FROM recent r JOIN l USING (stage_host)
-        WHERE l.answered IS NULL OR r.at > l.answered GROUP BY 1
-        HAVING min(r.at) <= TIMESTAMP '{NOW}' - INTERVAL 4 HOUR AND max(r.at) > TIMESTAMP '{NOW}' - INTERVAL 4 HOUR""",
+        WITH {CALL_LOG}, recent AS (SELECT concat(stage, '/', host % 20) AS stage_host, seen_at, outcome FROM calls WHERE seen_at > TIMESTAMP '{NOW}' - INTERVAL 12 HOUR AND seen_at <= TIMESTAMP '{NOW}'),
+        l AS (SELECT stage_host, max(seen_at) FILTER (WHERE outcome = 'ok') AS answered FROM recent GROUP BY 1)
+        SELECT r.stage_host, min(r.seen_at) AS since, max(r.seen_at) AS last_call, count(*) AS calls FROM recent r JOIN l USING (stage_host)
+        WHERE l.answered IS NULL OR r.seen_at > l.answered GROUP BY 1
+        HAVING min(r.seen_at) <= TIMESTAMP '{NOW}' - INTERVAL 4 HOUR AND max(r.seen_at) > TIMESTAMP '{NOW}' - INTERVAL 4 HOUR""",
     "fallback_share": f"""
         WITH {CALL_LOG}, c AS (SELECT stage, count(*) AS calls, count(*) FILTER (WHERE model IS NULL) AS unanswered, count(*) FILTER (WHERE model <> 'primary-m') AS other FROM calls GROUP BY 1)
         SELECT *, CAST(other AS DOUBLE) / nullif(calls - unanswered, 0) AS fallback_share,
                calls - unanswered >= 5 AND coalesce(CAST(other AS DOUBLE) / nullif(calls - unanswered, 0) > 0.2, false) AS warns FROM c""",
     "limit_usage_by_day": f"""
-        WITH {CALL_LOG}, u AS (SELECT CAST(at AS DATE) AS day, tokens, sum(tokens) OVER (PARTITION BY CAST(at AS DATE) ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) AS used FROM calls)
+        WITH {CALL_LOG}, u AS (SELECT CAST(seen_at AS DATE) AS day, tokens, sum(tokens) OVER (PARTITION BY CAST(seen_at AS DATE) ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) AS used FROM calls)
         SELECT day, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (WHERE used <= 100000) AS within, CAST(sum(tokens) AS DOUBLE) / 100000 AS limit_share FROM u GROUP BY 1""",
     "alert_suppression": f"""
         WITH {REQUEST_LOG}
-        SELECT event_id, host, coalesce(epoch_us(at) - lag(epoch_us(at)) OVER (PARTITION BY host ORDER BY at) < 21600000000, false) AS is_suppressed FROM log WHERE outcome = 'refused'""",
+        SELECT event_id, host, coalesce(epoch_us(seen_at) - lag(epoch_us(seen_at)) OVER (PARTITION BY host ORDER BY seen_at) < 21600000000, false) AS is_suppressed FROM log WHERE outcome = 'refused'""",
+    "alert_ledger": f"""
+        WITH RECURSIVE {REQUEST_LOG}, bad AS (SELECT CAST(host AS VARCHAR) AS key, seen_at, event_id FROM log WHERE outcome = 'refused'),
+        s AS (SELECT key, min(seen_at) AS t FROM bad GROUP BY 1 UNION ALL SELECT b.key, min(b.seen_at) FROM s JOIN bad b ON b.key = s.key AND b.seen_at >= s.t + INTERVAL 6 HOUR GROUP BY 1),
+        x AS (SELECT min(b.event_id) AS event_id FROM bad b JOIN s ON b.key = s.key AND b.seen_at = s.t GROUP BY b.key, s.t)
+        SELECT key, event_id, event_id IN (SELECT event_id FROM x) AS sent FROM bad""",
     "budget_upsert": f"""
-        WITH {CALL_LOG} SELECT CAST(at AS DATE) AS day, stage AS provider, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2""",
+        WITH {CALL_LOG} SELECT CAST(seen_at AS DATE) AS day, stage AS provider, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2""",
     "before_after": f"""
-        WITH {REQUEST_LOG}, d AS (SELECT CAST(at AS DATE) AS day, count(*) AS requests, count(*) FILTER (WHERE outcome = 'refused') AS refused FROM log GROUP BY 1),
+        WITH {REQUEST_LOG}, d AS (SELECT CAST(seen_at AS DATE) AS day, count(*) AS requests, count(*) FILTER (WHERE outcome = 'refused') AS refused FROM log GROUP BY 1),
         u AS (SELECT day, unnest(['requests', 'refused']) AS metric, unnest([requests, refused]) AS v FROM d),
         s AS (SELECT metric, count(*) FILTER (WHERE day < DATE '2024-01-16') AS days_before, count(*) FILTER (WHERE day >= DATE '2024-01-16') AS days_after,
                      CAST(sum(v) FILTER (WHERE day < DATE '2024-01-16') AS DOUBLE) / count(*) FILTER (WHERE day < DATE '2024-01-16') AS before_avg,
@@ -255,20 +259,20 @@ ORACLES = {
         SELECT metric, days_before, days_after, round(before_avg, 6) AS before_avg, round(after_avg, 6) AS after_avg, round((after_avg - before_avg) * 100 / before_avg, 6) AS change_pct,
                least(days_before, days_after) < 5 AS indicative_only FROM s""",
     "run_warnings": f"""
-        WITH {REQUEST_LOG}, r AS (SELECT host, CAST(at AS DATE) AS day, count(*) AS requests, count(*) FILTER (WHERE status = 429) AS too_many, count(*) FILTER (WHERE outcome = 'error') AS failed FROM log GROUP BY 1, 2)
+        WITH {REQUEST_LOG}, r AS (SELECT host, CAST(seen_at AS DATE) AS day, count(*) AS requests, count(*) FILTER (WHERE status = 429) AS too_many, count(*) FILTER (WHERE outcome = 'error') AS failed FROM log GROUP BY 1, 2)
         SELECT host, day, 'rate limits above 1' AS warning FROM r WHERE too_many > 1
         UNION ALL SELECT host, day, 'failed share above 40 %' FROM r WHERE CAST(failed AS DOUBLE) / requests > 0.4
         UNION ALL SELECT host, day, 'no success' FROM r WHERE too_many + failed = requests""",
     "heartbeat_ages": f"""
         WITH {REQUEST_LOG}
-        SELECT host, max(at) AS beat_at, epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(max(at)) AS age_us, epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(max(at)) > 86400000000 AS is_silent FROM log GROUP BY 1""",
+        SELECT host, max(seen_at) AS beat_at, epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(max(seen_at)) AS age_us, epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(max(seen_at)) > 86400000000 AS is_silent FROM log GROUP BY 1""",
     "open_seconds_by_gap": f"""
-        WITH {REQUEST_LOG}, l AS (SELECT host, epoch_us(min(at)) AS a, epoch_us(max(at)) AS b, CAST(min(at) AS DATE) AS d1, CAST(max(at) AS DATE) AS d2 FROM log GROUP BY 1),
+        WITH {REQUEST_LOG}, l AS (SELECT host, epoch_us(min(seen_at)) AS a, epoch_us(max(seen_at)) AS b, CAST(min(seen_at) AS DATE) AS d1, CAST(max(seen_at) AS DATE) AS d2 FROM log GROUP BY 1),
         d AS (SELECT host, a, b, epoch_us(unnest(generate_series(CAST(d1 AS TIMESTAMP), CAST(d2 AS TIMESTAMP), INTERVAL 1 DAY))) AS m FROM l),
         s AS (SELECT host, a, b, sum(greatest(0, least(b, m + 21600000000) - greatest(a, m + 7200000000))) AS shut FROM d GROUP BY 1, 2, 3)
         SELECT host, round(CASE WHEN b > a THEN CAST(b - a - shut AS DOUBLE) / 1000000 ELSE 0 END, 3) AS open_s FROM s""",
     "walk_intervals": f"""
-        WITH {REQUEST_LOG}, w AS (SELECT host, count(*) AS n, max(at) AS last_at FROM log GROUP BY 1),
+        WITH {REQUEST_LOG}, w AS (SELECT host, count(*) AS n, max(seen_at) AS last_at FROM log GROUP BY 1),
         s AS (SELECT *, CASE n % 4 WHEN 0 THEN 'cap_hit' WHEN 1 THEN 'known_page' WHEN 2 THEN 'error' ELSE 'end_of_results' END AS stop, n % 37 + 12 AS cur FROM w),
         m AS (SELECT *, CASE stop WHEN 'cap_hit' THEN greatest(12, cur // 2) WHEN 'error' THEN cur ELSE least(48, cur * 2) END AS moved FROM s)
         SELECT host, stop, CAST(least(48, greatest(12, CASE WHEN n % 5 >= 3 THEN greatest(moved, 24) ELSE moved END)) AS BIGINT) AS hours,
@@ -276,8 +280,5 @@ ORACLES = {
     "day_counters": f"""
         WITH {REQUEST_LOG}, d AS (SELECT *, {LOCAL_DAY} AS day FROM log)
         SELECT event_id, day, count(*) OVER w AS requests_today, count(*) FILTER (WHERE outcome = 'refused') OVER w AS refusals_today FROM d
-        WINDOW w AS (PARTITION BY host, day ORDER BY at, event_id ROWS UNBOUNDED PRECEDING)""",
+        WINDOW w AS (PARTITION BY host, day ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING)""",
 }
-
-#: ``at`` is a keyword in some dialects, so the column is quoted throughout.
-ORACLES = {name: re.sub(r"\bat\b", '"at"', text) for name, text in ORACLES.items()}

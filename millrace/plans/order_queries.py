@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import geo
 from millrace.functions.timeutil import at, backoff, steps_wait
 from millrace.operators import lifecycle, messages, queueing, requests, resolve, trend
 from millrace.plans.tables import POSTINGS, postings, table
@@ -60,12 +61,22 @@ def quota_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.quota_schedule(tiered(spark, sf_dir), "company", ["first_seen", "id"], 8).select("id", "company", "pick", "is_floor")
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies with the location and the country of their nation."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Plant, "), F.initcap("n_name")).alias("location"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # 25 nations
+    return c.select("c_custkey", "location", geo.country_of(F.col("location")).alias("country"))
+
+
 def tier_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 nations
-    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    region = F.when(F.col("c_custkey") % 11 == 0, None).otherwise(F.col("r_name"))
-    tier = F.when(region.isNull(), F.col("c_custkey") % 4 + 1).when(region == "EUROPE", 1).when(region == "ASIA", 2).when(region == "AMERICA", 3).cast("long")
-    return c.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if(region.isNull()).alias("hinted"))
+    hint = (F.col("c_custkey") % 4 + 1).cast("int")
+    c = _placed(spark, sf_dir).withColumn("tier", geo.provisional_tier(F.col("country"), hint))
+    return c.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("country").isNull()).alias("hinted"))
+
+
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _placed(spark, sf_dir).filter(geo.in_scope(F.col("location"), ["france", "germany"]))
+    return kept.groupBy("location").agg(F.count("*").alias("n"))
 
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +88,11 @@ def twin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.unique_twins(twin_candidates(spark, sf_dir))
+    return resolve.unique_twins(resolve.twins_of_unique(postings(spark, sf_dir), _sightings(spark, sf_dir), ["company", "class"]))
 
 
 def merge_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = resolve.mutual_twins(twin_candidates(spark, sf_dir))
+    pairs = resolve.mutual_twins(resolve.twins_of_unique(postings(spark, sf_dir), _sightings(spark, sf_dir), ["company", "class"]))
     members = pairs.select(F.col("id").alias("group"), F.explode(F.array("id", "twin")).alias("id"))
     rows = members.join(postings(spark, sf_dir), "id").withColumn("note", F.when(F.col("id") % 2 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))))
     stage = F.when(F.col("status") == "F", "scored").when(F.col("status") == "O", "seen").otherwise("described")
@@ -115,7 +126,7 @@ def refreshed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings(spark, sf_dir).select("id", "status", "class")
-    return store.replace_upsert(p.filter("id % 2 = 0 OR id % 3 = 0"), p.filter("id % 3 = 0 OR id % 5 = 0").withColumn("status", F.lit("N")), ["id"])
+    return store.replace_upsert(p.filter("status <> 'P'"), p.filter("status = 'P' OR class <= 2").withColumn("status", F.lit("N")), ["id"])
 
 
 def archive_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +138,9 @@ def archive_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings(spark, sf_dir)
-    now = p.filter("id % 3 <> 0").select("id", (F.col("class") * 6).alias("base"), F.when(F.col("id") % 2 == 0, F.col("class") * 6).otherwise(40).alias("interval"), (F.col("id") % 5 != 0).alias("active"))
-    spec = p.filter("id % 4 <> 0").select("id", (F.col("class") * 6 + F.col("id") % 2 * 6).alias("base"))
-    return store.sync_catalog(now, spec, ["id"])
+    now = p.filter("status <> 'P'").select("id", (F.col("class") * 6).alias("base"), F.when(F.col("price") < 150_000, F.col("class") * 6).otherwise(40).alias("interval"), (F.col("price") >= 40_000).alias("active"))
+    spec = p.filter("status <> 'F'").select("id", (F.col("class") * 6 + F.when(F.col("price") >= 100_000, 6).otherwise(0)).alias("base"))
+    return store.sync_catalog(now, spec, ["id"], p)
 
 
 def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,16 +176,24 @@ def delivered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("class").agg(F.count("*").alias("n"), F.count_if(F.coalesce("early", F.lit(False))).alias("early")).withColumn("share", F.col("early") / F.col("n"))
 
 
+#: How the simulated queues are served; arrivals are days apart, so the waits are too.
+SERVED = queueing.QueueRules(one_in=8, floor_s=60 * 86_400.0, serve_every_s=43_200.0, ranks={(t, c): (t - 1) * 5 + c for t in range(1, 6) for c in range(1, 6)}, aged_classes=(4, 5), aged_tiers=(2, 3), aged_s=400 * 86_400.0, urgent_classes=(1,))
+
+
+def arrivals_of(postings_with_tier: DataFrame) -> DataFrame:
+    """One queue for each tenth company."""
+    return postings_with_tier.select(F.floor(F.col("company") / 10).cast("string").alias("host"), "id", F.unix_timestamp(F.col("first_seen").cast("timestamp")).cast("double").alias("t"), F.col("tier").cast("int").alias("tier"), F.col("class").alias("cls"))
+
+
 def queue_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tiered(spark, sf_dir).filter("status = 'O' AND tier is not null")
-    arrivals = t.select((F.col("company") % 64).cast("string").alias("host"), "id", F.unix_timestamp(F.col("first_seen").cast("timestamp")).cast("double").alias("t"), F.col("class").alias("cls"))
-    return queueing.simulate(arrivals, 8, 60 * 3600.0, 3600.0, {1: 1, 2: 2, 3: 3, 4: 4})
+    return queueing.simulate(arrivals_of(t), SERVED)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        stage_census, expiry_cascade, age_out_dry_run, value_pick_topk, head_tier, floor_pick, quota_schedule, tier_assignment, twin_candidates, unique_twins, merge_survivors, resolved_entities,
+        stage_census, expiry_cascade, age_out_dry_run, value_pick_topk, head_tier, floor_pick, quota_schedule, tier_assignment, scope_filter, twin_candidates, unique_twins, merge_survivors, resolved_entities,
         sighting_rollup, also_seen_on, provenance, refreshed_sightings, replaced_rows, archive_projection, catalog_sync, daily_metrics, retry_schedule, digest_top_sections, latest_order_per_company,
         previous_order, delivered_share, queue_simulation,
     )
@@ -209,9 +228,13 @@ ORACLES = {
         WITH {POSTINGS}, n AS (SELECT id, company, row_number() OVER (PARTITION BY company ORDER BY first_seen, id) - 1 AS pick FROM postings)
         SELECT id, company, pick, pick % 8 = 0 AS is_floor FROM n""",
     "tier_assignment": """
-        WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE r_name END AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)
-        SELECT CAST(CASE WHEN region IS NULL THEN c_custkey % 4 + 1 WHEN region = 'EUROPE' THEN 1 WHEN region = 'ASIA' THEN 2 WHEN region = 'AMERICA' THEN 3 END AS BIGINT) AS tier,
-               count(*) AS n, count(*) FILTER (WHERE region IS NULL) AS hinted FROM c GROUP BY 1""",
+        WITH c AS (SELECT c_custkey, CASE WHEN n_name IN ('FRANCE', 'GERMANY', 'ROMANIA') THEN 3 WHEN n_name = 'UNITED KINGDOM' THEN 4 WHEN n_name IN ('UNITED STATES', 'CANADA', 'INDIA', 'RUSSIA') THEN NULL ELSE c_custkey % 4 + 1 END AS tier,
+                          n_name IS NULL OR n_name NOT IN ('FRANCE', 'GERMANY', 'ROMANIA', 'UNITED KINGDOM', 'UNITED STATES', 'CANADA', 'INDIA', 'RUSSIA') AS unknown
+                   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)
+        SELECT CAST(tier AS INTEGER) AS tier, count(*) AS n, count(*) FILTER (WHERE unknown) AS hinted FROM c GROUP BY 1""",
+    "scope_filter": """
+        SELECT 'Plant, ' || array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS location, count(*) AS n
+        FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name IS NULL OR n_name NOT IN ('ROMANIA', 'UNITED KINGDOM', 'UNITED STATES', 'CANADA', 'INDIA', 'RUSSIA') GROUP BY 1""",
     "twin_candidates": f"WITH {_TWINS} SELECT id, twin FROM pairs",
     "unique_twins": f"WITH {_TWINS} SELECT id, twin FROM uniq",
     "merge_survivors": f"""
@@ -230,16 +253,16 @@ ORACLES = {
         WITH {POSTINGS}, {_SIGHTINGS}, h AS (SELECT source, count(*) AS hits, count(*) FILTER (WHERE status = 'F') AS direct, count(*) FILTER (WHERE price >= 400000) AS strong FROM s JOIN postings USING (id) GROUP BY 1)
         SELECT *, hits >= 5 AND CAST(direct AS DOUBLE) / hits < 0.5 AS suspect FROM h""",
     "refreshed_sightings": f"WITH {_SIGHTINGS} SELECT source, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*) AS seen_count FROM s GROUP BY 1",
-    "replaced_rows": f"WITH {POSTINGS} SELECT id, CASE WHEN id % 3 = 0 OR id % 5 = 0 THEN 'N' ELSE status END AS status, class FROM postings WHERE id % 2 = 0 OR id % 3 = 0 OR id % 5 = 0",
+    "replaced_rows": f"WITH {POSTINGS} SELECT id, CASE WHEN status = 'P' OR class <= 2 THEN 'N' ELSE status END AS status, class FROM postings",
     "archive_projection": f"""
         WITH {POSTINGS}, b AS (SELECT id, company, price FROM postings WHERE status = 'F' AND id % 4 <> 0 ORDER BY first_seen, id LIMIT 500)
         SELECT id, company, price, (SELECT count(*) FROM lineitem WHERE l_orderkey = b.id) AS sightings FROM b""",
     "catalog_sync": f"""
-        WITH {POSTINGS}, t AS (SELECT id, class * 6 AS base, CASE WHEN id % 2 = 0 THEN class * 6 ELSE 40 END AS i, id % 5 <> 0 AS active FROM postings WHERE id % 3 <> 0),
-        p AS (SELECT id, class * 6 + id % 2 * 6 AS base FROM postings WHERE id % 4 <> 0)
+        WITH {POSTINGS}, t AS (SELECT id, class * 6 AS base, CASE WHEN price < 150000 THEN class * 6 ELSE 40 END AS i, price >= 40000 AS active FROM postings WHERE status <> 'P'),
+        p AS (SELECT id, class * 6 + CASE WHEN price >= 100000 THEN 6 ELSE 0 END AS base FROM postings WHERE status <> 'F')
         SELECT coalesce(t.id, p.id) AS id,
                CASE WHEN t.id IS NULL THEN 'added' WHEN p.id IS NULL THEN CASE WHEN active THEN 'deactivated' ELSE 'kept' END WHEN t.base <> p.base OR NOT active THEN 'updated' ELSE 'kept' END AS action,
-               CAST(CASE WHEN p.id IS NULL THEN i WHEN t.id IS NULL OR i = t.base THEN p.base ELSE least(i, p.base) END AS BIGINT) AS interval
+               CAST(CASE WHEN p.id IS NULL THEN i WHEN t.id IS NULL OR i = t.base THEN p.base ELSE least(i, p.base) END AS INTEGER) AS interval
         FROM t FULL JOIN p ON t.id = p.id""",
     "daily_metrics": f"""
         WITH {POSTINGS}, x AS (SELECT *, CAST(date_trunc('month', first_seen) AS DATE) AS day FROM postings),

@@ -24,7 +24,7 @@ REQUEST_LOG = """
     log AS (
         SELECT *, CASE WHEN digit = 4 THEN 'ok' WHEN status IN (403, 429) THEN 'refused' WHEN status = 200 THEN 'ok' ELSE 'error' END AS outcome
         FROM (SELECT *, CASE digit WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 200 END AS status
-              FROM (SELECT event_id, ts AS at, event_type AS source, user_id AS host, value,
+              FROM (SELECT event_id, ts AS seen_at, event_type AS source, user_id AS host, value,
                            CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS digit FROM events))
     )"""
 
@@ -37,7 +37,7 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALL_LOG = REQUEST_LOG + """, calls AS (
-        SELECT event_id, at, source AS stage, host, value AS latency, CAST(floor(value * 10) AS BIGINT) AS tokens,
+        SELECT event_id, seen_at, source AS stage, host, value AS latency, CAST(floor(value * 10) AS BIGINT) AS tokens,
                CASE WHEN digit <= 2 THEN NULL WHEN digit >= 8 THEN 'fallback-m' ELSE 'primary-m' END AS model,
                CASE digit WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'error' ELSE 'ok' END AS outcome
         FROM log

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import geo, text
 from millrace.functions.timeutil import at
 from millrace.operators import calls, labels, messages, queueing, rules
 from millrace.plans.tables import table
@@ -21,8 +21,8 @@ def title_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey") % 5
-    tail = F.when(k == 0, " GmbH & Co. KG").when(k == 1, " S.p.A.").when(k == 2, " Générale S.A.").when(k == 3, " Ltd").otherwise(" Labs")
+    tails = (" GmbH & Co. KG", " S.p.A.", " Générale S.A.", " Ltd", " Labs", " S.r.l.s.", " Oyj", " Pty. Limited", " Incorporated", " Kft & Company", " SpA Trading", " s.r.o.", " Corporation LLP")
+    tail = F.element_at(F.array(*map(F.lit, tails)), (F.col("c_custkey") % len(tails) + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_company(F.concat("c_name", tail)).alias("company_norm"))
 
 
@@ -31,7 +31,12 @@ def posting_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(text.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.count_if(text.is_company_page(F.col("url"))).alias("own"))
+    """Hosts of pages, a part of them moved to boards, to hosts below and to hosts that only end like them."""
+    hosts = ("", "linkedin.com", "de.indeed.com", "myindeed.com", "www.reed.co.uk", "uk.jooble.org", "jobs.workable.com", "apply.workable.com", "adzuna.com.example.org", "trovolavoro.it", "careers.example.org")
+    other = F.element_at(F.array(*map(F.lit, hosts)), (F.col("page_id") % len(hosts) + 1).cast("int"))
+    url = F.when(other == "", F.col("url")).otherwise(F.concat(F.lit("https://"), other, F.lit("/jobs/"), F.col("page_id").cast("string")))
+    p = table(spark, sf_dir, "pages").select(url.alias("url"))
+    return p.groupBy(text.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.count_if(text.is_company_page(F.col("url"))).alias("own"))
 
 
 def note_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +53,52 @@ def title_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    passes = (F.length("text") < 40) | F.col("lang").isNull() | F.col("lang").isin(*LANGUAGES)
-    return d.groupBy("lang", F.coalesce(passes, F.lit(True)).alias("passes")).agg(F.count("*").alias("n"))
+    passes = text.language_passes(F.col("text"), F.col("lang"), LANGUAGES)
+    return table(spark, sf_dir, "documents").groupBy("lang", passes.alias("passes")).agg(F.count("*").alias("n"))
+
+
+def detected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the small words of each text say, where they say something."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.detected_language(F.col("text")).alias("detected"))
+
+
+#: Invented postings, and what becomes of them where eligibility counts.
+CASES = (
+    ("Fully remote position. Remote (UK) only.", None, "advised", "remote, limited to the UK - check eligibility"),
+    ("Remote-first bakery. Remote - Italy.", None, "confirmed", ""),
+    ("We are a fully remote team.", None, None, ""),
+    ("This isn't a fully remote job.", None, None, ""),
+    ("Hybrid working pattern, 3+ days office attendance.", None, "rejected", ""),
+    ("Two days per week in the office.", "remote", "rejected", ""),
+    ("2 days a year in the office.", None, None, ""),
+    ("Occasional on-site presence at the mill.", None, None, ""),
+    ("Remote (optional) or hybrid.", None, None, ""),
+    ("Experience with hybrid cloud ovens.", None, "not_stated", ""),
+    ("Experience with hybrid cloud ovens.", "remote", "advised", "the source marks it remote - check eligibility"),
+    ("We bake.", "onsite", "rejected", ""),
+    ("Fully remote, whatever they say.", "hybrid", None, ""),
+    ("Lavoro ibrido, tre giorni in sede.", None, "rejected", ""),
+    ("Contratto 100% da remoto (Italia).", None, "confirmed", ""),
+    ("Présentiel, quatre jours au bureau.", None, "rejected", ""),
+    ("Teletrabajo al 100%.", None, None, ""),
+    ("Drei Tage im Büro.", None, "rejected", ""),
+    ("A strong market presence.", None, "not_stated", ""),
+    ("Offriamo la possibilità di lavoro da remoto.", None, None, ""),
+)
+PADDING = " We bake bread for forty shops, mill our own flour and pay a fair wage with training and meals." * 3
+
+
+def work_mode_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, said + PADDING, hint) for k, (said, hint, _, _) in enumerate(CASES)], "id int, description string, remote_hint string")
+    ready = rows.withColumns({"title": F.lit("Baker"), "location": F.lit("Turin, Italy")})
+    return rules.rule_stage(ready, F.lit(True), True).select("id", "remote_verdict", "remote_advice")
+
+
+def country_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries named in sentences made of the nations' names."""
+    n = table(spark, sf_dir, "nation")
+    said = F.concat(F.lit("Our team in "), F.initcap("n_name"), F.lit(" works with UK partners, tell us more, or join the us-based crew."))
+    return n.select("n_nationkey", F.array_join(geo.countries_in(said), ", ").alias("named"))
 
 
 def work_mode_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +125,12 @@ def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def application_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(pages.application_channel(F.col("url"), F.col("html")).alias("channel"), pages.is_challenge(F.col("html")).alias("challenge")).agg(F.count("*").alias("n"))
+    """Pages, a part of them on hosts of application systems or with marks of the other ways to apply."""
+    k = F.col("page_id") % 7
+    url = F.when(k == 0, F.concat(F.lit("https://jobs.lever.co/x/"), F.col("page_id").cast("string"))).when(k == 1, "https://acme.myworkdayjobs.com/y").when(k == 2, "https://notlever.co/z").otherwise(F.col("url"))
+    mark = F.when(k == 3, "<p>Easy Apply here</p>").when(k == 4, '<a href="mailto:jobs@example.org">write</a>').when(k == 5, "<h1>Please verify you are human</h1>").otherwise("")
+    p = table(spark, sf_dir, "pages").select(url.alias("url"), F.concat(F.coalesce("html", F.lit("")), mark).alias("html"))
+    return p.groupBy(pages.application_channel(F.col("url"), F.col("html")).alias("channel"), pages.is_challenge(F.col("html")).alias("challenge")).agg(F.count("*").alias("n"))
 
 
 def not_seen_before(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +139,12 @@ def not_seen_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "labels").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("posting_key"), F.when(F.col("toxic") == 1, "not_for_me").otherwise("golden").alias("label"), F.lit(None).cast("long").alias("job_id"))
+    """Labels find their documents by a first list that holds the English ones, and else by one of the short and the foreign ones."""
+    key = F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("posting_key")
+    log = table(spark, sf_dir, "labels").select(key, F.when(F.col("toxic") == 1, "not_for_me").otherwise("golden").alias("label"), F.lit(None).cast("long").alias("job_id"))
     docs = table(spark, sf_dir, "documents")
-    by_key = docs.filter("doc_id % 2 = 0").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("posting_key"), F.col("doc_id").alias("job_id"))
-    by_source = docs.filter("doc_id % 3 = 0").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("posting_key"), (-F.col("doc_id")).alias("job_id"))
+    by_key = docs.filter("lang = 'en'").select(key, F.col("doc_id").alias("job_id"))
+    by_source = docs.filter("lang IS NULL OR lang <> 'en' OR n_chars < 2000").select(key, (-F.col("doc_id")).alias("job_id"))
     return labels.resolve_by_priority(log, [by_key, by_source])
 
 
@@ -110,9 +165,9 @@ def message_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts' first words only, as its SQL has it; :func:`golden_line_diff` compares all lines."""
-    first = lambda name: table(spark, sf_dir, name).select(F.split_part("text", F.lit(" "), F.lit(1)).alias("line"))
-    return messages.golden_diff(first("documents"), first("benchmark")).groupBy("line", "side").agg(F.count("*").alias("n"))
+    """Whole lines of all texts that one side has more often, compared as multisets of rows; :func:`golden_line_diff` counts first."""
+    lines = lambda name: table(spark, sf_dir, name).select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return messages.golden_diff(lines("documents"), lines("benchmark")).groupBy("line", "side").agg(F.count("*").alias("n"))
 
 
 def golden_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +191,7 @@ def walk_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        title_norm, company_norm, posting_keys, url_hosts, note_slugs, title_prefilter, title_class, language_gate, work_mode_rules, page_descriptions, page_cards, application_channels,
+        title_norm, company_norm, posting_keys, url_hosts, note_slugs, title_prefilter, title_class, language_gate, detected_languages, work_mode_rules, work_mode_cases, country_mentions, page_descriptions, page_cards, application_channels,
         not_seen_before, label_backfill, agreement_rate, due_batches, message_packing, golden_diff, golden_line_diff, feed_cards, walk_stops,
     )
 }
@@ -147,22 +202,58 @@ _WORD = lambda w: f"regexp_matches(p_name, '(?i)(^|[^[:word:]+]){w}($|[^[:word:]
 
 ORACLES = {
     "title_norm": f"SELECT p_partkey, {_NORM.format("'Re. ' || p_name || ' (m/f/d) — N° ' || p_brand || '''s'")} AS title_norm FROM part",
+    # the legal forms are written out, apart from the list under test
     "company_norm": f"""
-        WITH n AS (SELECT c_custkey, c_name || CASE c_custkey % 5 WHEN 0 THEN ' GmbH & Co. KG' WHEN 1 THEN ' S.p.A.' WHEN 2 THEN ' Generale S.A.' WHEN 3 THEN ' Ltd' ELSE ' Labs' END AS c FROM customer)
-        SELECT c_custkey, regexp_replace({_NORM.format('c')}, '( ({'|'.join(text.LEGAL_FORMS)}))+$', '') AS company_norm FROM n""",
+        SELECT c_custkey, {_NORM.format('c_name')} || CASE c_custkey % 13 WHEN 2 THEN ' generale' WHEN 4 THEN ' labs' WHEN 10 THEN ' spa trading' ELSE '' END AS company_norm FROM customer""",
     "posting_keys": f"SELECT page_id, {_HOST} || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS posting_key FROM pages",
-    "url_hosts": f"SELECT {_HOST} AS host, count(*) AS n, count(*) AS own FROM pages GROUP BY 1",
+    "url_hosts": f"""
+        WITH p AS (SELECT CASE page_id % 11 WHEN 0 THEN url ELSE 'https://' || list_extract(['', 'linkedin.com', 'de.indeed.com', 'myindeed.com', 'www.reed.co.uk', 'uk.jooble.org', 'jobs.workable.com', 'apply.workable.com',
+                                 'adzuna.com.example.org', 'trovolavoro.it', 'careers.example.org'], page_id % 11 + 1) || '/jobs/' || page_id END AS url FROM pages),
+        h AS (SELECT {_HOST} AS host FROM p)
+        SELECT host, count(*) AS n, count(*) FILTER (WHERE host NOT IN ('linkedin.com', 'de.indeed.com', 'www.reed.co.uk', 'uk.jooble.org', 'jobs.workable.com', 'trovolavoro.it')) AS own FROM h GROUP BY 1""",
     "note_slugs": r"SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(p_name || ' – ' || p_type || ' / ' || p_brand), '[^a-z0-9\s]', '', 'g'), '\s+', '_', 'g'), 1, 24) AS slug FROM part",
     "title_prefilter": f"SELECT CASE {' '.join(f"WHEN {_WORD(w)} THEN '{w}'" for w in KEYWORDS)} END AS keyword, count(*) AS n FROM part GROUP BY 1",
     "title_class": """
         WITH x AS (SELECT p_partkey, regexp_matches(p_name, '(?i)\\b(red|blue|hot)\\b') AND NOT regexp_matches(p_name, '(?i)\\bgear\\b') AS good, p_type IN ('ECONOMY', 'PROMO') AND p_size % 3 + 1 <> 2 AS wide FROM part)
         SELECT p_partkey, CAST(CASE WHEN good AND NOT wide THEN 1 WHEN good THEN 2 WHEN NOT wide THEN 3 ELSE 4 END AS BIGINT) AS cls FROM x""",
     "language_gate": "SELECT lang, coalesce(length(text) < 40 OR lang IS NULL OR lang IN ('en', 'es', 'it'), true) AS passes, count(*) AS n FROM documents GROUP BY 1, 2",
+    "detected_languages": """
+        WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-zäöüßàèéìòùáíóúñâêîôûç]+', ' ', 'g'), ' '), lambda x: x <> '') AS w, length(text) AS n FROM documents),
+        c AS (SELECT doc_id, n, len(list_filter(w, lambda x: x IN ('the', 'and', 'of', 'to', 'with', 'for', 'is', 'that', 'are', 'you', 'was', 'this'))) AS en, len(list_filter(w, lambda x: x IN ('el', 'los', 'las', 'y', 'que', 'con', 'para', 'una', 'por', 'del', 'es', 'está'))) AS es,
+                     len(list_filter(w, lambda x: x IN ('il', 'gli', 'che', 'di', 'e', 'con', 'per', 'una', 'della', 'sono', 'è', 'nel'))) AS it, len(list_filter(w, lambda x: x IN ('der', 'die', 'das', 'und', 'ist', 'mit', 'für', 'nicht', 'ein', 'auf', 'den', 'von'))) AS de,
+                     len(list_filter(w, lambda x: x IN ('le', 'les', 'et', 'des', 'une', 'que', 'dans', 'pour', 'est', 'sur', 'avec', 'du'))) AS fr FROM w),
+        m AS (SELECT *, greatest(en, es, it, de, fr) AS top FROM c)
+        SELECT doc_id, CASE WHEN coalesce(n, 0) < 40 OR top < 2 OR (en = top)::INT + (es = top)::INT + (it = top)::INT + (de = top)::INT + (fr = top)::INT > 1 THEN NULL
+                            WHEN en = top THEN 'en' WHEN es = top THEN 'es' WHEN it = top THEN 'it' WHEN de = top THEN 'de' ELSE 'fr' END AS detected FROM m""",
+    "work_mode_cases": """
+        SELECT id, remote_verdict, remote_advice FROM (VALUES
+            (0, 'advised', 'remote, limited to the UK - check eligibility'), (1, 'confirmed', ''), (2, NULL, ''), (3, NULL, ''), (4, 'rejected', ''), (5, 'rejected', ''), (6, NULL, ''), (7, NULL, ''), (8, NULL, ''),
+            (9, 'not_stated', ''), (10, 'advised', 'the source marks it remote - check eligibility'), (11, 'rejected', ''), (12, NULL, ''), (13, 'rejected', ''), (14, 'confirmed', ''), (15, 'rejected', ''), (16, NULL, ''),
+            (17, 'rejected', ''), (18, 'not_stated', ''), (19, NULL, '')) AS v(id, remote_verdict, remote_advice)""",
+    "country_mentions": """
+        SELECT n_nationkey, 'the UK, the US' || CASE WHEN n_name IN ('FRANCE', 'GERMANY', 'ROMANIA', 'CANADA', 'INDIA', 'BRAZIL', 'JAPAN', 'CHINA') THEN ', ' || upper(n_name[1]) || lower(n_name[2:]) ELSE '' END AS named FROM nation""",
+    "application_channels": """
+        WITH p AS (SELECT page_id % 7 AS k, coalesce(html, '') || CASE page_id % 7 WHEN 3 THEN '<p>Easy Apply here</p>' WHEN 4 THEN '<a href="mailto:jobs@example.org">write</a>' WHEN 5 THEN '<h1>Please verify you are human</h1>' ELSE '' END AS html FROM pages)
+        SELECT CASE WHEN k IN (0, 1) THEN 'external_ats' WHEN contains(lower(html), 'easy apply') THEN 'easy_apply' WHEN contains(lower(html), 'href="mailto:') OR contains(lower(html), 'href=''mailto:') THEN 'email' ELSE 'unknown' END AS channel,
+               regexp_matches(lower(html), 'captcha|are you a robot|unusual traffic|verify you are human|security check') AS challenge, count(*) AS n FROM p GROUP BY 1, 2""",
+    "walk_stops": """
+        WITH n AS (SELECT l_orderkey AS walk, l_linenumber AS n, max(l_quantity) AS q, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+        g AS (SELECT walk, n, CASE WHEN q > 45 THEN 0 ELSE 25 END AS cards, CASE WHEN s % 2 = 0 THEN 25 ELSE 3 END AS known, CASE WHEN q < 8 THEN 'refused' WHEN q = 8 THEN 'error' ELSE 'ok' END AS o FROM n),
+        p AS (SELECT *, count(*) FILTER (WHERE o = 'ok') OVER w AS page, max(cards) FILTER (WHERE o = 'ok') OVER w AS widest, max(n) FILTER (WHERE o <> 'refused') OVER w AS answered FROM g WINDOW w AS (PARTITION BY walk ORDER BY n ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT *, o = 'ok' AND known = cards AND cards >= widest AND cards > 0 AS is_known FROM p),
+        r AS (SELECT *, count(*) FILTER (WHERE o = 'ok') OVER w - coalesce(max(page) FILTER (WHERE o = 'ok' AND NOT is_known) OVER w, 0) AS known_run,
+                     count(*) FILTER (WHERE o = 'refused' AND n > coalesce(answered, 0)) OVER (PARTITION BY walk, answered ORDER BY n ROWS UNBOUNDED PRECEDING) AS refused_run
+              FROM k WINDOW w AS (PARTITION BY walk ORDER BY n ROWS UNBOUNDED PRECEDING)),
+        t AS (SELECT *, CASE WHEN o = 'error' THEN 'error' WHEN o = 'refused' AND refused_run >= 3 THEN CASE WHEN widest IS NULL THEN 'throttled_empty' ELSE 'rate_limited' END WHEN o = 'ok' AND cards = 0 THEN 'end_of_results'
+                             WHEN is_known AND known_run >= 3 THEN 'known_page' WHEN o = 'ok' AND page >= 5 AND cards < widest THEN 'end_of_results' WHEN o = 'ok' AND page >= 5 THEN 'cap_hit' END AS stop FROM r),
+        f AS (SELECT walk, min(n) AS n FROM t WHERE stop IS NOT NULL GROUP BY 1),
+        e AS (SELECT g.walk, coalesce(any_value(t.stop), 'stopped') AS stop_reason, coalesce(any_value(t.page), count(*) FILTER (WHERE g.o = 'ok')) AS pages FROM g LEFT JOIN f ON g.walk = f.walk LEFT JOIN t ON t.walk = f.walk AND t.n = f.n GROUP BY 1)
+        SELECT stop_reason, count(*) AS walks, CAST(sum(pages) AS BIGINT) AS pages FROM e GROUP BY 1""",
     "page_cards": "SELECT p_partkey, p_name AS title, p_brand AS company, 'https://jobs.example.com/' || p_partkey AS url FROM part",
     "not_seen_before": "SELECT item_id FROM benchmark WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE text IS NOT NULL)",
     "label_backfill": """
         SELECT 'k' || l.doc_id AS posting_key, CASE WHEN toxic = 1 THEN 'not_for_me' ELSE 'golden' END AS label,
-               CASE WHEN d.doc_id % 2 = 0 THEN d.doc_id WHEN d.doc_id % 3 = 0 THEN -d.doc_id END AS job_id FROM labels l LEFT JOIN documents d USING (doc_id)""",
+               CASE WHEN lang = 'en' THEN d.doc_id WHEN lang IS NULL OR lang <> 'en' OR n_chars < 2000 THEN -d.doc_id END AS job_id FROM labels l LEFT JOIN documents d USING (doc_id)""",
     "agreement_rate": """
         WITH x AS (SELECT toxic = 0 AS clean, CASE WHEN n_chars < 3000 THEN true END AS short, lang = 'en' AS english, CASE WHEN quality = 1 THEN true END AS quality FROM labels JOIN documents USING (doc_id)),
         u AS (SELECT 'short' AS rule, short AS g, clean FROM x UNION ALL SELECT 'english', english, clean FROM x UNION ALL SELECT 'quality', quality, clean FROM x),
@@ -173,8 +264,9 @@ ORACLES = {
         n AS (SELECT *, row_number() OVER (PARTITION BY role, turn ORDER BY t, conv_id) - 1 AS n, count(*) OVER (PARTITION BY role, turn) AS a, min(t) OVER (PARTITION BY role, turn) AS oldest FROM c)
         SELECT role, turn, conv_id, n // 8 AS batch, n % 8 AS place FROM n WHERE oldest <= TIMESTAMP '2024-01-01 00:10:00' - INTERVAL 30 MINUTE OR (n // 8 + 1) * 8 <= a""",
     "golden_diff": """
-        WITH d AS (SELECT split_part(text, ' ', 1) AS line, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT split_part(text, ' ', 1) AS line, count(*) AS n FROM benchmark GROUP BY 1)
-        SELECT line, CASE WHEN coalesce(d.n, 0) > coalesce(b.n, 0) THEN 'left' ELSE 'right' END AS side, abs(coalesce(d.n, 0) - coalesce(b.n, 0)) AS n FROM d FULL JOIN b USING (line) WHERE coalesce(d.n, 0) <> coalesce(b.n, 0)""",
+        WITH d AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), b AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM benchmark),
+        u AS ((SELECT line, 'left' AS side FROM d EXCEPT ALL SELECT line, 'left' FROM b) UNION ALL (SELECT line, 'right' FROM b EXCEPT ALL SELECT line, 'right' FROM d))
+        SELECT line, side, count(*) AS n FROM u GROUP BY 1, 2""",
     "golden_line_diff": """
         WITH d AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), b AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM benchmark),
         l AS (SELECT line, sum(k) AS k FROM (SELECT line, 1 AS k FROM d UNION ALL SELECT line, -1 FROM b) GROUP BY 1)

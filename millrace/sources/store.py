@@ -16,9 +16,11 @@ _own: dict[str, str] = {}
 
 
 def shared_table(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Write ``df`` once in the folder executors share (``spark.checkpoint.dir``; our own where it is unset) and read it back."""
+    """Write ``df`` once in the folder executors share (``spark.checkpoint.dir``; on a single machine our own where it is unset) and read it back."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     path = f"{base.rstrip('/')}/millrace-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -34,9 +36,12 @@ def replace_upsert(state: DataFrame, news: DataFrame, keys: list[str]) -> DataFr
     return found.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(*state.columns)
 
 
-def ignore_upsert(state: DataFrame, news: DataFrame, keys: list[str]) -> DataFrame:
-    """The state, and the news whose key it doesn't have (one row per key)."""
-    return state.unionByName(news.dropDuplicates(keys).join(state.select(*keys), keys, "left_anti").select(*state.columns))
+def ignore_upsert(state: DataFrame, news: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The state, and the news whose key it doesn't have: of several the first by ``order``, which must leave no ties."""
+    rest = [c for c in state.columns if c not in keys]
+    first = news.groupBy(*keys).agg(F.min_by(F.struct(*rest, F.lit(0)), F.struct(*order)).alias("_row"))
+    fresh = first.join(state.select(*keys), keys, "left_anti").select(*keys, *(F.col("_row")[c].alias(c) for c in rest))
+    return state.unionByName(fresh.select(*state.columns))
 
 
 def refresh_upsert(state: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,11 +69,19 @@ def turn_clocks(state: DataFrame, picks: DataFrame) -> DataFrame:
     return state.select("tier", "turn_at", "picks_done").unionByName(news).groupBy("tier").agg(F.max("turn_at").alias("turn_at"), F.sum("picks_done").alias("picks_done"))
 
 
-def sync_catalog(table: DataFrame, spec: DataFrame, keys: list[str]) -> DataFrame:
+def unknown_keys(spec: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of a specification that the lists it refers to don't have."""
+    return spec.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
+
+
+def sync_catalog(table: DataFrame, spec: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
     """keys, action (added, updated, deactivated, kept) and interval of a catalogue after a new specification.
 
-    table: keys, base, interval, active; spec: keys, base. An interval at the old base follows the base.
+    table: keys, base, interval, active; spec: keys, base. An interval at the old base follows the base. With
+    ``known``, a key of the specification that isn't in it raises.
     """
+    if known is not None and (wrong := unknown_keys(spec, known, keys).limit(5).collect()):
+        raise ValueError(f"unknown keys: {[tuple(r) for r in wrong]}")
     t = table.select(*keys, F.col("base").alias("old_base"), "interval", "active")
     found = t.join(spec.select(*keys, F.col("base").alias("new_base")), keys, "fullouter")
     action = (
@@ -112,14 +125,41 @@ def todays_copy_wins(fresh: DataFrame, queued: DataFrame) -> DataFrame:
     return both.groupBy("link").agg(F.min_by(F.struct(*rest), rank).alias("_row")).select("link", *(F.col("_row")[c].alias(c) for c in rest))
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path, as Hadoop knows them."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`swap` last put at ``path``."""
+    files, pointer = _files(spark, f"{path.rstrip('/')}/CURRENT")
+    if not files.exists(pointer):
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path.rstrip('/')}/{spark.read.text(pointer.toString()).first()[0]}")
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path``: write beside it, then rename, on any file system Hadoop knows."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.next-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    jvm = spark._jvm
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    if not files.rename(new, target):
-        raise OSError(f"{beside} can't be moved to {path}")
+    """Replace the table at ``path`` in one step, on any file system Hadoop knows.
+
+    Each state is a folder of its own below ``path``, and the file CURRENT names the one in force. A new state is
+    written first, then a new pointer replaces the old one by a rename that overwrites, which is atomic on HDFS
+    and local disks; a crash before it leaves the old table, one after it the new. States before the last go.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    name = f"state-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    files, pointer = _files(spark, f"{root}/CURRENT")
+    before = spark.read.text(pointer.toString()).first()[0] if files.exists(pointer) else None
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.next-{uuid.uuid4().hex}")
+    out = files.create(beside, True)
+    out.write(bytearray(name, "ascii"))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    context.rename(files.makeQualified(beside), files.makeQualified(pointer), options)
+    for old in files.listStatus(pointer.getParent()):
+        if old.isDirectory() and old.getPath().getName() not in (name, before):
+            files.delete(old.getPath(), True)

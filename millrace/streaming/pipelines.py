@@ -42,21 +42,21 @@ def sessions(stream: DataFrame, keys: list[str], gap: str = "30 minutes", late:
     return found.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
 
 
-def ladder_levels(stream: DataFrame, policy: ladder.Policy, signals: ladder.Signals, level: int = 1) -> DataFrame:
-    """host, event_id, level and move for each event (host, at, event_id, result); a host's state is its JSON."""
+def ladder_levels(stream: DataFrame, policy: ladder.Policy, signals: ladder.Signals, level: int = 1, zone: str = "UTC") -> DataFrame:
+    """host, event_id, level and move for each event (host, at, event_id, result); a host's state is its JSON, days are those of ``zone``."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = ladder.State.of(state.get[0]) if state.exists else ladder.State(level=level)
-        batch = pd.concat(list(parts)).sort_values(["at", "event_id"])
+        now = ladder.State.of(state.get[0]) if state.exists else ladder.State(level=level, active=True)
+        batch = pd.concat(list(parts)).sort_values(["t", "event_id"])
         out = []
-        for at, event_id, result in zip(batch["at"], batch["event_id"], batch["result"], strict=True):
-            t = at.value / 1e9 if at.unit == "ns" else at.timestamp()
-            move = ladder.step(now, t, int(t // 86_400), result, policy, signals)
+        for t, day, event_id, result in zip(batch["t"], batch["day"], batch["event_id"], batch["result"], strict=True):
+            move = ladder.step(now, t, int(day), result, policy, signals, throughput=False)
             out.append((key[0], event_id, now.level, move))
         state.update((now.json(),))
         yield pd.DataFrame(out, columns=["host", "event_id", "level", "move"])
 
-    return stream.groupBy("host").applyInPandasWithState(fold, ladder.REPLAY, "state string", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.select("host", (F.unix_micros("at") / 1e6).alias("t"), F.unix_date(F.from_utc_timestamp("at", zone).cast("date")).alias("day"), "event_id", "result")
+    return timed.groupBy("host").applyInPandasWithState(fold, ladder.REPLAY, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def alerts(stream: DataFrame, repeat_s: float, forget: str = "7 days") -> DataFrame:

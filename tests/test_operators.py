@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.functions.timeutil import at
-from millrace.operators import ladder, lifecycle, messages, queueing, requests, resolve, rules
+from millrace.operators import lifecycle, messages, queueing, requests, resolve
 from millrace.sources import feeds, pages, store
 
 NOW = dt.datetime(2026, 10, 1, 12)
@@ -52,14 +52,49 @@ def test_upserts(spark):
     state = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     news = spark.createDataFrame([(2, "B"), (3, "C")], "k long, v string")
     assert sorted(map(tuple, store.replace_upsert(state, news, ["k"]).collect())) == [(1, "a"), (2, "B"), (3, "C")]
-    assert sorted(map(tuple, store.ignore_upsert(state, news, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "C")]
+    several = spark.createDataFrame([(2, "B", 1), (3, "D", 2), (3, "C", 1), (3, "E", 3)], "k long, v string, n int").repartition(3)
+    assert sorted(map(tuple, store.ignore_upsert(state, several, ["k"], ["n"]).collect())) == [(1, "a"), (2, "b"), (3, "C")]
 
 
 def test_swap(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    spark.range(3).write.parquet(path)
-    store.swap(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
+    with pytest.raises(FileNotFoundError):
+        store.current(spark, path)
+    store.swap(spark.range(3), path)
+    before = store.current(spark, path)
+    for n in (5, 7):
+        store.swap(spark.range(n), path)
+        assert store.current(spark, path).count() == n
+    # one state before the last is kept for those who read it
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 2 and before.columns == ["id"]
+
+
+def test_a_failed_swap_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    store.swap(spark.range(3), path)
+    broken = spark.range(9).select(F.expr("raise_error('no')").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        store.swap(broken, path)
+    assert store.current(spark, path).count() == 3
+
+
+def test_catalog_rejects_unknown_keys(spark):
+    table = spark.createDataFrame([(1, 6, 6, True)], "k int, base int, interval int, active boolean")
+    spec = spark.createDataFrame([(1, 6), (9, 6)], "k int, base int")
+    with pytest.raises(ValueError, match="9"):
+        store.sync_catalog(table, spec, ["k"], spark.createDataFrame([(1,)], "k int"))
+    assert store.sync_catalog(table, spec, ["k"], spec).count() == 2
+
+
+def test_retry_queue(spark):
+    now = at(NOW)
+    before = spark.createDataFrame([("a", NOW - dt.timedelta(days=2))], "link string, queued_at timestamp_ntz")
+    failed = spark.createDataFrame([("a", "scoring"), ("b", "throttled")], "link string, kind string")
+    queue = store.deferred_queue(before, failed, now)
+    assert {r.link: r.queued_at for r in queue.collect()} == {"a": NOW - dt.timedelta(days=2), "b": NOW}
+    old = spark.createDataFrame([("c", "scoring", NOW - dt.timedelta(days=3)), ("d", "throttled", NOW - dt.timedelta(hours=30))], "link string, kind string, queued_at timestamp_ntz")
+    live = store.live_deferred(queue.select("link", "kind", "queued_at").unionByName(old), now)
+    assert {r.link for r in live.collect()} == {"a", "b", "d"}
 
 
 def test_due_batches_wait_for_a_full_one(spark):
@@ -69,6 +104,139 @@ def test_due_batches_wait_for_a_full_one(spark):
     assert sorted((r.key, r.id) for r in out) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1), ("b", 2)]
 
 
+def test_numbers_in_order_are_those_of_a_window(spark):
+    random.seed(1)
+    rows = [(random.choice(["a", "a", "a", None]), random.randint(0, 50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, t int, id long").repartition(5)
+    got = {r.id: r.n for r in queueing.numbered_in_order(df, ["key"], ["t", "id"]).collect()}
+    place = {}
+    for key, _, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        assert got[i] == place.setdefault(key, 0)
+        place[key] += 1
+
+
+def served_plainly(rows, rules):
+    """One queue by scans over a list: (id, waited, kind) of what leaves it."""
+    left, waiting, turns, picks, out = sorted(rows), [], {}, {}, []
+    clock = left[0][0] if left else 0.0
+    while left or waiting:
+        if not waiting and left[0][0] > clock:
+            while clock < left[0][0]:
+                clock += rules.serve_every_s
+        while left and left[0][0] <= clock:
+            waiting.append(left.pop(0))
+        aged = [r for r in waiting if rules.aged(r[2], r[3])]
+        if aged and clock - min(aged)[0] > rules.aged_s:
+            row, kind = min(aged), "aged_out"
+        else:
+            head = min({r[2] for r in waiting}, key=lambda t: (turns.get(t, float("-inf")), t))
+            old = [r for r in waiting if not rules.aged(r[2], r[3])]
+            urgent = [r for r in waiting if r[2] == head and r[3] in rules.urgent_classes]
+            if picks.get(head, 0) % rules.one_in == 0 and old and clock - min(old)[0] > rules.floor_s:
+                row, kind = min(old), "floor"
+            elif urgent:
+                row, kind = min(urgent), "urgent"
+            else:
+                row, kind = min(waiting, key=lambda r: (rules.ranks.get((r[2], r[3]), 99), r[0], r[1])), "value"
+            turns[row[2]] = clock
+            if kind == "floor":
+                turns[head] = clock
+            picks[head] = picks.get(head, 0) + 1
+        waiting.remove(row)
+        out.append((row[1], clock - row[0], kind))
+        clock += 0 if kind == "aged_out" else rules.serve_every_s
+    return out
+
+
+def test_simulation_agrees_with_scans(spark):
+    random.seed(4)
+    rules = queueing.QueueRules(3, 5000.0, 600.0, {(t, c): t + c for t in (1, 2, 3) for c in (1, 2, 3)}, (3, 4), (1, 2), 30_000.0, (1,))
+    rows = []
+    for host, every in (("busy", 500), ("calm", 2000), (None, 550)):
+        t = 0.0
+        for _ in range(500):
+            t += random.randint(0, 2 * every)
+            rows.append((host, t, len(rows), random.randint(1, 4), random.randint(1, 4)))
+    df = spark.createDataFrame(rows, "host string, t double, id long, tier int, cls int").repartition(4)
+    got = {}
+    for r in queueing.simulate(df, rules).collect():
+        got.setdefault(r.host, []).append((r.id, r.waited_s, r.kind))
+    for host in ("busy", "calm", None):
+        assert got[host] == served_plainly([r[1:] for r in rows if r[0] == host], rules)
+    assert {k for x in got.values() for _, _, k in x} == {"floor", "urgent", "value", "aged_out"}
+
+
+def test_valuable_rows_wait_less_than_a_day(spark):
+    """Twelve days, more arrivals than picks: the valuable go soon, the others in bounded time."""
+    random.seed(9)
+    rows, t = [], 0.0
+    while t < 12 * 86_400:
+        t += random.randint(1200, 3600)
+        rows.append(("h", t, len(rows), 1, 1 if random.random() < 0.3 else 4))
+    df = spark.createDataFrame(rows, "host string, t double, id long, tier int, cls int")
+    out = queueing.simulate(df, queueing.QueueRules(ranks={(1, 1): 1, (1, 4): 9}, aged_classes=(4,), aged_tiers=(1,))).collect()
+    waited = {i: r.waited_s for r in out for i in [r.id]}
+    high = sorted(waited[i] for _, _, i, _, c in rows if c == 1)
+    assert high[int(0.9 * len(high))] < 86_400 and high[-1] < 4 * 86_400
+    assert max(waited[i] for _, _, i, _, c in rows if c == 4) < 8 * 86_400
+
+
+def test_percentiles_of_odd_values(spark):
+    import numpy as np
+
+    from millrace.operators import calls
+
+    random.seed(2)
+    values = {"a": [random.gauss(0, 1000) for _ in range(999)], "b": [7.0] * 50, "c": [1.0], "d": [-5.0, 5.0, None], None: [0.0, 1e300]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("e", None)], "k string, v double").repartition(4)
+    got = {r.k: r for r in calls.percentiles(df, ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        want = np.percentile([v for v in vs if v is not None], [0, 50, 95, 100])
+        assert [got[k].p0, got[k].p50, got[k].p95, got[k].p100] == pytest.approx(want.tolist())
+
+
+def test_limit_use_counts_up_to_the_limit(spark):
+    from millrace.operators import calls
+
+    rows = [(k, NOW + dt.timedelta(minutes=17 * i), i, 1 + i % 5) for k in ("a", "b") for i in range(80 if k == "a" else 3)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, i long, tokens long").repartition(3)
+    got = {r.k: r for r in calls.limit_use(df, ["k"], 100, order=["at", "i"]).collect()}
+    total = within = 0
+    for _, _, _, n in rows[:80]:
+        total += n
+        within += total <= 100
+    assert (got["a"].requests, got["a"].tokens, got["a"].within) == (80, total, within) and (got["b"].requests, got["b"].within) == (3, 3)
+
+
+def test_unique_twins_from_counts_are_those_from_pairs(spark):
+    random.seed(3)
+    rows = [(i, random.choice("abcdefgh" + "h" * 20), NOW + dt.timedelta(days=random.randint(0, 400))) for i in range(300)]
+    sightings = [(i, random.randint(0, 3)) for i in range(300) for _ in range(random.randint(0, 3))]
+    entities = spark.createDataFrame(rows, "id long, company string, first_seen timestamp_ntz")
+    seen = spark.createDataFrame(sightings, "id long, source int")
+    want = resolve.unique_twins(resolve.twin_candidates(entities, seen, ["company"]))
+    got = resolve.unique_twins(resolve.twins_of_unique(entities, seen, ["company"]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+    assert resolve.possibly_unique(entities, seen, ["company"]).count() < 250
+    # against plain rounds
+    by_id, sources = {i: (c, t) for i, c, t in rows}, {}
+    for i, s in sightings:
+        sources.setdefault(i, set()).add(s)
+    root = {i: i for i in by_id}
+    while True:
+        groups = {}
+        for i, r in root.items():
+            groups.setdefault(r, []).append(i)
+        state = {r: (by_id[min(g)][0], min(by_id[i][1] for i in g), set().union(*(sources.get(i, set()) for i in g))) for r, g in groups.items()}
+        twins = {a: [b for b in state if b != a and state[a][0] == state[b][0] and abs(state[a][1] - state[b][1]) <= dt.timedelta(days=30) and not state[a][2] & state[b][2]] for a in state}
+        pairs = {t[0]: a for a, t in twins.items() if len(t) == 1 and twins[t[0]] == [a] and a < t[0]}
+        if not pairs:
+            break
+        root = {i: pairs.get(r, r) for i, r in root.items()}
+    assert {r.id: r.root for r in resolve.resolve(entities, seen, ["company"]).collect()} == root
+
+
 def test_head_tier_prefers_the_never_served(spark):
     waiting = spark.createDataFrame([(1,), (2,), (3,)], "tier int")
     clocks = spark.createDataFrame([(1, NOW), (2, NOW - dt.timedelta(days=1))], "tier int, turn_at timestamp_ntz")
@@ -76,98 +244,6 @@ def test_head_tier_prefers_the_never_served(spark):
     assert queueing.head_tier(waiting.filter("tier < 3"), clocks).first().tier == 2
 
 
-def play(outcomes, level=1, policy=ladder.Policy(), signals=ladder.Signals(), gap=60.0):
-    s, moves = ladder.State(level=level), []
-    for k, o in enumerate(outcomes):
-        t = 1e9 + k * gap
-        moves.append(ladder.step(s, t, int(t // 86_400), o, policy, signals))
-        s = ladder.State.of(s.json())
-    return s, moves
-
-
-def test_ladder_climbs_after_enough_clean_answers():
-    assert play(["clean"] * 200)[0].level == 2
-    assert play(["clean"] * 199)[0].level == 1
-
-
-@pytest.mark.parametrize("signals", [ladder.Signals(demand=500), ladder.Signals(model_requests=950), ladder.Signals(age=601)])
-def test_ladder_blockers(signals):
-    assert play(["clean"] * 300, signals=signals)[0].level == 1
-
-
-def test_ladder_falls():
-    s, moves = play(["refused"] * 4, level=4)
-    assert (s.level, moves[-1]) == (2, "fall") and s.blocked_until["4"] > 0
-    s, moves = play((["clean"] * 7 + ["refused"] * 3), level=3)
-    assert (s.level, moves[-1]) == (2, "fall")
-    assert play(["refused" if k % 11 == 5 else "clean" for k in range(300)])[0].level == 1  # 9 % refused
-
-
-def test_ladder_brakes_and_recovers():
-    s, moves = play(["clean"] * 5 + ["block:challenge"] + ["clean"] * 20, level=3)
-    assert moves[5] == "brake" and s.level == 1 and moves[-1] == "brake released" and not s.braking
-    s, moves = play(["block:connection"] * 3, level=2)
-    assert moves == ["block noted", "block noted", "brake"]
-    s, moves = play(["block:challenge"] + ["block:challenge"], gap=4000.0)
-    assert moves[-1] == "paused for the day"
-
-
-def test_ladder_eases_without_demand():
-    s, moves = play(["clean"] * 3, level=3, signals=ladder.Signals(demand=10))
-    assert moves[0] == "ease" and s.level == 2
-
-
-def test_replay_equals_the_fold(spark):
-    random.seed(5)
-    rows = [(f"h{k % 3}", 1e9 + k * 30.0, k, random.choices(["clean", "refused", "neutral"], [20, 1, 1])[0]) for k in range(3000)]
-    df = spark.createDataFrame(rows, "host string, t double, event_id long, outcome string")
-    got = {r.event_id: (r.level, r.move) for r in ladder.replay(df, ladder.Policy(), ladder.Signals()).collect()}
-    states = {}
-    for h, t, k, o in rows:
-        s = states.setdefault(h, ladder.State())
-        move = ladder.step(s, t, int(t // 86_400), o, ladder.Policy(), ladder.Signals())
-        assert got[k] == (s.level, move)
-    assert max(x for x, _ in got.values()) > 1
-
-
-LONG = " We build software for hospitals and pay a fair salary with good benefits and training." * 4
-
-
-@pytest.mark.parametrize(
-    ("text", "hint", "scope", "want"),
-    [
-        ("This is a fully remote role." + LONG, None, False, "confirmed"),
-        ("This is a fully remote role." + LONG, None, True, None),
-        ("Remote - Italy, fully remote." + LONG, None, True, "confirmed"),
-        ("Remote (UK)." + LONG, None, True, "advised"),
-        ("This is not a fully remote role." + LONG, None, False, None),
-        ("Two days per week in the office." + LONG, None, False, "rejected"),
-        ("Three days a week in our office, hybrid working model." + LONG, None, False, "rejected"),
-        ("Three days of annual leave, home office budget." + LONG, None, False, None),
-        ("Occasional on-site presence." + LONG, None, False, None),
-        ("Very few office-based roles." + LONG, None, False, None),
-        ("Fully remote or hybrid." + LONG, None, False, None),
-        ("Possibility to work fully remote." + LONG, None, False, None),
-        ("Experience with hybrid cloud." + LONG, None, False, "not_stated"),
-        ("Lavoro ibrido." + LONG, None, False, "rejected"),
-        ("Interamente da remoto." + LONG, None, False, "confirmed"),
-        ("Vollständig remote." + LONG, None, False, "confirmed"),
-        ("Anything." + LONG, "onsite", False, "rejected"),
-        ("Short.", None, False, None),
-        ("Nothing said." + LONG, None, False, "not_stated"),
-    ],
-)
-def test_rules(text, hint, scope, want):
-    found = rules.classify(text, hint=hint, needs_scope=scope)
-    assert (found and found[0]) == want
-
-
-def test_rule_stage(spark):
-    df = spark.createDataFrame([("a", "Fully remote role." + LONG, "hybrid"), ("b", "x" + LONG, "remote"), ("c", "x" + LONG, "hybrid"), ("d", None, None)], "id string, description string, remote_hint string").withColumns({"title": F.lit(""), "location": F.lit("")})
-    out = {r.id: r.remote_verdict for r in rules.rule_stage(df, F.lit(True)).collect()}
-    assert out == {"a": None, "b": "advised", "c": "rejected", "d": None}
-
-
 def test_walk_stops(spark):
     def walk(name, pages, cap=None):
         return [(name, k, c, known, o, cap) for k, (c, known, o) in enumerate(pages)]
@@ -203,6 +279,13 @@ def test_messages():
     assert messages.split_oversized("aa\nbb\ncc", 5) == ["aa\nbb", "cc"]
 
 
+def test_long_blocks_are_cut_in_one_pass():
+    lines = ["x" * 90] * 20_000
+    parts = messages.split_oversized("\n".join(lines), 4096)
+    assert max(map(len, parts)) <= 4096 and "\n".join(parts) == "\n".join(lines)
+    assert messages.split_oversized("y" * 10_000, 4096) == ["y" * 4096, "y" * 4096, "y" * 1808]
+
+
 def test_message_sizes_agree_with_packing(spark):
     random.seed(2)
     rows = [("k", n, "\n".join("x" * random.randint(0, 60) for _ in range(random.randint(1, 6)))) for n in range(40)]
@@ -227,7 +310,7 @@ def test_resolve_goes_on_for_more_than_twenty_rounds(spark, monkeypatch):
         first = sorted(r.id for r in now.select("id").collect())[:2]
         return spark.createDataFrame([tuple(first)] if len(first) == 2 else [], "id long, twin long")
 
-    monkeypatch.setattr(resolve, "twin_candidates", lambda now, *_: now)
+    monkeypatch.setattr(resolve, "twins_of_unique", lambda now, *_: now)
     monkeypatch.setattr(resolve, "mutual_twins", one_pair)
     monkeypatch.setattr(resolve, "shared_table", lambda df, s: s.createDataFrame(df.collect(), df.schema))
     entities = spark.range(24).withColumns({"company": F.lit("a"), "first_seen": F.lit("2024-01-01").cast("timestamp")})

@@ -50,7 +50,7 @@ def test_day_counts(spark, folder, tmp_path):
 def test_ladder(spark, folder, tmp_path):
     # the three files are read in one trigger each or all at once: a host's events come in order of time
     got = run(pipelines.ladder_levels(pipelines.events(spark, folder, SCHEMA), ladder.Policy(), ladder.Signals()), tmp_path)
-    batch = spark.read.parquet(folder).select("host", F.unix_seconds("at").cast("double").alias("t"), "event_id", F.col("result").alias("outcome"))
+    batch = spark.read.parquet(folder).select("host", (F.unix_micros(F.col("at").cast("timestamp")) / 1e6).alias("t"), F.unix_date(F.to_date("at")).alias("day"), "event_id", F.col("result").alias("outcome"), F.lit(None).cast("string").alias("block"))
     want = ladder.replay(batch, ladder.Policy(), ladder.Signals())
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
