@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Memory, chosen_rows, fold_of, id_fold, slim, written
@@ -55,7 +55,7 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, modulus: int = 4, fold: int = 2) -> DataFrame:
     """doc_id, text, toxic and weight of the bounded sample outside the held-out fold.
 
-    About ``most`` documents of each label, and of these, in a hashed order, those that fit into ``most_bytes``;
+    About ``most`` documents of each label, and of these, by a hash, as many as fill about ``most_bytes``;
     a document with more than a sixteenth of that is never among them.
     """
     known = labels.filter("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -63,10 +63,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int
     # at most about 2 * most rows, whatever the size of the tables
     found = written(slim(docs).join(F.broadcast(chosen), "doc_id"), "labelled")
     sizes = found.groupBy("doc_id", "toxic", "weight").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("bytes"), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = sizes.filter(F.col("n_bytes") <= most_bytes // 16).withColumn("upto", F.sum("n_bytes").over(order)).filter(F.col("upto") <= most_bytes)
+    short = sizes.filter(F.col("n_bytes") <= most_bytes // 16)
+    share = F.broadcast(short.groupBy("toxic").agg(F.least(F.lit(1.0), F.lit(float(most_bytes)) / F.sum("n_bytes")).alias("share")))  # two rows
+    place = F.xxhash64(F.lit("bytes"), "doc_id") / F.lit(2.0**64) + F.lit(0.5)
+    fits = short.join(share, "toxic").filter((F.col("share") >= 1) | (place < F.col("share")))
     all_of, kept_of = sizes.groupBy("toxic").agg(F.sum("weight").alias("all")), fits.groupBy("toxic").agg(F.sum("weight").alias("kept"))
-    scale = all_of.join(F.broadcast(kept_of), "toxic").select("toxic", (F.col("all") / F.col("kept")).alias("scale"))  # two rows
+    scale = all_of.join(F.broadcast(kept_of), "toxic").select("toxic", (F.col("all") / F.col("kept")).alias("scale"))
     kept = fits.select("doc_id", "toxic").join(F.broadcast(scale), "toxic").select("doc_id", "scale")
     return found.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "toxic", (F.col("weight") * F.col("scale")).alias("weight"))
 

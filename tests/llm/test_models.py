@@ -289,7 +289,7 @@ def test_the_sample_is_bounded_in_bytes(spark):
     got = toxicity.training_rows(docs, labels, 100_000, 16_000).collect()
     for label in (0, 1):
         own = [r for r in got if r.toxic == label]
-        assert 0 < sum(len(r.text) for r in own) <= 16_000 and all(fold(r.doc_id, 4) != 2 for r in own)
+        assert 8_000 < sum(len(r.text) for r in own) < 24_000 and max(len(r.text) for r in own) <= 1000 and all(fold(r.doc_id, 4) != 2 for r in own)
         assert sum(r.weight for r in own) == pytest.approx(sum(i % 2 == label and fold(i, 4) != 2 for i in range(400)))
     assert len(toxicity.training_rows(docs, labels, 100_000, 1 << 30).collect()) == sum(fold(i, 4) != 2 for i in range(400))
 
