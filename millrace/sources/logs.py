@@ -36,13 +36,13 @@ def seen_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown notes: the fields of their front matter, the heading and the body."""
+    """Markdown notes: the fields of their front matter, the first heading and the body below it."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     front = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n", 1)
     lines = F.filter(F.split(front, "\n"), lambda x: x.contains(": "))
     fields = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(": "), F.lit(1))), F.trim(F.regexp_replace(x, r"^[^:]*: ", "")))))
     rest = F.regexp_replace("value", r"(?s)^---\n.*?\n---\n", "")
-    return raw.select("file", fields.alias("fields"), F.regexp_extract(rest, r"(?m)^# (.*)$", 1).alias("heading"), F.trim(F.regexp_replace(rest, r"(?m)^# .*$", "")).alias("body"))
+    return raw.select("file", fields.alias("fields"), F.regexp_extract(rest, r"(?m)^# (.*)$", 1).alias("heading"), F.regexp_replace(F.regexp_replace(rest, r"^\s*# [^\n]*", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
