@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.timeutil import at, clamp_cadence, delivery_due, overdue, posted_window_days, pulled_in, started_before_today
-from millrace.operators import calls, health, labels, lifecycle, queueing, reports, resolve, rules, trend
+from millrace.operators import calls, cv, health, labels, lifecycle, queueing, reports, resolve, rules, trend
 from millrace.plans.delivery_queries import JOBS, jobs
 from millrace.plans.order_queries import TIERED, tiered
 from millrace.plans.tables import CALL_LOG, REQUEST_LOG, call_log, request_log, table
@@ -252,10 +252,19 @@ def recovered_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.cleared(log.filter(F.col("at") >= at("2024-01-20 00:00:00")), sent)
 
 
+def cv_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents made of the parts of each brand, taken apart again: bullets and sentences of each role."""
+    p = table(spark, sf_dir, "part")
+    entry = F.concat(F.lit("**"), "p_type", F.lit(" "), F.col("p_partkey").cast("string"), F.lit("**\n- "), F.when(F.col("p_size") % 2 == 0, "Built ").otherwise("Improve "), "p_name", F.lit("\n- sold 3 "), F.col("p_name"))
+    docs = p.groupBy("p_brand").agg(F.concat(F.lit("# Name\n\n## Summary\nShort.\n\n## Experience\n"), F.array_join(F.array_sort(F.collect_list(entry)), "\n"), F.lit("\n\n## Skills\n**Tools:** all\n- lp.one :: proof")).alias("text"))
+    lines = cv.cv_lines(docs, "p_brand", "text")
+    return lines.groupBy("p_brand", "section", "kind").agg(F.count("*").alias("n"), F.count_if(cv.is_sentence(F.col("content"))).alias("sentences"), F.count_distinct("role").alias("roles"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        day_summary, status_view, day_report, day_report_lines, run_rule_warnings, fair_claim, class_backfill, verdict_mix, area_pages, late_slices, walk_stop_reasons, model_answers, last_attempts, call_gates,
+        cv_roles, day_summary, status_view, day_report, day_report_lines, run_rule_warnings, fair_claim, class_backfill, verdict_mix, area_pages, late_slices, walk_stop_reasons, model_answers, last_attempts, call_gates,
         waiting_queue, undone_rule, reason_census, cheap_picks, deferred_rows, stage_log, description_states, text_formats, prompt_texts, link_keys, quotes_found, labels_in_force, label_gaps, rekeyed_sightings,
         retry_queue, todays_copies, clamped_cadence, due_tests, verdict_policies, answer_verdicts, answers_by_place, recovered_alerts,
     )
@@ -278,6 +287,11 @@ _REPORT = f"""
                      CAST(sum(tokens) AS DOUBLE) AS tokens FROM calls GROUP BY 1)"""
 
 ORACLES = {
+    "cv_roles": """
+        WITH b AS (SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 0) AS built FROM part GROUP BY 1)
+        SELECT p_brand, NULL AS section, 'text' AS kind, 1 AS n, 0 AS sentences, 0 AS roles FROM b UNION ALL SELECT p_brand, s, 'section', 1, 0, 0 FROM b, (VALUES ('Summary'), ('Experience'), ('Skills')) AS v(s)
+        UNION ALL SELECT p_brand, 'Summary', 'text', 1, 0, 0 FROM b UNION ALL SELECT p_brand, 'Experience', 'role', n, 0, n FROM b UNION ALL SELECT p_brand, 'Experience', 'bullet', 2 * n, n + built, n FROM b
+        UNION ALL SELECT p_brand, 'Skills', 'skill', 1, 0, 0 FROM b UNION ALL SELECT p_brand, 'Skills', 'proof', 1, 0, 0 FROM b""",
     "day_summary": f"""
         WITH {JOBS}, {CALL_LOG},
         f AS (SELECT jobs.tier, count(*) AS n FROM lineitem JOIN jobs ON l_orderkey = id WHERE l_shipdate BETWEEN TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND TIMESTAMP '{NOW}' GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.register import register_all
 from millrace.functions.timeutil import at
-from millrace.operators import delivery, history, model_stage, requests
+from millrace.operators import cv, delivery, history, model_stage, requests
 from millrace.sources import config, store
 
 NOW = dt.datetime(2026, 10, 1, 12)
@@ -97,3 +97,16 @@ def test_registered_functions(spark):
     names = register_all(spark)
     assert spark.sql(f"SELECT {names[0]}('Ré')").first()[0] == "Re"
     assert spark.sql("SELECT mr_work_mode('This is a fully remote role.' || repeat(' We build software.', 20), '', '', NULL).verdict").first()[0] == "confirmed"
+
+
+def test_cvs_as_lines(spark):
+    text = "Jo Miller\n\n## Summary\nBakes.\n## Experience\n**Baker, Mill Co**\n  **: night shift**\n- Built an oven\n- Improve bread\n\n**Miller**\n- Ground 3 t of flour\n## Skills\n**Tools:** sieve\n- stray\n- lp.oven :: I built an oven."
+    lines = cv.cv_lines(spark.createDataFrame([("m", text), ("n", None)], "id string, text string"), "id", "text")
+    got = [(r.section, r.role, r.kind, r.content) for r in lines.orderBy("line").collect()]
+    assert got[0] == (None, None, "text", "Jo Miller") and ("Experience", "Baker, Mill Co", "bullet", "Built an oven") in got
+    assert ("Experience", "Miller", "bullet", "Ground 3 t of flour") in got and ("Skills", None, "bullet", "stray") in got and ("Skills", None, "proof", "lp.oven :: I built an oven.") in got
+    assert {r.role: r.chars for r in cv.budgets(lines, "id").collect()} == {"Baker, Mill Co": [13, 13], "Miller": [19]}
+    tailored = lines.withColumn("content", F.when(F.col("content") == "Improve bread", "Improved bread").otherwise(F.col("content")))
+    assert [tuple(r) for r in cv.changed_bullets(tailored, lines, "id").collect()] == [("m", "Improved bread")]
+    need = spark.createDataFrame([("m", "3 t"), ("m", "40 %"), ("x", "1")], "id string, metric string")
+    assert {tuple(r) for r in cv.missing_metrics(tailored, need, "id").collect()} == {("m", "40 %"), ("x", "1")}
