@@ -31,8 +31,35 @@ ENCODED = "doc_id long, ids array<int>, agreed boolean"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agreed boolean"
 
 
+#: Symbols up to which the agenda is a list that is searched; longer chunks keep it as a heap.
+SHORT = 48
+_NONE = 1 << 60
+
+
 def merge_by_agenda(chunk: str, order: dict[str, int]) -> list[str]:
     """The symbols left when no adjacent pair is a piece. ``order``: each piece's place by falling score, equal for equal scores."""
+    return _by_list(chunk, order) if len(chunk) <= SHORT else _by_heap(chunk, order)
+
+
+def _by_list(chunk: str, order: dict[str, int]) -> list[str]:
+    """The agenda has a place for each adjacent pair of symbols, in the order of the text, so the first least one is the leftmost."""
+    symbols, place = list(chunk), order.get
+    agenda = [place(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+    while agenda:
+        top = min(agenda)
+        if top == _NONE:
+            break
+        i = agenda.index(top)
+        merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
+        del agenda[i]
+        if i < len(agenda):
+            agenda[i] = place(merged + symbols[i + 1], _NONE)
+        if i:
+            agenda[i - 1] = place(symbols[i - 1] + merged, _NONE)
+    return symbols
+
+
+def _by_heap(chunk: str, order: dict[str, int]) -> list[str]:
     n = len(chunk)
     symbols, after, before = list(chunk), list(range(1, n + 1)), list(range(-1, n - 1))
     agenda = [order[pair] << 40 | i for i in range(n - 1) if (pair := chunk[i : i + 2]) in order]

@@ -37,6 +37,14 @@ def test_codec_equals_the_library(spark):
     assert digests.count() == 0 and "decoded_sha256" in digests.columns
 
 
+def test_both_forms_of_the_agenda_merge_alike():
+    order = sp_codec.Codec(MODEL).order
+    random.seed(7)
+    for t in [*texts(800), "the" * 15, "aaaaaaaaaaaaaaaa", "▁▁▁▁▁▁▁▁"]:
+        chunk = (t or "").replace(" ", "▁")[:300]
+        assert sp_codec._by_list(chunk, order) == sp_codec._by_heap(chunk, order)
+
+
 def test_digests_of_the_round_trip(spark):
     import hashlib
 
