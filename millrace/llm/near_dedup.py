@@ -5,7 +5,8 @@ into bands; classes that share a band are joined by star edges to the smallest,
 the star edges' components hold every pair that banding proposes. The texts of a component then meet in
 bounded blocks, where links are found on the words of the full sets by a search that compares a document
 only with those that nothing has reached yet. A component of one block is settled by that. In a larger one
-the blocks' own components meet by their smallest members next; what is linked by then is dealt into blocks
+the texts that share most buckets with others are guests in every block, so copies of one original find it
+wherever they are; the blocks' own components meet by their smallest members next; what is linked by then is dealt into blocks
 of its own, and two blocks are only compared where they hold texts that aren't linked yet. So a large group
 of near copies costs one pass over its texts, not one for each pair of blocks.
 
@@ -128,6 +129,14 @@ def _dealt(df: DataFrame, key: str | Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(key), parts).cast("int")
 
 
+def _hubs(members: DataFrame, shared: DataFrame, hubs: int) -> DataFrame:
+    """The ``hubs`` members of each group that meet most others in their buckets; found in parts first, so no task ranks a whole group."""
+    found = members.join(shared.groupBy("rep").agg(F.sum("met").alias("met")), "rep").withColumn("part", _dealt(members, "rep", F.lit(64)))
+    for by in (["group", "part"], ["group"]):
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("met"), "rep"))).filter(F.col("place") <= hubs)
+    return found.drop("met", "part", "place")
+
+
 def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> DataFrame:
     """(node, root) of the groups that fill several blocks: ``large`` has group, rep, n and text, ``first`` the links within first blocks."""
     links = first
@@ -161,12 +170,12 @@ def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> Data
     return connected_components(links, "node", "root")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 1_000_000, first_shingles: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 1_000_000, first_shingles: int = 1 << 14, hubs: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of both together. A block that
-    is verified in one task holds about ``first_shingles`` shingles at first, and where blocks of a large group
-    are compared about ``block_shingles``, or two such.
+    is verified in one task holds about ``first_shingles`` shingles at first (besides ``hubs`` texts of its group),
+    and where blocks of a large group are compared about ``block_shingles``, or two such.
     """
     texts = slim(docs, id_col, text_col)
     every = written(sketches(texts, words, bands, rows_per_band), "sketches")
@@ -174,23 +183,26 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
     classes = written(some.filter("doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("key", "lead")
-    stars = keyed.join(buckets, "key").filter("rep <> lead").select("rep", "lead")
-    proposed = connected_components(stars, "rep", "lead")
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("met")).filter("lead < last").select("key", "lead", "met")
+    shared = written(keyed.join(buckets, "key").select("rep", "lead", "met"), "shared")
+    proposed = connected_components(shared.filter("rep <> lead"), "rep", "lead")
 
     members = proposed.select(F.col("root").alias("group"), F.col("node").alias("rep")).union(proposed.select("root", "root").distinct())
     members = written(members.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "members")
     totals = members.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
     large = small(totals.filter((F.col("n") > first_shingles) & (F.col("c") > 1)).select("group", F.ceil(F.col("n") / first_shingles).alias("k")))
-    dealt = members.join(large, "group", "left").select("group", "rep", "n", F.col("k").isNotNull().alias("many"), _dealt(members, "rep", F.coalesce("k", F.lit(1))).alias("i"))
+    own = members.join(large, "group", "left").select("group", "rep", "n", F.col("k").isNotNull().alias("many"), _dealt(members, "rep", F.coalesce("k", F.lit(1))).alias("i"), F.lit(False).alias("guest"))
+    guests = _hubs(members.join(large, "group"), shared, hubs).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
+    guests = guests.filter(F.col("i") != _dealt(guests, "rep", F.col("k"))).select("group", "rep", "n", F.lit(True).alias("many"), "i", F.lit(True).alias("guest"))
+    dealt = written(own.union(guests), "dealt")
     # a merge join at every size: the texts always outgrow what may be broadcast, and so does the other side
-    gathered = written(dealt.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "n", "many", "i", "text").distinct(), "gathered")
+    gathered = written(dealt.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "n", "many", "i", "guest", "text").distinct(), "gathered")
 
     verify = _verified(words, percent)
     links = written(gathered.select("group", "i", "rep", F.col("rep").alias("label"), "many", "text").groupBy("group", "i").applyInArrow(verify, LINKS), "links")
     whole = links.filter("not many").select("node", "root")
     if not gathered.filter("many").isEmpty():
-        whole = whole.union(_large_links(gathered.filter("many"), links.filter("many").select("node", "root"), verify, block_shingles))
+        whole = whole.union(_large_links(gathered.filter("many AND NOT guest").select("group", "rep", "n", "text"), links.filter("many").select("node", "root"), verify, block_shingles))
     roots = classes.join(whole.groupBy("node").agg(F.min("root").alias("root")), F.col("rep") == F.col("node"), "left").select("high", "low", "n_shingles", F.coalesce("root", "rep").alias("root"))
     # texts without words are one set, but no group: they stay out of the join
     found = some.join(roots, ["high", "low", "n_shingles"], "left").select("doc_id", "n_shingles", "root").union(every.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root")))

@@ -200,6 +200,22 @@ def test_groups_of_several_blocks_keep_every_link(spark):
     assert len(set(want.values())) >= 6
 
 
+def test_copies_of_one_original_meet_it_in_every_block(spark):
+    """Each copy is like the original, no two copies are like one another; the original has neither the first nor the last identifier."""
+    random.seed(6)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(500, " ".join(base))]
+    for k in range(120):
+        words = list(base)
+        at = random.randrange(0, 270)
+        words[at : at + 24] = [f"e{k}-{j}" for j in range(24)]
+        rows.append((k if k < 60 else 1000 + k, " ".join(words)))
+    sets = brute_sets(rows)
+    want = brute_components(sets, 80)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=80, first_shingles=3000, block_shingles=6000).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 1
+
+
 def test_one_word_of_many_megabytes(spark):
     rows = [(1, "x" * 3_000_000), (2, "X" * 3_000_000), (3, "y" * 3_000_000), (4, "a b c d e f " * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
