@@ -7,8 +7,12 @@ rests' lengths (a fixed number of classes) is planned on the driver by
 Every rest gets its rank within its class from counts per task, and so its place in the plan without a
 sort of the class; cut pieces get their check sums by combining those at the grid positions.
 
-Defined cases: a null or empty text has the end identifier only; a null identifier stays null; rows that
-repeat are packed each; further columns are ignored; an empty table gives no pieces.
+A rest reserves its length rounded up to ``UNIT`` tokens, so up to ``UNIT - 1`` places of it stay empty at its
+sequence's end; that is little unless nearly all texts are very short.
+
+Defined cases: a null or empty text has the end identifier only; strings of special tokens such as
+``<|endoftext|>`` are ordinary text; a null identifier stays null; rows that repeat are packed each; further
+columns are ignored; an empty table gives no pieces. A text of any length is encoded whole in its task.
 """
 
 from __future__ import annotations

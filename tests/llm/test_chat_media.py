@@ -1,9 +1,11 @@
 """Chat formatting and media archives."""
 
 import hashlib
+import math
 import json
 import zipfile
 import zlib
+from collections import Counter
 
 import pyarrow.fs as pafs
 import pytest
@@ -84,6 +86,22 @@ def test_media_round_trip(spark):
     assert media.media_features(df.limit(0)).count() == 0
 
 
+def feature_plainly(samples):
+    mean = sum(samples) / len(samples)
+    rms = math.sqrt(sum(x * x for x in samples) / len(samples))
+    crossings = sum((a >= 128) != (b >= 128) for a, b in zip(samples, samples[1:], strict=False))
+    entropy = -sum(n / len(samples) * math.log2(n / len(samples)) for n in Counter(samples).values())
+    return [mean, rms, crossings, entropy]
+
+
+def test_features_agree_with_plain_sums():
+    for text in (b"", b"a", b"hello", "é日本".encode() * 50, bytes(range(256)) * 3, b"\xff" * 64):
+        samples = media.payload_of(text)
+        parts = dict(x.split("=") for x in media.feature_of(samples).split(";"))
+        assert list(parts) == ["mean", "rms", "crossings", "entropy"]
+        assert [float(x) for x in parts.values()] == pytest.approx(feature_plainly(samples), abs=6e-5)
+
+
 def test_ranges_read_every_member_once(spark, tmp_path):
     df = spark.createDataFrame([(k, str(k) * (k % 50)) for k in range(500)], "doc_id long, text string")
     folder = f"file://{tmp_path}/a"
