@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import note_number, slugify
+
 
 def current_labels(log: DataFrame) -> DataFrame:
     """The label in force per posting key: the latest replaces its opposite; a job found once stays known.
@@ -26,5 +28,15 @@ def resolve_by_priority(labels: DataFrame, lookups: list[DataFrame], key: str =
     return labels.join(best, key, "left").withColumn("job_id", F.coalesce("job_id", "_found")).drop("_found")
 
 
+def by_note(labels: DataFrame, jobs: DataFrame, key: str = "posting_key") -> DataFrame:
+    """A lookup (key, job_id) by the note number that a label's file name ends with, if the name's words are the job's as well.
+
+    labels: key, file; jobs: id, note_no, title. Numbers are used anew now and then, so a number alone proves nothing.
+    """
+    stem = F.regexp_replace("file", r"_?[0-9]+\.[A-Za-z]+$", "")
+    asked = labels.select(key, note_number(F.col("file")).alias("note_no"), stem.alias("stem"))
+    return asked.join(jobs.select(F.col("id").alias("job_id"), "note_no", slugify(F.col("title")).alias("slug")), "note_no").filter("slug = stem").select(key, "job_id")
+
+
 def missing_share(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("labels"), F.count_if(F.col("job_id").isNull()).alias("without_job"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -20,6 +20,19 @@ def digest_sections(df: DataFrame, section: str, order: list, cap: int, shared:
     return top.withColumn("shown", F.row_number().over(overall) <= shared)
 
 
+def section_blocks(digest: DataFrame, section: str, heading: Column, line: Column) -> DataFrame:
+    """section and block: a heading with the number of a section's rows, its shown rows' lines in rank order, and how many more there are.
+
+    digest: as :func:`digest_sections` makes it, so a section has as many rows as its cap at most.
+    """
+    listed = F.array_sort(F.collect_list(F.when(F.col("shown"), F.struct("rank", line.alias("text")))))
+    found = digest.groupBy(section).agg(F.min(heading).alias("_heading"), F.count("*").alias("_n"), listed.alias("_lines"))
+    hidden = F.col("_n") - F.size("_lines")
+    lines = F.transform("_lines", lambda x: F.concat(F.lit("- "), x["text"]))
+    more = F.when(hidden > 0, F.array(F.concat(F.lit("and "), hidden.cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return found.select(section, F.array_join(F.concat(F.array(F.concat("_heading", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))), lines, more), "\n").alias("block"))
+
+
 def _parts(block: str, limit: int) -> Iterator[tuple[int, int]]:
     """Where the parts of a block begin and end: at most ``limit`` characters each, cut at line ends where there are some."""
     at = 0

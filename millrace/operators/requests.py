@@ -83,6 +83,14 @@ def trailing_share(log: DataFrame, key: str, order: list[str], n: int = 20) -> D
     return log.withColumn("in_window", F.count("*").over(w)).withColumn("refused_in", F.count_if(F.col("outcome") == "refused").over(w)).withColumn("refused_share", F.col("refused_in") / F.col("in_window"))
 
 
+def trailing_share_since(log: DataFrame, key: str, order: list[str], moved: Column, n: int = 20) -> DataFrame:
+    """The same, but the window begins anew after each row that is a move."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = log.withColumn("_stint", F.coalesce(F.count_if(moved).over(before), F.lit(0)))
+    w = Window.partitionBy(key, "_stint").orderBy(*order).rowsBetween(1 - n, 0)
+    return marked.withColumn("in_window", F.count("*").over(w)).withColumn("refused_in", F.count_if(F.col("outcome") == "refused").over(w)).drop("_stint")
+
+
 def rolling_count(log: DataFrame, key: str, hours: int = 24) -> DataFrame:
     """Requests of a key in the hours up to each request, that one included."""
     w = Window.partitionBy(key).orderBy(micros("at")).rangeBetween(-hours * 3_600_000_000, 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import choose_canonical
 from millrace.sources.store import shared_table
 
 STAGES = ("expired", "filtered_out", "seen", "described", "scored", "delivered")
@@ -88,6 +89,12 @@ def merge_groups(rows: DataFrame, group: str, key: Column, least: list[str], mos
     return found.withColumns({c: F.col(c)["v"] for c in adopt})
 
 
+def merged_links(rows: DataFrame, group: str, key: Column, url: str = "url") -> DataFrame:
+    """group and canonical_url: of the links of a group's rows, in survivor order, the first to a company's own page or else the first."""
+    listed = F.array_sort(F.collect_list(F.when(F.col(url).isNotNull(), F.struct(key.alias("k"), F.col(url).alias("u")))))  # the few rows of one entity
+    return rows.groupBy(group).agg(choose_canonical(F.transform(listed, lambda x: x["u"])).alias("canonical_url"))
+
+
 def resolve(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
     """(id, root): rounds of merging mutually unique twins until there is none.
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.timeutil import at, clamp_cadence, delivery_due, overdue, posted_window_days, pulled_in, started_before_today
-from millrace.operators import calls, cv, health, labels, lifecycle, queueing, reports, resolve, rules, trend
+from millrace.operators import calls, cv, health, labels, lifecycle, messages, model_stage, queueing, reports, requests, resolve, rules, trend
 from millrace.plans.delivery_queries import JOBS, jobs
 from millrace.plans.order_queries import TIERED, tiered
 from millrace.plans.tables import CALL_LOG, REQUEST_LOG, call_log, request_log, table
-from millrace.sources import store
+from millrace.sources import feeds, store
 
 NOW = "1998-06-01 00:00:00"
 THRESHOLDS = {1: 8, 2: 7, 3: 6}
@@ -252,6 +252,67 @@ def recovered_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.cleared(log.filter(F.col("at") >= at("2024-01-20 00:00:00")), sent)
 
 
+def archived_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's sightings after the finished postings were copied: it held one stale sighting for each posting before."""
+    t = tiered(spark, sf_dir)
+    old = t.select("id", F.lit(-1).cast("long").alias("source"))
+    now = _sightings(spark, sf_dir).select("id", "source")
+    return store.replaced_children(old, now, t.filter("status = 'F'"), "id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+def first_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each posting once, as its first sighting found it."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("link"), F.col("l_linenumber").alias("place"), F.col("l_suppkey").alias("source"))
+    return store.first_wins(l, "link", ["place", "source"])
+
+
+def labels_by_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of notes found by number, where the name agrees; a part of the names belongs to another note."""
+    p = table(spark, sf_dir, "part")
+    wrong = F.when(F.col("p_size") % 3 == 0, "other_words").otherwise(text.slugify(F.col("p_name")))
+    asked = p.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("posting_key"), F.concat(wrong, F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("file"))
+    return labels.by_note(asked, p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("note_no"), F.col("p_name").alias("title")))
+
+
+def canonical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each company the link that stays, of its postings' links to boards and own pages."""
+    t = tiered(spark, sf_dir)
+    host = F.when(F.col("class") == 1, "careers.example.org").when(F.col("class") == 2, "www.reed.co.uk").when(F.col("class") == 3, "de.indeed.com").when(F.col("class") == 4, "linkedin.com")
+    rows = t.withColumn("url", F.concat(F.lit("https://"), host, F.lit("/"), F.col("id").cast("string")))
+    return resolve.merged_links(rows, "company", F.struct("first_seen", "id"))
+
+
+def trailing_share_since_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = requests.trailing_share_since(request_log(spark, sf_dir), "host", ["at", "event_id"], F.col("outcome") == "error", 5)
+    return found.select("event_id", "in_window", "refused_in")
+
+
+def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("body", F.coalesce("text", F.lit("")))
+    return d.groupBy(model_stage.keyword_score("body", {"river": 4, "house": 3, "and": 2}).alias("score")).agg(F.count("*").alias("n"))
+
+
+def second_feed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_size") % 6
+    item = F.to_json(
+        F.struct(
+            F.col("p_partkey").cast("string").alias("guid"), F.col("p_name").alias("title"), F.when(k != 5, F.col("p_brand")).alias("companyName"), F.lit("https://x.example.org").alias("applicationLink"),
+            F.when(k == 0, F.array(F.lit("Italy"), F.lit("Peru"))).when(k == 1, F.array(F.lit("Peru"))).otherwise(F.array().cast("array<string>")).alias("locationRestrictions"),
+            F.when(k == 2, F.array(F.lit(1.0))).when(k == 3, F.array(F.lit(-8.0))).alias("timezoneRestrictions"), (F.lit(1_791_978_330) + F.col("p_partkey")).cast("string").alias("pubDate"),
+            F.when(F.col("p_size") % 7 == 0, "2026-01-01T00:00:00Z").alias("expiryDate"), F.lit("<p>Bread</p>").alias("excerpt"),
+        )
+    )
+    cards = feeds.second_feed(p.select(item.alias("json")), F.lit("2026-10-14 00:00:00").cast("timestamp"), ["Italy", "Spain"], [0.0, 1.0])
+    return cards.select(F.col("job_id").cast("long").alias("p_partkey"), "title", "company", "location", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "description")
+
+
+def digest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tiered(spark, sf_dir).filter("status = 'F' AND tier IS NOT NULL")
+    digest = messages.digest_sections(t, "tier", [F.desc("price"), "id"], 20, 30, "tier")
+    return messages.section_blocks(digest, "tier", F.concat(F.lit("Tier "), F.col("tier").cast("string")), F.concat(F.lit("posting "), F.col("id").cast("string")))
+
+
 def cv_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents made of the parts of each brand, taken apart again: bullets and sentences of each role."""
     p = table(spark, sf_dir, "part")
@@ -264,7 +325,7 @@ def cv_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cv_roles, day_summary, status_view, day_report, day_report_lines, run_rule_warnings, fair_claim, class_backfill, verdict_mix, area_pages, late_slices, walk_stop_reasons, model_answers, last_attempts, call_gates,
+        archived_children, first_offers, labels_by_note, canonical_links, trailing_share_since_errors, keyword_scores, second_feed_cards, digest_blocks, cv_roles, day_summary, status_view, day_report, day_report_lines, run_rule_warnings, fair_claim, class_backfill, verdict_mix, area_pages, late_slices, walk_stop_reasons, model_answers, last_attempts, call_gates,
         waiting_queue, undone_rule, reason_census, cheap_picks, deferred_rows, stage_log, description_states, text_formats, prompt_texts, link_keys, quotes_found, labels_in_force, label_gaps, rekeyed_sightings,
         retry_queue, todays_copies, clamped_cadence, due_tests, verdict_policies, answer_verdicts, answers_by_place, recovered_alerts,
     )
@@ -287,6 +348,28 @@ _REPORT = f"""
                      CAST(sum(tokens) AS DOUBLE) AS tokens FROM calls GROUP BY 1)"""
 
 ORACLES = {
+    "archived_children": """
+        SELECT source, count(*) AS n FROM (SELECT -1 AS source FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT l_suppkey % 5 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F') GROUP BY 1""",
+    "first_offers": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS k FROM lineitem) SELECT l_orderkey AS link, l_linenumber AS place, l_suppkey AS source FROM n WHERE k = 1",
+    "labels_by_note": "SELECT 'k' || p_partkey AS posting_key, p_partkey AS job_id FROM part WHERE p_size % 3 <> 0",
+    "canonical_links": f"""
+        WITH {TIERED}, u AS (SELECT company, class, first_seen, id, 'https://' || CASE class WHEN 1 THEN 'careers.example.org' WHEN 2 THEN 'www.reed.co.uk' WHEN 3 THEN 'de.indeed.com' WHEN 4 THEN 'linkedin.com' END || '/' || id AS url FROM tiered),
+        n AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY url IS NULL, class <> 1, first_seen, id) AS k FROM u)
+        SELECT company, url AS canonical_url FROM n WHERE k = 1""",
+    "trailing_share_since_errors": f"""
+        WITH {REQUEST_LOG}, m AS (SELECT *, count(*) FILTER (WHERE outcome = 'error') OVER (PARTITION BY host ORDER BY seen_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stint FROM log)
+        SELECT event_id, count(*) OVER w AS in_window, count(*) FILTER (WHERE outcome = 'refused') OVER w AS refused_in FROM m WINDOW w AS (PARTITION BY host, stint ORDER BY seen_at, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "keyword_scores": r"""
+        WITH d AS (SELECT lower(coalesce(text, '')) AS t FROM documents)
+        SELECT CAST(least(10, 1 + CASE WHEN regexp_matches(t, '\briver\b') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '\bhouse\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '\band\b') THEN 2 ELSE 0 END) AS INTEGER) AS score, count(*) AS n FROM d GROUP BY 1""",
+    "second_feed_cards": """
+        SELECT p_partkey, p_name AS title, p_brand AS company, CASE p_size % 6 WHEN 0 THEN 'Italy, Peru' ELSE '' END AS location, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1791978330 + p_partkey) AS posted_at, 'Bread' AS description
+        FROM part WHERE p_size % 6 IN (0, 2, 4) AND p_size % 7 <> 0""",
+    "digest_blocks": f"""
+        WITH {TIERED}, t AS (SELECT id, tier, row_number() OVER (PARTITION BY tier ORDER BY price DESC, id) AS rank FROM tiered WHERE status = 'F' AND tier IS NOT NULL),
+        s AS (SELECT *, row_number() OVER (ORDER BY tier, rank) <= 30 AS shown FROM t WHERE rank <= 20),
+        g AS (SELECT tier, count(*) AS n, count(*) FILTER (WHERE shown) AS k, string_agg(chr(10) || '- posting ' || id, '' ORDER BY rank) FILTER (WHERE shown) AS lines FROM s GROUP BY 1)
+        SELECT tier, 'Tier ' || tier || ' (' || n || ')' || coalesce(lines, '') || CASE WHEN n > k THEN chr(10) || 'and ' || (n - k) || ' more' ELSE '' END AS block FROM g""",
     "cv_roles": """
         WITH b AS (SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE p_size % 2 = 0) AS built FROM part GROUP BY 1)
         SELECT p_brand, NULL AS section, 'text' AS kind, 1 AS n, 0 AS sentences, 0 AS roles FROM b UNION ALL SELECT p_brand, s, 'section', 1, 0, 0 FROM b, (VALUES ('Summary'), ('Experience'), ('Skills')) AS v(s)

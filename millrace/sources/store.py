@@ -99,6 +99,24 @@ def archive_batch(rows: DataFrame, finished: Column, order: list[str], n: int, c
     return rows.filter(finished & F.col("archived_at").isNull()).orderBy(*order).limit(n).select(*columns)
 
 
+def replaced_children(archived: DataFrame, children: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The archive's children after a batch of parents was copied: theirs are the ones of now, so stale ones go; others stay."""
+    ids = batch.select(key).distinct()
+    return archived.join(ids, key, "left_anti").unionByName(children.join(ids, key, "left_semi").select(*archived.columns))
+
+
+def append_log(df: DataFrame, path: str, at: str) -> None:
+    """Append rows to a log that is kept by UTC day."""
+    df.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per key, the first by ``order``, which must leave no ties; an aggregate with partial results, for hot keys."""
+    rest = [c for c in df.columns if c != key]
+    found = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return found.select(key, *(F.col("_row")[c].alias(c) for c in rest)).select(*df.columns)
+
+
 def not_known(df: DataFrame, known: DataFrame, key: Column) -> DataFrame:
     """Rows of ``df`` whose key isn't in the first column of ``known``."""
     k = known.select(F.col(known.columns[0]).alias("_key")).distinct()

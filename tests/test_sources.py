@@ -120,3 +120,13 @@ def test_sessions(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.host, r.requests) for r in spark.table("sessions_of_hosts").collect()}
     assert got == {("a", 3), ("a", 2), ("b", 1)}
+
+
+def test_append_log_by_day(spark, tmp_path):
+    from millrace.sources import store
+
+    path = str(tmp_path / "log")
+    for day in (1, 2, 2):
+        store.append_log(spark.createDataFrame([(day, dt.datetime(2026, 10, day, 23))], "id int, at timestamp"), path, "at")
+    got = spark.read.parquet(path)
+    assert got.count() == 3 and {str(r.day) for r in got.select("day").distinct().collect()} == {"2026-10-01", "2026-10-02"}
