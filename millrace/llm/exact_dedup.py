@@ -103,4 +103,4 @@ def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     found = keys(slim(each, ROW)).withColumnRenamed("doc_id", ROW)
     owned = found.join(each.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).join(owners(slim(each), keep), ["n_bytes", "text_sha256"])
     first = owned.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("n_bytes", "text_sha256").agg(F.min(ROW).alias(ROW))
-    return each.join(first.select(ROW), ROW, "left_semi").select(docs.columns)
+    return each.join(first.select(ROW), ROW, "left_semi").drop(ROW)

@@ -215,4 +215,4 @@ def drop_near_copies(docs: DataFrame, **how: object) -> DataFrame:
     each = numbered(docs)
     found = near_groups(each, id_col=ROW, **how).select(F.col("doc_id").alias(ROW), "component_id")
     first = found.join(each.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
-    return each.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)
+    return each.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)

@@ -1,8 +1,8 @@
 """Chat formatting and media archives."""
 
 import hashlib
-import math
 import json
+import math
 import zipfile
 import zlib
 from collections import Counter

@@ -216,6 +216,13 @@ def test_copies_of_one_original_meet_it_in_every_block(spark):
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 1
 
 
+def test_dropped_copies_keep_all_columns_whatever_their_names(spark):
+    rows = [(1, "a b c d e f", 1, "x", None), (2, "A b c d e f", 2, "y", 0.5), (3, "other words here", 3, None, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, component_id string, `rep` double")
+    assert [tuple(r) for r in exact_dedup.drop_copies(df, "max").orderBy("doc_id").collect()] == rows[1:]
+    assert [tuple(r) for r in near_dedup.drop_near_copies(df).orderBy("doc_id").collect()] == [rows[0], rows[2]]
+
+
 def test_one_word_of_many_megabytes(spark):
     rows = [(1, "x" * 3_000_000), (2, "X" * 3_000_000), (3, "y" * 3_000_000), (4, "a b c d e f " * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
