@@ -70,13 +70,15 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     sizes = np.array([len(x) for x in sets])
     begins = np.concatenate([[0], np.cumsum(sizes)])
     names, token = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
+    many, token = len(names), token.astype(np.int32)
+    del names
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     root, reached = np.arange(n), np.zeros(n, bool)
 
     def index() -> tuple[np.ndarray, np.ndarray, int]:
         keep = np.flatnonzero(~reached[owner])
         order = keep[np.argsort(token[keep], kind="stable")]
-        return owner[order], np.concatenate([[0], np.cumsum(np.bincount(token[order], minlength=len(names)))]), int(n - reached.sum())
+        return owner[order], np.concatenate([[0], np.cumsum(np.bincount(token[order], minlength=many))]), int(n - reached.sum())
 
     holders, at, left = index()
     unreached = left
@@ -170,7 +172,7 @@ def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> Data
     return connected_components(links, "node", "root")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 1_000_000, first_shingles: int = 1 << 14, hubs: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 250_000, first_shingles: int = 1 << 14, hubs: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of both together. A block that
