@@ -40,7 +40,7 @@ class Counter:
         # sums of whole numbers don't depend on where a word is cut; of others they may
         whole = all(x == int(x) for x in v.scores)
         self.cut = v.chunker([x for x in v.pieces if SPACE not in x[1:]], "?") if whole else None
-        self.known = Memory(self.best)
+        self.known = Memory(self.best, 500_000, 48 << 20)
 
     def best(self, word: str) -> tuple[int, float]:
         """Pieces and score of the best segmentation."""
