@@ -200,7 +200,7 @@ def test_groups_of_several_blocks_keep_every_link(spark):
     assert len(set(want.values())) >= 6
 
 
-def test_copies_of_one_original_meet_it_in_every_block(spark):
+def test_copies_of_one_original_that_are_not_alike(spark):
     """Each copy is like the original, no two copies are like one another; the original has neither the first nor the last identifier."""
     random.seed(6)
     base = [f"w{k}" for k in range(300)]
