@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, class_lm, exact_dedup, langid, media, near_dedup, packing, sp_codec, token_counts, toxicity
+from millrace.llm import alignment, chat, class_lm, exact_dedup, langid, media, merkle, near_dedup, packing, sp_codec, token_counts, toxicity, url_filter
 from millrace.llm.common import documents
 
 
@@ -62,7 +62,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_class_lm, op2_sentencepiece_codec, op3_near_dedup, op4_chat_formatting, op5_toxicity, op6_exact_dedup, op7_packing, op8_language_id, op9_media_columns, op10_token_counts)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir)).drop("proof")
+
+
+#: The rules of the query: verdict, host, path.
+URL_RULES = [url_filter.Rule(*x) for x in (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, url_filter.fit(pages, URL_RULES))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(documents(spark, sf_dir), how)
+
+
+QUERIES = {f.__name__: f for f in (op1_class_lm, op2_sentencepiece_codec, op3_near_dedup, op4_chat_formatting, op5_toxicity, op6_exact_dedup, op7_packing, op8_language_id, op9_media_columns, op10_token_counts, op11_merkle_manifest, op12_url_filter, op13_token_alignment)}
 
 #: Occurrences of the control strings in ``t``; none of them is a prefix of another or overlaps itself.
 _CONTROLS = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
@@ -92,4 +110,48 @@ ORACLES = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    # levels of each language's tree, one step of the recursion each; then the same over the languages' roots
+    "op11_merkle_manifest": """
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, lang, n_chars,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+                   coalesce(strlen(text) || ':' || text, '-') AS after,
+                   list_reduce(
+                       list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+                       lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END))
+                   ) AS crc
+            FROM documents
+        ), leaf AS (
+            SELECT doc_id, lang, sha256(before || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || after) AS leaf,
+                   CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(before || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || after) END AS tampered
+            FROM fields
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
+        ), trees AS (
+            SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY lang
+            UNION ALL
+            SELECT lang, level + 1, [sha256(nodes[i] || coalesce(nodes[i + 1], '')) FOR i IN range(1, len(nodes) + 1, 2)] FROM trees WHERE len(nodes) > 1
+        ), tops AS (
+            SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM trees WHERE len(nodes) = 1
+        ), over AS (
+            SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM tops
+            UNION ALL
+            SELECT level + 1, [sha256(nodes[i] || coalesce(nodes[i + 1], '')) FOR i IN range(1, len(nodes) + 1, 2)] FROM over WHERE len(nodes) > 1
+        ), root AS (
+            SELECT nodes[1] AS root FROM over WHERE len(nodes) = 1
+        ), steps AS (
+            SELECT p.doc_id, p.lang, p.pos, t.level, CASE WHEN (p.pos >> t.level) % 2 = 1 THEN 'L' ELSE 'R' END AS side, t.nodes[xor(p.pos >> t.level, 1) + 1] AS sibling
+            FROM placed p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang WHERE len(t.nodes) > 1
+            UNION ALL
+            SELECT p.doc_id, p.lang, p.pos, 1000 + o.level, CASE WHEN (s.place >> o.level) % 2 = 1 THEN 'L' ELSE 'R' END, o.nodes[xor(s.place >> o.level, 1) + 1]
+            FROM placed p JOIN tops s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN over o WHERE len(o.nodes) > 1
+        ), paths AS (
+            SELECT lang, pos, list(CASE WHEN sibling IS NULL THEN '' ELSE side || sibling END ORDER BY level) AS path, coalesce(string_agg(sibling, '' ORDER BY level), '') AS siblings FROM steps GROUP BY lang, pos
+        ), folded AS (
+            SELECT p.doc_id, p.lang, p.leaf, s.subroot, sha256(coalesce(w.siblings, '')) AS proof_sha256,
+                   list_reduce(list_prepend(coalesce(p.tampered, p.leaf), coalesce(w.path, [])), lambda a, x: sha256(CASE WHEN x = '' THEN a WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root
+            FROM placed p JOIN tops s ON p.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths w ON p.lang IS NOT DISTINCT FROM w.lang AND p.pos = w.pos
+        )
+        SELECT doc_id, lang, leaf, subroot, proof_sha256, folded_root, root, folded_root = root AS verified FROM folded, root
+    """,
 }
