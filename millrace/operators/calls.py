@@ -7,31 +7,23 @@ from pyspark.sql import functions as F
 
 from millrace.functions.stats import share
 from millrace.operators.keys import joined
-
-
-def _step(value: Column) -> Column:
-    """A whole number that grows with ``value``: a few thousand of them for all doubles of a sign."""
-    return (F.signum(value) * F.floor(F.log2(1 + F.abs(value)) * 64)).cast("long")
+from millrace.operators.ordered import ranked, shifted
+from millrace.sources.store import shared_table
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Continuous percentiles by key, exactly, with no task that holds a key's values.
 
-    Values are counted by steps of their logarithm first. Only the steps in which a wanted rank falls are looked at
-    again, by counts of their distinct values. Nulls don't count.
+    Distinct values are counted and given the places that they take in their key's order (:func:`~millrace.operators.ordered.ranked`);
+    a wanted rank lies between the two values at the places beside it. Nulls don't count.
     """
-    own = df.filter(F.col(value).isNotNull()).withColumn("_step", _step(F.col(value)))
-    steps = own.groupBy(*keys, "_step").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_step")  # a bounded number of steps for each key
-    placed = steps.withColumns({"_before": F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("n"))
+    placed = shared_table(ranked(counted, keys, "_value"), df.sparkSession)
+    sizes = placed.groupBy(*keys).agg((F.max("last") + 1).alias("_all"))
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_all") - 1)).alias("rank")) for name, p in shares.items()))
-    ranks = placed.withColumn("w", F.explode(wanted)).filter((F.ceil("w.rank") >= F.col("_before")) & (F.floor("w.rank") < F.col("_before") + F.col("_n")))
-    ranks = ranks.select(*keys, "_step", "w.name", "w.rank", "_before")
-    counted = own.groupBy(*keys, "_step", value).agg(F.count("*").alias("_many"))
-    inside = Window.partitionBy(*keys, "name", "_step").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    found = joined(counted, ranks, [*keys, "_step"]).withColumn("_end", F.col("_before") + F.sum("_many").over(inside))  # values at ranks _end - _many up to _end - 1
-    at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("_many")) & (rank < F.col("_end")), F.col(value).cast("double")))
-    both = found.groupBy(*keys, "name").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.max(F.col("rank") - F.floor("rank")).alias("f"))
+    found = joined(placed, sizes, keys).withColumn("w", F.explode(F.filter(wanted, lambda w: (F.ceil(w["rank"]) >= F.col("first")) & (F.floor(w["rank"]) <= F.col("last")))))
+    at = lambda rank: F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("_value")))
+    both = found.groupBy(*keys, F.col("w.name").alias("name")).agg(at(F.floor("w.rank")).alias("a"), at(F.ceil("w.rank")).alias("b"), F.max(F.col("w.rank") - F.floor("w.rank")).alias("f"))
     each = both.withColumn("v", F.col("a") + F.col("f") * (F.col("b") - F.col("a")))
     return each.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
 
@@ -138,5 +130,6 @@ def latest_by(df: DataFrame, keys: list[str], version: list[str], values: list[s
 
 def suppressed(issues: DataFrame, key: str, repeat_us: int) -> DataFrame:
     """Whether each report of an issue repeats the one before within ``repeat_us`` (the stateless form)."""
-    before = F.lag("at").over(Window.partitionBy(key).orderBy("at"))
-    return issues.withColumn("is_suppressed", F.coalesce(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(before.cast("timestamp")) < repeat_us, F.lit(False)))
+    timed = issues.withColumn("_t", F.unix_micros(F.col("at").cast("timestamp")))
+    found = shifted(timed, key, ["_t"], {"_before": F.col("_t")})
+    return found.withColumn("is_suppressed", F.coalesce(F.col("_t") - F.col("_before") < repeat_us, F.lit(False))).drop("_t", "_before")

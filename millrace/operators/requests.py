@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.functions.timeutil import day_spine, local_day, micros
+from millrace.operators.ordered import BLOCK, rolling, running, shifted, trailing
 
 # Statuses by which a source refuses.
 REFUSALS = (403, 429)
@@ -77,24 +78,26 @@ def longest_gap(log: DataFrame, key: str) -> DataFrame:
     return days.withColumn("over", over).groupBy(key).agg(F.greatest(F.max("gap"), F.max("over")).alias("gap_us"))
 
 
-def trailing_share(log: DataFrame, key: str, order: list[str], n: int = 20) -> DataFrame:
+def _refused_share(window: WindowSpec) -> dict[str, Column]:
+    n, hit = F.count("*").over(window), F.count_if(F.col("outcome") == "refused").over(window)
+    return {"in_window": n, "refused_in": hit, "refused_share": hit / n}
+
+
+def trailing_share(log: DataFrame, key: str, order: list[str], n: int = 20, block: int = BLOCK) -> DataFrame:
     """Share of refusals among the last ``n`` outcomes up to each request of a key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - n, 0)
-    return log.withColumn("in_window", F.count("*").over(w)).withColumn("refused_in", F.count_if(F.col("outcome") == "refused").over(w)).withColumn("refused_share", F.col("refused_in") / F.col("in_window"))
+    return trailing(log, key, order, n, lambda w: _refused_share(w.rowsBetween(1 - n, 0)), block=block)
 
 
-def trailing_share_since(log: DataFrame, key: str, order: list[str], moved: Column, n: int = 20) -> DataFrame:
+def trailing_share_since(log: DataFrame, key: str, order: list[str], moved: Column, n: int = 20, block: int = BLOCK) -> DataFrame:
     """The same, but the window begins anew after each row that is a move."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    marked = log.withColumn("_stint", F.coalesce(F.count_if(moved).over(before), F.lit(0)))
-    w = Window.partitionBy(key, "_stint").orderBy(*order).rowsBetween(1 - n, 0)
-    return marked.withColumn("in_window", F.count("*").over(w)).withColumn("refused_in", F.count_if(F.col("outcome") == "refused").over(w)).drop("_stint")
+    move = F.coalesce(moved.cast("int"), F.lit(0))
+    marked = running(log, key, order, {"_moves": move}).withColumn("_stint", F.col("_moves") - move)
+    return trailing(marked, key, order, n, lambda w: _refused_share(w.rowsBetween(1 - n, 0)), within="_stint", block=block).drop("_stint", "_moves")
 
 
 def rolling_count(log: DataFrame, key: str, hours: int = 24) -> DataFrame:
     """Requests of a key in the hours up to each request, that one included."""
-    w = Window.partitionBy(key).orderBy(micros("at")).rangeBetween(-hours * 3_600_000_000, 0)
-    return log.withColumn("rolling", F.count("*").over(w))
+    return rolling(log, key, micros("at"), hours * 3_600_000_000, {"rolling": F.lit(1)})
 
 
 def rolling_bucketed(log: DataFrame, key: str, hours: int = 24) -> DataFrame:
@@ -106,24 +109,28 @@ def rolling_bucketed(log: DataFrame, key: str, hours: int = 24) -> DataFrame:
 
 def streaks(log: DataFrame, key: str, order: list[str], outcome: str = "refused") -> DataFrame:
     """The longest run of one outcome per key, and how many runs there are."""
-    w = Window.partitionBy(key).orderBy(*order)
-    hit = F.col("outcome") == outcome
-    marked = log.withColumn("island", F.sum(F.when(hit, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = F.coalesce(F.col("outcome") == outcome, F.lit(False))
+    marked = running(log.select(key, "outcome", *(c for c in order if c not in (key, "outcome"))), key, order, {"island": F.when(hit, 0).otherwise(1)})
     runs = marked.filter(hit).groupBy(key, "island").agg(F.count("*").alias("n"))
     return runs.groupBy(key).agg(F.max("n").alias("longest"), F.count("*").alias("runs"))
 
 
-def capped_rate(log: DataFrame, key: str, cap_s: int = 3600) -> DataFrame:
+def capped_rate(log: DataFrame, key: str, cap_s: int = 3600, block: int = BLOCK) -> DataFrame:
     """Requests per hour of a key, with no gap counting for more than ``cap_s``; in whole microseconds until the last step."""
-    gap = micros("at") - F.lag(micros("at")).over(Window.partitionBy(key).orderBy("at"))
-    spent = log.withColumn("gap", F.when(gap.isNotNull(), F.least(gap, F.lit(cap_s * 1_000_000))))
+    before = shifted(log.select(key, micros("at").alias("t")), key, ["t"], {"before": F.col("t")}, block)
+    spent = before.withColumn("gap", F.when(F.col("before").isNotNull(), F.least(F.col("t") - F.col("before"), F.lit(cap_s * 1_000_000))))
     return spent.groupBy(key).agg(F.count("*").alias("requests"), F.coalesce(F.sum("gap"), F.lit(0)).cast("long").alias("busy_us")).withColumn("per_hour", F.try_divide(F.col("requests") * F.lit(3.6e9), F.col("busy_us")))
 
 
 def quota_schedule(log: DataFrame, key: str, order: list[str], one_in: int) -> DataFrame:
     """Which picks of a key's log are floor picks: those whose number of picks before is a multiple of ``one_in``."""
-    done = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return log.withColumn("pick", done.cast("long")).withColumn("is_floor", done % one_in == 0)
+    done = F.col("pick") - 1
+    return running(log, key, order, {"pick": F.lit(1)}).withColumns({"pick": done.cast("long"), "is_floor": done % one_in == 0})
+
+
+def running_counts(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``log`` with how many requests and refusals its keys have had up to each row."""
+    return running(log, keys, order, {"requests": F.lit(1), "refusals": (F.col("outcome") == "refused").cast("int")})
 
 
 def provenance(hits: DataFrame, origin: str, strong: Column, direct: Column, least: int = 5, share: float = 0.5) -> DataFrame:

@@ -1,11 +1,19 @@
-"""Entity resolution across sources: twins, uniqueness, survivors, merges to a fixpoint."""
+"""Entity resolution across sources: twins, uniqueness, survivors, and the merge of one posting after the other."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import choose_canonical
+from millrace.operators.ordered import running, shifted
 from millrace.sources.store import shared_table
 
 STAGES = ("expired", "filtered_out", "seen", "described", "scored", "delivered")
@@ -95,22 +103,95 @@ def merged_links(rows: DataFrame, group: str, key: Column, url: str = "url") ->
     return rows.groupBy(group).agg(choose_canonical(F.transform(listed, lambda x: x["u"])).alias("canonical_url"))
 
 
+class _Near:
+    """The entities of one part that lie within ``width`` of the one whose turn it is, by the set of their sources and oldest first."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.by_sources = width, {}
+
+    def add(self, t: int, own: int, sources: frozenset) -> None:
+        insort(self.by_sources.setdefault(sources, []), (t, own))
+
+    def drop(self, t: int, own: int, sources: frozenset) -> None:
+        found = self.by_sources[sources]
+        del found[bisect_left(found, (t, own))]
+        if not found:
+            del self.by_sources[sources]
+
+    def only_twin(self, t: int, own: int, sources: frozenset) -> tuple[int, int, frozenset] | None:
+        """The one entity without a source in common; none if there are several."""
+        twins: list[tuple[int, int, frozenset]] = []
+        for others, found in list(self.by_sources.items()):
+            gone = bisect_left(found, (t - self.width,))
+            if gone == len(found):
+                del self.by_sources[others]
+                continue
+            if gone > 1_000 or 2 * gone > len(found):
+                del found[:gone]
+                gone = 0
+            if not others & sources:
+                twins += [(*x, others) for x in islice(found, gone, gone + 3) if x[1] != own]
+                if len(twins) > 1:
+                    return None
+        return twins[0] if twins else None
+
+
+def _part_in_order(rows: Iterator[tuple[int, int, frozenset]], width: int) -> Iterator[tuple[int, int]]:
+    """(id, first) of one part's rows (t, id, sources), oldest first: whom each has joined, or itself."""
+    near, waiting, joined_to = _Near(width), deque(), {}
+    ahead = next(rows, None)
+    while ahead or waiting:
+        while ahead and (not waiting or ahead[0] <= waiting[0][0] + width):
+            near.add(*ahead)
+            waiting.append(ahead)
+            ahead = next(rows, None)
+        t, own, sources = waiting.popleft()
+        if own not in joined_to and (twin := near.only_twin(t, own, sources)):
+            (kept_t, kept, _), (_, dropped, _) = sorted([(t, own, sources), twin], key=lambda x: x[:2])
+            near.drop(t, own, sources)
+            near.drop(*twin)
+            near.add(kept_t, kept, sources | twin[2])
+            joined_to[dropped] = kept
+        yield own, joined_to.pop(own, own)
+
+
+def _merged_in_order(width: int):
+    """A task's function over rows (part, t, id, sources), part by part and oldest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("part", "t", "id", "sources")), strict=True))
+        found = (pair for _, part in groupby(rows, itemgetter(0)) for pair in _part_in_order(((t, own, frozenset(sources)) for _, t, own, sources in part), width))
+        while held := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], pa.int64()) for k in (0, 1)], names=["id", "first"])
+
+    return run
+
+
 def resolve(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
-    """(id, root): rounds of merging mutually unique twins until there is none.
+    """(id, root): entities have their turn one after the other, from the oldest (equally old ones by id) on.
+
+    An entity whose turn it is merges with the one other, merged or still alone, that has its keys, was first seen within ``days`` of
+    it and has no source in common with it; with none or several it stays as it is. What has merged was first seen when its
+    older part was, has the sources of both, and has no further turn. The root is the smallest id. Ids are whole numbers.
 
-    A merge changes which sources an entity has and when it was first seen, so later rounds may find twins or
-    ambiguities that the first didn't; what is ambiguous stays apart. Each round is written, which cuts lineage, and takes one root away at least.
+    Nothing reaches over a gap of more than ``days`` in a key, so keys are cut there, by one pass over ranges of their
+    order. Each part is folded as a stream that holds what lies within ``days`` of the entity whose turn it is. A part of which
+    all have the same sources is left out, as nothing in it can merge.
     """
-    spark = entities.sparkSession
-    roots = entities.select("id", F.col("id").alias("root"))
-    while True:
-        now = entities.join(roots, "id").groupBy("root").agg(F.min(seen).alias(seen), *(F.min_by(k, F.col("id")).alias(k) for k in keys)).withColumnRenamed("root", "id")
-        owned = sightings.join(roots, "id").select(F.col("root").alias("id"), "source").distinct()
-        pairs = shared_table(mutual_twins(twins_of_unique(now, owned, keys, seen, days)), spark)
-        if pairs.isEmpty():
-            return roots
-        moved = pairs.select(F.col("twin").alias("root"), F.col("id").alias("to"))
-        roots = shared_table(roots.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")), spark)
+    spark, width = entities.sparkSession, days * 86_400_000_000
+    have = " AND ".join(f"({k} IS NOT NULL AND CAST({k} AS STRING) <> '')" for k in keys)
+    own = entities.filter(f"{have} AND {seen} IS NOT NULL").select(F.col("id").cast("long").alias("id"), *keys, F.unix_micros(F.col(seen).cast("timestamp")).alias("t"))
+    sources = sightings.groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_set(F.col("source").cast("string")).alias("sources"))  # the sources of one entity
+    own = own.join(sources, "id", "left").withColumn("sources", F.coalesce(F.array_sort("sources"), F.array().cast("array<string>")))
+    after = shifted(own, keys, ["t", "id"], {"before": F.col("t")})
+    cut = running(after, keys, ["t", "id"], {"part": (F.col("before").isNull() | (F.col("t") - F.col("before") > width)).cast("int")})
+    cut = shared_table(cut.withColumn("part", F.concat_ws("\x1f", *keys, F.col("part").cast("string"))).select("part", "t", "id", "sources"), spark)
+    several = cut.groupBy("part").agg(F.count("*").alias("n"), F.min("sources").alias("a"), F.max("sources").alias("b")).filter("n > 1 AND (a <> b OR size(a) = 0)")
+    in_order = cut.join(several.select("part"), "part", "left_semi").repartition("part").sortWithinPartitions("part", "t", "id")
+    joined_to = shared_table(in_order.mapInArrow(_merged_in_order(width), "id long, first long"), spark)
+    roots = joined_to.groupBy("first").agg(F.min("id").alias("root"))
+    moved = joined_to.join(roots, "first").select("id", "root")
+    return entities.select("id").join(moved, "id", "left").select("id", F.coalesce("root", F.col("id")).alias("root"))
 
 
 def rekey(children: DataFrame, roots: DataFrame, column: str = "id") -> DataFrame:
@@ -130,5 +211,6 @@ def also_seen_on(sightings: DataFrame, key: str, at: str, source: str) -> DataFr
     return first.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x[source].cast("string")), ",").alias("sources"))
 
 
-def nth_of_key(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") == n).drop("_n")
+def first_of_key(df: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
+    """keys and values of the row that sorts first by ``order``, as an aggregate with partial sums, for hot keys."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("_row")).select(*keys, *(F.col("_row")[v].alias(v) for v in values))

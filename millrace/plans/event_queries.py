@@ -142,11 +142,9 @@ def walk_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests and refusals since the local day began, at every request of a host."""
-    from pyspark.sql import Window
-
     log = request_log(spark, sf_dir).withColumn("day", local_day("at", ZONE))
-    w = Window.partitionBy("host", "day").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("event_id", "day", F.count("*").over(w).alias("requests_today"), F.count_if(F.col("outcome") == "refused").over(w).alias("refusals_today"))
+    counted = requests.running_counts(log, ["host", "day"], ["at", "event_id"])
+    return counted.select("event_id", "day", F.col("requests").alias("requests_today"), F.col("refusals").alias("refusals_today"))
 
 
 def ladder_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

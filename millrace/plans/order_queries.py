@@ -161,7 +161,7 @@ def digest_top_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_order_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.nth_of_key(postings(spark, sf_dir), ["company"], [F.desc("first_seen"), "id"]).select("company", "id", "first_seen")
+    return resolve.first_of_key(postings(spark, sf_dir), ["company"], F.struct(-F.unix_micros(F.col("first_seen").cast("timestamp")), "id"), ["id", "first_seen"])
 
 
 def previous_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,6 +278,22 @@ ORACLES = {
     "digest_top_sections": f"""
         WITH {TIERED}, t AS (SELECT id, tier, price, row_number() OVER (PARTITION BY tier ORDER BY price DESC, id) AS rank FROM tiered WHERE status = 'F' AND tier IS NOT NULL)
         SELECT *, row_number() OVER (ORDER BY tier, rank) <= 5 AS shown FROM t WHERE rank <= 20""",
+    # one step for each posting of a key; what is open has the postings still to come, too
+    "resolved_entities": f"""
+        WITH RECURSIVE {POSTINGS}, {_SIGHTINGS}, e AS (
+            SELECT id, company, class, epoch_us(first_seen) AS t, coalesce(sources, []) AS sources, row_number() OVER (PARTITION BY company, class ORDER BY first_seen, id) AS k
+            FROM postings LEFT JOIN (SELECT id, list(DISTINCT source) AS sources FROM s GROUP BY id) USING (id)
+        ), walk AS (
+            SELECT company, class, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS dropped, CAST(NULL AS BIGINT) AS kept, list(struct_pack(f := id, t := t, sources := sources)) AS open FROM e GROUP BY company, class
+            UNION ALL
+            SELECT company, class, k, CASE WHEN len(m) = 1 THEN CASE WHEN older THEN m[1].f ELSE id END END, CASE WHEN len(m) = 1 THEN CASE WHEN older THEN id ELSE m[1].f END END,
+                   CASE WHEN len(m) = 1 THEN list_append(list_filter(open, lambda c: c.f <> m[1].f AND c.f <> id), struct_pack(f := CASE WHEN older THEN id ELSE m[1].f END, t := least(t, m[1].t), sources := list_concat(m[1].sources, sources)))
+                        ELSE open END
+            FROM (SELECT *, (t, id) < (m[1].t, m[1].f) AS older FROM (
+                SELECT e.*, w.open, CASE WHEN len(list_filter(w.open, lambda c: c.f = e.id)) = 1 THEN list_filter(w.open, lambda c: c.f <> e.id AND abs(e.t - c.t) <= 2592000000000 AND NOT list_has_any(c.sources, e.sources)) ELSE [] END AS m
+                FROM walk w JOIN e ON e.company = w.company AND e.class = w.class AND e.k = w.k + 1))
+        )
+        SELECT id, min(id) OVER (PARTITION BY company, class, coalesce(kept, id)) AS root FROM e LEFT JOIN (SELECT dropped, kept FROM walk WHERE dropped IS NOT NULL) ON dropped = id""",
     "latest_order_per_company": f"WITH {POSTINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY first_seen DESC, id) AS k FROM postings) SELECT company, id, first_seen FROM n WHERE k = 1",
     "previous_order": f"WITH {POSTINGS} SELECT id, lag(id) OVER (PARTITION BY company ORDER BY first_seen, id) AS previous_id FROM postings",
     "delivered_share": f"""

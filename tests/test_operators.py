@@ -219,22 +219,43 @@ def test_unique_twins_from_counts_are_those_from_pairs(spark):
     got = resolve.unique_twins(resolve.twins_of_unique(entities, seen, ["company"]))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
     assert resolve.possibly_unique(entities, seen, ["company"]).count() < 250
-    # against plain rounds
-    by_id, sources = {i: (c, t) for i, c, t in rows}, {}
+
+
+def plain_turns(rows, sightings):
+    """Entities (id, company, first_seen) by a scan of all that are left, at each turn."""
+    sources = {}
     for i, s in sightings:
         sources.setdefault(i, set()).add(s)
-    root = {i: i for i in by_id}
-    while True:
-        groups = {}
-        for i, r in root.items():
-            groups.setdefault(r, []).append(i)
-        state = {r: (by_id[min(g)][0], min(by_id[i][1] for i in g), set().union(*(sources.get(i, set()) for i in g))) for r, g in groups.items()}
-        twins = {a: [b for b in state if b != a and state[a][0] == state[b][0] and abs(state[a][1] - state[b][1]) <= dt.timedelta(days=30) and not state[a][2] & state[b][2]] for a in state}
-        pairs = {t[0]: a for a, t in twins.items() if len(t) == 1 and twins[t[0]] == [a] and a < t[0]}
-        if not pairs:
-            break
-        root = {i: pairs.get(r, r) for i, r in root.items()}
-    assert {r.id: r.root for r in resolve.resolve(entities, seen, ["company"]).collect()} == root
+    left, group = {i: (c, t, frozenset(sources.get(i, ()))) for i, c, t in rows}, {i: [i] for i, *_ in rows}
+    for own, c, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if own not in left or not c:
+            continue
+        twins = [i for i, (c2, t2, s2) in left.items() if i != own and c2 == c and abs(t2 - t) <= dt.timedelta(days=30) and not s2 & left[own][2]]
+        if len(twins) == 1:
+            kept, dropped = sorted((own, twins[0]), key=lambda i: (left[i][1], i))
+            left[kept] = (c, left[kept][1], left[kept][2] | left.pop(dropped)[2])
+            group[kept] += group.pop(dropped)
+    return {i: min(g) for g in group.values() for i in g}
+
+
+@pytest.mark.parametrize(("seed", "days", "sources"), [(3, 400, 3), (4, 2000, 3), (5, 900, 1), (6, 4000, 6), (7, 700, 2)])
+def test_resolve_gives_every_entity_its_turn(spark, seed, days, sources):
+    random.seed(seed)
+    rows = [(i, random.choice(["", "a", "b", "c", "h", "h", "h"]), NOW + dt.timedelta(days=random.randint(0, days))) for i in random.sample(range(1000), 300)]
+    sightings = [(i, random.randint(0, sources)) for i, *_ in rows for _ in range(random.randint(0, 2))]
+    entities = spark.createDataFrame(rows, "id long, company string, first_seen timestamp_ntz").repartition(5)
+    found = resolve.resolve(entities, spark.createDataFrame(sightings, "id long, source int"), ["company"]).collect()
+    want = plain_turns(rows, sightings)
+    assert {r.id: r.root for r in found} == want and len(found) == 300
+    assert len(set(want.values())) < 300
+
+
+def test_resolve_of_a_long_chain(spark):
+    # each has one twin, the next: they merge two by two
+    rows = [(k, "a", NOW + dt.timedelta(days=20 * k)) for k in range(200)]
+    sightings = [(k, f"s{k % 5}") for k in range(200)]
+    found = resolve.resolve(spark.createDataFrame(rows, "id long, company string, first_seen timestamp_ntz"), spark.createDataFrame(sightings, "id long, source string"), ["company"])
+    assert {r.id: r.root for r in found.collect()} == plain_turns(rows, sightings)
 
 
 def test_head_tier_prefers_the_never_served(spark):
@@ -303,16 +324,3 @@ def test_line_diff_sees_every_line(spark):
     left = spark.createDataFrame([("same start\nb",), ("x\nx",), (None,)], "text string")
     right = spark.createDataFrame([("same start\nc",), ("x",)], "text string")
     assert {tuple(r) for r in messages.line_diff(left, right).collect()} == {("b", "left", 1), ("c", "right", 1), ("x", "left", 1), ("", "left", 1)}
-
-
-def test_resolve_goes_on_for_more_than_twenty_rounds(spark, monkeypatch):
-    def one_pair(now):  # of the two smallest roots
-        first = sorted(r.id for r in now.select("id").collect())[:2]
-        return spark.createDataFrame([tuple(first)] if len(first) == 2 else [], "id long, twin long")
-
-    monkeypatch.setattr(resolve, "twins_of_unique", lambda now, *_: now)
-    monkeypatch.setattr(resolve, "mutual_twins", one_pair)
-    monkeypatch.setattr(resolve, "shared_table", lambda df, s: s.createDataFrame(df.collect(), df.schema))
-    entities = spark.range(24).withColumns({"company": F.lit("a"), "first_seen": F.lit("2024-01-01").cast("timestamp")})
-    sightings = entities.select("id", F.col("id").alias("source"))
-    assert {r.root for r in resolve.resolve(entities, sightings, ["company"]).collect()} == {0}
