@@ -193,6 +193,13 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
     whole = links.filter("not many").select("node", "root")
     if not gathered.filter("many").isEmpty():
         whole = whole.union(_large_links(gathered.filter("many"), links.filter("many").select("node", "root"), verify, block_shingles))
+    # an identifier with several sets links their classes, also where it stands for neither
+    ids = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("high", "low", "n_shingles")).alias("a"), F.max(F.struct("high", "low", "n_shingles")).alias("b")).filter("a <> b").select("doc_id")
+    ids = written(some.join(ids, "doc_id").select("doc_id", "high", "low", "n_shingles").distinct(), "repeated")
+    if not ids.isEmpty():
+        shared = written(ids.join(classes, ["high", "low", "n_shingles"]).select("doc_id", "rep"), "shared")
+        least = shared.groupBy("doc_id").agg(F.min("rep").alias("root"))
+        whole = connected_components(whole.union(shared.join(least, "doc_id").filter("rep <> root").select(F.col("rep").alias("node"), "root")), "node", "root").select(F.col("node"), F.col("root"))
     roots = classes.join(whole.groupBy("node").agg(F.min("root").alias("root")), F.col("rep") == F.col("node"), "left").select("high", "low", "n_shingles", F.coalesce("root", "rep").alias("root"))
     # texts without words are one set, but no group: they stay out of the join
     found = some.join(roots, ["high", "low", "n_shingles"], "left").select("doc_id", "n_shingles", "root").union(every.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root")))

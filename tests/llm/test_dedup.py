@@ -171,6 +171,14 @@ def test_near_of_odd_rows(spark):
     assert near_dedup.drop_near_copies(df).columns == df.columns
 
 
+def test_an_identifier_with_two_texts_links_their_classes(spark):
+    a, b, c = "a b c d e f g", "one two three four five six", "an other text of many words here"
+    rows = [(1, a), (5, a), (5, b), (9, b), (20, c), (9, c), (7, "alone with five words here"), (7, None), (3, "quite an other one of these")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect())
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 1, False), (9, 1, False), (9, 1, False), (20, 1, False), (7, 7, True), (7, 7, True), (3, 3, True)])
+
+
 def test_a_chain_of_edits_is_one_component(spark):
     words = [f"w{k}" for k in range(200)]
     rows = []

@@ -376,6 +376,58 @@ def test_tables_are_the_counts_of_the_training_rows(spark):
         assert share.max() == pytest.approx((most + 0.5) / (total + 0.5 * langid.BUCKETS), rel=1e-3)
 
 
+def many_languages(n, seed=2):
+    """Words of ``n`` made-up languages, each of its own letters and endings."""
+    random.seed(seed)
+    return {f"x{k:03}": ["".join(random.choices("abcdefghijklmnopqrstuvwxyzäöüñéß", k=random.randint(2, 7))) + random.choice("aeiou") for _ in range(60)] for k in range(n)}
+
+
+def test_all_of_150_languages_are_learned(spark):
+    tongues = many_languages(150)
+    rows = [(i, " ".join(random.choices(words, k=40)), lang) for i, (lang, words) in enumerate((x for x in tongues.items() for _ in range(8)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, table_bytes=16 << 20)
+    assert model.languages == tuple(tongues) and model.buckets == 8192
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows) >= 0.98 * len(rows)
+    held = [(i, lang) for i, _, lang in rows if fold(i, 4) == 2]
+    assert sum(got[i].lang_pred == lang for i, lang in held) >= 0.97 * len(held)
+
+
+@pytest.mark.parametrize("languages", [3, 30])
+def test_long_texts_by_parts_are_as_by_whole(languages, monkeypatch):
+    tongues, rng = many_languages(languages), np.random.default_rng(3)
+    tables = tuple(np.log(rng.dirichlet(np.full(1024, 0.3), languages).T + 1e-6).astype(np.float32) for _ in langid.GRAMS)
+    model, words = langid.Model(tuple(tongues), tables), list(tongues.values())
+    texts = [" ".join(random.choice(words[k % languages] + words[(k + 1) % languages]) for _ in range(k * 30)).encode() for k in range(30)] + [b"", b"1 2 3 " * 50, "\n ".encode() * 100]
+    whole = langid.predictor(model)(texts)
+    monkeypatch.setattr(langid, "PART", 7)
+    monkeypatch.setattr(langid, "CHUNK", 40)
+    parts = langid.predictor(model)(texts)
+    assert parts[0] == whole[0] and parts[1] == pytest.approx(whole[1], abs=1e-5)
+    assert [{x["lang"]: x["share"] for x in d} for d in parts[2]] == [pytest.approx({x["lang"]: x["share"] for x in d}, abs=1e-5) for d in whole[2]]
+
+
+def test_a_text_of_20_mb_in_100_languages_takes_less_than_a_gigabyte():
+    import subprocess
+    import sys
+
+    run = """
+import resource, sys
+import numpy as np
+from millrace.llm import langid
+rng = np.random.default_rng(1)
+model = langid.Model(tuple(f"x{k:03}" for k in range(100)), tuple(np.log(rng.dirichlet(np.full(65536, 0.1), 100).T + 1e-7).astype(np.float32) for _ in langid.GRAMS))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+words = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(int(sys.argv[1]))]
+text = " ".join(words[k] for k in rng.integers(0, len(words), 2_300_000)).encode()
+print(len(text), *langid.predictor(model)([text])[:2], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+    for distinct in ("2000", "300000"):
+        size, *_, most = subprocess.run([sys.executable, "-c", run, distinct], capture_output=True, text=True, check=True, cwd=str(Path(__file__).resolve().parents[2])).stdout.split()
+        assert int(size) > 20_000_000 and float(most) < 1000
+
+
 def test_of_equal_languages_the_first_by_name(spark):
     rows = [(i, "same words here", "zz" if i % 2 else "aa") for i in range(40)]
     rows = [r for r in rows if fold(r[0], 4) != 2]
@@ -383,7 +435,6 @@ def test_of_equal_languages_the_first_by_name(spark):
     even = [r for x in ("aa", "zz") for r in [y for y in rows if y[2] == x][:n]]
     df = spark.createDataFrame(even, "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.identify(df, langid.fit(df)).collect()} == {"aa"}
-    assert langid.fit(df, most_languages=1).languages == ("aa",)
 
 
 def test_language_cases(spark):

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -199,3 +200,21 @@ def test_pieces(spark):
 
 def test_packing_nothing(spark):
     assert packing.pieces(spark.createDataFrame([], "doc_id long, text string"), how_to_pack()).count() == 0
+
+
+def test_a_counter_holds_no_more_than_its_bytes(spark, monkeypatch):
+    """Texts without spaces are one chunk each; what is remembered is trimmed after each text."""
+    held = []
+    own = token_counts.counter(MODEL)
+    monkeypatch.setattr(own.known, "size", 50_000)
+    monkeypatch.setattr(type(own.known), "trim", lambda self, trim=type(own.known).trim: (held.append(self.held), trim(self)))
+    monkeypatch.setattr(token_counts, "slim", lambda df, *_: df)
+
+    class Frame:
+        def mapInArrow(self, run, _):
+            texts = [(chr(97 + k % 26) * 10_000 + str(k)).encode() for k in range(60)]
+            batch = pa.record_batch({"doc_id": pa.array(range(60), pa.int64()), "text": pa.array(texts, pa.binary())})
+            return [row for out in run(iter([batch])) for row in out.to_pylist()]
+
+    rows = token_counts.token_counts(Frame(), MODEL)
+    assert len(rows) == 60 and max(held) <= 50_000 + 10_010 and len(held) >= 9
