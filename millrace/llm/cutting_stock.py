@@ -139,8 +139,8 @@ class Pool:
             self.add(Run(run.origin, run.first, run.count, run.start + at, size - at))
 
 
-def plan(counts: np.ndarray, capacity: int, grid: int) -> tuple[list[Placed], int]:
-    """Where every item goes, as a bounded number of runs, and the number of sequences. Cuts lie at multiples of ``grid``."""
+def plan(counts: np.ndarray, capacity: int, grid: int, most_steps: int = 4000) -> tuple[list[Placed], int]:
+    """Where every item goes, as a bounded number of runs, and the number of sequences. Cuts lie at multiples of ``grid``; with one of the capacity nothing is cut."""
     counts = np.asarray(counts)
     pool, placed, sequence = Pool(counts), [], 0
     if not counts.any():
@@ -157,7 +157,7 @@ def plan(counts: np.ndarray, capacity: int, grid: int) -> tuple[list[Placed], in
             slot += each
         sequence += times
 
-    patterns, cuts = solve(counts, capacity, grid)
+    patterns, cuts = solve(counts, capacity, grid, most_steps=most_steps)
     for size, at, times in sorted(cuts, reverse=True):
         pool.cut(size, at, min(int(times + 1e-6), pool.left.get(size, 0)))
     for pattern, times in sorted(patterns, key=lambda x: -x[1]):

@@ -7,8 +7,8 @@ rests' lengths (a fixed number of classes) is planned on the driver by
 Every rest gets its rank within its class from counts per task, and so its place in the plan without a
 sort of the class; cut pieces get their check sums by combining those at the grid positions.
 
-A rest reserves its length rounded up to ``UNIT`` tokens, so up to ``UNIT - 1`` places of it stay empty at its
-sequence's end; that is little unless nearly all texts are very short.
+Rests of up to ``SHORT`` tokens are planned by their exact lengths and fill sequences of their own, as pieces that small
+leave next to nothing empty; a longer one reserves its length rounded up to ``UNIT`` tokens, under 3 % of it.
 
 Defined cases: a null or empty text has the end identifier only; strings of special tokens such as
 ``<|endoftext|>`` are ordinary text; a null identifier stays null; rows that repeat are packed each; further
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import rows, slim, written
 from millrace.llm.cutting_stock import plan
 
-#: Tokens per class of the histogram, and tokens between positions where a rest may be cut.
-UNIT, GRID = 8, 64
+#: Tokens per class of the histogram, tokens between positions where a rest may be cut, and rests whose lengths are classes of their own.
+UNIT, GRID, SHORT = 8, 64, 256
 _LENGTHS = "doc_id long, doc_tokens long, part int, full_first long, full_crcs array<long>, class int, class_index long, rest_crcs array<long>"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long"
 
@@ -69,6 +69,11 @@ def _ids(text: bytes, how: Packing) -> np.ndarray:
     return np.append(encoder(how.vocabulary, how.pattern)(text.decode("utf-8", "replace")), how.end_id).astype("<u4")
 
 
+def class_of(length: int) -> int:
+    """0 for none, the length of a short rest, or SHORT more than the units of a longer one."""
+    return length if length <= SHORT else SHORT - (-length // UNIT)
+
+
 def lengths(df: DataFrame, how: Packing) -> DataFrame:
     """Per document: tokens, check sums of its full sequences, and of its rest up to each grid position and its end.
 
@@ -89,7 +94,7 @@ def lengths(df: DataFrame, how: Packing) -> DataFrame:
                 for k in range(0, len(rest), GRID):
                     crc = zlib.crc32(rest[k : k + GRID], crc)
                     crcs.append(crc)
-                size = -(-len(rest) // UNIT)
+                size = class_of(len(rest))
                 index = seen[size] = seen.get(size, -1) + 1
                 out.append((doc_id, n, part, full, whole, size, index, crcs))
                 full += len(whole)
@@ -140,13 +145,15 @@ def pieces(docs: DataFrame, how: Packing, id_col: str = "doc_id", text_col: str
     found = written(lengths(slim(docs, id_col, text_col), how), "packing")
     rest = found.filter("class > 0")
     per_task = rest.groupBy("class", "part").count()
-    counts = np.zeros(how.tokens // UNIT, np.int64)
-    for row in per_task.groupBy("class").agg(F.sum("count").alias("n")).collect():
-        counts[row["class"] - 1] = row["n"]
-    placed, sequences = plan(counts, how.tokens // UNIT, GRID // UNIT)
-
+    counts = np.zeros(SHORT + how.tokens // UNIT + 1, np.int64)
+    for row in per_task.groupBy("class").agg(F.sum("count").alias("n")).collect():  # a row for each class
+        counts[row["class"]] = row["n"]
+    longer, sequences = plan(counts[SHORT + 1 :], how.tokens // UNIT, GRID // UNIT)
+    short, more = plan(counts[1 : SHORT + 1], how.tokens, how.tokens, most_steps=600)
+    runs = [(SHORT + p.run.origin, p, UNIT, 0) for p in longer] + [(p.run.origin, p, 1, sequences) for p in short]
+    sequences += more
     runs = spark.createDataFrame(
-        [(p.run.origin, p.run.first, p.run.first + p.run.count, p.run.start * UNIT, (p.run.start + p.run.size) * UNIT, p.run.start + p.run.size == p.run.origin, p.sequence, p.times, p.index, p.slot) for p in placed],
+        [(of, p.run.first, p.run.first + p.run.count, p.run.start * unit, (p.run.start + p.run.size) * unit, p.run.start + p.run.size == p.run.origin, base + p.sequence, p.times, p.index, p.slot) for of, p, unit, base in runs],
         "class int, rank_from long, rank_to long, cut_from int, cut_to int, last boolean, sequence long, times long, item long, slot long",
     )
     ranked = rest.join(_offsets(per_task, ["class"], "count", "before"), ["class", "part"]).withColumn("rank", F.col("before") + F.col("class_index"))

@@ -161,6 +161,32 @@ def test_plan_places_every_item_once(kind):
     assert size.sum() / 256 <= value * (1 + 1e-6) and value * (1 - 5e-3) - 1 <= n <= value * 1.01 + len(patterns)
 
 
+@pytest.mark.parametrize("tokens", [16, 49, 130, 250])
+def test_short_texts_leave_little_empty(spark, tokens):
+    """Texts of one length, with the end identifier; the fill is that of whole pieces in a sequence, or more."""
+    how = how_to_pack()
+    df = spark.createDataFrame([(k, " a" * tokens) for k in range(1500)], "doc_id long, text string")
+    got = packing.pieces(df, how).collect()
+    n = len({r.sequence_id for r in got})
+    assert sum(r.length for r in got) == 1500 * (tokens + 1) and n <= -(-1500 // (2048 // (tokens + 1)))
+
+
+def test_mixed_short_texts_fill_their_sequences(spark):
+    random.seed(12)
+    df = spark.createDataFrame([(k, " a" * random.randint(3, 200)) for k in range(4000)], "doc_id long, text string").repartition(3)
+    got = packing.pieces(df, how_to_pack()).collect()
+    assert sum(r.length for r in got) / 2048 / len({r.sequence_id for r in got}) > 0.985
+    ends = {}
+    for r in got:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in ends.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_pieces(spark):
     rows = [(None, "null id"), (1, None), (1, "again"), *((k + 2, (t or "") * random.randint(1, 400)) for k, t in enumerate(texts(150)))]
     rows = [(i, t) for i, t in rows]
