@@ -1,7 +1,7 @@
 """Normal forms of titles, companies, links and texts.
 
-Latin letters with marks are folded by a translation table inside the JVM; ``fold_udf`` does full Unicode
-decomposition in Arrow batches for texts beyond it.
+Letters with marks are folded by a translation table inside the JVM, which is built from Unicode's decompositions;
+``fold_udf`` decomposes ligatures and the like too, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,9 +15,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Marked letters and what they fold to, pair by pair.
-_MARKED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿŠšŽž"
-_PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyySsZz"
+
+
+def _plain_of(c: str) -> str:
+    """What a character decomposes to, without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+#: All characters of the basic plane beyond ASCII that decompose to one ASCII character, and these, pair by pair.
+_MARKED = "".join(c for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000))) if len(_plain_of(c)) == 1 and _plain_of(c).isascii())
+_PLAIN = "".join(map(_plain_of, _MARKED))
 
 # Endings of company names that name a legal form, as they read after folding.
 LEGAL_FORMS = ("srl", "srls", "spa", "sapa", "snc", "sas", "scarl", "gmbh", "ag", "kg", "ug", "ohg", "ltd", "limited", "llc", "llp", "lp", "inc", "incorporated", "corp", "corporation", "co", "company", "plc", "sa", "sl", "slu", "nv", "bv", "ab", "oy", "oyj", "as", "asa", "aps", "sarl", "sro", "zoo", "kft", "pty", "ehf")
@@ -28,12 +35,13 @@ BOARD_HOSTS = ("linkedin.com", "himalayas.app", "freehire.me", "whatjobs.com", "
 
 @F.pandas_udf(StringType())
 def fold_udf(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    """Compatibility decomposition without combining marks, also of what becomes several characters."""
+    return texts.map(lambda t: None if t is None else _plain_of(t))
 
 
 def fold(text: Column) -> Column:
-    return F.translate(text, _MARKED, _PLAIN)
+    """The same in the JVM, for all that becomes one character: letters with marks of any language written in Latin, and marks that stand apart."""
+    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{Mn}+", "")
 
 
 def normalize_title(title: Column, full: bool = False) -> Column:
@@ -51,11 +59,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
-def board_job_id(url: Column, host: str = "linkedin.com") -> Column:
-    """The digits (5 or more) that end the last path segment of a job page of ``host`` or a host below it; else null."""
-    path = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"/jobs?/(?:.*[/-])?([0-9]{5,})/?$", 1)
-    own = host_of(url).rlike(rf"(^|\.){re.escape(host)}$")
-    return F.when(own & (path != ""), path)
+def board_job_id(url: Column, board: str = "linkedin") -> Column:
+    """The digits (5 or more) that end the last path segment of a page of the board's host, in any of its top-level domains, or a host below it; else null."""
+    last = F.regexp_extract(F.try_parse_url(F.trim(url), F.lit("PATH")), r"([^/]*)/*$", 1)
+    number = F.regexp_extract(last, r"([0-9]{5,})$", 1)
+    own = F.coalesce(host_of(F.trim(url)).rlike(rf"(^|\.){re.escape(board)}\."), F.lit(False))
+    return F.when(own & (number != ""), number)
 
 
 def is_company_page(url: Column, boards: tuple[str, ...] = BOARD_HOSTS) -> Column:

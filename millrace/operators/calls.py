@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.stats import share
 from millrace.operators.keys import joined
-from millrace.operators.ordered import ranked, shifted
+from millrace.operators.ordered import ranked, rolling, running, shifted
 from millrace.sources.store import shared_table
 
 
@@ -91,6 +91,29 @@ def may_call(use: DataFrame, stop_line: int, share: float | None = None, request
     return use.withColumn("may_call", (F.col(requests) < stop_line) & own)
 
 
+def running_gates(calls: DataFrame, keys: list[str], order: list[str], stop_line: int, token_line: int, window_s: int, window_tokens: int, stage: str, share: float, at: str = "at", tokens: str = "tokens") -> DataFrame:
+    """What a provider's budget stood at before each call of a key (a provider's day), and whether the gates let it pass.
+
+    ``requests_before`` and ``tokens_before`` of the key, ``stage_before`` of ``stage`` alone, and ``window_before``, the tokens of the key's other
+    calls in the ``window_s`` seconds up to it. A call passes under the stop line, the token line and the window's tokens (its own
+    included), and one of ``stage`` under its share of the stop line too. A day's calls aren't put in order in one task.
+    """
+    own = F.coalesce(F.col(tokens), F.lit(0))
+    is_stage = F.coalesce(F.col("stage") == stage, F.lit(False))
+    summed = running(calls, keys, order, {"_n": F.lit(1), "_s": is_stage.cast("int"), "_t": own})
+    found = rolling(summed, keys, F.unix_micros(F.col(at).cast("timestamp")), window_s * 1_000_000, {"_w": own})
+    found = found.withColumns({"requests_before": F.col("_n") - 1, "stage_before": F.col("_s") - is_stage.cast("int"), "tokens_before": F.col("_t") - own, "window_before": F.col("_w") - own}).drop("_n", "_s", "_t", "_w")
+    of_stage = F.when(is_stage, F.col("stage_before") < int(stop_line * share)).otherwise(F.lit(True))
+    return found.withColumn("may_call", (F.col("requests_before") < stop_line) & (F.col("tokens_before") < token_line) & (F.col("window_before") + own <= window_tokens) & of_stage)
+
+
+def degraded_runs(calls: DataFrame, run: list[str], batch: list[str], usable: Column, most: float = 0.2) -> DataFrame:
+    """Per run: its batches, those without a usable answer, and whether these are at least the share ``most`` of all."""
+    each = calls.groupBy(*run, *batch).agg(F.count_if(usable).alias("_ok"))
+    found = each.groupBy(*run).agg(F.count("*").alias("batches"), F.count_if(F.col("_ok") == 0).alias("failed_batches"))
+    return found.withColumn("degraded", F.col("failed_batches") / F.col("batches") >= most)
+
+
 def additive_upsert(state: DataFrame, news: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Totals by key of what was there and what came; one shuffle on the key."""
     return state.select(*keys, *values).unionByName(news.select(*keys, *values)).groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.keys import joined
+
 # Phrases that a letter must not contain.
 BANNED_PHRASES = (
     "excited to", "passionate about", "leverage", "cutting-edge", "delve", "seamless", "fast-paced", "align with your mission", "thrilled", "furthermore", "moreover", "tapestry", "resonates",
@@ -90,3 +92,39 @@ def note_text(title: Column, company: Column, fields: dict[str, Column], body: C
 def manifest(fields: dict[str, Column], hashed: dict[str, Column]) -> Column:
     """A JSON document of fields and the SHA-256 digests of texts."""
     return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()), *(F.sha2(v, 256).alias(f"{k}_sha256") for k, v in hashed.items())))
+
+
+def rejected_lines(rejected: DataFrame, tiers: DataFrame, day: str) -> DataFrame:
+    """The audit of what the work-mode check threw out, as the parts (path, n, text) of a file for each tier, also for one without any.
+
+    rejected: id (a whole number from 0 on, the order), tier, title, company, location, url, reason; tiers: tier.
+    """
+    # The layout of the audit file.
+    head = F.format_string("# Rejected by remote verification - %s (tier %s)\n", F.lit(day), F.col("tier").cast("string"))
+    none = F.lit("\nNone. Every offer was confirmed, advised or left with its work mode unstated.\n")
+    entry = F.concat(F.lit("\n- **"), "title", F.lit(" - "), "company", F.lit("** · "), F.coalesce("location", F.lit("")), F.lit(" · [link]("), F.coalesce("url", F.lit("")), F.lit(")\n  "), F.coalesce("reason", F.lit("")), F.lit("\n"))
+    path = F.concat(F.lit(f"{day}/tier"), F.col("tier").cast("string"), F.lit("/rejected.md"))
+    every = tiers.select("tier").distinct()
+    empty = every.join(rejected.select("tier").distinct(), "tier", "left_anti")
+    parts = every.select(path.alias("path"), F.lit(-2).cast("long").alias("n"), head.alias("text"))
+    parts = parts.unionByName(empty.select(path.alias("path"), F.lit(-1).cast("long").alias("n"), none.alias("text")))
+    return parts.unionByName(rejected.select(path.alias("path"), F.col("id").cast("long").alias("n"), entry.alias("text")))
+
+
+def sent_progress(progress: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """How far each message (keys) has been sent after a pass over the parts still due, which stops at the first part that didn't get through.
+
+    progress: keys, next, accepted, refused_status; replies: keys, part (from 0), outcome (ok, refused or down), status: what each part would
+    get. A refused part never will be accepted and doesn't hold up the rest; one that is down is tried again next time, before any later part.
+    """
+    due = joined(replies, progress, keys, "left").withColumns({"next": F.coalesce("next", F.lit(0)), "accepted": F.coalesce("accepted", F.lit(0))}).withColumn("due", F.col("part") >= F.col("next"))
+    down = F.min(F.when(F.col("due") & (F.col("outcome") == "down"), F.col("part"))).alias("_down")
+    stops = due.groupBy(*keys).agg(down, (F.max("part") + 1).alias("parts"))
+    sent = joined(due, stops, keys).withColumn("_sent", F.col("due") & (F.col("_down").isNull() | (F.col("part") < F.col("_down"))))
+    refused = F.col("_sent") & (F.col("outcome") == "refused")
+    found = sent.groupBy(*keys).agg(
+        F.max("parts").alias("parts"), F.coalesce(F.max("_down"), F.max("parts")).alias("next"), (F.max("accepted") + F.count_if(F.col("_sent") & (F.col("outcome") == "ok"))).alias("accepted"),
+        F.coalesce(F.max("refused_status"), F.min_by(F.when(refused, F.col("status")), F.when(refused, F.col("part")))).alias("refused_status"),
+    )
+    done = F.col("next") == F.col("parts")
+    return found.withColumn("state", F.when(~done, "due").when(F.col("refused_status").isNull(), "sent").otherwise("refused"))

@@ -61,16 +61,16 @@ def rolling(df: DataFrame, keys: str | list[str], at: Column, width: int, sums:
     A moment's sum comes in at its time and leaves after its time plus ``width``; rows of one moment are summed up first.
     """
     keys = _columns(keys)
-    timed = df.withColumn("_t", at)
-    moments = timed.filter("_t IS NOT NULL").groupBy(*keys, "_t").agg(*(F.sum(c).alias(f"_in_{n}") for n, c in sums.items()))
+    timed = df.withColumn("_moment", at)
+    moments = timed.filter("_moment IS NOT NULL").groupBy(*keys, "_moment").agg(*(F.sum(c).alias(f"_in_{n}") for n, c in sums.items()))
     none = {f"_{k}_{n}": F.lit(0) for k in ("in", "out") for n in sums}
     comes = moments.withColumns({**{c: v for c, v in none.items() if c.startswith("_out")}, "_came": F.lit(1)})
-    leaves = moments.select(*keys, (F.col("_t") + width).alias("_t"), *(F.col(f"_in_{n}").alias(f"_out_{n}") for n in sums)).withColumns({**{c: v for c, v in none.items() if c.startswith("_in")}, "_came": F.lit(0)})
-    events = comes.unionByName(leaves).groupBy(*keys, "_t").agg(F.max("_came").alias("_came"), *(F.sum(c).alias(c) for c in none))
-    summed = running(events, keys, ["_t"], {**{f"_all_{n}": F.col(f"_in_{n}") for n in sums}, **{f"_gone_{n}": F.col(f"_out_{n}") for n in sums}})
+    leaves = moments.select(*keys, (F.col("_moment") + width).alias("_moment"), *(F.col(f"_in_{n}").alias(f"_out_{n}") for n in sums)).withColumns({**{c: v for c, v in none.items() if c.startswith("_in")}, "_came": F.lit(0)})
+    events = comes.unionByName(leaves).groupBy(*keys, "_moment").agg(F.max("_came").alias("_came"), *(F.sum(c).alias(c) for c in none))
+    summed = running(events, keys, ["_moment"], {**{f"_all_{n}": F.col(f"_in_{n}") for n in sums}, **{f"_gone_{n}": F.col(f"_out_{n}") for n in sums}})
     # what leaves at a moment is still there at it
-    found = summed.filter("_came = 1").select(*keys, "_t", *((F.col(f"_all_{n}") - F.col(f"_gone_{n}") + F.col(f"_out_{n}")).alias(n) for n in sums))
-    return joined(timed, found, [*keys, "_t"], "left").drop("_t")
+    found = summed.filter("_came = 1").select(*keys, "_moment", *((F.col(f"_all_{n}") - F.col(f"_gone_{n}") + F.col(f"_out_{n}")).alias(n) for n in sums))
+    return joined(timed, found, [*keys, "_moment"], "left").drop("_moment")
 
 
 def ranked(values: DataFrame, keys: str | list[str], value: str, count: str = "n") -> DataFrame:

@@ -8,11 +8,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import first_keyword
 from millrace.operators.keys import joined
 from millrace.sources.store import shared_table
 
@@ -47,6 +49,44 @@ def class_of(tier: Column, title: Column, country_only: Column, strong: str, sen
     return F.when(good & ~wide, 1).when(good, 2).when(~wide, 3).otherwise(4)
 
 
+def title_kind(title: Column, strong: list[str], senior: list[str]) -> Column:
+    """``ai`` for a title with one of the ``strong`` words and none of the ``senior`` ones, as whole words; ``other`` for the rest."""
+    return F.when(first_keyword(title, strong).isNotNull() & first_keyword(title, senior).isNull(), "ai").otherwise("other")
+
+
+class TitleClass(NamedTuple):
+    """A class of a tier's order: its name, the kind of its titles, and whether their place is only a country (None: either)."""
+
+    name: str
+    kind: str
+    country_only: bool | None = None
+
+
+#: A rank behind all others, of rows without a class and of classes without a value.
+UNRANKED = 99
+
+
+def stored_rank(tier: Column, kind: Column, country_only: Column, orders: dict[int, list[TitleClass]], default: list[TitleClass]) -> Column:
+    """The place (from 0) in the tier's order of the first class that a title's kind and place belong to; null if none does."""
+
+    def place(classes: list[TitleClass]) -> Column:
+        return F.coalesce(*(F.when((kind == c.kind) & (F.lit(True) if c.country_only is None else country_only == c.country_only), F.lit(k)) for k, c in enumerate(classes)))
+
+    found = F.when(F.lit(False), F.lit(0))
+    for number, classes in orders.items():
+        found = found.when(tier == number, place(classes))
+    return found.otherwise(place(default))
+
+
+def value_of_rank(tier: Column, rank: Column, orders: dict[int, list[TitleClass]], default: list[TitleClass], values: dict[str, int]) -> Column:
+    """The value rank of a stored rank, by its class's name, so that one class counts alike in every tier; ``UNRANKED`` for none."""
+    by = lambda classes: F.coalesce(F.try_element_at(F.array(*(F.lit(values.get(c.name, UNRANKED)) for c in classes)), rank + 1), F.lit(UNRANKED))
+    found = F.when(rank.isNull(), F.lit(UNRANKED))
+    for number, classes in orders.items():
+        found = found.when(tier == number, by(classes))
+    return found.otherwise(by(default))
+
+
 def fair_claim(slices: DataFrame, walks: DataFrame, now: Column, n: int = 1) -> DataFrame:
     """The due slices whose turn it is: the tier served longest ago first (never served before all), then what is due longest, then the tier.
 

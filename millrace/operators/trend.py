@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import share
@@ -36,3 +36,22 @@ def daily_metrics(runs: DataFrame, offers: DataFrame, packages: DataFrame) -> Da
     p = packages.groupBy("day").agg(F.count("*").alias("packaged"))
     found = r.join(o, "day", "fullouter").join(p, "day", "fullouter")
     return found.select("day", "runs", "tokens", "commits", "limits", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("scored", "high", "packaged")))
+
+
+def as_text(days: DataFrame, metrics: list[str]) -> DataFrame:
+    """day and line: ``2024-01-05  requests 12 (+3), refused ? (?)``, each metric with its change since the day before in the table; unknown is ``?``.
+
+    The days of a report are few, and put in order by one window.
+    """
+    w = Window.orderBy("day")
+    number = lambda c, plus: F.when(c.isNull(), "?").otherwise(F.concat(F.when(F.lit(plus) & (c >= 0), "+").otherwise(""), F.round(c.cast("double"), 2).cast("decimal(20,2)").cast("string")))
+    part = lambda m: F.concat(F.lit(f"{m} "), number(F.col(m), False), F.lit(" ("), number(F.col(m) - F.lag(m).over(w), True), F.lit(")"))
+    return days.select("day", F.concat(F.col("day").cast("string"), F.lit("  "), F.concat_ws(", ", *map(part, metrics))).alias("line"))
+
+
+def comparison_text(compared: DataFrame) -> DataFrame:
+    """metric and line of what :func:`before_after` gives: ``requests: 10.00 before, 12.50 after (+25.0 %)``, marked where too few days stand behind it."""
+    two = lambda c: F.coalesce(F.col(c).cast("decimal(20,2)").cast("string"), F.lit("?"))
+    change = F.when(F.col("change_pct").isNull(), "?").otherwise(F.concat(F.when(F.col("change_pct") >= 0, "+").otherwise(""), F.col("change_pct").cast("decimal(20,1)").cast("string")))
+    note = F.when(F.col("indicative_only"), F.concat(F.lit(", indicative only: "), F.col("days_before").cast("string"), F.lit(" and "), F.col("days_after").cast("string"), F.lit(" days"))).otherwise("")
+    return compared.select("metric", F.concat("metric", F.lit(": "), two("before_avg"), F.lit(" before, "), two("after_avg"), F.lit(" after ("), change, F.lit(" %)"), note).alias("line"))

@@ -114,7 +114,10 @@ QUERIES = {
 }
 
 _LEGACY = REQUEST_LOG + ", legacy AS (SELECT *, CASE WHEN digit <> 9 THEN source || '/' || host END AS key FROM log)"
-_RULES = " UNION ALL ".join(f"SELECT doc_id, 'banned phrase: {p}' AS rule FROM d WHERE contains(lower(t), '{p}')" for p in delivery.BANNED_PHRASES)
+_BANNED = (
+    "excited to", "passionate about", "leverage", "cutting-edge", "delve", "seamless", "fast-paced", "align with your mission", "thrilled", "furthermore", "moreover", "tapestry", "resonates", "the intersection of", "i am writing to",
+)
+_RULES = " UNION ALL ".join(f"SELECT doc_id, 'banned phrase: {p}' AS rule FROM d WHERE contains(lower(t), '{p}')" for p in _BANNED)
 
 ORACLES = {
     "alert_candidates": f"WITH {JOBS} SELECT id, tier, score FROM jobs WHERE score >= {_THRESHOLD} AND alerted_at IS NULL AND NOT (coalesce(remote_verdict, '') = 'not_stated' AND tier IN (1, 3))",

@@ -71,7 +71,7 @@ def run_rule_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fair_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queueing.fair_claim(_slices(spark, sf_dir).filter("tier <> 5 OR slice > 0"), _walks(spark, sf_dir).select("slice", "walked_at"), at(NOW), 25).select("slice", "tier", "due_at", "served_at")
+    return queueing.fair_claim(_slices(spark, sf_dir), _walks(spark, sf_dir).select("slice", "walked_at"), at(NOW), 25).select("slice", "tier", "due_at", "served_at")
 
 
 def class_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,8 @@ def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://de.linkedin.com/jobs/view/some-role-"), (F.col("page_id") + 10_000).cast("string"))).otherwise(F.col("url"))
+    number = (F.col("page_id") + 10_000).cast("string")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://de.linkedin.com/jobs/view/some-role-"), number)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://linkedin.cn/x/"), number, F.lit("/"))).otherwise(F.col("url"))
     secret = F.concat(F.lit("postgres://user:s3cret"), F.col("page_id").cast("string"), F.lit("@host/db"))
     return p.select("page_id", text.legacy_key(text.board_job_id(url), url).alias("legacy_key"), text.fingerprint(url, 12).alias("version"), text.redact(secret).alias("shown"), text.note_number(F.concat(F.lit("note_"), F.col("page_id").cast("string"), F.lit(".md"))).alias("note"))
 
@@ -451,8 +452,8 @@ ORACLES = {
         c AS (SELECT doc_id, CASE WHEN length(t) <= b THEN t ELSE substr(t, 1, b - length(e)) || e END AS c FROM d)
         SELECT doc_id, CAST(length(c) AS INTEGER) AS chars, md5(c) AS md5 FROM c""",
     "link_keys": """
-        WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://de.linkedin.com/jobs/view/some-role-' || (page_id + 10000) ELSE url END AS u FROM pages)
-        SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(page_id + 10000 AS VARCHAR) ELSE 'legacy:' || md5(u) END AS legacy_key, substr(sha256(u), 1, 12) AS version, 'postgres://user:***@host/db' AS shown, page_id AS note FROM p""",
+        WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://de.linkedin.com/jobs/view/some-role-' || (page_id + 10000) WHEN 1 THEN 'https://linkedin.cn/x/' || (page_id + 10000) || '/' ELSE url END AS u FROM pages)
+        SELECT page_id, CASE WHEN page_id % 3 < 2 THEN CAST(page_id + 10000 AS VARCHAR) ELSE 'legacy:' || md5(u) END AS legacy_key, substr(sha256(u), 1, 12) AS version, 'postgres://user:***@host/db' AS shown, page_id AS note FROM p""",
     "quotes_found": """
         WITH p AS (SELECT CASE p_size % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '-') ELSE 'no' END AS q, p_name AS n FROM part),
         k AS (SELECT regexp_replace(lower(q), '[^a-z0-9]', '', 'g') AS q, 'note' || regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS n FROM p)

@@ -15,8 +15,13 @@ LANGUAGES = ("en", "es", "it")
 KEYWORDS = ["small", "red", "old", "bolt"]
 
 
+#: Names in letters of several languages written in Latin, and with marks that stand apart.
+_NAMES = ("Petr Čech", "Plzeň", "Győr", "Iași", "Łódź", "Ångström", "Đà Nẵng", "Cafe\u0301 Ole\u0301", "İzmir", "Þórshöfn", "Œuvre", "Straße", "ŽIŽEK", "São Tomé", "Ħal Qormi")
+
+
 def title_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("Ré. "), "p_name", F.lit(" (m/f/d) — N° "), "p_brand", F.lit("'s"))
+    names = F.array(*map(F.lit, _NAMES))
+    raw = F.concat(F.lit("Ré. "), "p_name", F.lit(" (m/f/d) — N. "), "p_brand", F.lit("'s "), F.element_at(names, (F.col("p_partkey") % len(_NAMES) + 1).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_title(raw).alias("title_norm"))
 
 
@@ -84,14 +89,21 @@ CASES = (
     ("Drei Tage im Büro.", None, "rejected", ""),
     ("A strong market presence.", None, "not_stated", ""),
     ("Offriamo la possibilità di lavoro da remoto.", None, None, ""),
+    ("We don't offer fully remote.", None, None, ""),
+    ("We cannot offer a fully remote role.", None, None, ""),
+    ("You are at the office on Mondays.", None, None, ""),
+    ("3x a week in the office, we say.", None, None, ""),
 )
 PADDING = " We bake bread for forty shops, mill our own flour and pay a fair wage with training and meals." * 3
 
 
 def work_mode_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, said + PADDING, hint) for k, (said, hint, _, _) in enumerate(CASES)], "id int, description string, remote_hint string")
-    ready = rows.withColumns({"title": F.lit("Baker"), "location": F.lit("Turin, Italy")})
-    return rules.rule_stage(ready, F.lit(True), True).select("id", "remote_verdict", "remote_advice")
+    """Parts as postings: each has one of the cases' sentences between two about the part itself."""
+    p = table(spark, sf_dir, "part")
+    which = (F.col("p_partkey") % len(CASES) + 1).cast("int")
+    said, hint = (F.element_at(F.array(*(F.lit(c[k]) for c in CASES)), which) for k in (0, 1))
+    ready = p.select("p_partkey", F.concat(F.lit("We sell "), "p_name", F.lit(". "), said, F.lit(PADDING), F.lit(" Ask for "), "p_type", F.lit(".")).alias("description"), hint.alias("remote_hint"), F.lit("Baker").alias("title"), F.lit("Turin, Italy").alias("location"))
+    return rules.rule_stage(ready, F.lit(True), True).select("p_partkey", "remote_verdict", "remote_advice")
 
 
 def country_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +213,7 @@ _HOST = "nullif(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '')"
 _WORD = lambda w: f"regexp_matches(p_name, '(?i)(^|[^[:word:]+]){w}($|[^[:word:]+])')"
 
 ORACLES = {
-    "title_norm": f"SELECT p_partkey, {_NORM.format("'Re. ' || p_name || ' (m/f/d) — N° ' || p_brand || '''s'")} AS title_norm FROM part",
+    "title_norm": "SELECT p_partkey, " + _NORM.format("'Ré. ' || p_name || ' (m/f/d) — N. ' || p_brand || '''s ' || [" + ", ".join(f"'{x}'" for x in _NAMES) + "][p_partkey % 15 + 1]") + " AS title_norm FROM part",
     # the legal forms are written out, apart from the list under test
     "company_norm": f"""
         SELECT c_custkey, {_NORM.format('c_name')} || CASE c_custkey % 13 WHEN 2 THEN ' generale' WHEN 4 THEN ' labs' WHEN 10 THEN ' spa trading' ELSE '' END AS company_norm FROM customer""",
@@ -226,10 +238,10 @@ ORACLES = {
         SELECT doc_id, CASE WHEN coalesce(n, 0) < 40 OR top < 2 OR (en = top)::INT + (es = top)::INT + (it = top)::INT + (de = top)::INT + (fr = top)::INT > 1 THEN NULL
                             WHEN en = top THEN 'en' WHEN es = top THEN 'es' WHEN it = top THEN 'it' WHEN de = top THEN 'de' ELSE 'fr' END AS detected FROM m""",
     "work_mode_cases": """
-        SELECT id, remote_verdict, remote_advice FROM (VALUES
+        SELECT p_partkey, remote_verdict, remote_advice FROM part JOIN (VALUES
             (0, 'advised', 'remote, limited to the UK - check eligibility'), (1, 'confirmed', ''), (2, NULL, ''), (3, NULL, ''), (4, 'rejected', ''), (5, 'rejected', ''), (6, NULL, ''), (7, NULL, ''), (8, NULL, ''),
             (9, 'not_stated', ''), (10, 'advised', 'the source marks it remote - check eligibility'), (11, 'rejected', ''), (12, NULL, ''), (13, 'rejected', ''), (14, 'confirmed', ''), (15, 'rejected', ''), (16, NULL, ''),
-            (17, 'rejected', ''), (18, 'not_stated', ''), (19, NULL, '')) AS v(id, remote_verdict, remote_advice)""",
+            (17, 'rejected', ''), (18, 'not_stated', ''), (19, NULL, ''), (20, NULL, ''), (21, NULL, ''), (22, NULL, ''), (23, NULL, '')) AS v(id, remote_verdict, remote_advice) ON p_partkey % 24 = id""",
     "country_mentions": """
         SELECT n_nationkey, 'the UK, the US' || CASE WHEN n_name IN ('FRANCE', 'GERMANY', 'ROMANIA', 'CANADA', 'INDIA', 'BRAZIL', 'JAPAN', 'CHINA') THEN ', ' || upper(n_name[1]) || lower(n_name[2:]) ELSE '' END AS named FROM nation""",
     "application_channels": """

@@ -65,12 +65,18 @@ def parse_cards(page: str) -> list[dict]:
     return [c for c in found if c["job_id"] and c["url"] and c["title"]]
 
 
+#: Elements that a paragraph can't hold.
+_BLOCKS = frozenset(("address", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"))
+
+
 class _Text(HTMLParser):
     """Text of the whole page, of its first paragraphs, of marked parts, and the description in its head."""
 
     def __init__(self) -> None:
         super().__init__()
         self.main, self.posted, self.meta, self.paragraphs, self.depth, self.where, self.skip = "", "", None, [], 0, None, 0
+        #: Whether text belongs to the last paragraph: not before one, and not behind its end.
+        self.open = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -87,6 +93,9 @@ class _Text(HTMLParser):
             self.where, self.depth = "posted", 1
         if tag in ("p", "article"):
             self.paragraphs.append("")
+            self.open = True
+        elif tag in _BLOCKS:
+            self.open = False  # a paragraph without an end tag ends where a block begins
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
@@ -95,13 +104,15 @@ class _Text(HTMLParser):
             self.depth -= 1
             if not self.depth:
                 self.where = None
+        if tag in ("p", "article") or tag in _BLOCKS:
+            self.open = False
 
     def handle_data(self, data: str) -> None:
         if self.skip:
             return
         if self.where:
             setattr(self, self.where, getattr(self, self.where) + " " + data)
-        if self.paragraphs:
+        if self.open:
             self.paragraphs[-1] += " " + data
 
 

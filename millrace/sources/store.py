@@ -143,7 +143,7 @@ def todays_copy_wins(fresh: DataFrame, queued: DataFrame) -> DataFrame:
     return both.groupBy("link").agg(F.min_by(F.struct(*rest), rank).alias("_row")).select("link", *(F.col("_row")[c].alias(c) for c in rest))
 
 
-def _files(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """The file system of ``path``, and the path, as Hadoop knows them."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
@@ -151,7 +151,7 @@ def _files(spark: SparkSession, path: str):
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table that :func:`swap` last put at ``path``."""
-    files, pointer = _files(spark, f"{path.rstrip('/')}/CURRENT")
+    files, pointer = file_system(spark, f"{path.rstrip('/')}/CURRENT")
     if not files.exists(pointer):
         raise FileNotFoundError(path)
     return spark.read.parquet(f"{path.rstrip('/')}/{spark.read.text(pointer.toString()).first()[0]}")
@@ -167,7 +167,7 @@ def swap(df: DataFrame, path: str) -> None:
     spark, root = df.sparkSession, path.rstrip("/")
     name = f"state-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    files, pointer = _files(spark, f"{root}/CURRENT")
+    files, pointer = file_system(spark, f"{root}/CURRENT")
     before = spark.read.text(pointer.toString()).first()[0] if files.exists(pointer) else None
     beside = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.next-{uuid.uuid4().hex}")
     out = files.create(beside, True)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import ladder
 from millrace.operators.health import should_send
+from millrace.sources.store import file_system
 
 
 def events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -111,12 +112,16 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
 def upsert_available(stream: DataFrame, root: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> StreamingQuery:
     """Fold micro-batches into versions of a keyed table: version n+1 is ``merge(version n or None, batch n)``.
 
-    A batch that is run again writes its own version again from the one before, so effects happen once.
+    A batch that is run again writes its own version again from the one before, so effects happen once. Each batch writes the
+    whole table; versions before the last two go when a new one is there.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{root}/v{number - 1}") if number else None
         merge(before, batch).write.mode("overwrite").parquet(f"{root}/v{number}")
+        files, old = file_system(spark, f"{root}/v{number - 2}")
+        if number > 1 and files.exists(old):
+            files.delete(old, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
