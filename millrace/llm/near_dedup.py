@@ -163,12 +163,12 @@ def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> Data
     return connected_components(links, "node", "root")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 1_000_000, first_shingles: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 1_000_000, first_shingles: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text", ids_repeat: bool = True) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of both together. A block that
     is verified in one task holds about ``first_shingles`` shingles at first, and where blocks of a large group
-    are compared about ``block_shingles``, or two such.
+    are compared about ``block_shingles``, or two such. ``ids_repeat=False`` says that no two rows share an identifier.
     """
     texts = slim(docs, id_col, text_col)
     every = written(sketches(texts, words, bands, rows_per_band), "sketches")
@@ -194,9 +194,9 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
     if not gathered.filter("many").isEmpty():
         whole = whole.union(_large_links(gathered.filter("many"), links.filter("many").select("node", "root"), verify, block_shingles))
     # an identifier with several sets links their classes, also where it stands for neither
-    ids = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("high", "low", "n_shingles")).alias("a"), F.max(F.struct("high", "low", "n_shingles")).alias("b")).filter("a <> b").select("doc_id")
-    ids = written(some.join(ids, "doc_id").select("doc_id", "high", "low", "n_shingles").distinct(), "repeated")
-    if not ids.isEmpty():
+    repeated = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("high", "low", "n_shingles")).alias("a"), F.max(F.struct("high", "low", "n_shingles")).alias("b")).filter("a <> b").select("doc_id")
+    if ids_repeat and not repeated.isEmpty():
+        ids = some.join(repeated, "doc_id").select("doc_id", "high", "low", "n_shingles").distinct()
         shared = written(ids.join(classes, ["high", "low", "n_shingles"]).select("doc_id", "rep"), "shared")
         least = shared.groupBy("doc_id").agg(F.min("rep").alias("root"))
         whole = connected_components(whole.union(shared.join(least, "doc_id").filter("rep <> root").select(F.col("rep").alias("node"), "root")), "node", "root").select(F.col("node"), F.col("root"))
@@ -210,6 +210,6 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
 def drop_near_copies(docs: DataFrame, **how: object) -> DataFrame:
     """One row of ``docs`` for each group of near copies, with all columns: that of the smallest identifier (null is the largest), and of several such rows the first as they were written. Rows without words stay."""
     each = numbered(docs)
-    found = near_groups(each, id_col=ROW, **how).select(F.col("doc_id").alias(ROW), "component_id")
+    found = near_groups(each, id_col=ROW, ids_repeat=False, **how).select(F.col("doc_id").alias(ROW), "component_id")
     first = found.join(each.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
     return each.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
