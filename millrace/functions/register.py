@@ -29,7 +29,7 @@ class CardsOf:
 class RunsOf:
     """A table function over a log: its runs of equal outcomes, in the order of the query.
 
-    ``SELECT * FROM mr_runs(TABLE(log) PARTITION BY host ORDER BY at, 'host')``. The table needs a column ``outcome`` and one ``at``; all columns
+    ``SELECT * FROM mr_runs(TABLE(log) PARTITION BY host ORDER BY (at), 'host')``. The table needs a column ``outcome`` and one ``at``; all columns
     it is to be told apart by are named in the second argument, ``'host'`` or ``'host,source'``, and are returned. Rows stream by; a
     partition's state is one run.
     """

@@ -16,8 +16,13 @@ def _raw_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "raw"))
 
 
+def _bare(raw: Column) -> Column:
+    """A line without white space at its ends."""
+    return F.regexp_replace(raw, r"^\s+|\s+$", "")
+
+
 def _kind(raw: Column) -> Column:
-    t = F.trim(raw)
+    t = _bare(raw)
     return (
         F.when(t.startswith("## "), "section")
         .when(t.rlike(r"^- lp\.\S+\s*::\s*\S"), "proof")
@@ -34,8 +39,8 @@ def cv_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     A section begins with ``## ``, a role with a line in bold, a skill with ``**label:**``; bullets begin with ``- `` and
     proofs of letters with ``- lp.name :: ``. Lines before the first section have none.
     """
-    lines = _raw_lines(df, key, text).filter(F.trim("raw") != "")
-    t = F.trim("raw")
+    lines = _raw_lines(df, key, text).filter(_bare(F.col("raw")) != "")
+    t = _bare(F.col("raw"))
     upto = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     found = lines.withColumns({"kind": _kind(F.col("raw")), "content": F.when(t.startswith("## "), F.substr(t, F.lit(4))).when(t.startswith("- "), F.substr(t, F.lit(3))).when(t.rlike(r"^\*\*.+\*\*$"), F.regexp_replace(t, r"^\*\*|\*\*$", "")).otherwise(t)})
     named = found.withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("content")), ignorenulls=True).over(upto))
@@ -93,7 +98,7 @@ def assembled(df: DataFrame, key: str, text: str, plan: DataFrame) -> DataFrame:
 
 def plan_problems(df: DataFrame, key: str, text: str, plan: DataFrame) -> DataFrame:
     """key, role_no, place and problem of a plan's rows that can't be carried out: no such bullet, several rows for one, a line break, or longer than what stands there."""
-    there = _slots(df, key, text).filter("place IS NOT NULL").select(key, "role_no", "place", F.length(F.substr(F.trim("raw"), F.lit(3))).alias("chars"))
+    there = _slots(df, key, text).filter("place IS NOT NULL").select(key, "role_no", "place", F.length(F.substr(_bare(F.col("raw")), F.lit(3))).alias("chars"))
     rows = plan.groupBy(key, "role_no", "place").agg(F.count("*").alias("n"), F.max(F.length("content")).alias("longest"), F.bool_or(F.contains("content", F.lit("\n"))).alias("broken"))
     found = rows.join(there, [key, "role_no", "place"], "left")
     problem = F.when(F.col("chars").isNull(), "no such bullet").when(F.col("n") > 1, "several rows").when(F.col("broken"), "line break").when(F.col("longest") > F.col("chars"), "too long")
