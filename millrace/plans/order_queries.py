@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geo
 from millrace.functions.timeutil import at, backoff, steps_wait
-from millrace.operators import lifecycle, messages, queueing, requests, resolve, trend
+from millrace.operators import lifecycle, messages, ordered, queueing, requests, resolve, trend
 from millrace.plans.tables import POSTINGS, postings, table
 from millrace.sources import store
 
@@ -165,8 +165,7 @@ def latest_order_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previous_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("company").orderBy("first_seen", "id")
-    return postings(spark, sf_dir).select("id", F.lag("id").over(w).alias("previous_id"))
+    return ordered.shifted(postings(spark, sf_dir).select("id", "company", "first_seen"), "company", ["first_seen", "id"], {"previous_id": F.col("id")}).select("id", "previous_id")
 
 
 def delivered_share(spark: SparkSession, sf_dir: str) -> DataFrame:

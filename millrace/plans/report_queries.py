@@ -248,7 +248,8 @@ def answers_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovered_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = request_log(spark, sf_dir).filter("outcome = 'refused'").select(F.col("host").cast("string").alias("key"), "at")
+    """Refusals by host and source; an issue that hasn't come up since a moment is over."""
+    log = request_log(spark, sf_dir).filter("outcome = 'refused'").select(F.concat_ws("/", F.col("host").cast("string"), "source").alias("key"), "at")
     sent = log.groupBy("key").agg(F.max("at").alias("sent_at"))
     return health.cleared(log.filter(F.col("at") >= at("2024-01-20 00:00:00")), sent)
 
@@ -487,6 +488,6 @@ ORACLES = {
         WITH n AS (SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS n, count(*) OVER (PARTITION BY role) AS a FROM conversations)
         SELECT role, conv_id, turn, n // 8 AS batch, n % 8 AS place, CASE WHEN n % 8 < 7 THEN n // 8 * 100 + n % 8 END AS answer FROM n WHERE (n // 8 + 1) * 8 <= a""",
     "recovered_alerts": f"""
-        WITH {REQUEST_LOG}, s AS (SELECT host, max(seen_at) AS sent_at FROM log WHERE outcome = 'refused' GROUP BY 1)
-        SELECT CAST(host AS VARCHAR) AS key, sent_at, 'recovered' AS note FROM s WHERE sent_at < TIMESTAMP '2024-01-20 00:00:00'""",
+        WITH {REQUEST_LOG}, s AS (SELECT concat_ws('/', host, source) AS key, max(seen_at) AS sent_at FROM log WHERE outcome = 'refused' GROUP BY 1)
+        SELECT key, sent_at, 'recovered' AS note FROM s WHERE sent_at < TIMESTAMP '2024-01-20 00:00:00'""",
 }

@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 
 
-def shared_table(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Write ``df`` once in the folder executors share (``spark.checkpoint.dir``; on a single machine our own where it is unset) and read it back."""
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A new place in the folder executors share (``spark.checkpoint.dir``; on a single machine our own where it is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
-    path = f"{base.rstrip('/')}/millrace-table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Write ``df`` once in the folder executors share and read it back."""
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
