@@ -12,7 +12,8 @@ words, which are one word; the end of a text is a class of its own.
 
 Defined cases: a null or empty text is its end token only; a null identifier falls in the fold of the empty
 text; without training texts every word has probability 1 in its class; rows that repeat count and score
-each; further columns are ignored.
+each; further columns are ignored. A text of any length is tokenized whole in its task, and its tokens take some hundred
+bytes each there; words of more than 256 bytes are counted and scored like others, but take no part in exchange.
 """
 
 from __future__ import annotations

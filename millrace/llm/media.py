@@ -8,7 +8,8 @@ members whose offset lies in its range and streams their bytes as Arrow batches.
 read is tried again alone, from its own offset.
 
 Defined cases: a null text is the empty text, whose payload is 64 zero bytes; a null identifier stays
-null; repeated rows give repeated members; an empty table gives no rows.
+null; repeated rows give repeated members; further columns are ignored; an empty table gives no rows. A text has to fit
+in its task's memory; one of 4 GiB or more, which a WAV file's sizes can't tell, ends the job with an error.
 """
 
 from __future__ import annotations

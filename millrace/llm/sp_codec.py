@@ -10,7 +10,7 @@ library's ``decode`` as a whole. Texts are processed whole.
 
 Defined cases: a null or empty text has the end identifier only and decodes to the empty text; spaces and
 literal ``▁`` are one symbol, as in the library; a null identifier stays null; repeated rows give repeated
-rows; further columns are ignored.
+rows; further columns are ignored. A text of any length is encoded and decoded whole in its task, its identifiers in memory.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ of each label and ``most_bytes`` of their texts, weighted to stand for all); sco
 A sentence is what lies between two of ``.!?`` and line breaks and isn't blank. Defined cases: a null, empty or
 blank text has no sentence and scores 0; with no toxic or no other example all scores are 0; a null identifier
 falls in the fold of the empty text; labels that repeat for a document count as their largest, and any label over
-0 is toxic; rows that repeat give repeated rows; further columns are ignored; an empty table gives no rows.
+0 is toxic; rows that repeat give repeated rows; further columns are ignored; an empty table gives no rows. A text of any
+length is scored whole, sentence by sentence; one that exceeds a sixteenth of ``most_bytes`` isn't learned from.
 """
 
 from __future__ import annotations
