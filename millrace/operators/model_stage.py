@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import running
+
 Provider = Callable[[DataFrame], DataFrame]
 
 
@@ -22,20 +24,35 @@ def error_kind(error: Column, message: Column, quota: str = "quota|per day|daily
     )
 
 
-def with_failover(rows: DataFrame, keys: list[str], providers: dict[str, Provider]) -> DataFrame:
+def with_failover(rows: DataFrame, keys: list[str], providers: dict[str, Provider], most: dict[str, Column | int] | None = None, order: list[str] | None = None, per: list[str] | None = None) -> DataFrame:
     """Answers of the first provider that has one for a row; the next gets only the rows still without. Adds ``provider``.
 
     A provider takes rows and returns keys and its columns; all providers return the same columns. Rows that
-    no provider answers are left out, so that they stay due.
+    no provider answers are left out, so that they stay due. A provider named in ``most`` is asked for that many rows of
+    each ``per`` (a day) at most, what its share of a budget has left, the first by ``order`` (which leaves no ties); the others go on to the
+    next provider. Places are counted over ranges of the order, not in one task for each ``per``.
     """
-    out, left = None, rows
+    out, left, most = None, rows, most or {}
     for name, ask in providers.items():
-        answers = ask(left).withColumn("provider", F.lit(name))
+        due = left
+        if name in most:
+            groups = per or []
+            placed = running(left if groups else left.withColumn("_all", F.lit(0)), groups or ["_all"], order or keys, {"_place": F.lit(1)})
+            due = placed.filter(F.col("_place") <= most[name]).select(*rows.columns)
+        answers = ask(due).withColumn("provider", F.lit(name))
         out = answers if out is None else out.unionByName(answers)
         left = left.join(answers.select(*keys), keys, "left_anti")
     return rows.join(out, keys)
 
 
+def stage_state(rows: DataFrame, answered: DataFrame, keys: list[str], batch: list[str], per: list[str], most_failed: float = 0.2) -> DataFrame:
+    """Per run (``per``): batches, those of which no row was answered, and whether these are at least ``most_failed`` of all, so that the run counts as degraded."""
+    told = rows.join(answered.select(*keys, F.lit(True).alias("_told")), keys, "left")
+    each = told.groupBy(*per, *batch).agg(F.count("_told").alias("_n"))
+    found = each.groupBy(*per).agg(F.count("*").alias("batches"), F.count_if(F.col("_n") == 0).alias("failed_batches"))
+    return found.withColumn("degraded", F.col("failed_batches") / F.col("batches") >= most_failed)
+
+
 def call_rows(answered: DataFrame, batch_keys: list[str], stage: str, tokens: Column) -> DataFrame:
     """One accounting row per batch and provider: rows and tokens."""
     return answered.groupBy(*batch_keys, "provider").agg(F.count("*").alias("rows"), F.sum(tokens).alias("tokens")).withColumn("stage", F.lit(stage))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import languages, register, stats, text, timeutil
 from millrace.functions.timeutil import at
-from millrace.operators import calls, cv, delivery, queueing, trend
+from millrace.operators import calls, cv, delivery, model_stage, queueing, trend
 from millrace.operators.queueing import TitleClass
 from millrace.plans.delivery_queries import JOBS, jobs
 from millrace.plans.order_queries import TIERED, tiered
@@ -28,6 +28,23 @@ def degraded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.degraded_runs(log, ["day"], ["stage", "host"], F.col("outcome") == "ok", 0.25)
 
 
+def _shared_failover(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of a year as due rows: the first provider takes 4/10 of 500 of a year, the second what it can of the others."""
+    own = jobs(spark, sf_dir).filter("tier IS NOT NULL").select("id", "tier", "score", F.year("first_seen").alias("year"), F.col("first_seen"))
+    ask = lambda keep: lambda rows: rows.filter(keep).select("id", F.col("score").alias("answer"))
+    told = model_stage.with_failover(own, ["id"], {"first": ask("score <= 7"), "second": ask("tier <> 3"), "third": ask("score = 9")}, {"first": 500 * 4 // 10, "third": 20}, ["first_seen", "id"], ["year"])
+    return own, told
+
+
+def shared_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared_failover(spark, sf_dir)[1].groupBy("year", "provider").agg(F.count("*").alias("n"), F.sum("answer").alias("points"), F.max("first_seen").alias("last"))
+
+
+def degraded_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, told = _shared_failover(spark, sf_dir)
+    return model_stage.stage_state(own.withColumn("batch", F.floor(F.col("id") / 4)), told, ["id"], ["batch"], ["year"], 0.05)
+
+
 def rejected_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each tier's audit file, by postings whose verdict is a rejection."""
     j = jobs(spark, sf_dir).filter("tier IS NOT NULL")
@@ -176,7 +193,7 @@ def tier_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        running_gates, degraded_runs, rejected_audit, message_progress, cv_assembly, cv_plan_problems, language_profiles, profile_languages, title_ranks, trend_lines, comparison_lines, outcome_runs, refusal_bounds, sql_keys,
+        running_gates, degraded_runs, shared_failover, degraded_stages, rejected_audit, message_progress, cv_assembly, cv_plan_problems, language_profiles, profile_languages, title_ranks, trend_lines, comparison_lines, outcome_runs, refusal_bounds, sql_keys,
         package_manifests, retry_after_headers, turn_caps, ignored_rows, patched_properties, tier_clocks,
     )
 }
@@ -196,7 +213,18 @@ _DAYS = """
 _TWO = lambda c: f"CAST(CAST({c} AS DECIMAL(20, 2)) AS VARCHAR)"
 _PART = lambda m: f"'{m} ' || coalesce({_TWO(m)}, '?') || ' (' || coalesce(CASE WHEN {m} - lag({m}) OVER w >= 0 THEN '+' ELSE '' END || {_TWO(f'{m} - lag({m}) OVER w')}, '?') || ')'"
 
+_FAILOVER = """
+        j AS (SELECT id, tier, score, year(first_seen) AS year, first_seen FROM jobs WHERE tier IS NOT NULL),
+        p1 AS (SELECT id, 'first' AS provider FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY first_seen, id) AS k FROM j) WHERE k <= 200 AND score <= 7),
+        p2 AS (SELECT id, 'second' AS provider FROM j WHERE tier <> 3 AND id NOT IN (SELECT id FROM p1)),
+        p3 AS (SELECT id, 'third' AS provider FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY first_seen, id) AS k FROM j WHERE id NOT IN (SELECT id FROM p1) AND id NOT IN (SELECT id FROM p2)) WHERE k <= 20 AND score = 9),
+        told AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
+
 ORACLES = {
+    "shared_failover": f"WITH {JOBS}, {_FAILOVER} SELECT year, provider, count(*) AS n, CAST(sum(score) AS BIGINT) AS points, max(first_seen) AS last FROM j JOIN told USING (id) GROUP BY 1, 2",
+    "degraded_stages": f"""
+        WITH {JOBS}, {_FAILOVER}, b AS (SELECT year, id // 4 AS batch, count(provider) AS n FROM j LEFT JOIN told USING (id) GROUP BY 1, 2)
+        SELECT year, count(*) AS batches, count(*) FILTER (WHERE n = 0) AS failed_batches, CAST(count(*) FILTER (WHERE n = 0) AS DOUBLE) / count(*) >= 0.05 AS degraded FROM b GROUP BY 1""",
     "running_gates": f"""
         WITH {CALL_LOG}, d AS (SELECT *, CAST(seen_at AS DATE) AS day FROM calls),
         b AS (SELECT event_id, stage, tokens, count(*) OVER u - 1 AS requests_before, count(*) FILTER (WHERE stage = 'click') OVER u - CASE WHEN stage = 'click' THEN 1 ELSE 0 END AS stage_before,

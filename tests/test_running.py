@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import languages, text
 from millrace.functions.register import register_all
-from millrace.operators import calls, cv, delivery, queueing, trend
+from millrace.operators import calls, cv, delivery, model_stage, queueing, trend
 from millrace.operators.queueing import TitleClass
 from millrace.sources import pages, text_files
 
@@ -38,6 +38,17 @@ def test_degraded_runs(spark):
     assert sorted(map(tuple, got)) == [("r1", 5, 1, True), ("r2", 1, 0, False)]
 
 
+def test_a_provider_s_share_of_a_day(spark):
+    rows = spark.createDataFrame([(k, k % 2, k) for k in range(40)], "id long, day int, at int").repartition(4)
+    ask = lambda keep: lambda df: df.filter(keep).select("id", F.lit("x").alias("answer"))
+    told = model_stage.with_failover(rows, ["id"], {"a": ask("id < 30"), "b": ask("id % 4 <> 3")}, {"a": 5}, ["at", "id"], ["day"])
+    assert {r.id: r.provider for r in told.collect()} == {k: "a" if k < 10 else "b" for k in range(40) if k < 10 or k % 4 != 3}
+    state = model_stage.stage_state(rows.withColumn("batch", F.col("id")), told, ["id"], ["batch"], ["day"], 0.3).collect()
+    assert sorted(map(tuple, state)) == [(0, 20, 0, False), (1, 20, 8, True)]
+    nobody = model_stage.with_failover(rows, ["id"], {"a": ask("true")}, {"a": 3}, ["at"])
+    assert {r.id for r in nobody.collect()} == {0, 1, 2}
+
+
 def test_rejected_audit_as_files(spark, tmp_path):
     rows = [(3, 1, "Baker", "Mill", "Turin", "https://a", "no remote"), (1, 1, "Cook", "Inn", None, None, None)]
     df = spark.createDataFrame(rows, "id long, tier int, title string, company string, location string, url string, reason string")
