@@ -449,3 +449,42 @@ def test_language_cases(spark):
     assert all(r.lang_pred == ("en" if i % 2 else "de") for i, r in got.items() if i is not None and i < 80)
     assert {r.lang_pred for r in langid.identify(df, langid.fit(df.withColumn("lang", F.lit(None).cast("string")))).collect()} == {"und"}
     assert langid.identify(df.limit(0), langid.fit(df.limit(0))).count() == 0
+
+
+def test_fitted_weights_are_where_the_loss_is_flat(spark):
+    """The loss by plain sums over sentences, and its slope by differences, at the fitted weights and at their start."""
+    random.seed(21)
+    mild, bad = "bread flour oven water salt dough crust".split(), "vermin scum filth".split()
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 3 == 0
+        said = [" ".join(random.choices(mild, k=6)) + (" " + random.choice(bad) if toxic and k == 1 or random.random() < 0.02 else "") for k in range(4)]
+        rows.append((i, ". ".join(said)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    pull = 0.01
+    how = {"features": 12, "least_documents": 2.0, "lift": 1.0}
+    model = toxicity.fit(docs, marks, steps=1500, pull=pull, **how)
+    sample = toxicity.training_rows(docs, marks, 10_000, 128 << 20)
+    totals = {r["toxic"]: r["w"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
+    prior = toxicity.chosen_features(sample, (totals[0], totals[1]), *how.values())
+    names = list(prior)
+    assert set(model.weights) == set(names) and len(names) == 12
+    bags = [(r.toxic, r.weight, [[f for w in s.split() for f in toxicity.word_features(w) if f in prior] for s in toxicity._SPLIT.split(bytes(r.text).decode().lower())]) for r in sample.collect()]
+    whole = sum(w for _, w, _ in bags)
+    start = {f: x / (1 + len(toxicity.PREFIXES)) for f, x in prior.items()}
+
+    def loss(theta, bias):
+        total = pull / 2 * sum((theta[f] - start[f]) ** 2 for f in names)
+        for toxic, weight, sentences in bags:
+            s = sum(math.log1p(math.exp(bias + sum(theta[f] for f in b))) for b in sentences if b)
+            total += weight / whole * (-math.log(-math.expm1(-max(s, 1e-9))) if toxic else s)
+        return total
+
+    def slopes(theta, bias, h=1e-4):
+        found = [(loss({**theta, f: theta[f] + h}, bias) - loss({**theta, f: theta[f] - h}, bias)) / (2 * h) for f in names]
+        return np.array([*found, (loss(theta, bias + h) - loss(theta, bias - h)) / (2 * h)])
+
+    at_start, at_end = slopes(start, -6.0), slopes(dict(model.weights), model.bias)
+    assert np.abs(at_end).max() < 0.01 * np.abs(at_start).max()
+    assert loss(dict(model.weights), model.bias) < loss(start, -6.0)
