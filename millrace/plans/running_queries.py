@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import languages, register, stats, text, timeutil
+from millrace.functions import geo, languages, register, stats, text, timeutil
 from millrace.functions.timeutil import at
-from millrace.operators import calls, cv, delivery, model_stage, queueing, trend
+from millrace.operators import calls, cv, delivery, lifecycle, model_stage, queueing, rules, trend
 from millrace.operators.queueing import TitleClass
 from millrace.plans.delivery_queries import JOBS, jobs
 from millrace.plans.order_queries import TIERED, tiered
@@ -190,10 +190,35 @@ def tier_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.turn_clocks(state, t.filter(F.col("first_seen") >= at("1995-01-01 00:00:00")).select("tier", F.col("first_seen").alias("at")))
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, sf_dir, "customer").join(F.broadcast(n), "c_nationkey", "left")  # 25 nations
+
+
+def cheap_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as postings in their nation: the market is the title, those with a balance are described, those with a large one were seen before."""
+    c = _customers(spark, sf_dir)
+    i, url = F.col("c_custkey"), F.concat(F.lit("https://x.org/"), F.col("c_custkey").cast("string"))
+    language = F.when(i % 3 == 0, "en").when(i % 3 == 1, "de")
+    ready = c.select(i.alias("id"), url.alias("url"), F.concat("c_mktsegment", F.lit(" Baker")).alias("title"), F.concat(F.lit("Plant, "), F.initcap("n_name")).alias("location"), (i % 4 + 1).cast("int").alias("tier_hint"), language.alias("language"), (F.col("c_acctbal") > 0).alias("described"))
+    seen = c.filter("c_acctbal > 9000").select(F.md5(F.concat(F.lit("https://x.org/"), F.col("c_custkey").cast("string"))).alias("link_hash"))
+    return lifecycle.cheap_checks(ready, seen, ["Household", "automobile"], ["en", "es", "it"]).select("id", "stage", "stage_reason", "tier")
+
+
+def advice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line shown for a customer's nation as the place that a reason names."""
+    c = _customers(spark, sf_dir)
+    i = F.col("c_custkey")
+    verdict = F.when(i % 4 == 0, "confirmed").when(i % 4 == 1, "unconfirmed").otherwise("advised")
+    advice = F.when(i % 7 == 0, F.concat(F.lit("  ask "), "c_mktsegment", F.lit(" "))).when(i % 7 == 1, "  ")
+    named = geo.countries_in(F.concat(F.lit("The team is based in "), F.initcap("n_name"), F.lit(".")))
+    return c.select("c_custkey", rules.advice_line(verdict, advice, named).alias("advice"), rules.section_label(verdict).alias("section"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        running_gates, degraded_runs, shared_failover, degraded_stages, rejected_audit, message_progress, cv_assembly, cv_plan_problems, language_profiles, profile_languages, title_ranks, trend_lines, comparison_lines, outcome_runs, refusal_bounds, sql_keys,
+        cheap_decisions, advice_lines, running_gates, degraded_runs, shared_failover, degraded_stages, rejected_audit, message_progress, cv_assembly, cv_plan_problems, language_profiles, profile_languages, title_ranks, trend_lines, comparison_lines, outcome_runs, refusal_bounds, sql_keys,
         package_manifests, retry_after_headers, turn_caps, ignored_rows, patched_properties, tier_clocks,
     )
 }
@@ -221,6 +246,17 @@ _FAILOVER = """
         told AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
 
 ORACLES = {
+    "cheap_decisions": """
+        WITH c AS (SELECT c_custkey AS id, c_acctbal, c_mktsegment AS m, CASE WHEN n_name IN ('FRANCE', 'GERMANY', 'ROMANIA') THEN 3 WHEN n_name = 'UNITED KINGDOM' THEN 4 WHEN n_name IN ('UNITED STATES', 'CANADA', 'INDIA', 'RUSSIA') THEN NULL ELSE c_custkey % 4 + 1 END AS tier
+                   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+        r AS (SELECT *, CASE WHEN c_acctbal > 9000 THEN 'seen_before_cutover' WHEN tier IS NULL THEN 'out_of_scope' WHEN m = 'HOUSEHOLD' THEN 'title_prefilter:Household' WHEN m = 'AUTOMOBILE' THEN 'title_prefilter:automobile'
+                             WHEN c_acctbal > 0 AND id % 3 = 1 THEN 'language:de' ELSE '' END AS reason FROM c)
+        SELECT id, CASE WHEN reason <> '' THEN 'filtered_out' WHEN c_acctbal > 0 THEN 'described' ELSE 'seen' END AS stage, reason AS stage_reason, CAST(tier AS INTEGER) AS tier FROM r""",
+    "advice_lines": """
+        WITH c AS (SELECT c_custkey, c_mktsegment AS m, CASE WHEN n_name = 'UNITED KINGDOM' THEN 'the UK' WHEN n_name = 'UNITED STATES' THEN 'the US'
+                              WHEN n_name IN ('FRANCE', 'GERMANY', 'ROMANIA', 'CANADA', 'INDIA', 'BRAZIL', 'JAPAN', 'CHINA') THEN upper(n_name[1]) || lower(n_name[2:]) END AS place FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)
+        SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN '' WHEN c_custkey % 7 = 0 THEN 'ask ' || m WHEN place IS NOT NULL THEN 'remote, limited to ' || place || ' - check eligibility' ELSE 'remote, eligibility to check' END AS advice,
+               CASE c_custkey % 4 WHEN 0 THEN 'Confirmed full-remote' WHEN 1 THEN 'Work mode not stated' ELSE 'Remote, eligibility to check' END AS section FROM c""",
     "shared_failover": f"WITH {JOBS}, {_FAILOVER} SELECT year, provider, count(*) AS n, CAST(sum(score) AS BIGINT) AS points, max(first_seen) AS last FROM j JOIN told USING (id) GROUP BY 1, 2",
     "degraded_stages": f"""
         WITH {JOBS}, {_FAILOVER}, b AS (SELECT year, id // 4 AS batch, count(provider) AS n FROM j LEFT JOIN told USING (id) GROUP BY 1, 2)
