@@ -123,7 +123,7 @@ ORACLES = {
             FROM documents
         ), leaf AS (
             SELECT doc_id, lang, sha256(before || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || after) AS leaf,
-                   CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(before || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || after) END AS tampered
+                   CASE WHEN coalesce(xor(crc, 4294967295), 0) % 7 = 0 THEN sha256(before || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || after) END AS tampered
             FROM fields
         ), placed AS (
             SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
