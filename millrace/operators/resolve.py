@@ -33,7 +33,7 @@ def twin_candidates(entities: DataFrame, sightings: DataFrame, keys: list[str],
     """(id, twin) in both directions: equal non-empty keys, first seen within ``days``, no source in common.
 
     entities: id, keys and ``seen``; sightings: id, source. The join is on the keys and on the block of
-    ``days`` that a time falls in or next to, so one frequent key spreads over its blocks. With ``of`` (id) only
+    ``days`` that a time falls in or next to, so one frequent key spreads over its blocks; :func:`crowded_keys` says beforehand where that is not enough. With ``of`` (id) only
     the twins of these are looked for.
     """
     width = days * 86_400
@@ -46,6 +46,18 @@ def twin_candidates(entities: DataFrame, sightings: DataFrame, keys: list[str],
     return with_sources.filter(~F.coalesce(F.arrays_overlap("sources", "others"), F.lit(False))).select("id", "twin")
 
 
+def crowded_keys(entities: DataFrame, keys: list[str], most: int, seen: str = "first_seen", days: int = 30) -> DataFrame:
+    """keys, block, entities and pairs of the blocks for which :func:`twin_candidates` may have to look at more than ``most`` pairs, from counts alone.
+
+    To be asked before all pairs are listed: where a key is crowded, what is unique is told by :func:`possibly_unique`, and
+    what merges by :func:`resolve`, neither of which lists a crowd's pairs.
+    """
+    own = _keyed(entities, keys, seen, days * 86_400).groupBy(*keys, "block").agg(F.count("*").alias("entities"))
+    around = _beside(own).groupBy(*keys, "block").agg(F.sum("entities").alias("around"))
+    found = own.join(around, [*keys, "block"]).withColumn("pairs", F.col("entities") * (F.col("around") - 1))
+    return found.filter(F.col("pairs") > most).select(*keys, "block", "entities", "pairs")
+
+
 def possibly_unique(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
     """The entities (id) that may have exactly one twin, told from counts alone.
 

@@ -87,6 +87,10 @@ def twin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.twin_candidates(postings(spark, sf_dir), _sightings(spark, sf_dir), ["company", "class"])
 
 
+def crowded_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.crowded_keys(postings(spark, sf_dir), ["company"], 3)
+
+
 def unique_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.unique_twins(resolve.twins_of_unique(postings(spark, sf_dir), _sightings(spark, sf_dir), ["company", "class"]))
 
@@ -192,7 +196,7 @@ def queue_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stage_census, expiry_cascade, age_out_dry_run, value_pick_topk, head_tier, floor_pick, quota_schedule, tier_assignment, scope_filter, twin_candidates, unique_twins, merge_survivors, resolved_entities,
+        stage_census, expiry_cascade, age_out_dry_run, value_pick_topk, head_tier, floor_pick, quota_schedule, tier_assignment, scope_filter, twin_candidates, crowded_companies, unique_twins, merge_survivors, resolved_entities,
         sighting_rollup, also_seen_on, provenance, refreshed_sightings, replaced_rows, archive_projection, catalog_sync, daily_metrics, retry_schedule, digest_top_sections, latest_order_per_company,
         previous_order, delivered_share, queue_simulation,
     )
@@ -234,6 +238,10 @@ ORACLES = {
     "scope_filter": """
         SELECT 'Plant, ' || array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS location, count(*) AS n
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name IS NULL OR n_name NOT IN ('ROMANIA', 'UNITED KINGDOM', 'UNITED STATES', 'CANADA', 'INDIA', 'RUSSIA') GROUP BY 1""",
+    "crowded_companies": f"""
+        WITH {POSTINGS}, b AS (SELECT company, CAST(floor(epoch(first_seen) / 2592000) AS BIGINT) AS block, count(*) AS entities FROM postings GROUP BY 1, 2),
+        n AS (SELECT x.company, x.block, x.entities, CAST(x.entities * (sum(y.entities) - 1) AS BIGINT) AS pairs FROM b x JOIN b y ON y.company = x.company AND y.block BETWEEN x.block - 1 AND x.block + 1 GROUP BY 1, 2, 3)
+        SELECT * FROM n WHERE pairs > 3""",
     "twin_candidates": f"WITH {_TWINS} SELECT id, twin FROM pairs",
     "unique_twins": f"WITH {_TWINS} SELECT id, twin FROM uniq",
     "merge_survivors": f"""

@@ -324,3 +324,13 @@ def test_line_diff_sees_every_line(spark):
     left = spark.createDataFrame([("same start\nb",), ("x\nx",), (None,)], "text string")
     right = spark.createDataFrame([("same start\nc",), ("x",)], "text string")
     assert {tuple(r) for r in messages.line_diff(left, right).collect()} == {("b", "left", 1), ("c", "right", 1), ("x", "left", 1), ("", "left", 1)}
+
+
+def test_crowded_keys_are_told_from_counts(spark):
+    rows = [(k, "h" if k < 40 else "", NOW + dt.timedelta(days=k % 4)) for k in range(50)] + [(100, "a", NOW), (101, "a", NOW + dt.timedelta(days=29)), (102, None, NOW)]
+    entities = spark.createDataFrame(rows, "id long, company string, first_seen timestamp_ntz")
+    none = spark.createDataFrame([], "id long, source string")
+    pairs = resolve.twin_candidates(entities, none, ["company"]).count()
+    found = resolve.crowded_keys(entities, ["company"], 100).collect()
+    assert {r.company for r in found} == {"h"} and sum(r.pairs for r in found) + 2 >= pairs >= 40 * 39
+    assert not resolve.crowded_keys(entities, ["company"], 10_000).collect()
