@@ -4,8 +4,14 @@ Documents with one set of shingles become a class first, whatever its size. The
 into bands; classes that share a band are joined by star edges to the smallest, never by all pairs, and
 the star edges' components hold every pair that banding proposes. The texts of a component then meet in
 bounded blocks, where links are found on the words of the full sets by a search that compares a document
-only with those that nothing has reached yet. A component of one block is settled by that. In a larger one
-the blocks' own components meet by their smallest members next; what is linked by then is dealt into blocks
+only with those that nothing has reached yet. A component of one block is settled by that.
+
+A larger one is parted first, as texts that have a passage in common are candidates in chains without being
+alike. Shingles are put in an order in which those that are frequent among the group come last. Two linked sets
+share one of their first shingles at least, of which each has as many as it may have besides those that it
+must share; so texts are parted by the components of star edges over their first shingles, which a common
+passage doesn't reach, and no link is lost whatever the order. In a part that still fills more than a block the
+blocks' own components meet by their smallest members next; what is linked by then is dealt into blocks
 of its own, and two blocks are only compared where they hold texts that aren't linked yet. So a large group
 of near copies costs one pass over its texts, not one for each pair of blocks.
 
@@ -34,7 +40,12 @@ from millrace.llm.components import connected_components
 from millrace.llm.shingles import Digests, band_keys, exact_sets, shingle_hashes, sketch
 
 SKETCHES = "doc_id long, n_shingles long, high long, low long, bands array<long>"
-LINKS = "node long, root long, many boolean"
+LINKS = "node long, root long"
+FIRSTS = "key long, rep long, root long"
+#: First blocks of which a block of a large group's texts is made, and the part of one such block whose shingles are counted.
+WIDE, COUNTED = 16, 4
+#: Parts that the texts with one first shingle are dealt into, so that a shingle of very many texts meets none of its tasks alone.
+PARTS = 64
 
 
 def sketches(df: DataFrame, words: int, bands: int, rows_per_band: int) -> DataFrame:
@@ -106,7 +117,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _verified(words: int, percent: int):
-    """A function of the rows (rep, label, many, text) that meet in one task: links between them, where the labels differ."""
+    """A function of the rows (rep, label, text) that meet in one task: links between them, where the labels differ."""
 
     def verify(table: pa.Table) -> pa.Table:
         # of one identifier with several texts each counts
@@ -121,7 +132,7 @@ def _verified(words: int, percent: int):
             at, of = ids[order][held], labels[order][held]
             new = (of != of[root]) & (at != at[root])
             out = np.stack([at, at[root]], axis=1)[new]
-        return pa.table({"node": pa.array(out[:, 0], pa.int64()), "root": pa.array(out[:, 1], pa.int64()), "many": pa.array(np.full(len(out), table.column("many")[0].as_py()), pa.bool_())})
+        return pa.table({"node": pa.array(out[:, 0], pa.int64()), "root": pa.array(out[:, 1], pa.int64())})
 
     return verify
 
@@ -130,6 +141,87 @@ def _dealt(df: DataFrame, key: str | Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(key), parts).cast("int")
 
 
+def first_shingles_of(shingles: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least shingles of a set, by their count and then by value, one of which any set linked with it has among its own least.
+
+    ``shingles`` and ``frequent`` ascend; a shingle that isn't ``frequent`` counts 0. A linked set shares at least
+    ``percent`` of these shingles, so all but one of as many may be left out.
+    """
+    n = len(shingles)
+    at = np.minimum(np.searchsorted(frequent, shingles), max(len(frequent) - 1, 0))
+    count = np.where(frequent[at] == shingles, counts[at], 0) if len(frequent) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, count))[: n - -(-percent * n // 100) + 1]]
+
+
+def _frequent(words: int):
+    """A function of some texts of a group: the shingles that several of them have, with the number of those texts."""
+
+    def count(table: pa.Table) -> pa.Table:
+        sets = [x for x, _ in shingle_hashes(table.column("text").to_pylist(), words)]
+        shingles, many = np.unique(np.concatenate(sets), return_counts=True)
+        held = many > 1
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (shingles[held].view(np.int64), many[held])]
+        return pa.table({"group": table.column("group").slice(0, 1), "k": table.column("k").slice(0, 1), "frequent": lists[0], "counts": lists[1]})
+
+    return count
+
+
+def _firsts(words: int, percent: int, first_shingles: int):
+    """A function of a block of a large group and its frequent shingles: links within first blocks (``key`` null), and (key, rep) of the first shingles.
+
+    Texts that are linked in the block stand by one of them, so that copies bring a shingle once.
+    """
+
+    def run(block: pa.Table, lists: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.table({k: pa.array([], pa.int64()) for k in ("key", "rep", "root")})
+        frequent, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if lists.num_rows:
+            frequent, counts = (lists.column(x).combine_chunks().flatten().to_numpy() for x in ("frequent", "counts"))
+            frequent = frequent.view(np.uint64)
+            order = np.argsort(frequent)
+            frequent, counts = frequent[order], counts[order]
+        ids, sizes = (np.asarray(block.column(x)) for x in ("rep", "n"))
+        order = np.argsort(ids, kind="stable")
+        texts = block.column("text")
+        linked_pairs, of = [], ids.copy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes[order]) // first_shingles)) + 1, [len(order)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = order[a:b]
+            root = linked(exact_sets([texts[int(k)].as_py() for k in mine], words), percent)
+            of[mine] = ids[mine][root]
+            new = of[mine] != ids[mine]
+            linked_pairs.append(np.stack([ids[mine][new], of[mine][new]], axis=1))
+        keys, reps = [], []
+        for k, (shingles, _) in enumerate(shingle_hashes(texts.to_pylist(), words)):
+            keys.append(first_shingles_of(shingles, percent, frequent, counts))
+            reps.append(np.full(len(keys[-1]), of[k]))
+        brought = np.unique(np.stack([np.concatenate(keys).view(np.int64), np.concatenate(reps)], axis=1), axis=0)
+        pairs = np.concatenate(linked_pairs)
+        key = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(brought[:, 0])])
+        root = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(brought), pa.int64())])
+        return pa.table({"key": key, "rep": np.concatenate([pairs[:, 0], brought[:, 1]]), "root": root})
+
+    return run
+
+
+def _parted(large: DataFrame, words: int, percent: int, first_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, part) of the texts in ``large`` (group, rep, n, k, text) that some other may be linked with, and the links (node, root) that were found on the way."""
+    place = F.pmod(F.xxhash64("rep"), F.col("k") * COUNTED)
+    lists = written(large.filter(place == 0).groupBy("group").applyInArrow(_frequent(words), "group long, k long, frequent array<long>, counts array<long>"), "frequent")
+    blocks = lists.select("group", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("i"), "frequent", "counts")
+    dealt = large.select("group", _dealt(large, "rep", F.col("k")).alias("i"), "rep", "n", "text")
+    found = dealt.groupBy("group", "i").cogroup(blocks.groupBy("group", "i")).applyInArrow(_firsts(words, percent, first_shingles), FIRSTS)
+    found = written(found, "firsts")
+    links = found.filter("key is null").select(F.col("rep").alias("node"), "root")
+    keyed = found.filter("key is not null").select("key", "rep", _dealt(found, "rep", F.lit(PARTS)).alias("part"))
+    each = keyed.groupBy("key", "part").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"))
+    leads = each.groupBy("key").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.collect_list("part").alias("parts")).filter("lead < last")  # PARTS at most
+    stars = keyed.join(leads.select("key", F.explode("parts").alias("part"), "lead"), ["key", "part"]).filter("rep <> lead").select("rep", "lead").distinct()
+    parts = connected_components(stars.union(links), "rep", "lead")
+    return written(parts.select(F.col("node").alias("rep"), F.col("root").alias("part")).union(parts.select("root", "root").distinct()), "parts"), links
+
+
 def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> DataFrame:
     """(node, root) of the groups that fill several blocks: ``large`` has group, rep, n and text, ``first`` the links within first blocks."""
     links = first
@@ -157,8 +249,8 @@ def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> Data
             others = F.when(F.col("k").isNull(), upto(F.lit(0).cast("long"), last)).otherwise(F.concat(upto(F.lit(0).cast("long"), F.col("from") - 1), upto(F.col("from") + F.col("k"), last)))
             met = placed.select("rep", "group", "label", mine.cast("long").alias("mine"), F.explode(others).alias("other"))
             units = met.select("rep", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "label")
-        gathered = units.join(large.select("rep", "text", F.lit(True).alias("many")), "rep")
-        more = gathered.groupBy("group", "i", "j").applyInArrow(verify, LINKS).select("node", "root")
+        gathered = units.join(large.select("rep", "text"), "rep")
+        more = gathered.groupBy("group", "i", "j").applyInArrow(verify, LINKS)
         links = written(links.union(more), "links")
     return connected_components(links, "node", "root")
 
@@ -167,8 +259,8 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
     """Per row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of both together. A block that
-    is verified in one task holds about ``first_shingles`` shingles at first, and where blocks of a large group
-    are compared about ``block_shingles``, or two such. ``ids_repeat=False`` says that no two rows share an identifier.
+    is verified in one task holds about ``first_shingles`` shingles at first, in large groups 16 such, and where blocks of
+    a part of them are compared about ``block_shingles``, or two such. ``ids_repeat=False`` says that no two rows share an identifier.
     """
     texts = slim(docs, id_col, text_col)
     every = written(sketches(texts, words, bands, rows_per_band), "sketches")
@@ -183,16 +275,17 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
     members = proposed.select(F.col("root").alias("group"), F.col("node").alias("rep")).union(proposed.select("root", "root").distinct())
     members = written(members.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "members")
     totals = members.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
-    large = small(totals.filter((F.col("n") > first_shingles) & (F.col("c") > 1)).select("group", F.ceil(F.col("n") / first_shingles).alias("k")))
-    dealt = members.join(large, "group", "left").select("group", "rep", "n", F.col("k").isNotNull().alias("many"), _dealt(members, "rep", F.coalesce("k", F.lit(1))).alias("i"))
+    large = small(totals.filter((F.col("n") > first_shingles) & (F.col("c") > 1)).select("group", F.ceil(F.col("n") / (WIDE * first_shingles)).alias("k")))
+    dealt = members.join(large, "group", "left").select("group", "rep", "n", "k")
     # a merge join at every size: the texts always outgrow what may be broadcast, and so does the other side
-    gathered = written(dealt.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "n", "many", "i", "text").distinct(), "gathered")
+    gathered = written(dealt.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "n", "k", "text").distinct(), "gathered")
 
     verify = _verified(words, percent)
-    links = written(gathered.select("group", "i", "rep", F.col("rep").alias("label"), "many", "text").groupBy("group", "i").applyInArrow(verify, LINKS), "links")
-    whole = links.filter("not many").select("node", "root")
-    if not gathered.filter("many").isEmpty():
-        whole = whole.union(_large_links(gathered.filter("many"), links.filter("many").select("node", "root"), verify, block_shingles))
+    whole = written(gathered.filter("k is null").select("group", "rep", F.col("rep").alias("label"), "text").groupBy("group").applyInArrow(verify, LINKS), "links")
+    many = gathered.filter("k is not null")
+    if not many.isEmpty():
+        parts, links = _parted(many, words, percent, first_shingles)
+        whole = whole.union(_large_links(many.select("rep", "n", "text").join(small(parts), "rep").withColumnRenamed("part", "group"), links, verify, block_shingles))
     # an identifier with several sets links their classes, also where it stands for neither
     repeated = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("high", "low", "n_shingles")).alias("a"), F.max(F.struct("high", "low", "n_shingles")).alias("b")).filter("a <> b").select("doc_id")
     if ids_repeat and not repeated.isEmpty():

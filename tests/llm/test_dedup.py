@@ -244,3 +244,45 @@ def test_near_on_documents(spark):
     sets = brute_sets([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, percent=85).collect()}
     assert got == brute_components(sets, 85)
+
+
+def with_a_passage(n=160, seed=7):
+    """Texts of which two thirds are one passage, so that all are candidates of one another, and a few near copies among them."""
+    random.seed(seed)
+    passage = [f"p{k}" for k in range(100)]
+    rows, last = [], []
+    for k in range(n):
+        words = [*passage, *(f"o{k}-{j}" for j in range(50))] if k % 8 else last
+        if not k % 8 and words:
+            words = list(words)
+            words[-1] = f"x{k}"
+        last = words or [*passage, "first"]
+        rows.append((k * 37 % 1009, " ".join(last)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_common_passage_makes_no_block(spark, monkeypatch, percent):
+    rows = with_a_passage()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = []
+    plain = near_dedup._large_links
+    monkeypatch.setattr(near_dedup, "_large_links", lambda large, *a: (met.append(large.groupBy("group").count().collect()), plain(large, *a))[1])
+    got = near_dedup.near_groups(df, percent=percent, first_shingles=1_000, block_shingles=4_000).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(brute_sets(rows), percent)
+    # all texts were one group of candidates, of which only those with near copies meet again, by their own few
+    assert len(met) == 1 and met[0] and max(r["count"] for r in met[0]) <= 3 and sum(r["count"] for r in met[0]) < len(rows) // 3
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_linked_sets_share_a_first_shingle_in_any_order(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64)]))
+        frequent = np.sort(rng.permutation(np.union1d(a, b))[: rng.integers(0, 30)])
+        counts = rng.integers(2, 5, len(frequent))
+        common = len(np.intersect1d(a, b))
+        if common and 100 * common >= percent * (len(a) + len(b) - common):
+            first = [near_dedup.first_shingles_of(x, percent, frequent, counts) for x in (a, b)]
+            assert len(np.intersect1d(*first))
