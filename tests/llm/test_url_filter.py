@@ -124,6 +124,20 @@ def test_small_model_keeps_what_is_frequent(spark):
     assert set(few.keys) <= set(whole.keys)
 
 
+@pytest.mark.parametrize("most", [1, 150, 2_000])
+def test_rare_contexts_decide_too(spark, most):
+    urls = ODD + [f"http://{k * 7919 % 1000}.{'com' if k % 2 else 'net/fr'}/page{k}" for k in range(200)] + [f"http://w{k * 7919 % 1000}.org/page{k}" for k in range(100)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    whole, few = uf.fit(pages, URL_RULES), uf.fit(pages, URL_RULES, most_entries=most)
+    assert whole.rest is None and len(few.keys) + few.rest.filter("key < 1L << 60").count() == len(whole.keys)
+    assert (few.slope, few.shift) == pytest.approx((whole.slope, whole.shift), rel=1e-9)
+    by_id = lambda model: {r.page_id: r for r in uf.judge(pages, URL_RULES, model).collect()}
+    want, got = by_id(whole), by_id(few)
+    assert got.keys() == want.keys()
+    for k, row in want.items():
+        assert got[k][:5] == row[:5] and got[k].probability == pytest.approx(row.probability, rel=1e-9), urls[k]
+
+
 def test_rules_against_trying_all():
     rules = [uf.Rule(v, h, p) for v in ("allow", "block") for h in ("com", "a.com", "b.a.com", "net") for p in ("", "/", "/x", "/x/y", "/xy") if hash(h + p) % 3 or v == "allow"]
     rules += [uf.Rule("block", "com", "/x/")]
