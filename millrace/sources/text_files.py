@@ -36,15 +36,16 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, root = opened(self.root)
         folder = posixpath.join(root, self.stage, uuid.uuid4().hex)  # an attempt that runs again writes elsewhere
-        paths, out = [], None
+        paths, known, out = [], set(), None
         try:
             for batch in iterator:
                 for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if not paths or path != paths[-1]:
-                        if path in paths[:-1]:
+                        if path in known:
                             raise ValueError(f"rows of {path!r} don't follow one another")
                         place = below(folder, path or "")
                         paths.append(path)
+                        known.add(path)
                         if out:
                             out.close()
                         files.create_dir(posixpath.dirname(place))

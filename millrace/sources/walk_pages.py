@@ -44,9 +44,15 @@ def reached(pages: dict[int, tuple[int, str]], start: int, most: int | None = No
         start, most = end, None if most is None else most - 1
 
 
-class _Page(InputPartition):
-    def __init__(self, slice_: str, start: int, name: str) -> None:
-        self.slice, self.start, self.name = slice_, start, name
+#: Most tasks of a batch; each reads as many pages as the others.
+MOST_PARTS = 256
+
+
+class _Pages(InputPartition):
+    """Pages that one task reads: slice, start and file name."""
+
+    def __init__(self, pages: list[tuple[str, int, str]]) -> None:
+        self.pages = pages
 
 
 class _Reader(DataSourceStreamReader):
@@ -56,10 +62,18 @@ class _Reader(DataSourceStreamReader):
         self.checkpoint = options.get("checkpoint")
         #: Where the latest batch ends; unknown until the query's checkpoint has been looked at.
         self.at: dict[str, int] | None = None
+        #: What the latest offset was made from.
+        self.seen: dict[str, dict[int, tuple[int, str]]] | None = None
 
     def _listed(self) -> dict[str, dict[int, tuple[int, str]]]:
+        """The pages of all slices, from one listing."""
         files, root = opened(self.root)
-        return {s: pages_of(names(files, f"{root}/{s}", fs.FileType.File)) for s in names(files, root, fs.FileType.Directory)}
+        found: dict[str, list[str]] = {}
+        for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
+            parts = x.path.rsplit("/", 2)
+            if x.type == fs.FileType.File and parts[0].rstrip("/") == root.rstrip("/"):
+                found.setdefault(parts[1], []).append(parts[2])
+        return {s: pages_of(listed) for s, listed in sorted(found.items())}
 
     def _planned(self) -> dict[str, int] | None:
         """The offset that the query's checkpoint has last; none in a new query, None if it isn't known where the checkpoint is."""
@@ -79,7 +93,8 @@ class _Reader(DataSourceStreamReader):
         """The end of the next batch. Spark doesn't tell a source where its query stands: that is read in the checkpoint, and without it a query's first batch goes to the end of each chain."""
         known = self._planned() if self.at is None else self.at
         now = dict(known or {})
-        for slice_, pages in self._listed().items():
+        self.seen = self._listed()
+        for slice_, pages in self.seen.items():
             start = now.get(slice_, 0) if known is not None else min(pages, default=0)
             for begin, _ in reached(pages, start, self.most if known is not None else None):
                 now[slice_] = pages[begin][0]
@@ -87,30 +102,37 @@ class _Reader(DataSourceStreamReader):
         return now
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        listed, found = self._listed(), []
+        # a batch that runs again may be asked for before anything was listed
+        listed, found = self._listed() if self.seen is None else self.seen, []
         for slice_, last in end.items():
-            for begin, name in reached(listed.get(slice_, {}), start.get(slice_, 0)):
-                if begin < last:
-                    found.append(_Page(slice_, begin, name))
-        return found or [_Page("", 0, "")]
+            if start.get(slice_, 0) < last:
+                found += [(slice_, begin, name) for begin, name in reached(listed.get(slice_, {}), start.get(slice_, 0)) if begin < last]
+        size = max(1, -(-len(found) // MOST_PARTS))
+        return [_Pages(found[k : k + size]) for k in range(0, max(len(found), 1), size)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        assert isinstance(partition, _Page)
-        if not partition.name:
-            return
+        assert isinstance(partition, _Pages)
         files, root = opened(self.root)
-        with files.open_input_stream(f"{root}/{partition.slice}/{partition.name}") as page:
-            lines = page.read().decode("utf-8", "replace").splitlines()
-        cards = [(place, line) for place, line in enumerate(lines) if _is_card(line)]
-        if cards:
-            n = len(cards)
-            columns = [pa.array([partition.slice] * n), pa.array([partition.start] * n, pa.int64()), pa.array([p for p, _ in cards], pa.int32()), pa.array([c for _, c in cards])]
-            yield pa.RecordBatch.from_arrays(columns, names=["slice", "start", "place", "card"])
+        held: list[tuple[str, int, int, str]] = []
+        for slice_, start, name in partition.pages:
+            with files.open_input_stream(f"{root}/{slice_}/{name}") as page:
+                lines = page.read().decode("utf-8", "replace").splitlines()
+            held += [(slice_, start, place, line) for place, line in enumerate(lines) if _is_card(line)]
+            if len(held) >= 5_000:
+                yield _batch(held)
+                held = []
+        if held:
+            yield _batch(held)
 
     def commit(self, end: dict) -> None:
         pass  # the checkpoint holds the offset; pages stay where they are
 
 
+def _batch(cards: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cards, strict=True), types, strict=True)], names=["slice", "start", "place", "card"])
+
+
 def _is_card(line: str) -> bool:
     try:
         return isinstance(json.loads(line), dict)

@@ -74,6 +74,20 @@ def test_pages_of_a_slice():
     assert list(walk_pages.reached(pages, 0, 1)) == [(0, "0-3.jsonl")] and not list(walk_pages.reached(pages, 5))
 
 
+def test_many_walks_are_read_by_few_tasks_from_one_listing(tmp_path, monkeypatch):
+    for k in range(600):
+        page(tmp_path, f"s{k}", 0, [{"id": k}])
+        page(tmp_path, f"s{k}", 1, [{"id": k}])
+    reader, listings = walk_pages._Reader({"path": str(tmp_path), "pagesPerBatch": "1", "checkpoint": str(tmp_path / "none")}), []
+    listed = reader._listed
+    monkeypatch.setattr(reader, "_listed", lambda: listings.append(1) or listed())
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert end == {f"s{k}": 1 for k in range(600)} and len(parts) <= walk_pages.MOST_PARTS and len(listings) == 1
+    rows = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(rows) == sorted((f"s{k}", 0, 0, json.dumps({"id": k})) for k in range(600))
+
+
 def files_below(root):
     return {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")} if root.exists() else {}
 
