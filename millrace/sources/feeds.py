@@ -52,20 +52,20 @@ def walk_stops(pages: DataFrame, cap: int, known_row: int = 3, refused_row: int
     ok = F.col("outcome") == "ok"
     p = pages.withColumns({"page": F.count_if(ok).over(so_far), "widest": F.max(F.when(ok, F.col("cards"))).over(so_far)})
     known = ok & (F.col("known") == F.col("cards")) & (F.col("cards") >= F.col("widest")) & (F.col("cards") > 0)
-    p = p.withColumns({"_k": F.sum(F.when(ok & ~known, 1).otherwise(0)).over(so_far), "_r": F.sum(F.when(F.col("outcome") != "refused", 1).otherwise(0)).over(so_far)})
-    run = lambda flag, island: F.when(flag, F.count_if(flag).over(Window.partitionBy("walk", island).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).otherwise(0)
-    p = p.withColumns({"known_run": run(known, "_k"), "refused_run": run(F.col("outcome") == "refused", "_r")})
+    # a run: how many there have been, less how many there were where it last broke off; all windows have one order
+    p = p.withColumns({"_known": F.count_if(known).over(so_far), "_refused": F.count_if(F.col("outcome") == "refused").over(so_far)})
+    run = lambda flag, n, end: F.when(flag, F.col(n) - F.coalesce(F.max(F.when(end, F.col(n))).over(so_far), F.lit(0))).otherwise(0)
+    p = p.withColumns({"known_run": run(known, "_known", ok & ~known), "refused_run": run(F.col("outcome") == "refused", "_refused", F.col("outcome") != "refused")})
     limit = F.least(F.coalesce("area_cap", F.lit(cap)), F.lit(cap))
     at_cap = ok & (F.col("page") >= limit)
     stop = (
         F.when(F.col("outcome") == "error", "error")
-        .when(F.col("refused_run") >= refused_row, F.when(F.max(F.when(ok, F.col("cards"))).over(so_far).isNull(), "throttled_empty").otherwise("rate_limited"))
+        .when(F.col("refused_run") >= refused_row, F.when(F.col("widest").isNull(), "throttled_empty").otherwise("rate_limited"))
         .when(ok & (F.col("cards") == 0), "end_of_results")
         .when(F.col("known_run") >= known_row, "known_page")
         .when(at_cap & (F.col("cards") < F.col("widest")), "end_of_results")
         .when(at_cap & (F.coalesce("area_cap", F.lit(cap)) < cap), "area_cap")
         .when(at_cap, "cap_hit")
     )
-    first = p.withColumn("stop", stop).filter("stop is not null").groupBy("walk").agg(F.min(F.struct("n", "stop", "page")).alias("s"))
-    seen = pages.groupBy("walk").agg(F.count_if(ok).alias("pages"))
-    return seen.join(first, "walk", "left").select("walk", F.coalesce("s.page", "pages").alias("pages"), F.coalesce("s.stop", F.lit("stopped")).alias("stop_reason"))
+    found = p.withColumn("stop", stop).groupBy("walk").agg(F.count_if(ok).alias("pages"), F.min(F.when(F.col("stop").isNotNull(), F.struct("n", "stop", "page"))).alias("s"))
+    return found.select("walk", F.coalesce("s.page", "pages").alias("pages"), F.coalesce("s.stop", F.lit("stopped")).alias("stop_reason"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -274,7 +275,10 @@ def test_walk_stops(spark):
         + walk("limited", [(25, 0, "ok"), *[(0, 0, "refused")] * 3]) + walk("empty", [(0, 0, "refused")] * 3) + walk("error", [(25, 0, "ok"), (0, 0, "error")]) + walk("stopped", [(25, 0, "ok")])
     )
     df = spark.createDataFrame(rows, "walk string, n int, cards int, known int, outcome string, area_cap int")
-    out = {r.walk: (r.stop_reason, r.pages) for r in feeds.walk_stops(df, 5).collect()}
+    stops = feeds.walk_stops(df, 5)
+    plan = stops._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") >= 1 and "Join" not in plan and len(set(re.findall(r"\], \[walk[^]]*\], \[[^]]*\]", plan))) == 1  # one order for all windows
+    out = {r.walk: (r.stop_reason, r.pages) for r in stops.collect()}
     assert out == {"known": ("known_page", 3), "end": ("end_of_results", 2), "cap": ("cap_hit", 5), "area": ("area_cap", 2), "limited": ("rate_limited", 1), "empty": ("throttled_empty", 0), "error": ("error", 1), "stopped": ("stopped", 1)}
 
 
