@@ -90,7 +90,7 @@ def test_problems_of_a_plan(spark):
     assert sorted(map(tuple, got)) == [("a", 1, 2, "too long"), ("a", 1, 3, "line break"), ("a", 1, 4, "no such bullet"), ("a", 2, 1, "several rows"), ("a", 3, 1, "no such bullet"), ("z", 1, 1, "no such bullet")]
 
 
-def test_languages_from_profiles(spark):
+def test_languages_from_profiles(spark, monkeypatch):
     said = {"en": "the house and the river were under the green tree near the mill", "it": "la casa e il fiume erano sotto l'albero verde vicino al mulino", "de": "das haus und der fluss waren unter dem grünen baum an der mühle"}
     random.seed(1)
     some = lambda lang, n: " ".join(random.choices(said[lang].split(), k=n))
@@ -100,6 +100,15 @@ def test_languages_from_profiles(spark):
     got = {r.id: r.language for r in languages.detected(spark.createDataFrame(asked, "id long, text string, lang string"), "id", table).collect()}
     assert len(got) == len(asked) and all(got[k] == lang for k, _, lang in asked if k < 100)
     assert [got[k] for k in (100, 101, 102)] == [None] * 3 and got[103] in said
+    # texts are told without moving them, and as by joins
+    asked += [(104, "THE MILL\U00010400near ἀγορά İstanbul " * 5, None), (105, "casa das " * 30, None)]
+    df = spark.createDataFrame(asked, "id long, text string, lang string")
+    held = spark.createDataFrame(table.collect(), table.schema)
+    found = languages.detected(df, "id", held)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, languages._joined(df, "id", held, "text", 40).collect()))
+    monkeypatch.setattr(languages, "_PIECE", 7)
+    assert sorted(map(tuple, languages.detected(df, "id", held).collect())) == sorted(map(tuple, found.collect()))
     # a gain of the profile is that of plain counting
     (row,) = table.filter("lang = 'en' AND gram = ' th'").collect()
     (least,) = table.filter("lang = 'en' AND gram = '?'").collect()
