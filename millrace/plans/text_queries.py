@@ -99,7 +99,7 @@ PADDING = " We bake bread for forty shops, mill our own flour and pay a fair wag
 
 def work_mode_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as postings: each has one of the cases' sentences between two about the part itself."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type").repartition("p_partkey")  # a compact file is one task's otherwise
     which = (F.col("p_partkey") % len(CASES) + 1).cast("int")
     said, hint = (F.element_at(F.array(*(F.lit(c[k]) for c in CASES)), which) for k in (0, 1))
     ready = p.select("p_partkey", F.concat(F.lit("We sell "), "p_name", F.lit(". "), said, F.lit(PADDING), F.lit(" Ask for "), "p_type", F.lit(".")).alias("description"), hint.alias("remote_hint"), F.lit("Baker").alias("title"), F.lit("Turin, Italy").alias("location"))
