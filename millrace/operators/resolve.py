@@ -29,6 +29,14 @@ def _beside(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
 
 
+def _accompanied(own: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of :func:`_keyed` that have another in their block or one beside it; nothing else can have a twin, so sightings of the rest need not move."""
+    counted = own.groupBy(*keys, "block").agg(F.count("*").alias("n"))
+    here = [counted.select(*keys, (F.col("block") + k).alias("block"), F.col("n").alias("_around"), F.lit(int(k == 0)).alias("_own")) for k in (-1, 0, 1)]
+    around = here[0].unionByName(here[1]).unionByName(here[2]).groupBy(*keys, "block").agg(F.sum("_around").alias("around"), F.max("_own").alias("_own")).filter("_own = 1 AND around > 1")
+    return own.join(around.select(*keys, "block", "around"), [*keys, "block"]).drop("around")
+
+
 def twin_candidates(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30, of: DataFrame | None = None) -> DataFrame:
     """(id, twin) in both directions: equal non-empty keys, first seen within ``days``, no source in common.
 
@@ -37,11 +45,11 @@ def twin_candidates(entities: DataFrame, sightings: DataFrame, keys: list[str],
     the twins of these are looked for.
     """
     width = days * 86_400
-    own = _keyed(entities, keys, seen, width)
+    own = _accompanied(_keyed(entities, keys, seen, width), keys)
     near = _beside(own.select(F.col("id").alias("twin"), *keys, F.col("t").alias("twin_t"), "block"))
     asking = own if of is None else own.join(of.select("id"), "id", "left_semi")
     pairs = asking.join(near, [*keys, "block"]).filter((F.col("id") != F.col("twin")) & (F.abs(F.col("t") - F.col("twin_t")) <= width)).select("id", "twin")
-    s = sightings.groupBy("id").agg(F.collect_set("source").alias("sources"))  # the sources of one entity
+    s = sightings.join(own.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set("source").alias("sources"))  # the sources of one entity
     with_sources = pairs.join(s, "id", "left").join(s.select(F.col("id").alias("twin"), F.col("sources").alias("others")), "twin", "left")
     return with_sources.filter(~F.coalesce(F.arrays_overlap("sources", "others"), F.lit(False))).select("id", "twin")
 
@@ -65,14 +73,13 @@ def possibly_unique(entities: DataFrame, sightings: DataFrame, keys: list[str],
     as there are entities with its sources in its block and the two beside. If more than one is left, it has several
     twins for certain; with nobody in the three blocks it has none. A frequent key is settled by this without pairs.
     """
-    own = _keyed(entities, keys, seen, days * 86_400)
+    own = _accompanied(_keyed(entities, keys, seen, days * 86_400), keys)
     in_block = own.groupBy(*keys, "block").agg(F.count("*").alias("here"))
-    around = _beside(own.select(*keys, "block")).groupBy(*keys, "block").agg(F.count("*").alias("around"))
     owned = own.join(sightings.select("id", "source").distinct(), "id")
     by_source = _beside(owned.select(*keys, "source", "block")).groupBy(*keys, "source", "block").agg(F.count("*").alias("n"))
     sharing = owned.join(by_source, [*keys, "source", "block"]).groupBy("id").agg(F.sum(F.col("n") - 1).alias("sharing"))
-    counted = own.join(in_block, [*keys, "block"]).join(around, [*keys, "block"]).join(sharing, "id", "left")
-    return counted.filter((F.col("around") > 1) & (F.col("here") - 1 - F.coalesce("sharing", F.lit(0)) <= 1)).select("id")
+    counted = own.join(in_block, [*keys, "block"]).join(sharing, "id", "left")
+    return counted.filter((F.col("here") - 1 - F.coalesce("sharing", F.lit(0)) <= 1)).select("id")
 
 
 def unique_twins(pairs: DataFrame) -> DataFrame:
@@ -88,8 +95,14 @@ def mutual_twins(pairs: DataFrame) -> DataFrame:
 
 
 def twins_of_unique(entities: DataFrame, sightings: DataFrame, keys: list[str], seen: str = "first_seen", days: int = 30) -> DataFrame:
-    """The candidates of all entities that have exactly one, and of some others: what :func:`unique_twins` needs."""
-    return twin_candidates(entities, sightings, keys, seen, days, possibly_unique(entities, sightings, keys, seen, days))
+    """The candidates of all entities that have exactly one, and of some others: what :func:`unique_twins` needs.
+
+    Entities that have no other near them, and their sightings, are left out first: the rest is written once and read by all that follows.
+    """
+    near = _accompanied(_keyed(entities, keys, seen, days * 86_400), keys).select("id")
+    own = shared_table(entities.join(near, "id", "left_semi").select("id", *keys, seen), entities.sparkSession)
+    met = shared_table(sightings.select("id", "source").join(own.select("id"), "id", "left_semi").distinct(), entities.sparkSession)
+    return twin_candidates(own, met, keys, seen, days, possibly_unique(own, met, keys, seen, days))
 
 
 def survivor_key(stage: Column, first_seen: Column, described: Column, tie: Column, stages: tuple[str, ...] = STAGES) -> Column:

@@ -222,6 +222,13 @@ def test_unique_twins_from_counts_are_those_from_pairs(spark):
     assert resolve.possibly_unique(entities, seen, ["company"]).count() < 250
 
 
+def test_only_entities_with_another_near_them_are_looked_at(spark):
+    days = {1: ("a", 0), 2: ("a", 31), 3: ("a", 200), 4: ("b", 0), 5: ("c", 5), 6: ("c", 6)}
+    entities = spark.createDataFrame([(k, c, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for k, (c, d) in days.items()], "id long, company string, first_seen timestamp_ntz")
+    own = resolve._accompanied(resolve._keyed(entities, ["company"], "first_seen", 30 * 86_400), ["company"])
+    assert sorted(r.id for r in own.collect()) == [1, 2, 5, 6]
+
+
 def plain_turns(rows, sightings):
     """Entities (id, company, first_seen) by a scan of all that are left, at each turn."""
     sources = {}
