@@ -34,8 +34,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it once as Parquet in the shared folder and read it back."""
+#: Fewest files that a table of few rows is written as, and rows (of a few numbers each) of one such file at most.
+FILES, FILE_ROWS = 16, 1 << 18
+
+
+def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """Cut the lineage of ``df``: write it once as Parquet in the shared folder and read it back.
+
+    ``most_rows``, where it is given, is the most rows (of a few numbers each, or what weighs as much) that ``df`` can have: many small
+    partitions are then written as few files, as each costs its executor new processes on a local file system, and requests on others.
+    """
+    if most_rows is not None:
+        df = df.coalesce(max(FILES, -(-most_rows // FILE_ROWS)))
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

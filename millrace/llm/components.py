@@ -31,18 +31,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
-def connected_components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, most_rounds: int = 60, most_edges: int | None = None) -> DataFrame:
     """(node, root) for every node that has an edge and isn't its component's smallest; the root is the smallest node.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most. Nodes are longs.
+    Each round is written to the shared folder, so a lost executor costs one round at most; a round never has more
+    edges than the one before, so a small graph's rounds are few files. ``most_edges`` says so of the edges given. Nodes are longs.
     """
     now = edges.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v")).filter("u <> v").distinct()
-    now, before = written(now, "edges"), None
+    now, before = written(now, "edges", most_edges), None
     for _ in range(most_rounds):
         # sums wrap around on both sides alike, and xor of hashes needs no order
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(_large_star(now)), "edges", state[0])
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

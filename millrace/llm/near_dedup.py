@@ -218,23 +218,24 @@ def _parted(large: DataFrame, words: int, percent: int, first_shingles: int) ->
     each = keyed.groupBy("key", "part").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"))
     leads = each.groupBy("key").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.collect_list("part").alias("parts")).filter("lead < last")  # PARTS at most
     stars = keyed.join(leads.select("key", F.explode("parts").alias("part"), "lead"), ["key", "part"]).filter("rep <> lead").select("rep", "lead").distinct()
-    parts = connected_components(stars.union(links), "rep", "lead")
-    return written(parts.select(F.col("node").alias("rep"), F.col("root").alias("part")).union(parts.select("root", "root").distinct()), "parts"), links
+    most = found.count()
+    parts = connected_components(stars.union(links), "rep", "lead", most_edges=most)
+    return written(parts.select(F.col("node").alias("rep"), F.col("root").alias("part")).union(parts.select("root", "root").distinct()), "parts", 2 * most), links
 
 
 def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> DataFrame:
     """(node, root) of the groups that fill several blocks: ``large`` has group, rep, n and text, ``first`` the links within first blocks."""
-    links = first
+    links, texts = first, large.count()
     for both in (False, True):
-        found = connected_components(links, "node", "root").withColumnRenamed("root", "label")
+        found = connected_components(links, "node", "root", most_edges=links.count()).withColumnRenamed("root", "label")
         members = large.select("group", "rep", "n").distinct().join(found, F.col("rep") == F.col("node"), "left").select("group", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        members = written(members, "labels")
+        members = written(members, "labels", texts)
         if not both:  # the smallest of each component by now
             meet = members.filter("rep = label")
             totals = small(meet.groupBy("group").agg(F.ceil(F.sum("n") / block).alias("k")))
             units = meet.join(totals, "group").select("rep", "group", _dealt(meet, "rep", F.col("k")).alias("i"), F.lit(0).alias("j"), "label")
         else:
-            by_label = written(members.groupBy("group", "label").agg(F.sum("n").alias("n")), "components")
+            by_label = written(members.groupBy("group", "label").agg(F.sum("n").alias("n")), "components", texts)
             open_groups = by_label.groupBy("group").agg(F.count("*").alias("c"), F.ceil(F.sum(F.when(F.col("n") < block, F.col("n"))) / block).alias("mixed")).filter("c > 1")
             own = by_label.filter(F.col("n") >= block).withColumn("k", F.ceil(F.col("n") / block))
             before = Window.partitionBy("group").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
@@ -252,7 +253,7 @@ def _large_links(large: DataFrame, first: DataFrame, verify, block: int) -> Data
         gathered = units.join(large.select("rep", "text"), "rep")
         more = gathered.groupBy("group", "i", "j").applyInArrow(verify, LINKS)
         links = written(links.union(more), "links")
-    return connected_components(links, "node", "root")
+    return connected_components(links, "node", "root", most_edges=links.count())
 
 
 def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 64, rows_per_band: int = 8, block_shingles: int = 1_000_000, first_shingles: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text", ids_repeat: bool = True) -> DataFrame:
@@ -265,27 +266,28 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = 5, bands: int =
     texts = slim(docs, id_col, text_col)
     every = written(sketches(texts, words, bands, rows_per_band), "sketches")
     some = every.filter("n_shingles > 0")
-    classes = written(some.filter("doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    many, shingles = some.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()  # texts are written, and verified, by so many shingles a task
+    classes = written(some.filter("doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes", many * bands)
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("key", "lead")
     stars = keyed.join(buckets, "key").filter("rep <> lead").select("rep", "lead")
-    proposed = connected_components(stars, "rep", "lead")
+    proposed = connected_components(stars, "rep", "lead", most_edges=many * bands)
 
     members = proposed.select(F.col("root").alias("group"), F.col("node").alias("rep")).union(proposed.select("root", "root").distinct())
-    members = written(members.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "members")
+    members = written(members.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "members", many)
     totals = members.groupBy("group").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
     large = small(totals.filter((F.col("n") > first_shingles) & (F.col("c") > 1)).select("group", F.ceil(F.col("n") / (WIDE * first_shingles)).alias("k")))
     dealt = members.join(large, "group", "left").select("group", "rep", "n", "k")
     # a merge join at every size: the texts always outgrow what may be broadcast, and so does the other side
-    gathered = written(dealt.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "n", "k", "text").distinct(), "gathered")
+    gathered = written(dealt.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "n", "k", "text").distinct(), "gathered", shingles)
 
     verify = _verified(words, percent)
-    whole = written(gathered.filter("k is null").select("group", "rep", F.col("rep").alias("label"), "text").groupBy("group").applyInArrow(verify, LINKS), "links")
-    many = gathered.filter("k is not null")
-    if not many.isEmpty():
-        parts, links = _parted(many, words, percent, first_shingles)
-        whole = whole.union(_large_links(many.select("rep", "n", "text").join(small(parts), "rep").withColumnRenamed("part", "group"), links, verify, block_shingles))
+    whole = written(gathered.filter("k is null").select("group", "rep", F.col("rep").alias("label"), "text").groupBy("group").applyInArrow(verify, LINKS), "links", shingles)
+    several = gathered.filter("k is not null")
+    if not several.isEmpty():
+        parts, links = _parted(several, words, percent, first_shingles)
+        whole = whole.union(_large_links(several.select("rep", "n", "text").join(small(parts), "rep").withColumnRenamed("part", "group"), links, verify, block_shingles))
     # an identifier with several sets links their classes, also where it stands for neither
     repeated = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("high", "low", "n_shingles")).alias("a"), F.max(F.struct("high", "low", "n_shingles")).alias("b")).filter("a <> b").select("doc_id")
     if ids_repeat and not repeated.isEmpty():

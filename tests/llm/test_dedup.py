@@ -7,7 +7,8 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from millrace.llm import exact_dedup, near_dedup
+from millrace.llm import components, exact_dedup, near_dedup
+from millrace.llm.common import written
 from millrace.llm.components import connected_components
 from millrace.llm.patricia import PatriciaTrie
 from millrace.llm.shingles import exact_sets, shingle_hashes, sketch
@@ -112,6 +113,41 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == want
 
 
+@pytest.fixture
+def files(spark, monkeypatch):
+    """Files of each table that is written between the steps, where shuffles leave many small partitions."""
+    found, held = [], {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+
+    def counted(df, name, *most):
+        out = written(df, name, *most)
+        found.append((name, len(out.inputFiles())))
+        return out
+
+    for module in (components, near_dedup):
+        monkeypatch.setattr(module, "written", counted)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield found
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rounds_of_a_small_graph_are_few_files(spark, files):
+    edges = [(k, k + 1) for k in range(0, 900, 3)] + [(k + 1, k + 2) for k in range(0, 900, 3)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert {r.node: r.root for r in got} == {k: k - k % 3 for k in range(900) if k % 3}
+    assert len(files) > 1 and all(n <= 16 for _, n in files[1:])
+
+
+def test_near_copies_of_few_texts_are_few_files(spark, files):
+    rows = [(200 * j + k, " ".join(f"w{j}x{i}" for i in range(60)) + f" {k}") for j in range(40) for k in range(3)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), first_shingles=100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 200 for i, _ in rows}
+    assert {"classes", "gathered", "links", "parts", "labels"} <= {name for name, _ in files}
+    assert all(n <= 16 for name, n in files if name in ("edges", "classes", "members", "gathered", "parts", "labels"))
+
+
 def test_shingles_are_those_of_the_words():
     texts = [(t or "").encode() for _, t in messy()]
     want = list(brute_sets(list(enumerate(t.decode() for t in texts))).values())
